@@ -54,3 +54,27 @@ def text_or_empty(col: str) -> Column:
 def held_out(col: str, folds: int = 5) -> Column:
     """True where crc32 of the id as text is divisible by ``folds``; null ids are never held out."""
     return F.coalesce(F.crc32(F.col(col).cast("string").cast("binary")) % folds == 0, F.lit(False))
+
+
+def with_text_columns(df: DataFrame, text_col: str, added: list[tuple[str, str]], make) -> DataFrame:
+    """``df`` with columns computed from whole texts in Arrow batches; its other columns pass untouched.
+
+    ``make()`` is called once a task and returns a function: list of texts (null: empty) -> one list or
+    array for each added (name, type). Columns of these names that ``df`` has are replaced.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import _parse_datatype_string
+
+    kept = df.drop(*[c for c, _ in added])
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in kept.dtypes), *(f"`{c}` {t}" for c, t in added)])
+    kinds = [to_arrow_type(_parse_datatype_string(t)) for _, t in added]
+
+    def run(batches):
+        compute = make()
+        for b in batches:
+            texts = [t or "" for t in b.column(text_col).to_pylist()]
+            made = compute(texts) if texts else [[] for _ in added]
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(v, type=k) for v, k in zip(made, kinds))], names=[*b.schema.names, *(c for c, _ in added)])
+
+    return kept.mapInArrow(run, schema)
