@@ -336,7 +336,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     drawn = (F.xxhash64(F.col("_id").cast("string")) % 1_000_003 + 1_000_003) % 1_000_003 / 1_000_003
     marked = marked.filter(drawn < part[F.col("_label")])
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter(F.col("_text").isNotNull() & (F.length("_text") <= max_chars))
-    found = texts.join(marked, "_id").select("_id", "_text", "_label").collect()
+    # at most the bounded sample: small enough to send to all tasks
+    found = texts.join(F.broadcast(marked), "_id").select("_id", "_text", "_label").collect()
     return [(r[1], r[2]) for r in sorted(found, key=lambda r: (str(r[0]), r[1]))]
 
 
