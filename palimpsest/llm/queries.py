@@ -24,6 +24,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_vectors import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import predict_languages
 
@@ -54,8 +60,15 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
 
 
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .nearest import search
+
+    vectors = _table(spark, sf_dir, "embeddings")
+    return search(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_language_id, op4_html_text, op5_packing, op6_toxicity, op9_pieces)}
+    return {f.__name__: f for f in (op1_token_counts, op2_near_vectors, op3_language_id, op4_html_text, op5_packing, op6_toxicity, op9_pieces, op10_nearest)}
 
 
 def oracle_sql() -> dict[str, str]:
