@@ -54,6 +54,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_near_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_texts import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import round_trip
 
@@ -68,7 +74,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_near_vectors, op3_language_id, op4_html_text, op5_packing, op6_toxicity, op9_pieces, op10_nearest)}
+    return {f.__name__: f for f in (op1_token_counts, op2_near_vectors, op3_language_id, op4_html_text, op5_packing, op6_toxicity, op7_near_texts, op9_pieces, op10_nearest)}
 
 
 def oracle_sql() -> dict[str, str]:
