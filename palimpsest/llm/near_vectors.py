@@ -75,8 +75,8 @@ def links(x: pd.DataFrame, q: pd.DataFrame, fitted: Quantiser, home: int, cosine
             dot += tables[m][codes[part, m]]
         limit = (bound[part] - own[part]).astype(np.float32)
         i, j = np.nonzero(to_centre[None].astype(np.float32) - 2 * dot <= limit[:, None])
-        for c in range(0, i.size, 1 << 18):
-            ii, jj = i[c : c + (1 << 18)] + a, j[c : c + (1 << 18)]
+        for c in range(0, i.size, 1 << 14):
+            ii, jj = i[c : c + (1 << 14)] + a, j[c : c + (1 << 14)]
             near = np.einsum("ij,ij->i", xv[ii], qv[jj]) >= cosine
             xs.append(ii[near])
             qs.append(jj[near])
