@@ -60,6 +60,12 @@ def op7_near_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import repeats_report
+
+    return repeats_report(_table(spark, sf_dir, "documents"))
+
+
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pieces import round_trip
 
@@ -74,7 +80,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_near_vectors, op3_language_id, op4_html_text, op5_packing, op6_toxicity, op7_near_texts, op9_pieces, op10_nearest)}
+    return {f.__name__: f for f in (op1_token_counts, op2_near_vectors, op3_language_id, op4_html_text, op5_packing, op6_toxicity, op7_near_texts, op8_repeats, op9_pieces, op10_nearest)}
 
 
 def oracle_sql() -> dict[str, str]:
