@@ -24,6 +24,8 @@ from .common import stored
 from .words import _powers, span_hashes
 
 _BLOCK = 1 << 21
+#: Marks strings that are known to occur twice within their shard.
+_DECIDED = np.uint64(1 << 63)
 
 
 def _prefix_hash(raw: np.ndarray) -> np.ndarray:
@@ -249,7 +251,7 @@ def repeated_spans(docs: DataFrame, width: int = 200, gram: int = 64, shard_byte
     sharded = shipped.withColumn("shard", F.when(F.col("parts") > 1, F.xxhash64("low", "part")).otherwise(F.pmod(F.xxhash64("low"), F.lit(shards))))
 
     def sort_shard(x: pd.DataFrame) -> pd.DataFrame:
-        """Runs of repeated strings of each content; for divided minimisers also the others' hashes, sorted."""
+        """Runs of repeated strings of each content; for divided minimisers also the hashes of all, sorted."""
         data = [bytes(v) for v in x["bytes"]]
         # a shard may hold many minimisers: some at a time bounds the memory
         x = x.reset_index(drop=True)
@@ -266,41 +268,39 @@ def repeated_spans(docs: DataFrame, width: int = 200, gram: int = 64, shard_byte
             edge = np.searchsorted(of, np.arange(rows.size + 1))
             for j, i in enumerate(rows.tolist()):
                 flags = twice[edge[j] : edge[j + 1]]
-                alone = None
-                if x["parts"].iat[i] > 1 and not flags.all():
-                    raw = np.frombuffer(data[i], np.uint8)
-                    sums = _prefix_hash(raw)
-                    at = np.flatnonzero(~flags)
-                    alone = np.stack([_stretch(sums, at, at + width), at.astype(np.uint64)], axis=1)
-                    alone = alone[np.argsort(alone[:, 0], kind="stable")].tobytes()
-                out.append((low[i], x["content"].iat[i], x["n"].iat[i], x["part"].iat[i], _runs(flags), alone))
-        return pd.DataFrame(out, columns=["low", "content", "n", "part", "runs", "alone"])
-
-    judged = stored(sharded.groupBy("shard").applyInPandas(sort_shard, "low long, content long, n short, part int, runs array<array<int>>, alone binary"), "judged")
+                hashes = None
+                if x["parts"].iat[i] > 1:  # other shards ask for these strings too
+                    sums, at = _prefix_hash(np.frombuffer(data[i], np.uint8)), np.arange(flags.size)
+                    hashes = np.stack([_stretch(sums, at, at + width), at.astype(np.uint64) | np.where(flags, _DECIDED, np.uint64(0))], axis=1)
+                    hashes = hashes[np.argsort(hashes[:, 0], kind="stable")].tobytes()
+                out.append((low[i], x["content"].iat[i], x["n"].iat[i], x["part"].iat[i], _runs(flags), hashes))
+        return pd.DataFrame(out, columns=["low", "content", "n", "part", "runs", "hashes"])
+
+    judged = stored(sharded.groupBy("shard").applyInPandas(sort_shard, "low long, content long, n short, part int, runs array<array<int>>, hashes binary"), "judged")
     runs = judged.filter(F.size("runs") > 0).select("low", "content", "n", "runs")
 
     # across the shards of a divided minimiser: runs of hashes by range, so that no group outgrows a task
     def ranged(batches):
         for b in batches:
             rows = []
-            for low, content, n, part, alone, ranges in zip(b["low"], b["content"], b["n"], b["part"], b["alone"], b["ranges"]):
-                a = np.frombuffer(alone, np.uint64).reshape(-1, 2)
+            for low, content, n, part, hashes, ranges in zip(b["low"], b["content"], b["n"], b["part"], b["hashes"], b["ranges"]):
+                a = np.frombuffer(hashes, np.uint64).reshape(-1, 2)
                 r = (a[:, 0] >> np.uint64(40)).astype(np.int64) * int(ranges) >> 24
                 for k in np.unique(r).tolist():
                     rows.append((low, k, content, n, part, a[r == k].tobytes()))
-            yield pd.DataFrame(rows, columns=["low", "range", "content", "n", "part", "alone"])
+            yield pd.DataFrame(rows, columns=["low", "range", "content", "n", "part", "hashes"])
 
     def merge(x: pd.DataFrame) -> pd.DataFrame:
         """Strings of one range that stand in another shard too: found by binary search in its sorted run."""
         x = x.reset_index(drop=True)
-        a = [np.frombuffer(v, np.uint64).reshape(-1, 2) for v in x["alone"]]
+        a = [np.frombuffer(v, np.uint64).reshape(-1, 2) for v in x["hashes"]]
         row = np.repeat(np.arange(len(a)), [len(v) for v in a])
         both = np.concatenate(a)
         part = x["part"].to_numpy()[row]
         sorted_runs = {p: np.sort(both[part == p, 0]) for p in np.unique(part).tolist()}
         hit = np.zeros(len(both), dtype=bool)
         for p, run in sorted_runs.items():
-            other = np.flatnonzero((part != p) & ~hit)
+            other = np.flatnonzero((part != p) & ~hit & ((both[:, 1] & _DECIDED) == 0))
             at = np.minimum(np.searchsorted(run, both[other, 0]), run.size - 1)
             hit[other] |= run[at] == both[other, 0]
         out = []
@@ -310,9 +310,9 @@ def repeated_spans(docs: DataFrame, width: int = 200, gram: int = 64, shard_byte
             out.append((x["low"].iat[i], x["content"].iat[i], x["n"].iat[i], _runs(flags)))
         return pd.DataFrame(out, columns=["low", "content", "n", "runs"])
 
-    pending = judged.filter("alone is not null").select(F.col("low").alias("low"), F.col("content").alias("content"), F.col("n").alias("n"), F.col("part").alias("part"), F.col("alone").alias("alone"))
+    pending = judged.filter("hashes is not null").select(F.col("low").alias("low"), F.col("content").alias("content"), F.col("n").alias("n"), F.col("part").alias("part"), F.col("hashes").alias("hashes"))
     pending = pending.join(sizes.hint("shuffle_merge"), "low").withColumn("ranges", F.col("parts")).drop("parts")
-    ranges = pending.mapInPandas(ranged, "low long, range int, content long, n short, part int, alone binary")
+    ranges = pending.mapInPandas(ranged, "low long, range int, content long, n short, part int, hashes binary")
     crossed = ranges.groupBy("low", "range").applyInPandas(merge, "low long, content long, n short, runs array<array<int>>")
     runs = stored(runs.unionByName(crossed), "runs")
 
