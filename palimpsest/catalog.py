@@ -10,12 +10,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 @dataclass(frozen=True)
 class Entry:
+    """A query over the driver tables; ``sql`` where DuckDB can express it."""
+
     run: Callable[[SparkSession, str], DataFrame]
     sql: str | None = None
 
 
 def entries() -> dict[str, Entry]:
-    return {}
+    from palimpsest.functions import text
+    from palimpsest.operators import aggregates, graph, joins, predicates, retention, retrieval, sets, temporal, windows
+    from palimpsest.plans import planner
+    from palimpsest.streaming import flows
+
+    found: dict[str, Entry] = {}
+    for module in (aggregates, predicates, joins, windows, sets, text, retrieval, graph, temporal, retention, planner, flows):
+        found |= module.ENTRIES
+    return found
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,0 +1,213 @@
+"""Text functions: tokens, redaction, sensitivity, intent, hashes, sections and windows."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from palimpsest.catalog import Entry
+from palimpsest.sources.tables import events, table
+
+# Patterns of what is hidden, by class, in the order they apply.
+REDACTIONS = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z]{2,}"),
+    ("aws_key", r"AKIA[0-9A-Z]{16}"),
+    ("token", r"(?:password|token|secret)\s*=\s*\S+"),
+    ("ipv4", r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b"),
+    ("card", r"\b[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}\b"),
+]
+#: Ordered phrases of intents, the first that matches counts.
+INTENTS = [("decision_lookup", "decid|decision|why did"), ("law_check", "allowed|rule|license"), ("similar_problems", "error|fail|bug"), ("explain", "explain|what is|how does")]
+QUESTION_WORDS = ["what", "is", "the", "how", "does", "why", "did", "a", "an", "of", "to", "in"]
+
+
+def words(col: str) -> Column:
+    return F.regexp_extract_all(F.lower(col), F.lit("[a-z0-9_]+"), 0)
+
+
+def redact(col: str) -> Column:
+    out = F.col(col)
+    for name, pattern in REDACTIONS:
+        out = F.regexp_replace(out, pattern, f"[REDACTED:{name}]")
+    return out
+
+
+def sensitivity(col: str) -> Column:
+    """0 none, 1 address, 2 network, 3 credentials or cards."""
+    hit = dict(REDACTIONS)
+    c = F.col(col)
+    return F.when(c.rlike(hit["aws_key"]) | c.rlike(hit["token"]) | c.rlike(hit["card"]), 3).when(c.rlike(hit["ipv4"]), 2).when(c.rlike(hit["email"]), 1).otherwise(0)
+
+
+def intent(col: str) -> Column:
+    out = None
+    for name, pattern in INTENTS:
+        hit = F.lower(col).rlike(pattern)
+        out = F.when(hit, name) if out is None else out.when(hit, name)
+    return out.otherwise("pre_change_context")
+
+
+def rewrite(col: str) -> Column:
+    """The content words of a question; the question itself if none are left."""
+    kept = F.filter(F.split(F.lower(col), r"[^a-z0-9_./-]+"), lambda w: (F.length(w) > 1) & ~w.isin(QUESTION_WORDS) & ~w.rlike("^[0-9]+$"))
+    return F.coalesce(F.nullif(F.array_join(kept, " "), F.lit("")), F.col(col))
+
+
+def dot(a: Column, b: Column) -> Column:
+    """Inner product of two arrays; 0 where their lengths differ."""
+    return F.when(F.size(a) == F.size(b), F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)).otherwise(0.0)
+
+
+def clamp_score(c: Column) -> Column:
+    return F.when(c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
+
+
+def outcome_factor(c: Column) -> Column:
+    return F.when(c == "success", 1.2).when(c == "error", 0.5).when(c == "blocked_by_law", 0.3).otherwise(1.0)
+
+
+def path_prefixes(c: Column) -> Column:
+    """a/, a/b/, a/b/c for a/b/c."""
+    parts = F.split(c, "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.when(i < F.size(parts), "/").otherwise("")))
+
+
+def windows(c: Column, size: int = 512, stride: int = 384) -> Column:
+    """Overlapping windows of characters; the last one ends with the text."""
+    n = F.greatest(F.lit(1), F.ceil((F.length(c) - size) / stride) + 1).cast("int")
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(c, i * stride + 1, F.lit(size)))
+
+
+def entropy(df: DataFrame, key: str, col: str) -> DataFrame:
+    """Bits of the character distribution of each row's text."""
+    chars = df.select(key, F.explode(F.split(col, "")).alias("c")).filter("c <> ''").groupBy(key, "c").agg(F.count("*").alias("n"))
+    total = chars.groupBy(key).agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.log2("n")).alias("nl"))
+    return total.select(key, F.round(F.log2("total") - F.col("nl") / F.col("total"), 6).alias("bits"))
+
+
+def c04(spark, sf_dir):
+    return entropy(table(spark, sf_dir, "benchmark"), "item_id", "text")
+
+
+def c05(spark, sf_dir):
+    return events(spark, sf_dir).select("event_id", F.sha2(F.concat_ws("|", F.col("event_id").cast("string"), "kind", F.col("k").cast("string")), 256).alias("content_hash"))
+
+
+def c06(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", *[F.regexp_count("text", F.lit(p)).cast("long").alias(n) for n, p in REDACTIONS], F.length(redact("text")).cast("long").alias("kept"))
+
+
+def c07(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy(sensitivity("text").alias("level")).agg(F.count("*").alias("n"))
+
+
+def c11(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", rewrite("text").alias("q"))
+
+
+def c12(spark, sf_dir):
+    d = table(spark, sf_dir, "benchmark")
+    return d.select("item_id", F.concat_ws(",", F.sort_array(F.array_distinct(F.filter(words("text"), lambda w: F.length(w) >= 3)))).alias("terms"))
+
+
+def c13(spark, sf_dir):
+    d = table(spark, sf_dir, "benchmark")
+    df = d.select("item_id", F.explode(F.array_distinct(words("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return df.join(F.broadcast(d.agg(F.count("*").alias("n")))).select("term", "df", F.round(F.log(1 + F.col("n") / (1 + F.col("df"))), 6).alias("idf"))
+
+
+def c14(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").groupBy(intent("text").alias("intent")).agg(F.count("*").alias("n"))
+
+
+def c16(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^https?://([^?#]*)", 1).alias("path"))
+    return p.select("page_id", F.explode(path_prefixes(F.col("path"))).alias("prefix"))
+
+
+def c17(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.concat_ws("\x1f", "source", "lang", F.md5("text")), 256).alias("id"))
+
+
+def c20(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.upper(F.substring(F.md5("text"), 1, 26)).alias("u"))
+    return d.groupBy(F.col("u").rlike("^[0-9A-HJKMNP-TV-Z]{26}$").alias("valid")).agg(F.count("*").alias("n"))
+
+
+def c21(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]+@[a-z]+\\.[a-z]+"), 0))).alias("found"))
+
+
+def c22(spark, sf_dir):
+    heads = F.filter(F.slice(F.split("text", "\n"), 1, 8), lambda x: F.lower(x).rlike("license"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(heads).cast("long").alias("lines")).filter("lines > 0")
+
+
+def c24(spark, sf_dir):
+    from palimpsest.operators.aggregates import iso_week
+
+    return table(spark, sf_dir, "orders").groupBy(iso_week("o_orderdate").alias("week")).agg(F.count("*").alias("n"))
+
+
+def c29(spark, sf_dir):
+    body = F.when(F.octet_length("text") > 4096, F.concat(F.substring("text", 1, 100), F.lit("..."))).otherwise(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(body).alias("body"))
+
+
+def c33(spark, sf_dir):
+    ev = events(spark, sf_dir)
+    return ev.groupBy("kind").agg(F.round(F.sum(outcome_factor(F.col("outcome")) * clamp_score(F.col("value") / 100)), 4).alias("score"))
+
+
+def c34(spark, sf_dir):
+    return events(spark, sf_dir).groupBy("kind").agg(*[F.round(F.percentile("value", p), 4).alias(f"p{int(p * 100)}") for p in (0.5, 0.9, 0.99)])
+
+
+def g26(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    return p.select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1))).alias("link"))
+
+
+def h01(spark, sf_dir):
+    w = F.posexplode(windows(F.col("text")))
+    return table(spark, sf_dir, "documents").select("doc_id", w.alias("n", "window")).select("doc_id", F.col("n").cast("long").alias("n"), F.md5("window").alias("hash"))
+
+
+def h02(spark, sf_dir):
+    parts = F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)) > 0)
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(parts).cast("long").alias("sections"), F.array_max(F.transform(parts, F.length)).cast("long").alias("longest"))
+
+
+def _duck(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+_COUNTS = ", ".join(f"cast(len(regexp_extract_all(text,'{_duck(p)}')) as bigint) {n}" for n, p in REDACTIONS)
+_REDACTED = "text"
+for _name, _pattern in REDACTIONS:
+    _REDACTED = f"regexp_replace({_REDACTED},'{_duck(_pattern)}','[REDACTED:{_name}]','g')"
+_HIT = dict(REDACTIONS)
+ENTRIES = {
+    "C04_entropy": Entry(c04, "with c as (select item_id, unnest(string_split(text,'')) c from benchmark), n as (select item_id, c, count(*) n from c where c<>'' group by 1,2) select item_id, round(log2(sum(n))-sum(n*log2(n))/sum(n),6) bits from n group by 1"),
+    "C05_content_hash": Entry(c05, "select event_id, sha256(concat_ws('|', cast(event_id as varchar), event_type, json_extract_string(props,'$.k'))) content_hash from events"),
+    "C06_redaction": Entry(c06, f"select doc_id, {_COUNTS}, length({_REDACTED}) kept from documents"),
+    "C07_sensitivity": Entry(c07, f"select case when regexp_matches(text,'{_HIT['aws_key']}') or regexp_matches(text,'{_HIT['token']}') or regexp_matches(text,'{_HIT['card']}') then 3 when regexp_matches(text,'{_HIT['ipv4']}') then 2 when regexp_matches(text,'{_HIT['email']}') then 1 else 0 end as level, count(*) n from documents group by 1"),
+    "C11_rewrite": Entry(c11, "with w as (select item_id, text, array_to_string(list_filter(regexp_split_to_array(lower(text),'[^a-z0-9_./-]+'), x -> length(x)>1 and x not in ('what','is','the','how','does','why','did','a','an','of','to','in') and not regexp_matches(x,'^[0-9]+$')),' ') q from benchmark) select item_id, coalesce(nullif(q,''),text) q from w"),
+    "C12_seeds": Entry(c12, "select item_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text),'[a-z0-9_]+'), x -> length(x)>=3))),',') terms from benchmark"),
+    "C13_idf": Entry(c13, "with t as (select distinct item_id, unnest(regexp_extract_all(lower(text),'[a-z0-9_]+')) term from benchmark) select term, count(*) df, round(ln(1+(select count(*) from benchmark)/(1+count(*))),6) idf from t group by 1"),
+    "C14_intent": Entry(c14, "select " + "case " + " ".join(f"when regexp_matches(lower(text),'{p}') then '{n}'" for n, p in INTENTS) + " else 'pre_change_context' end intent, count(*) n from conversations group by 1"),
+    "C16_prefixes": Entry(c16, "with p as (select page_id, string_split(regexp_extract(url,'^https?://([^?#]*)',1),'/') a from pages), i as (select page_id, a, unnest(range(1,len(a)+1)) i from p) select page_id, array_to_string(a[1:i],'/') || case when i<len(a) then '/' else '' end prefix from i"),
+    "C17_doc_id": Entry(c17, "select doc_id, sha256(source || chr(31) || lang || chr(31) || md5(text)) id from documents"),
+    "C20_ulid": Entry(c20, "select regexp_matches(upper(substr(md5(text),1,26)),'^[0-9A-HJKMNP-TV-Z]{26}$') as valid, count(*) n from documents group by 1"),
+    "C21_mentions": Entry(c21, "select distinct doc_id, unnest(regexp_extract_all(text,'[A-Za-z]+@[a-z]+\\.[a-z]+')) found from documents"),
+    "C22_headers": Entry(c22, "with d as (select doc_id, len(list_filter(string_split(text,chr(10))[1:8], x -> contains(lower(x),'license'))) lines from documents) select * from d where lines>0"),
+    "C24_iso_week": Entry(c24, "select strftime(o_orderdate,'%G-W%V') week, count(*) n from orders group by 1"),
+    "C29_body": Entry(c29, "select doc_id, md5(case when octet_length(encode(text))>4096 then substr(text,1,100) || '...' else text end) body from documents"),
+    "C33_outcome": Entry(c33, "select event_type kind, round(sum((case when event_type='error' then 0.5 else 1.2 end)*greatest(0,least(1,value/100))),4) score from events group by 1"),
+    "C34_percentiles": Entry(c34, "select event_type kind, round(quantile_cont(value,0.5),4) p50, round(quantile_cont(value,0.9),4) p90, round(quantile_cont(value,0.99),4) p99 from events group by 1"),
+    "G26_links": Entry(g26, "select distinct page_id, unnest(regexp_extract_all(html,'href=\"([^\"]*)\"',1)) link from pages"),
+    "H01_windows": Entry(h01, "with d as (select doc_id, text, unnest(range(0, cast(greatest(1, ceil((length(text)-512)/384)+1) as bigint))) n from documents) select doc_id, n, md5(substr(text, cast(n*384+1 as bigint), 512)) hash from d"),
+    "H02_sections": Entry(h02, "with d as (select doc_id, list_filter(string_split(text,chr(10)), x -> length(trim(x))>0) p from documents) select doc_id, cast(len(p) as bigint) sections, list_max(list_transform(p, x -> length(x))) longest from d"),
+}

@@ -44,32 +44,69 @@ class Vocabulary:
         self.merges = all(s == int(s) for s in self.score.values())
         inside = {(p[k], p[k + 1]) for p in self.id for k in range(len(p) - 1)}
         self.inside = np.array(sorted(ord(a) << 21 | ord(b) for a, b in inside), dtype=np.int64)
-        self._pairs: dict[tuple[str, str], bool] = {}
+        # lengths of the pieces that end in two given characters, longest first
+        tails: dict[str, set[int]] = {}
+        for p in self.id:
+            if len(p) > 1:
+                tails.setdefault(p[-2:], set()).add(len(p))
+        self.tails = {t: tuple(sorted(n, reverse=True)) for t, n in tails.items()}
+        self.pairs: dict[int, bool] = {}
         self._whole: dict[str, bool] = {}
+        self._born: dict[str, float] = {}
+        self._halves: dict[str, tuple[str, str]] = {}
+        # pieces of several characters that merging arrives at
+        self.solid = {p: i for p, i in self.id.items() if len(p) > 1 and self.whole(p)} if self.merges else {}
 
-    def merged(self, text: str) -> list[str]:
-        """A short text by merging its characters, best score first, leftmost on ties."""
+    def merged(self, text: str, stop: int = 1) -> list[str]:
+        """A short text by merging its characters, best score first, leftmost on ties, down to ``stop`` parts."""
         parts, score = list(text), self.score
-        while len(parts) > 1:
-            best = max((s, -k) for k in range(len(parts) - 1) if (s := score.get(parts[k] + parts[k + 1])) is not None) if any(parts[k] + parts[k + 1] in score for k in range(len(parts) - 1)) else None
-            if best is None:
+        while len(parts) > stop:
+            best, at = None, -1
+            for k in range(len(parts) - 1):
+                s = score.get(parts[k] + parts[k + 1])
+                if s is not None and (best is None or s > best):
+                    best, at = s, k
+            if at < 0:
                 break
-            k = -best[1]
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
     def whole(self, piece: str) -> bool:
+        """Whether its characters merge into this piece; if so, its last merge is remembered."""
         found = self._whole.get(piece)
         if found is None:
-            found = self._whole[piece] = len(self.merged(piece)) == 1
+            parts = self.merged(piece, 2)
+            found = self._whole[piece] = len(parts) == 2 and parts[0] + parts[1] in self.score or len(piece) == 1
+            if found and len(piece) > 1:
+                self._born[piece], self._halves[piece] = 1 - self.score[piece], (parts[0], parts[1])
         return found
 
-    def may_follow(self, left: str, right: str) -> bool:
-        found = self._pairs.get((left, right))
+    def may_follow(self, left: int, right: int) -> bool:
+        """Whether merging two pieces (ids, or characters as negative numbers) never joins across their boundary.
+
+        Time runs back from when both are whole: the one made last falls into its halves, and what then faces
+        the boundary must not have been worth joining before that merge. Equal scores merge leftmost first.
+        """
+        key = (left << 22) + right
+        found = self.pairs.get(key)
         if found is None:
-            if len(self._pairs) > 2_000_000:
-                self._pairs.clear()
-            found = self._pairs[left, right] = self.merged(left + right) == [left, right]
+            if len(self.pairs) > 2_000_000:
+                self.pairs.clear()
+            a, b = (self.piece[i] if i >= 0 else chr(-i) for i in (left, right))
+            until, found = float("inf"), True
+            while True:
+                joined = self.score.get(a + b)
+                if joined is not None and 1 - joined < until:
+                    found = False
+                    break
+                made_a, made_b = self._born.get(a, 0), self._born.get(b, 0)
+                if not made_a and not made_b:
+                    break
+                if made_a > made_b:
+                    until, a = made_a, self._halves[a][1]
+                else:
+                    until, b = made_b + 0.5, self._halves[b][0]
+            self.pairs[key] = found
         return found
 
     def fallback(self, char: str) -> list[int]:
@@ -84,6 +121,7 @@ def viterbi(v: Vocabulary, text: str) -> list[int]:
     n, longest = len(text), v.longest
     back: dict[int, int] = {}  # position -> start of its last piece, from the last committed boundary on
     best: dict[int, float] = {0: 0.0}
+    last: dict[int, int] = {}  # the last piece at each position of the window
     done = 0
 
     def commit(end: int) -> None:
@@ -95,26 +133,24 @@ def viterbi(v: Vocabulary, text: str) -> list[int]:
         for a, z in reversed(path):
             i = v.id.get(text[a:z])
             ids.extend([i] if i is not None else v.fallback(text[a:z]))
-        for at in [x for x in back if x <= end]:
-            del back[at]
+        if end < n:
+            for at in [x for x in back if x <= end]:
+                del back[at]
         done = end
 
+    solid, tails, pairs = (v.solid, v.tails, v.pairs) if v.merges else ({}, {}, {})
     for j in range(1, n + 1):
         if v.merges:
-            start = -1
-            for i in range(max(0, j - longest), j):
-                p = text[i:j]
-                if (p in v.id or j == i + 1) and (i == done or i in back):
-                    if i == 0:
-                        ok = j == 1 or v.whole(p)
-                    else:
-                        h = back.get(i)
-                        left = text[h:i] if h is not None else last_committed
-                        ok = (j == i + 1 or v.whole(p)) and v.may_follow(left, p)
-                    if ok:
-                        start = i
+            start, piece = j - 1, -ord(text[j - 1])
+            for size in tails.get(text[j - 2 : j], ()) if j > 1 else ():
+                i = j - size
+                if i >= 0 and (p := solid.get(text[i:j])) is not None:
+                    if i and (ok := pairs.get((last[i] << 22) + p)) is None:
+                        ok = v.may_follow(last[i], p)
+                    if not i or ok:
+                        start, piece = i, p
                         break
-            back[j] = start if start >= 0 else j - 1
+            back[j], last[j] = start, piece
         else:
             top = None
             for i in range(max(0, j - longest), j):
@@ -136,9 +172,9 @@ def viterbi(v: Vocabulary, text: str) -> list[int]:
                 if done in live:
                     break
             if len(live) == 1 and (shared := live.pop()) > done:
-                start = back[shared]
-                last_committed = text[start:shared]
                 commit(shared)
+                for at in [x for x in last if x < j - longest]:
+                    del last[at]
     commit(n)
     return ids
 
