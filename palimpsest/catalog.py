@@ -18,12 +18,10 @@ class Entry:
 
 def entries() -> dict[str, Entry]:
     from palimpsest.functions import text
-    from palimpsest.operators import aggregates, graph, joins, predicates, retention, retrieval, sets, temporal, windows
-    from palimpsest.plans import planner
-    from palimpsest.streaming import flows
+    from palimpsest.operators import aggregates, joins, predicates, retrieval, sets, windows
 
     found: dict[str, Entry] = {}
-    for module in (aggregates, predicates, joins, windows, sets, text, retrieval, graph, temporal, retention, planner, flows):
+    for module in (aggregates, predicates, joins, windows, sets, text, retrieval):
         found |= module.ENTRIES
     return found
 
