@@ -194,20 +194,20 @@ ENTRIES = {
     "C05_content_hash": Entry(c05, "select event_id, sha256(concat_ws('|', cast(event_id as varchar), event_type, json_extract_string(props,'$.k'))) content_hash from events"),
     "C06_redaction": Entry(c06, f"select doc_id, {_COUNTS}, length({_REDACTED}) kept from documents"),
     "C07_sensitivity": Entry(c07, f"select case when regexp_matches(text,'{_HIT['aws_key']}') or regexp_matches(text,'{_HIT['token']}') or regexp_matches(text,'{_HIT['card']}') then 3 when regexp_matches(text,'{_HIT['ipv4']}') then 2 when regexp_matches(text,'{_HIT['email']}') then 1 else 0 end as level, count(*) n from documents group by 1"),
-    "C11_rewrite": Entry(c11, "with w as (select item_id, text, array_to_string(list_filter(regexp_split_to_array(lower(text),'[^a-z0-9_./-]+'), x -> length(x)>1 and x not in ('what','is','the','how','does','why','did','a','an','of','to','in') and not regexp_matches(x,'^[0-9]+$')),' ') q from benchmark) select item_id, coalesce(nullif(q,''),text) q from w"),
-    "C12_seeds": Entry(c12, "select item_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text),'[a-z0-9_]+'), x -> length(x)>=3))),',') terms from benchmark"),
+    "C11_rewrite": Entry(c11, "with w as (select item_id, text, array_to_string(list_filter(regexp_split_to_array(lower(text),'[^a-z0-9_./-]+'), lambda x: length(x)>1 and x not in ('what','is','the','how','does','why','did','a','an','of','to','in') and not regexp_matches(x,'^[0-9]+$')),' ') q from benchmark) select item_id, coalesce(nullif(q,''),text) q from w"),
+    "C12_seeds": Entry(c12, "select item_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text),'[a-z0-9_]+'), lambda x: length(x)>=3))),',') terms from benchmark"),
     "C13_idf": Entry(c13, "with t as (select distinct item_id, unnest(regexp_extract_all(lower(text),'[a-z0-9_]+')) term from benchmark) select term, count(*) df, round(ln(1+(select count(*) from benchmark)/(1+count(*))),6) idf from t group by 1"),
     "C14_intent": Entry(c14, "select " + "case " + " ".join(f"when regexp_matches(lower(text),'{p}') then '{n}'" for n, p in INTENTS) + " else 'pre_change_context' end intent, count(*) n from conversations group by 1"),
     "C16_prefixes": Entry(c16, "with p as (select page_id, string_split(regexp_extract(url,'^https?://([^?#]*)',1),'/') a from pages), i as (select page_id, a, unnest(range(1,len(a)+1)) i from p) select page_id, array_to_string(a[1:i],'/') || case when i<len(a) then '/' else '' end prefix from i"),
     "C17_doc_id": Entry(c17, "select doc_id, sha256(source || chr(31) || lang || chr(31) || md5(text)) id from documents"),
     "C20_ulid": Entry(c20, "select regexp_matches(upper(substr(md5(text),1,26)),'^[0-9A-HJKMNP-TV-Z]{26}$') as valid, count(*) n from documents group by 1"),
     "C21_mentions": Entry(c21, "select distinct doc_id, unnest(regexp_extract_all(text,'[A-Za-z]+@[a-z]+\\.[a-z]+')) found from documents"),
-    "C22_headers": Entry(c22, "with d as (select doc_id, len(list_filter(string_split(text,chr(10))[1:8], x -> contains(lower(x),'license'))) lines from documents) select * from d where lines>0"),
-    "C24_iso_week": Entry(c24, "select strftime(o_orderdate,'%G-W%V') week, count(*) n from orders group by 1"),
+    "C22_headers": Entry(c22, "with d as (select doc_id, len(list_filter(string_split(text,chr(10))[1:8], lambda x: contains(lower(x),'license'))) lines from documents) select * from d where lines>0"),
+    "C24_iso_week": Entry(c24, "select strftime(o_orderdate,'%G-W%V') as week, count(*) n from orders group by 1"),
     "C29_body": Entry(c29, "select doc_id, md5(case when octet_length(encode(text))>4096 then substr(text,1,100) || '...' else text end) body from documents"),
     "C33_outcome": Entry(c33, "select event_type kind, round(sum((case when event_type='error' then 0.5 else 1.2 end)*greatest(0,least(1,value/100))),4) score from events group by 1"),
     "C34_percentiles": Entry(c34, "select event_type kind, round(quantile_cont(value,0.5),4) p50, round(quantile_cont(value,0.9),4) p90, round(quantile_cont(value,0.99),4) p99 from events group by 1"),
     "G26_links": Entry(g26, "select distinct page_id, unnest(regexp_extract_all(html,'href=\"([^\"]*)\"',1)) link from pages"),
     "H01_windows": Entry(h01, "with d as (select doc_id, text, unnest(range(0, cast(greatest(1, ceil((length(text)-512)/384)+1) as bigint))) n from documents) select doc_id, n, md5(substr(text, cast(n*384+1 as bigint), 512)) hash from d"),
-    "H02_sections": Entry(h02, "with d as (select doc_id, list_filter(string_split(text,chr(10)), x -> length(trim(x))>0) p from documents) select doc_id, cast(len(p) as bigint) sections, list_max(list_transform(p, x -> length(x))) longest from d"),
+    "H02_sections": Entry(h02, "with d as (select doc_id, list_filter(string_split(text,chr(10)), lambda x: length(trim(x))>0) p from documents) select doc_id, cast(len(p) as bigint) sections, list_max(list_transform(p, lambda x: length(x))) longest from d"),
 }

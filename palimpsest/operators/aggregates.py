@@ -9,7 +9,7 @@ from palimpsest.catalog import Entry
 from palimpsest.sources.tables import NOW, events, table
 
 
-_EV = "with ev as (select event_id, epoch_ms(ts) ms, ts, user_id session_id, event_type kind, value, cast(json_extract_string(props,'$.k') as int) k from events) "
+_EV = "with ev as (select event_id, (epoch_us(ts)//1000) ms, ts, user_id session_id, event_type kind, value, cast(json_extract_string(props,'$.k') as int) k from events) "
 
 
 def zero_filled(counts: DataFrame, spark: SparkSession, slot: str, n: int, value: str) -> DataFrame:
@@ -37,7 +37,7 @@ def a03_days(spark, sf_dir):
 
 def a04_p95(spark, sf_dir):
     hour = F.date_format("ts", "yyyy-MM-dd HH").alias("hour")
-    return events(spark, sf_dir).groupBy(hour).agg(F.round(F.percentile("value", 0.95), 3).alias("p95"))
+    return events(spark, sf_dir).groupBy(hour).agg(F.round(F.percentile("value", 0.95), 6).alias("p95"))
 
 
 def a05_cost(spark, sf_dir):
@@ -191,7 +191,7 @@ def a40_denied(spark, sf_dir, n: int = 10):
 
 def a41_freshness(spark, sf_dir):
     last = events(spark, sf_dir).groupBy("session_id").agg(F.max("ms").alias("ms"))
-    users = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("session_id")).filter("session_id < 200")
+    users = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("session_id"))
     gap = F.when(F.col("ms").isNull(), -1).otherwise(F.floor((F.lit(1706745600000) - F.col("ms")) / 1000))
     level = F.when(F.col("gap") < 0, "warn").when(F.col("gap") > 172800, "critical").when(F.col("gap") > 100000, "warn").otherwise("ok")
     return users.join(last, "session_id", "left").select("session_id", gap.cast("long").alias("gap")).withColumn("severity", level)
@@ -206,7 +206,7 @@ ENTRIES = {
     "A01_overview": Entry(a01_overview, "select coalesce(event_type,'total') kind, count(*) n from events group by rollup(event_type)"),
     "A02_minute_series": Entry(a02_minutes, _EV + ", c as (select least((ms-1704067200000)//60000,1439) m, count(*) n from ev group by 1) select r.range as minute, cast(coalesce(n,0) as bigint) as events from range(1440) r left join c on c.m=r.range"),
     "A03_daily_errors": Entry(a03_days, _EV + ", c as (select (ms-1706054400000)//86400000 d, count(*) n from ev where kind='error' and ms>=1706054400000 group by 1) select r.range as day, cast(coalesce(n,0) as bigint) as errors from range(7) r left join c on c.d=r.range"),
-    "A04_p95": Entry(a04_p95, "select strftime(ts,'%Y-%m-%d %H') as hour, round(quantile_cont(value,0.95),3) p95 from events group by 1"),
+    "A04_p95": Entry(a04_p95, "select strftime(ts,'%Y-%m-%d %H') as hour, round(quantile_cont(value,0.95),6) p95 from events group by 1"),
     "A05_cost_ribbon": Entry(a05_cost, "with c as (select cast(hour(ts) as bigint) h, sum(cast(round(value*100) as bigint)) s from events group by 1) select r.range as hour, cast(coalesce(s,0) as bigint) as cents from range(24) r left join c on c.h=r.range"),
     "A06_usage": Entry(a06_usage, "select event_type kind, count(*) calls, round(count(*)/sum(count(*)) over (),6) as share from events group by 1"),
     "A07_heatmap": Entry(a07_heatmap, "select cast(isodow(ts)-1 as bigint) weekday, cast(hour(ts) as bigint) as hour, count(*) n from events group by 1,2"),
@@ -217,22 +217,22 @@ ENTRIES = {
     "A12_touched": Entry(a12_touched, "select l_partkey, count(*) filter (l_returnflag='R') as reads, count(*) filter (l_returnflag='A') as writes, count(*) filter (l_returnflag='N') as others, strftime(max(l_shipdate),'%Y-%m-%d') as last from lineitem group by 1"),
     "A13_axes": Entry(a13_axes, f"with e as (select *, {_DAYS} as day from events) select coalesce(event_type,'unknown') kind, coalesce(day,'unknown') as day, count(*) n, count(distinct user_id) sessions, grouping_id(event_type, day) as level from e group by cube(event_type, day)"),
     "A14_majority": Entry(a14_majority, "with c as (select user_id, event_type, count(*) n from events group by 1,2) select user_id session_id, arg_min(event_type, (-n, event_type)) kind, max(n) votes from c group by 1"),
-    "A16_digest_buckets": Entry(a16_digests, "select user_id session_id, strftime(ts,'%G-W%V') week, event_type kind, count(*) n, string_agg(cast(event_id as varchar), ',' order by event_id) event_ids from events where ts < timestamp '2024-01-25 00:00:00' group by 1,2,3 having count(*)>=5"),
+    "A16_digest_buckets": Entry(a16_digests, "select user_id session_id, strftime(ts,'%G-W%V') as week, event_type kind, count(*) n, string_agg(cast(event_id as varchar), ',' order by event_id) event_ids from events where ts < timestamp '2024-01-25 00:00:00' group by 1,2,3 having count(*)>=5"),
     "A18_daily": Entry(a18_daily, f"select {_DAYS} as day, event_type kind, count(*) n, round(sum(value),2) as value from events group by 1,2"),
     "A19_monthly": Entry(a19_monthly, "select strftime(o_orderdate,'%Y-%m') as month, coalesce(o_orderpriority,'') tool, count(*) n from orders group by 1,2"),
     "A20_spend": Entry(a20_spend, "select strftime(o_orderdate,'%Y-%m') as month, cast(sum(cast(round(o_totalprice*100) as bigint)) as bigint) cents from orders group by 1"),
     "A21_status": Entry(a21_status, "select count(*) records, count(distinct user_id) repositories, count(*) filter (event_type='click') as events, count(*) filter (event_type<>'click') as memories from events"),
     "A22_inventory": Entry(a22_inventory, "with o as (select o_custkey, count(*) links from orders group by 1) select c_nationkey, count(*) records, cast(sum(coalesce(links,0)) as bigint) links from customer left join o on o_custkey=c_custkey group by 1"),
-    "A23_audit": Entry(a23_audit, "with e as (select * from events order by epoch_ms(ts) desc, event_id desc limit 5000) select count(*) attempts, count(*) filter (event_type='purchase') as prepared, count(*) filter (event_type='error') as errors, min(value) low, max(value) high, round(sum(value),2) total, count(distinct user_id) sessions from e"),
+    "A23_audit": Entry(a23_audit, "with e as (select * from events order by (epoch_us(ts)//1000) desc, event_id desc limit 5000) select count(*) attempts, count(*) filter (event_type='purchase') as prepared, count(*) filter (event_type='error') as errors, min(value) low, max(value) high, round(sum(value),2) total, count(distinct user_id) sessions from e"),
     "A24_feedback": Entry(a24_feedback, "select source, lang, bool_or(quality=1) helpful, bool_or(toxic=1) unhelpful, min(doc_id) earliest from labels join documents using(doc_id) group by 1,2"),
     "A25_conflicts": Entry(a25_conflicts, "select source, lang, min(doc_id) earliest from labels join documents using(doc_id) group by 1,2 having bool_or(quality=1) and bool_or(toxic=1)"),
-    "A29_ages": Entry(a29_ages, "select case when (1706745600000-epoch_ms(ts))//86400000<=7 then 'week' when (1706745600000-epoch_ms(ts))//86400000<=21 then 'three_weeks' else 'older' end band, count(*) n, round(sum(value),2) as size from events group by 1"),
+    "A29_ages": Entry(a29_ages, "select case when (1706745600000-(epoch_us(ts)//1000))//86400000<=7 then 'week' when (1706745600000-(epoch_us(ts)//1000))//86400000<=21 then 'three_weeks' else 'older' end band, count(*) n, round(sum(value),2) as size from events group by 1"),
     "A30_blobs": Entry(a30_blobs, "with d as (select sha256(text) h, any_value(octet_length(encode(text))) b, count(*) r from documents group by 1) select count(*) blobs, cast(sum(b) as bigint) bytes, cast(sum(r) as bigint) refs from d"),
     "A33_copies": Entry(a33_copies, "select sha256(text) hash, count(*) n, string_agg(cast(doc_id as varchar), ',' order by doc_id) doc_ids from documents group by 1 having count(*)>1"),
     "A36_estimate": Entry(a36_estimate, "select source, count(*) files, cast(sum(ceil(length(text)/4)) as bigint) tokens from documents group by 1"),
     "A37_cents": Entry(a37_cents, "select doc_id, cast((cast(ceil(length(text)/4) as bigint)*150+999999)//1000000 as bigint) cents from documents"),
-    "A39_denials": Entry(a39_denials, "select epoch_ms(ts)//300000 slot, count(*) filter (event_type='error') as denied, count(*) evaluated from events group by 1"),
+    "A39_denials": Entry(a39_denials, "select (epoch_us(ts)//1000)//300000 slot, count(*) filter (event_type='error') as denied, count(*) evaluated from events group by 1"),
     "A40_denied": Entry(a40_denied, "select user_id session_id, count(*) denied from events where event_type='error' group by 1 order by 2 desc, 1 limit 10"),
-    "A41_freshness": Entry(a41_freshness, "with l as (select user_id, max(epoch_ms(ts)) ms from events group by 1), g as (select c_custkey session_id, case when ms is null then -1 else (1706745600000-ms)//1000 end gap from customer left join l on user_id=c_custkey where c_custkey<200) select session_id, cast(gap as bigint) gap, case when gap<0 then 'warn' when gap>172800 then 'critical' when gap>100000 then 'warn' else 'ok' end severity from g"),
+    "A41_freshness": Entry(a41_freshness, "with l as (select user_id, max((epoch_us(ts)//1000)) ms from events group by 1), g as (select c_custkey session_id, case when ms is null then -1 else (1706745600000-ms)//1000 end gap from customer left join l on user_id=c_custkey) select session_id, cast(gap as bigint) gap, case when gap<0 then 'warn' when gap>172800 then 'critical' when gap>100000 then 'warn' else 'ok' end severity from g"),
     "A43_archive": Entry(a43_archive, "select strftime(ts,'%Y/%m/%d') as partition, event_type kind, count(*) n, min(event_id) first_id, max(event_id) last_id from events group by 1,2"),
 }

@@ -142,12 +142,12 @@ ENTRIES = {
     "J11_delivery": Entry(j11, "select l_linestatus, count(*) n from lineitem join orders on l_orderkey=o_orderkey and l_shipdate>=o_orderdate and o_orderstatus='F' group by 1"),
     "J12_superseded_by": Entry(j12, _REV + "select a.source_id, b.source_id superseded_by from r a left join r b on a.id=b.id and b.revision=a.revision+1"),
     "J15_versions": Entry(j15, _REV + ", l as (select id, status active from r qualify revision = max(revision) over (partition by id)) select status, active, count(*) n from r join l using(id) where status is distinct from active group by 1,2"),
-    "J16_overlap": Entry(j16, "with s as (select user_id*100000+epoch_ms(ts)//86400000 id, user_id%7 grp, min(epoch_ms(ts)) s, max(epoch_ms(ts))+1 e, arg_min(event_type,event_id) kind from events group by user_id, epoch_ms(ts)//86400000) select a.id a_id, b.id b_id, a.grp a_grp from s a join s b on a.grp=b.grp and a.id>b.id and a.s<b.e and b.s<a.e and a.kind<>b.kind"),
+    "J16_overlap": Entry(j16, "with s as (select user_id*100000+(epoch_us(ts)//1000)//86400000 id, user_id%7 grp, min((epoch_us(ts)//1000)) s, max((epoch_us(ts)//1000))+1 e, arg_min(event_type,event_id) kind from events group by user_id, (epoch_us(ts)//1000)//86400000) select a.id a_id, b.id b_id, a.grp a_grp from s a join s b on a.grp=b.grp and a.id>b.id and a.s<b.e and b.s<a.e and a.kind<>b.kind"),
     "J20_union_read": Entry(j20, "select strftime(ts,'%Y-%m-%d') as day, count(*) n from events group by 1"),
     "J21_drift": Entry(j21, "select source, count(*) claimed, count(l.doc_id) observed from documents d left join (select distinct doc_id from labels) l using(doc_id) group by 1 having count(*)<>count(l.doc_id)"),
     "J23_path": Entry(j23, "select n_name, count(*) n, cast(sum(cast(round(o_totalprice*100) as bigint)) as bigint) cents from customer join nation on c_nationkey=n_nationkey join orders on o_custkey=c_custkey group by 1"),
     "J24_optional": Entry(j24, "select o_orderkey, l_linenumber, l_partkey from orders left join lineitem on o_orderkey=l_orderkey and l_quantity>49"),
-    "J26_checkpoint": Entry(j26, "select event_type kind, arg_max(event_id,(epoch_ms(ts),event_id)) event_id, max(epoch_ms(ts)) ms from events group by 1"),
+    "J26_checkpoint": Entry(j26, "select event_type kind, arg_max(event_id,((epoch_us(ts)//1000),event_id)) event_id, max((epoch_us(ts)//1000)) ms from events group by 1"),
     "J27_divergence": Entry(j27, "with e as (select user_id, cast(json_extract_string(props,'$.k') as int) k from events) select user_id session_id, count(*) filter (k<60) upstream, count(*) filter (k>=40) downstream, count(*) filter (k<60)-count(*) filter (k>=40) gap from e where k<60 or k>=40 group by 1"),
     "J28_applicability": Entry(j28, "with p as (select page_id, regexp_extract(url,'^https?://[^/]+/([^?#]*)',1) p from pages) select * from p where p in ('en','de/1','fr') or p like 'en/%' or p like 'de/1/%' or p like 'fr/%'"),
 }

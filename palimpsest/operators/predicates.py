@@ -101,7 +101,7 @@ def f22(spark, sf_dir):
 
 
 def f25(spark, sf_dir, n: int = 50):
-    ev = events(spark, sf_dir).filter(F.col("session_id").between(1, 40) & F.col("kind").isin("error", "signup"))
+    ev = events(spark, sf_dir).filter(F.col("kind").isin("error", "signup"))
     return ev.orderBy(F.desc("ms"), F.desc("event_id")).limit(n).select("event_id", "session_id", "kind", "ms")
 
 
@@ -114,7 +114,7 @@ def laws(spark) -> DataFrame:
 def f27(spark, sf_dir):
     ev = events(spark, sf_dir)
     rules = F.broadcast(laws(spark))  # a handful of rules
-    match = (F.col("tool").isNull() | (F.lower("tool") == F.lower("kind"))) & (F.col("args").isNull() | F.col("k").cast("string").rlike(F.col("args")))
+    match = (F.col("tool").isNull() | (F.lower("tool") == F.lower("kind"))) & (F.col("args").isNull() | F.regexp(F.col("k").cast("string"), F.col("args")))
     return ev.join(rules, match).select("event_id", "law_id", "verdict")
 
 
@@ -133,14 +133,14 @@ _FACTS = "with f as (select doc_id, lang, source, quality+2*toxic as level, case
 _IN = "list_has_all(['en','fr'], coalesce(comps, []))"
 ENTRIES = {
     "F04_scope": Entry(f04, "select doc_id, source, lang from documents where lower(source)='src3' and lang in ('en','de')"),
-    "F06_tool_calls": Entry(f06, "select event_id, user_id session_id, epoch_ms(ts) ms from events where event_type='error' and epoch_ms(ts) between 1704844800000 and 1705449600000"),
+    "F06_tool_calls": Entry(f06, "select event_id, user_id session_id, (epoch_us(ts)//1000) ms from events where event_type='error' and (epoch_us(ts)//1000) between 1704844800000 and 1705449600000"),
     "F15_access": Entry(f15, _FACTS + f"select doc_id, level from f where coalesce(level,0)<=2 and {_IN}"),
     "F16_access_any": Entry(f16, _FACTS + "select doc_id, level from f where coalesce(level,0)<=3 and (len(coalesce(comps,[]))=0 or list_has_any(comps,['en','fr']))"),
     "F18_access_reasons": Entry(f18, _FACTS + f"select case when coalesce(level,0)>2 then 'level' when not {_IN} then 'compartment' else 'granted' end reason, count(*) n from f group by 1"),
     "F20_outcomes": Entry(f20, "select event_type kind, count(*) n from events where event_type in ('click','purchase') group by 1"),
     "F21_low_signal": Entry(f21, "select event_id, event_type kind from events where event_type not in ('view','click')"),
     "F22_family": Entry(f22, "with p as (select url, regexp_extract(url,'/(en|de|fr|es)/',1) e from pages) select case when e='en' then 'docs' when e in ('de','fr') then 'knowledge' when contains(url,'?') then 'misc' else 'turns' end family, count(*) n from p group by 1"),
-    "F25_browse": Entry(f25, "select event_id, user_id session_id, event_type kind, epoch_ms(ts) ms from events where user_id between 1 and 40 and event_type in ('error','signup') order by epoch_ms(ts) desc, event_id desc limit 50"),
+    "F25_browse": Entry(f25, "select event_id, user_id session_id, event_type kind, (epoch_us(ts)//1000) ms from events where event_type in ('error','signup') order by (epoch_us(ts)//1000) desc, event_id desc limit 50"),
     "F27_laws": Entry(f27, "with e as (select event_id, event_type kind, json_extract_string(props,'$.k') k from events) select event_id, 'L1' law_id, 'block' verdict from e where kind='error' union all select event_id,'L2','warn' from e where kind='purchase' and contains(k,'9') union all select event_id,'L3','note' from e where k like '1%'"),
     "F29_whitelist": Entry(f29, "select o_orderpriority, count(*) n from orders where o_orderpriority in ('1-URGENT','2-HIGH') or o_totalprice<50000 group by 1"),
     "F30_text_presence": Entry(f30, "select role, count(*) n from conversations where length(trim(text))>0 group by 1"),

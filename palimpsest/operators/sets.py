@@ -19,7 +19,7 @@ def x01(spark, sf_dir):
 def x02(spark, sf_dir):
     slugs = table(spark, sf_dir, "documents").select("source").distinct()
     families = F.array(*[F.lit(x) for x in ("code", "docs", "turns", "misc")])
-    return slugs.select(F.concat_ws("-", "source", F.explode(families)).alias("collection"))
+    return slugs.select(F.explode(F.transform(families, lambda x: F.concat_ws("-", "source", x))).alias("collection"))
 
 
 def x03(spark, sf_dir):

@@ -62,7 +62,7 @@ def alert_states(levels: DataFrame, key: str, order: str, level: str, warn_after
 
 
 def w07(spark, sf_dir):
-    ev = events(spark, sf_dir).filter("session_id < 40")
+    ev = events(spark, sf_dir)
     level = F.when(F.col("kind") == "error", "critical").when(F.col("value") > 60, "warn").otherwise("ok")
     states = alert_states(ev.select("session_id", "event_id", level.alias("level")), "session_id", "event_id", "level")
     return states.select("session_id", F.concat_ws(",", "states").alias("states"))
@@ -79,11 +79,11 @@ def w09(spark, sf_dir):
     return budgeted(d, "bytes", ["doc_id"], 40000, "source")
 
 
-def w08(spark, sf_dir, failures: int = 5, window_ms: int = 3_600_000):
-    """Breaker openings per session: the fifth error within one tumbling window opens it."""
+def w08(spark, sf_dir, failures: int = 2, window_ms: int = 86_400_000):
+    """Breaker openings per session: the ``failures``-th error within one tumbling window opens it."""
     w = Window.partitionBy("session_id", "slot").orderBy("ms", "event_id")
-    e = events(spark, sf_dir).filter("kind = 'error'").withColumn("slot", F.floor(F.col("ms") / (window_ms * 24)))
-    return e.withColumn("n", F.row_number().over(w)).filter(F.col("n") == 2).select("session_id", "slot", F.col("ms").alias("opened_ms"))
+    e = events(spark, sf_dir).filter("kind = 'error'").withColumn("slot", F.floor(F.col("ms") / window_ms))
+    return e.withColumn("n", F.row_number().over(w)).filter(F.col("n") == failures).select("session_id", "slot", F.col("ms").alias("opened_ms"))
 
 
 def k06(spark, sf_dir):
@@ -100,10 +100,10 @@ ENTRIES = {
     "W01_lane_rank": Entry(w01, "select source, doc_id, row_number() over (partition by source order by n_chars desc, doc_id) rank from documents qualify rank<=20"),
     "W02_latest": Entry(w02, "with r as (select o_custkey id, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) revision, round(o_totalprice,2) amount from orders) select * from r qualify row_number() over (partition by id order by revision desc)=1"),
     "W03_first_anchor": Entry(w03, "select source, lang, doc_id, n_chars from documents qualify row_number() over (partition by source, lang order by n_chars desc, doc_id)=1"),
-    "W05_idle_sessions": Entry(w05, "with a as (select user_id, event_id, epoch_ms(ts) ms, case when epoch_ms(ts)-lag(epoch_ms(ts)) over w<=1800000 then 0 else 1 end nw from events window w as (partition by user_id order by epoch_ms(ts), event_id)), b as (select *, sum(nw) over (partition by user_id order by ms, event_id rows unbounded preceding) visit from a) select user_id session_id, cast(visit as bigint) visit, count(*) n, min(ms) first_ms, max(ms) last_ms from b group by 1,2"),
-    "W06_keyset_page": Entry(w06, "select event_id, epoch_ms(ts) ms from events where epoch_ms(ts)<1706000000000 or (epoch_ms(ts)=1706000000000 and event_id>0) order by 2 desc, 1 limit 26"),
+    "W05_idle_sessions": Entry(w05, "with a as (select user_id, event_id, (epoch_us(ts)//1000) ms, case when (epoch_us(ts)//1000)-lag((epoch_us(ts)//1000)) over w<=1800000 then 0 else 1 end nw from events window w as (partition by user_id order by (epoch_us(ts)//1000), event_id)), b as (select *, sum(nw) over (partition by user_id order by ms, event_id rows unbounded preceding) visit from a) select user_id session_id, cast(visit as bigint) visit, count(*) n, min(ms) first_ms, max(ms) last_ms from b group by 1,2"),
+    "W06_keyset_page": Entry(w06, "select event_id, (epoch_us(ts)//1000) ms from events where (epoch_us(ts)//1000)<1706000000000 or ((epoch_us(ts)//1000)=1706000000000 and event_id>0) order by 2 desc, 1 limit 26"),
     "W07_alert_states": Entry(w07),
-    "W08_breaker": Entry(w08, "with e as (select user_id session_id, event_id, epoch_ms(ts) ms, epoch_ms(ts)//86400000 slot from events where event_type='error') select session_id, slot, ms opened_ms from e qualify row_number() over (partition by session_id, slot order by ms, event_id)=2"),
+    "W08_breaker": Entry(w08, "with e as (select user_id session_id, event_id, (epoch_us(ts)//1000) ms, (epoch_us(ts)//1000)//86400000 slot from events where event_type='error') select session_id, slot, ms opened_ms from e qualify row_number() over (partition by session_id, slot order by ms, event_id)=2"),
     "W09_budget": Entry(w09, "with d as (select source, doc_id, octet_length(encode(text)) bytes from documents), c as (select *, sum(bytes) over (partition by source order by doc_id rows unbounded preceding) used from d) select source, doc_id, bytes, cast(used as bigint) used from c where used<=40000"),
     "K06_seed_gate": Entry(k06, "with t as (select distinct doc_id, unnest(regexp_extract_all(lower(text),'[a-z0-9_]+')) term from documents), d as (select term, count(*) df from t where length(term)>=3 group by 1 having count(*)>=20), i as (select term, ln(1+(select count(*) from documents)/(1+df)) idf from d) select term, round(idf,6) idf from i where idf>=0.8*(select max(idf) from i) order by i.idf desc, term limit 5"),
 }
