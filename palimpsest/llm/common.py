@@ -47,6 +47,28 @@ def drop_stored(spark: SparkSession, df: DataFrame) -> None:
         _remove(spark, f)
 
 
+def free_memory() -> None:
+    """Hand what a batch no longer needs back to the system: Python workers live on, idle, after their tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidied(run):
+    """``run`` (batches -> batches), memory handed back when a task's batches end."""
+
+    def whole(batches):
+        yield from run(batches)
+        free_memory()
+
+    return whole
+
+
 def text_or_empty(col: str) -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 

@@ -20,10 +20,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import free_memory, stored, tidied
 from .words import _powers, span_hashes
 
-_BLOCK = 1 << 21
+_BLOCK = 1 << 19
 #: Marks strings that are known to occur twice within their shard.
 _DECIDED = np.uint64(1 << 63)
 
@@ -197,7 +197,7 @@ def _packed_windows(docs: DataFrame, width: int, gram: int) -> DataFrame:
                 yield pd.DataFrame({"k1": k1[a:z][text], "k2": k2[a:z][text], "start": start.astype(np.int32), "n": n.astype(np.int16), "low": low.view(np.int64), "content": content.view(np.int64)})
                 a = z
 
-    return docs.select("k1", "k2", "text").filter(F.octet_length("text") >= width).mapInPandas(run, "k1 long, k2 long, start int, n short, low long, content long")
+    return docs.select("k1", "k2", "text").filter(F.octet_length("text") >= width).mapInPandas(tidied(run), "k1 long, k2 long, start int, n short, low long, content long")
 
 
 def _compressed(docs: DataFrame) -> DataFrame:
@@ -209,7 +209,7 @@ def _compressed(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"k1": b["k1"], "k2": b["k2"], "raw": [pack(t.encode("utf-8", "surrogatepass")) for t in b["text"]]})
 
-    return docs.select("k1", "k2", "text").mapInPandas(run, "k1 long, k2 long, raw binary")
+    return docs.select("k1", "k2", "text").mapInPandas(tidied(run), "k1 long, k2 long, raw binary")
 
 
 def repeated_spans(docs: DataFrame, width: int = 200, gram: int = 64, shard_bytes: int = 1 << 20) -> DataFrame:
@@ -238,16 +238,21 @@ def repeated_spans(docs: DataFrame, width: int = 200, gram: int = 64, shard_byte
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
+        columns = ["low", "content", "n", "times", "parts", "part", "bytes"]
         for b in batches:
-            rows = []
+            rows, size = [], 0
             for raw, some in zip(b["raw"], b["some"]):
                 text = unpack(raw)
                 for r in some:
                     rows.append((r["low"], r["content"], r["n"], r["times"], r["parts"], r["part"], text[r["start"] : r["start"] + r["n"] + width - 1]))
-            yield pd.DataFrame(rows, columns=["low", "content", "n", "times", "parts", "part", "bytes"])
+                    size += r["n"] + width
+                    if size > 8 * _BLOCK:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows, size = [], 0
+            yield pd.DataFrame(rows, columns=columns)
 
     shipped = _compressed(docs).join(by_text.hint("shuffle_merge"), ["k1", "k2"]).select("raw", "some")
-    shipped = shipped.mapInPandas(fetched, "low long, content long, n short, times long, parts int, part int, bytes binary")
+    shipped = shipped.mapInPandas(tidied(fetched), "low long, content long, n short, times long, parts int, part int, bytes binary")
     sharded = shipped.withColumn("shard", F.when(F.col("parts") > 1, F.xxhash64("low", "part")).otherwise(F.pmod(F.xxhash64("low"), F.lit(shards))))
 
     def sort_shard(x: pd.DataFrame) -> pd.DataFrame:
@@ -259,7 +264,7 @@ def repeated_spans(docs: DataFrame, width: int = 200, gram: int = 64, shard_byte
         order = np.argsort(low, kind="stable")
         size = np.cumsum([len(data[i]) for i in order])
         cut = np.concatenate([[True], low[order][1:] != low[order][:-1]])
-        batch = (size - 1) // (4 * shard_bytes)
+        batch = (size - 1) // shard_bytes
         batch = np.maximum.accumulate(np.where(cut, batch, 0))
         out = []
         for g in np.unique(batch):
@@ -274,6 +279,7 @@ def repeated_spans(docs: DataFrame, width: int = 200, gram: int = 64, shard_byte
                     hashes = np.stack([_stretch(sums, at, at + width), at.astype(np.uint64) | np.where(flags, _DECIDED, np.uint64(0))], axis=1)
                     hashes = hashes[np.argsort(hashes[:, 0], kind="stable")].tobytes()
                 out.append((low[i], x["content"].iat[i], x["n"].iat[i], x["part"].iat[i], _runs(flags), hashes))
+        free_memory()
         return pd.DataFrame(out, columns=["low", "content", "n", "part", "runs", "hashes"])
 
     judged = stored(sharded.groupBy("shard").applyInPandas(sort_shard, "low long, content long, n short, part int, runs array<array<int>>, hashes binary"), "judged")
@@ -308,11 +314,12 @@ def repeated_spans(docs: DataFrame, width: int = 200, gram: int = 64, shard_byte
             flags = np.zeros(int(x["n"].iat[i]), dtype=bool)
             flags[both[hit & (row == i), 1].astype(np.int64)] = True
             out.append((x["low"].iat[i], x["content"].iat[i], x["n"].iat[i], _runs(flags)))
+        free_memory()
         return pd.DataFrame(out, columns=["low", "content", "n", "runs"])
 
     pending = judged.filter("hashes is not null").select(F.col("low").alias("low"), F.col("content").alias("content"), F.col("n").alias("n"), F.col("part").alias("part"), F.col("hashes").alias("hashes"))
     pending = pending.join(sizes.hint("shuffle_merge"), "low").withColumn("ranges", F.col("parts")).drop("parts")
-    ranges = pending.mapInPandas(ranged, "low long, range int, content long, n short, part int, hashes binary")
+    ranges = pending.mapInPandas(tidied(ranged), "low long, range int, content long, n short, part int, hashes binary")
     crossed = ranges.groupBy("low", "range").applyInPandas(merge, "low long, content long, n short, runs array<array<int>>")
     runs = stored(runs.unionByName(crossed), "runs")
 
@@ -356,7 +363,7 @@ def _cut(docs: DataFrame, width: int, gram: int) -> DataFrame:
             yield pd.DataFrame({"k1": b["k1"], "k2": b["k2"], "n_removed": [r[1] for r in rows], "n_spans": [r[2] for r in rows], "kept": [r[0] for r in rows]})
 
     unique = _compressed(docs).join(spans.hint("shuffle_merge"), ["k1", "k2"])
-    return unique.select("k1", "k2", "raw", "spans").mapInPandas(cut, "k1 long, k2 long, n_removed long, n_spans long, kept binary")
+    return unique.select("k1", "k2", "raw", "spans").mapInPandas(tidied(cut), "k1 long, k2 long, n_removed long, n_spans long, kept binary")
 
 
 def remove_repeats(docs: DataFrame, width: int = 200, gram: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -373,7 +380,7 @@ def remove_repeats(docs: DataFrame, width: int = 200, gram: int = 64, id_col: st
         for b in batches:
             yield pd.DataFrame({"k1": b["k1"], "k2": b["k2"], "_new": [bytes(x).decode("utf-8", "ignore") for x in b["_kept"]]})
 
-    new = changed.mapInPandas(readable, "k1 long, k2 long, _new string")
+    new = changed.mapInPandas(tidied(readable), "k1 long, k2 long, _new string")
     names = docs.columns
     own = docs.withColumns({"_k1": F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(id_col).isNull()), "_k2": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
     joined = own.join(new.withColumnsRenamed({"k1": "_k1", "k2": "_k2"}).hint("shuffle_merge"), ["_k1", "_k2"], "left")
@@ -389,7 +396,7 @@ def repeats_report(docs: DataFrame, width: int = 200, gram: int = 64, id_col: st
         for b in batches:
             yield pd.DataFrame({"k1": b["k1"], "k2": b["k2"], "n_removed": b["n_removed"], "n_spans": b["n_spans"], "sha": [hashlib.sha256(x).hexdigest() for x in b["kept"]]})
 
-    cut = stored(changed.mapInPandas(digest, "k1 long, k2 long, n_removed long, n_spans long, sha string").dropDuplicates(["k1", "k2"]), "cut")
+    cut = stored(changed.mapInPandas(tidied(digest), "k1 long, k2 long, n_removed long, n_spans long, sha string").dropDuplicates(["k1", "k2"]), "cut")
     whole = keyed.select("id", "k1", "k2", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
     zero = F.lit(0).cast("long")
     return whole.join(cut.hint("shuffle_merge"), ["k1", "k2"], "left").select(F.col("id").alias(id_col), "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("sha", "whole").alias("kept_sha256"))
