@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import free_memory, stored, tidied
 from .components import components
 from .words import code_points, span_hashes
 
@@ -180,7 +180,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, sk
                 keys.append(sketch(shingles(t, words), sketches, kept).view(np.int64).tolist() if t else None)
             yield pd.DataFrame({"id": b["id"], "node": digest, "keys": keys})
 
-    each = stored(rows.mapInPandas(sketched, f"id {id_type}, node binary, keys array<long>"), "sketches")
+    each = stored(rows.mapInPandas(tidied(sketched), f"id {id_type}, node binary, keys array<long>"), "sketches")
     some = each.filter("node is not null")
     texts = stored(some.groupBy("node").agg(F.min("id").alias("id"), F.first("keys").alias("keys")), "texts")
     keyed = texts.select("node", F.explode("keys").alias("key"))
@@ -206,7 +206,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, sk
             same = [isinstance(t, str) and hashlib.sha256(normalised(t).encode("utf-8", "surrogatepass")).digest()[:16] == bytes(n) for t, n in zip(b["text"], b["node"])]
             yield from sequenced([b[same]])
 
-    sequences = stored(source.mapInPandas(matching, "node binary, seq binary").dropDuplicates(["node"]), "sequences")
+    sequences = stored(source.mapInPandas(tidied(matching), "node binary, seq binary").dropDuplicates(["node"]), "sequences")
     seq = lambda c, s: sequences.select(F.col("node").alias(c), F.col("seq").alias(s))
     both = pairs.join(seq("a", "x").hint("shuffle_merge"), "a").join(seq("b", "y").hint("shuffle_merge"), "b")
 
@@ -215,7 +215,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, sk
             ok = [similar(np.frombuffer(x, np.uint64).tolist(), np.frombuffer(y, np.uint64).tolist(), similarity) for x, y in zip(b["x"], b["y"])]
             yield b[ok][["a", "b"]]
 
-    links = stored(both.select("a", "b", "x", "y").mapInPandas(verified, "a binary, b binary"), "verified")
+    links = stored(both.select("a", "b", "x", "y").mapInPandas(tidied(verified), "a binary, b binary"), "verified")
     labels = components(links)
 
     # what no representative decided: members of a bucket, other than its representatives, in several components
@@ -236,6 +236,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, sk
         if not len(x) or not len(y):
             return pd.DataFrame({"a": [], "b": []})
         i, j = _block_links(x, y, similarity)
+        free_memory()
         return pd.DataFrame({"a": x["node"].to_numpy()[i], "b": y["node"].to_numpy()[j]})
 
     by = ["key", "l_block", "r_block"]
