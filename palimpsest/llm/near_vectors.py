@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import free_memory, stored, tidied
 from .components import components
 from .vectors import matrix, packed, sample, usable
 
@@ -119,7 +119,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, lists: int | None =
             out["u"] = [r.tobytes() for r in x / np.sqrt((x**2).sum(1, keepdims=True))] if len(b) else []
             yield out
 
-    scaled = rows.mapInPandas(scale, "id long, u binary")
+    scaled = rows.mapInPandas(tidied(scale), "id long, u binary")
     groups = stored(scaled.groupBy("u").agg(F.min("id").alias("id"), F.count("*").alias("n")), "distinct")
     total = groups.count()
     lists = lists or 1 << max(0, min(10, round(np.log2(max(1.0, total**0.5 / 2)))))
@@ -139,7 +139,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, lists: int | None =
                 out = out.assign(near=[], home=[], codes=[], own=[], error=[])
             yield out
 
-    index = stored(groups.mapInPandas(place, "u binary, id long, n long, near array<int>, home int, codes binary, own double, error double"), "index")
+    index = stored(groups.mapInPandas(tidied(place), "u binary, id long, n long, near array<int>, home int, codes binary, own double, error double"), "index")
     base_n = {r[0]: r[1] for r in index.groupBy("home").count().collect()}  # one count a list
     query_n = {r[0]: r[1] for r in index.select(F.explode("near").alias("l")).groupBy("l").count().collect()}
     table = lambda n: F.create_map(*[F.lit(x) for i, c in (n or {0: 1}).items() for x in (int(i), -(-c // block_rows))])
@@ -168,13 +168,16 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, lists: int | None =
         if not i.size:
             return empty
         # each vector counts what it finds; it also counts for a partner that does not visit its list
-        looks = np.array([h in near for h, near in zip(q["home"].to_numpy()[j].tolist(), [set(x["near"].iloc[k]) for k in i.tolist()])])
+        visits = np.zeros((len(x), len(fitted.centres)), dtype=bool)
+        visits[np.repeat(np.arange(len(x)), x["near"].map(len)), np.concatenate(x["near"].to_list())] = True
+        looks = visits[i, q["home"].to_numpy()[j]]
         ids = np.concatenate([qi, xi[~looks]])
         n = np.concatenate([x["n"].to_numpy()[i], q["n"].to_numpy()[j[~looks]]])
         who, at = np.unique(ids, return_inverse=True)
         counts = pd.DataFrame({"id": who, "other": who, "n": np.bincount(at, weights=n).astype(np.int64)})
         node, root = _forest(xi, qi)
         trees = pd.DataFrame({"id": node, "other": root, "n": 0})
+        free_memory()
         return pd.concat([counts, trees[trees["id"] != trees["other"]]], ignore_index=True)
 
     keys = ["list", "block", "q_block"]
