@@ -18,10 +18,10 @@ class Entry:
 
 def entries() -> dict[str, Entry]:
     from palimpsest.functions import text
-    from palimpsest.operators import aggregates, joins, predicates, retention, retrieval, sets, temporal, windows
+    from palimpsest.operators import aggregates, graph, joins, predicates, retention, retrieval, sets, temporal, windows
 
     found: dict[str, Entry] = {}
-    for module in (aggregates, predicates, joins, windows, sets, text, retrieval, temporal, retention):
+    for module in (aggregates, predicates, joins, windows, sets, text, retrieval, temporal, retention, graph):
         found |= module.ENTRIES
     return found
 
