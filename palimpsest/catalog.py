@@ -19,9 +19,11 @@ class Entry:
 def entries() -> dict[str, Entry]:
     from palimpsest.functions import text
     from palimpsest.operators import aggregates, graph, joins, predicates, retention, retrieval, sets, temporal, windows
+    from palimpsest.plans import planner
+    from palimpsest.streaming import flows
 
     found: dict[str, Entry] = {}
-    for module in (aggregates, predicates, joins, windows, sets, text, retrieval, temporal, retention, graph):
+    for module in (aggregates, predicates, joins, windows, sets, text, retrieval, temporal, retention, graph, planner, flows):
         found |= module.ENTRIES
     return found
 
