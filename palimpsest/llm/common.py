@@ -32,9 +32,14 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def stored(df: DataFrame, name: str = "step") -> DataFrame:
-    """Cut lineage through a Parquet table in the shared folder; it is removed when the driver ends."""
+def stored(df: DataFrame, name: str = "step", rows: int | None = None, file_rows: int = 250_000) -> DataFrame:
+    """Cut lineage through a Parquet table in the shared folder; it is removed when the driver ends.
+
+    ``rows``: a bound of its rows where one is known; small tables then make few files, one a core at least.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // file_rows)))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)

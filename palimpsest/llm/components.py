@@ -18,15 +18,16 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     spark = links.sparkSession
     one_way = links.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a < b").distinct()
     both = stored(one_way.unionByName(one_way.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
+    rows = both.count()
+    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels", rows)
     while True:
         near = both.join(labels.hint("shuffle_merge"), both["b"] == labels["node"]).select(F.col("a").alias("node"), "component")
         low = near.unionByName(labels).groupBy("node").agg(F.min("component").alias("component"))
-        low = stored(low, "low")
+        low = stored(low, "low", rows)
         far = low.select(F.col("node").alias("component"), F.col("component").alias("farther"))
         jumped = low.join(far.hint("shuffle_merge"), "component").select("node", F.col("farther").alias("component"))
         before = labels.select("node", F.col("component").alias("before"))
-        new = stored(jumped, "labels")
+        new = stored(jumped, "labels", rows)
         changed = new.join(before, "node").filter("component < before").limit(1).count()
         drop_stored(spark, low)
         drop_stored(spark, labels)

@@ -183,15 +183,17 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, sk
     each = stored(rows.mapInPandas(tidied(sketched), f"id {id_type}, node binary, keys array<long>"), "sketches")
     some = each.filter("node is not null")
     texts = stored(some.groupBy("node").agg(F.min("id").alias("id"), F.first("keys").alias("keys")), "texts")
+    n_texts = texts.count()
+    n_keys = n_texts * sketches
     keyed = texts.select("node", F.explode("keys").alias("key"))
     buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("one"), F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node")).alias("two")).filter("n > 1")
-    buckets = stored(buckets.select("key", "n", F.col("one.node").alias("one"), F.col("two.node").alias("two")), "buckets")
-    members = stored(keyed.join(buckets.hint("shuffle_merge"), "key"), "members")
+    buckets = stored(buckets.select("key", "n", F.col("one.node").alias("one"), F.col("two.node").alias("two")), "buckets", n_keys)
+    members = stored(keyed.join(buckets.hint("shuffle_merge"), "key"), "members", n_keys)
 
     # every text against the representatives of its buckets
     pairs = members.select("node", F.explode(F.array("one", "two")).alias("with")).filter(F.col("node") != F.col("with"))
     pairs = pairs.select(F.least("node", "with").alias("a"), F.greatest("node", "with").alias("b")).distinct()
-    pairs = stored(pairs, "pairs")
+    pairs = stored(pairs, "pairs", 2 * n_keys)
     wanted = members.select("node").distinct().join(texts.select("node", "id"), "node")
 
     def sequenced(batches):
@@ -223,7 +225,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, sk
     rest = rest.join(labels.hint("shuffle_merge"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
     sizes = rest.groupBy("key", "label").agg(F.count("*").alias("n"))
     open_keys = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).filter("labels > 1")
-    open_keys = stored(open_keys.select("key", "n", F.col("top.label").alias("main"), (F.col("n") - F.col("top.n")).alias("apart")), "open")
+    open_keys = stored(open_keys.select("key", "n", F.col("top.label").alias("main"), (F.col("n") - F.col("top.n")).alias("apart")), "open", n_keys)
     opened = stored(rest.join(open_keys.hint("shuffle_merge"), "key"), "opened")
     opened = opened.join(seq("node", "seq").hint("shuffle_merge"), "node")
     blocks_of = lambda c: F.ceil(F.col(c) / block_rows).cast("int")
@@ -244,9 +246,9 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, sk
     labels = components(links.unionByName(more).filter("a <> b"))
 
     named = texts.select("node", F.col("id").alias("first")).join(labels.hint("shuffle_merge"), "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
-    named = stored(named, "named")
+    named = stored(named, "named", n_texts)
     lowest = named.groupBy("component").agg(F.min("first").alias("class_id"))
-    classes = stored(named.join(lowest.hint("shuffle_merge"), "component").select("node", "class_id"), "classes")
+    classes = stored(named.join(lowest.hint("shuffle_merge"), "component").select("node", "class_id"), "classes", n_texts)
     found = each.filter("node is not null").select("id", "node").join(classes.hint("shuffle_merge"), "node").select("id", "class_id")
     alone = each.filter("node is null").select("id", F.col("id").alias("class_id"))
     nulls = docs.filter(F.col(id_col).isNull()).select(F.col(id_col).alias("id"), F.col(id_col).alias("class_id"))
