@@ -1,0 +1,140 @@
+"""Operators with cases that the driver tables do not hold: cycles, ties, nulls, corrupt lines, late rows."""
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from palimpsest.functions.similarity import jaro_winkler
+from palimpsest.functions.text import clamp_score, path_prefixes, redact
+from palimpsest.operators.graph import coalesced, propagate_labels, reach, upsert
+from palimpsest.operators.predicates import outcome_lists, readable, readable_any
+from palimpsest.operators.retention import compact, forget, vacuum
+from palimpsest.operators.retrieval import bm25, feedback, literal_and, rrf
+from palimpsest.operators.temporal import accepted_revisions, ancestry, temporal_multiplier, temporal_state
+from palimpsest.sources.tables import import_new, read_transcripts, scan_events, write_events
+from palimpsest.streaming.flows import delivered_once, run_to_end, session_ends, split_bad, token_bucket
+
+
+def values(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def test_ancestry_ends_at_cycles(spark):
+    parents = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 3), (5, None)], "node long, parent long")
+    assert values(ancestry(parents).filter("node = 4")) == [(4, 1, 2), (4, 2, 3), (4, 3, 1)]
+    assert ancestry(parents).filter("node = ancestor").count() == 0
+
+
+def test_reach_takes_the_fewest_hops(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (3, 4), (9, 9)], "src long, dst long")
+    seeds = spark.createDataFrame([(1,)], "node long")
+    assert values(reach(edges, seeds, 5)) == [(1, 0), (2, 1), (3, 1), (4, 2)]
+    assert values(reach(edges.limit(0), seeds, 2)) == [(1, 0)]
+
+
+def test_communities_of_two_cliques(spark):
+    clique = lambda a: [(i, j, 10) for i in range(a, a + 5) for j in range(i + 1, a + 5)]
+    edges = spark.createDataFrame([*clique(0), *clique(5), (4, 5, 1)], "src long, dst long, weight long")
+    found = dict(values(propagate_labels(edges, 4)))
+    assert len({found[i] for i in range(5)}) == 1 and len({found[i] for i in range(5, 10)}) == 1 and found[0] != found[9]
+
+
+def test_patches_and_upserts(spark):
+    patches = spark.createDataFrame([("S", 1, "a", "x", 1), ("S", 1, "a", "y", 2), ("S", 1, "b", "z", 1)], "label string, key long, prop string, value string, seq long")
+    assert values(coalesced(patches)) == [("S", 1, "a", "y"), ("S", 1, "b", "z")]
+    old, new = spark.createDataFrame([(1, "o"), (2, "o")], "k long, v string"), spark.createDataFrame([(2, "n"), (3, "n")], "k long, v string")
+    assert values(upsert(old, new, "k")) == [(1, "o"), (2, "o"), (3, "n")]
+    assert values(upsert(old, new, "k", "replace")) == [(1, "o"), (2, "n"), (3, "n")]
+    with pytest.raises(ValueError):
+        upsert(old, new, "k", "other")
+
+
+def test_states_first_rule_wins(spark):
+    rows = [("2020-01-01", "2020-02-01", "2020-03-01", "active"), ("2020-01-01", "2020-02-01", None, "active"), ("2021-01-01", None, None, "abandoned"), ("2020-01-01", None, None, "abandoned"), ("2020-01-01", "2020-06-20", None, None), ("2020-01-01", None, None, None)]
+    df = spark.createDataFrame(rows, "valid_from string, valid_to string, superseded_at string, lifecycle string")
+    df = df.select(*[F.to_date(c).alias(c) for c in df.columns[:3]], "lifecycle")
+    state = temporal_state(F.lit("2020-06-01").cast("date"))
+    got = [tuple(r) for r in df.select(state.alias("s"), temporal_multiplier(state).alias("m")).collect()]
+    assert got == [("superseded", None), ("expired", None), ("not_yet_valid", None), ("abandoned", None), ("temporal", 1.1), ("valid", 1.0)]
+
+
+def test_revisions_need_the_expected_one(spark):
+    now = spark.createDataFrame([(1, 3)], "id long, revision long")
+    asked = spark.createDataFrame([(1, 10, 3), (1, 11, 3), (1, 12, 2), (2, 13, 0)], "id long, proposal long, expected long")
+    assert values(accepted_revisions(now, asked)) == [(1, 10, 4), (2, 13, 1)]
+
+
+def test_access(spark):
+    df = spark.createDataFrame([(1, None, None), (2, 2, ["a"]), (3, 2, ["a", "b"]), (4, 9, [])], "id long, level int, c array<string>")
+    ids = lambda cond: [r[0] for r in df.filter(cond).select("id").collect()]
+    assert ids(readable(F.col("level"), F.col("c"), 2, ["a"])) == [1, 2]
+    assert ids(readable_any(F.col("level"), F.col("c"), 2, ["a"])) == [1, 2, 3]
+    assert ids(readable(F.col("level"), F.col("c"), 2, ["*"])) == [1, 2, 3]
+    o = spark.createDataFrame([("ok",), ("bad",), (None,)], "o string")
+    assert [r[0] for r in o.filter(outcome_lists(F.col("o"), [], ["bad"])).collect()] == ["ok", None]
+    assert [r[0] for r in o.filter(outcome_lists(F.col("o"), ["ok"], ["bad"])).collect()] == ["ok"]
+
+
+def test_retrieval(spark):
+    docs = spark.createDataFrame([(1, "red fox", "x"), (2, "red red dog", "red fox"), (3, None, "y"), (4, "", "z")], "doc_id long, text string, source string")
+    q = spark.createDataFrame([(7, "red fox")], "q long, query string")
+    assert values(literal_and(docs, q)) == [(7, 1, 1.0)]
+    scores = {d: s for _, d, s in values(bm25(docs.filter("text is not null"), q))}
+    assert scores[1] > scores[2] > 0 and set(scores) == {1, 2}
+    lanes = spark.createDataFrame([(7, "a", 1, 1, 0.0), (7, "a", 2, 2, 0.0), (7, "b", 1, 2, 0.0), (7, "b", 2, 1, 0.0)], "q long, lane string, rank int, doc_id long, native double")
+    assert {round(s, 12) for *_, s in values(rrf(lanes, alpha=1.0))} == {round(1 / 61 + 1 / 62, 12)}
+
+
+def test_feedback_needs_three_agreeing_groups(spark):
+    rows = [(1, q, 1, 0) for q in range(3)] + [(2, 0, 1, 0), (2, 0, -1, 0), (2, 1, 1, 0), (2, 2, 1, 0)]
+    assert [r[0] for r in feedback(spark.createDataFrame(rows, "record long, query long, label int, age_days int")).collect()] == [1]
+
+
+def test_text_functions(spark):
+    df = spark.createDataFrame([("mail a.b@c.org now", float("nan"), "a/b/c"), (None, None, "x")], "t string, s double, p string")
+    got = df.select(redact("t"), clamp_score(F.col("s")), path_prefixes(F.col("p"))).collect()
+    assert got[0][0] == "mail [REDACTED:email] now" and got[1][0] is None
+    assert [g[1] for g in got] == [0.0, 0.0] and got[0][2] == ["a/", "a/b/", "a/b/c"]
+    pairs = spark.createDataFrame([("martha", "marhta"), ("", "a"), (None, "a"), ("same", "same")], "a string, b string")
+    assert [None if r[0] is None else round(r[0], 4) for r in pairs.select(jaro_winkler("a", "b")).collect()] == [0.9611, 0.0, None, 1.0]
+
+
+def test_retention(spark, tmp_path):
+    blobs, refs = spark.createDataFrame([(i,) for i in range(4)], "k long"), spark.createDataFrame([(0,), (1,), (2,)], "k long")
+    assert values(vacuum(blobs, refs, "k")) == [(3,)]
+    assert values(vacuum(blobs, refs.filter("k = 0"), "k")) == []
+    assert values(forget(blobs, refs, "k")) == [(3,)]
+    assert compact(blobs.withColumn("part", F.col("k") % 2), str(tmp_path / "c"), ["part"]) == (4, 4)
+
+
+def test_archive_and_transcripts(spark, sf_dir, tmp_path):
+    from palimpsest.sources.tables import events
+
+    ev = events(spark, sf_dir)
+    path = str(tmp_path / "archive")
+    write_events(ev.filter("event_id < 500"), path)
+    write_events(import_new(scan_events(spark, path), ev, "event_id"), path)
+    assert scan_events(spark, path).count() == ev.count()
+    assert scan_events(spark, path, F.col("day") == "2024-01-03").count() == ev.filter("to_date(ts) = '2024-01-03'").count()
+    (tmp_path / "t" / "deep").mkdir(parents=True)
+    (tmp_path / "t" / "deep" / "a.jsonl").write_text("\n".join([json.dumps({"type": "user", "session_id": "s", "message": "hi"}), "{broken", json.dumps({"x": 1})]))
+    rows, states = read_transcripts(spark, str(tmp_path / "t"))
+    assert dict(values(states)) == {"read": 1, "corrupt": 1, "unknown": 1} and rows.count() == 1
+
+
+def test_streams(spark, tmp_path):
+    rows = spark.sql("select id event_id, id % 2 session_id, timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,id,0,0) ts, 'click' kind, 1.0D value from range(12)")
+    source = str(tmp_path / "in")
+    rows.unionByName(rows.filter("event_id < 3")).write.parquet(source)
+    stream = lambda: spark.readStream.schema(rows.schema).parquet(source)
+    assert run_to_end(delivered_once(stream(), ["event_id"], "30 days")).count() == 12
+    ended = run_to_end(session_ends(stream(), "30 minutes", "1 hour"))
+    assert ended.agg(F.sum("n")).first()[0] in range(9, 15)  # the last hours are within the watermark
+    bad = split_bad(rows, {"even": F.col("event_id") % 2 == 0}).filter(F.size("reasons") > 0)
+    assert bad.count() == 6
+
+
+def test_token_bucket_refills(spark):
+    rows = spark.createDataFrame([("a", t) for t in (0, 1, 2, 1000, 1001)], "c string, ms long")
+    assert token_bucket(rows, "c", "ms", 2, 1.0).first()["ok"] == [True, True, False, True, False]
