@@ -137,7 +137,7 @@ def c20(spark, sf_dir):
 
 def c21(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]+@[a-z]+\\.[a-z]+"), 0))).alias("found"))
+    return d.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\\.[a-z]+"), 0))).alias("found"))
 
 
 def c22(spark, sf_dir):
@@ -201,7 +201,7 @@ ENTRIES = {
     "C16_prefixes": Entry(c16, "with p as (select page_id, string_split(regexp_extract(url,'^https?://([^?#]*)',1),'/') a from pages), i as (select page_id, a, unnest(range(1,len(a)+1)) i from p) select page_id, array_to_string(a[1:i],'/') || case when i<len(a) then '/' else '' end prefix from i"),
     "C17_doc_id": Entry(c17, "select doc_id, sha256(source || chr(31) || lang || chr(31) || md5(text)) id from documents"),
     "C20_ulid": Entry(c20, "select regexp_matches(upper(substr(md5(text),1,26)),'^[0-9A-HJKMNP-TV-Z]{26}$') as valid, count(*) n from documents group by 1"),
-    "C21_mentions": Entry(c21, "select distinct doc_id, unnest(regexp_extract_all(text,'[A-Za-z]+@[a-z]+\\.[a-z]+')) found from documents"),
+    "C21_mentions": Entry(c21, "select distinct doc_id, unnest(regexp_extract_all(text,'[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\\.[a-z]+')) found from documents"),
     "C22_headers": Entry(c22, "with d as (select doc_id, len(list_filter(string_split(text,chr(10))[1:8], lambda x: contains(lower(x),'license'))) lines from documents) select * from d where lines>0"),
     "C24_iso_week": Entry(c24, "select strftime(o_orderdate,'%G-W%V') as week, count(*) n from orders group by 1"),
     "C29_body": Entry(c29, "select doc_id, md5(case when octet_length(encode(text))>4096 then substr(text,1,100) || '...' else text end) body from documents"),

@@ -40,7 +40,7 @@ def j03(spark, sf_dir):
 
 
 def j04(spark, sf_dir):
-    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'")
     return c.join(o, c["c_custkey"] == o["o_custkey"], "left_anti").select("c_custkey", "c_nationkey")
 
 
@@ -137,7 +137,7 @@ ENTRIES = {
     "J01_current": Entry(j01, _REV + "select id, revision, source_id, status from r qualify revision = max(revision) over (partition by id)"),
     "J02_provenance": Entry(j02, _REV + "select * from (select id, revision, lag(kind) over (partition by id order by revision) as before, kind from r) where before<>kind"),
     "J03_gaps": Entry(j03, "with l as (select distinct l_orderkey, l_linenumber from lineitem) select * from l a where l_linenumber>1 and not exists (select 1 from l b where b.l_orderkey=a.l_orderkey and b.l_linenumber=a.l_linenumber-1)"),
-    "J04_dangling": Entry(j04, "select c_custkey, c_nationkey from customer where c_custkey not in (select o_custkey from orders)"),
+    "J04_dangling": Entry(j04, "select c_custkey, c_nationkey from customer where c_custkey not in (select o_custkey from orders where o_orderpriority='1-URGENT')"),
     "J07_active_edges": Entry(j07, "select l_returnflag, count(*) n from lineitem where l_partkey in (select p_partkey from part where p_size>25) and l_suppkey in (select s_suppkey from supplier where s_acctbal>0) group by 1"),
     "J11_delivery": Entry(j11, "select l_linestatus, count(*) n from lineitem join orders on l_orderkey=o_orderkey and l_shipdate>=o_orderdate and o_orderstatus='F' group by 1"),
     "J12_superseded_by": Entry(j12, _REV + "select a.source_id, b.source_id superseded_by from r a left join r b on a.id=b.id and b.revision=a.revision+1"),
