@@ -1,8 +1,8 @@
-"""Nearest neighbours with a permutation index.
+"""Nearest neighbours with a permutation index, exact.
 
-Every vector is represented by the order in which it sees a fixed set of pivots. It is posted in the inverted
-file of its nearest list pivot, in blocks of bounded size. A query visits the files of its nearest list pivots,
-ranks each block by the footrule distance between orders and measures the best share of it exactly.
+Every vector is posted in the inverted file of its nearest pivot, in blocks of bounded size. A query measures the
+files of its own order of pivots first, which gives it a reach: the distance of the k-th found. Then it measures
+every other file that the triangle inequality and the planes between pivots do not put beyond this reach.
 
 Equal vectors are indexed once, with their smallest ids: no more of them than a result can hold.
 """
@@ -18,27 +18,46 @@ from .common import stored
 from .vectors import matrix, packed, sample, usable
 
 
-def _orders(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """Pivot numbers by distance, nearest first, for each row of x."""
-    d = (pivots**2).sum(1)[None] - 2 * x @ pivots.T
-    return np.argsort(d, axis=1, kind="stable")
+def _spread(drawn: np.ndarray, n: int) -> np.ndarray:
+    """n of the drawn vectors, each the farthest from those before it: copies of one cluster do not crowd the rest."""
+    if not len(drawn):
+        return drawn
+    taken = [0]
+    far = ((drawn - drawn[0]) ** 2).sum(1)
+    while len(taken) < min(n, len(drawn)):
+        taken.append(int(far.argmax()))
+        far = np.minimum(far, ((drawn - drawn[taken[-1]]) ** 2).sum(1))
+    return drawn[taken]
 
 
-def _ranks(order: np.ndarray) -> np.ndarray:
-    out = np.empty(order.shape, dtype=np.int16)
-    np.put_along_axis(out, order, np.broadcast_to(np.arange(order.shape[1], dtype=np.int16), order.shape), 1)
-    return out
+def _to(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Distances of each row of x to each pivot, without the cancellation of a matrix product."""
+    return np.stack([np.sqrt(((x - p) ** 2).sum(1)) for p in pivots], axis=1)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = 256, lists: int = 32, probes: int = 30, share: float = 0.06, least: int = 32, block_rows: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, rank, id, score): the k nearest vectors found for each query, by Euclidean distance.
+def _beyond(q: np.ndarray, to: np.ndarray, pivots: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """A bound below the distance of each query to whatever each file holds: vectors nearest to the file's pivot,
+    between ``low`` and ``high`` from it. Rounding is taken off."""
+    scale = np.sqrt((q**2).sum(1)) + np.sqrt((pivots**2).sum(1).max()) + high.max()
+    bound = np.maximum(to - high, low - to)
+    gap = _to(pivots, pivots)
+    for c in range(len(pivots)):
+        others = np.flatnonzero(gap[c] > 0)
+        if others.size:
+            plane = (to[:, [c]] ** 2 - to[:, others] ** 2 - 1e-9 * scale[:, None] ** 2) / (2 * gap[c, others])
+            bound[:, c] = np.maximum(bound[:, c], plane.max(1))
+    return bound - 1e-9 * scale[:, None]
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = 256, lists: int = 32, first: int = 4, block_rows: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(query_id, rank, id, score): the k nearest vectors of each query, by Euclidean distance.
 
     ``queries`` has the columns of ``vectors``; a query never finds rows of its own id. Null, zero and
     non-finite vectors take no part, neither do null ids; repeated rows count once. Ties go to the smaller id.
     With fewer candidates all are returned; without queries or vectors the result is empty.
 
-    ``pivots`` vectors are drawn for the orders, the first ``lists`` of them have inverted files; ``probes``
-    files are visited; of each block the ``share`` nearest by footrule (at least ``least``) are measured.
+    ``lists`` of ``pivots`` drawn vectors, spread out, have inverted files; the ``first`` nearest files of a
+    query set its reach. These decide the work alone: nothing within reach is left out.
     """
     base = packed(usable(vectors, id_col, vector_col).distinct())
     base = stored(base, "vectors")
@@ -46,54 +65,84 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = 25
     # equal vectors once: a query needs k of their ids, and one more in case its own is among them
     ranked = base.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).filter(F.col("n") <= k + 1)
     distinct = ranked.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    drawn = sample(base.select("v").distinct(), pivots)
-    lists = min(lists, len(drawn)) or 1
+    drawn = _spread(sample(base.select("v").distinct(), pivots), lists)
 
     def place(batches):
         for b in batches:
-            order = _orders(matrix(b["v"]), drawn) if len(b) else np.empty((0, 0), dtype=np.int64)
-            near = [[x for x in row if x < lists] for row in order.tolist()]
             out = b.copy()
-            out["ranks"] = [r.tobytes() for r in _ranks(order)] if len(b) else []
-            out["near"] = [r[:probes] for r in near]
+            x = matrix(b["v"])
+            home = ((drawn**2).sum(1)[None] - 2 * x @ drawn.T).argmin(1) if len(b) else np.empty(0, dtype=np.int64)
+            out["list"] = home.astype(np.int32)
+            out["far"] = np.sqrt(((x - drawn[home]) ** 2).sum(1)) if len(b) else np.empty(0)
             yield out
 
-    index = stored(distinct.mapInPandas(place, "v binary, ids array<long>, ranks binary, near array<int>").withColumn("list", F.col("near")[0]).drop("near"), "index")
-    asked = stored(asked.mapInPandas(place, "id long, v binary, ranks binary, near array<int>"), "queries")
+    def begin(batches):
+        for b in batches:
+            out = b.copy()
+            some = len(b) and len(drawn)
+            out["visits"] = np.argsort(_to(matrix(b["v"]), drawn), axis=1, kind="stable")[:, :first].tolist() if some else [[]] * len(b)
+            yield out
 
-    # blocks of bounded size: at most ``lists`` counts come to the driver
-    counts = {r["list"]: r["count"] for r in index.groupBy("list").count().collect()}
+    index = stored(distinct.mapInPandas(place, "v binary, ids array<long>, list int, far double"), "index")
+    asked = stored(asked.mapInPandas(begin, "id long, v binary, visits array<int>"), "queries")
+
+    # blocks of bounded size: at most ``lists`` counts and radii come to the driver
+    files = {r["list"]: r for r in index.groupBy("list").agg(F.count("*").alias("n"), F.min("far").alias("low"), F.max("far").alias("high")).collect()}
     n_queries = asked.count()
     q_blocks = -(-n_queries // block_rows) or 1
-    n_blocks = F.create_map(*[F.lit(x) for i, n in counts.items() for x in (i, -(-n // block_rows))]) if counts else F.create_map(F.lit(0), F.lit(1))
+    n_blocks = F.create_map(*[F.lit(x) for i, r in files.items() for x in (i, -(-r["n"] // block_rows))]) if files else F.create_map(F.lit(0), F.lit(1))
     left = index.withColumn("block", F.pmod(F.xxhash64("v"), n_blocks[F.col("list")]).cast("int")).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    right = (
-        asked.withColumn("q_block", F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int"))
-        .withColumn("list", F.explode("near"))
-        .filter(n_blocks[F.col("list")].isNotNull())
-        .withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks[F.col("list")] - 1)))
-        .drop("near")
-    )
 
     def measure(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple] = []
         if len(x) and len(q):
-            xv, xr, ids = matrix(x["v"]), matrix(x["ranks"], np.int16), x["ids"].tolist()
-            qv, qr = matrix(q["v"]), matrix(q["ranks"], np.int16)
-            n = min(len(x), max(least, int(np.ceil(share * len(x)))))
-            for j, own in enumerate(q["id"].tolist()):
-                foot = np.abs(xr - qr[j]).sum(1, dtype=np.int32)
-                best = np.flatnonzero(foot <= np.partition(foot, n - 1)[n - 1])
-                d = np.sqrt(((xv[best] - qv[j]) ** 2).sum(1))
-                taken = best[d <= np.partition(d, k)[k]] if d.size > k + 1 else best
-                score = dict(zip(best.tolist(), d.tolist()))
-                pairs = sorted((score[i], int(v)) for i in taken.tolist() for v in ids[i] if v != own)
-                found += [(own, v, s) for s, v in pairs[:k]]
+            xv, qv, ids = matrix(x["v"]), matrix(q["v"]), x["ids"].tolist()
+            x2, q2, own = (xv**2).sum(1), (qv**2).sum(1), q["id"].tolist()
+            for a in range(0, len(q), 256):
+                square = x2[None] + q2[a : a + 256, None] - 2 * qv[a : a + 256] @ xv.T
+                for j, near in enumerate(square, a):
+                    # k + 1 vectors, what ties with the last of them, and what rounding could hide
+                    limit = np.partition(near, k)[k] + 1e-9 * (x2.max() + q2[j]) if near.size > k + 1 else np.inf
+                    best = np.flatnonzero(near <= limit)
+                    d = np.sqrt(((xv[best] - qv[j]) ** 2).sum(1))
+                    pairs = sorted((s, int(v)) for i, s in zip(best.tolist(), d.tolist()) for v in ids[i] if v != own[j])
+                    found += [(own[j], v, s) for s, v in pairs[:k]]
         return pd.DataFrame(found, columns=["query_id", "id", "score"])
 
-    keys = ["list", "block", "q_block"]
-    hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(measure, "query_id long, id long, score double")
-    # an id whose rows hold different vectors counts with its nearest
-    hits = hits.groupBy("query_id", "id").agg(F.min("score").alias("score"))
-    best = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))).filter(F.col("rank") <= k)
-    return best.select("query_id", "rank", F.col("id").alias(id_col), "score")
+    def visited(rows: DataFrame) -> DataFrame:
+        right = (
+            rows.withColumn("q_block", F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int"))
+            .withColumn("list", F.explode("visits"))
+            .filter(n_blocks[F.col("list")].isNotNull())
+            .withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks[F.col("list")] - 1)))
+            .drop("visits")
+        )
+        keys = ["list", "block", "q_block"]
+        hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(measure, "query_id long, id long, score double")
+        # an id whose rows hold different vectors counts with its nearest
+        return hits.groupBy("query_id", "id").agg(F.min("score").alias("score"))
+
+    def top(hits: DataFrame) -> DataFrame:
+        return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))).filter(F.col("rank") <= k)
+
+    begun = stored(top(visited(asked)).drop("rank"), "begun")
+    reach = begun.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("n"), F.max("score").alias("reach")).filter(F.col("n") == k).drop("n")
+    held = sorted(files)
+
+    def go_on(batches):
+        low, high = (np.array([files[i][c] if i in files else np.nan for i in range(len(drawn))]) for c in ("low", "high"))
+        for b in batches:
+            out = b[["id", "v"]].copy()
+            if len(b) and held:
+                v = matrix(b["v"])
+                bound = _beyond(v, _to(v, drawn), drawn, np.nan_to_num(low), np.nan_to_num(high))
+                near = bound <= b["reach"].fillna(np.inf).to_numpy(dtype=float)[:, None]
+                out["visits"] = [[i for i in held if row[i] and i not in set(seen)] for row, seen in zip(near.tolist(), (list(s) for s in b["visits"]))]
+            else:
+                out["visits"] = [[]] * len(b)
+            yield out
+
+    more = asked.join(reach.hint("shuffle_merge"), "id", "left").select("id", "v", "visits", "reach")
+    more = stored(more.mapInPandas(go_on, "id long, v binary, visits array<int>"), "queries")
+    hits = begun.unionByName(visited(more)).groupBy("query_id", "id").agg(F.min("score").alias("score"))
+    return top(hits).select("query_id", "rank", F.col("id").alias(id_col), "score")

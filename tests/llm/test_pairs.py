@@ -66,6 +66,19 @@ def test_nearest_recall_and_edges(spark):
     assert nearest.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_nearest_is_whole_beside_a_hot_cluster(spark):
+    # a third of the rows lie in one cluster of mean cosine 0.9
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(6000, 64))
+    x[:2000] = 3 * rng.normal(size=64) + rng.normal(size=(2000, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = nearest.search(df, df.filter("vec_id % 100 = 0")).toPandas()
+    for q in range(0, len(x), 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        assert list(found[found.query_id == q].sort_values("rank").vec_id) == list(np.lexsort((np.arange(len(x)), d))[:10])
+
+
 def near_brute(texts, similarity=0.8):
     seqs = [near_texts.shingles(near_texts.normalised(t or ""), 5).tolist() for t in texts]
 
