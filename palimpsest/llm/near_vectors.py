@@ -1,9 +1,10 @@
 """Near-duplicate vectors by product quantisation.
 
 Vectors (scaled to length one, equal ones once) lie in coarse inverted lists; what remains after the list's
-centre is coded in subspaces. A vector looks through the lists whose centres are nearest to it, by table lookups
-that give its distance to every coded vector. As the coding error of each vector is stored, the lookups are
-turned into a bound that never drops a pair within reach; what passes is decided by the exact cosine.
+centre is coded in subspaces. A vector looks through every list that the list's radii and the plane between the
+two centres do not put out of reach, by table lookups that give its distance to every coded vector. As the coding
+error of each vector is stored, the lookups are turned into a bound that never drops a pair within reach; what
+passes is decided by the exact cosine. Small lists share a block, so that a vector goes once to all of them.
 """
 
 from __future__ import annotations
@@ -59,15 +60,41 @@ class Quantiser:
         return [(b @ q[:, p].T).astype(np.float32) for p, b in zip(self.parts, self.books)]
 
 
-def links(x: pd.DataFrame, q: pd.DataFrame, fitted: Quantiser, home: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+def within(u: np.ndarray, home: np.ndarray, fitted: Quantiser, held: np.ndarray, low: np.ndarray, high: np.ndarray, cosine: float) -> np.ndarray:
+    """Which of the ``held`` lists could hold a vector within reach of each u.
+
+    A list's vectors are nearest to its centre, between ``low`` and ``high`` from it; the slack is for rounding.
+    """
+    centres = fitted.centres[held]
+    square = np.maximum(0, (u**2).sum(1)[:, None] + (centres**2).sum(1)[None] - 2 * u @ centres.T)
+    own = fitted.centres[home]
+    to_own = ((u - own) ** 2).sum(1)
+    gap = np.sqrt(np.maximum(0, (own**2).sum(1)[:, None] + (centres**2).sum(1)[None] - 2 * own @ centres.T))
+    far = np.sqrt(square)
+    bound = np.maximum(far - high, low - far)
+    plane = np.where(gap > 1e-4, (square - to_own[:, None]) / (2 * np.maximum(gap, 1e-4)), 0)
+    return np.maximum(bound, plane) <= np.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-6
+
+
+def links(x: pd.DataFrame, q: pd.DataFrame, fitted: Quantiser, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """Positions (in q, in x) of the pairs of one block whose cosine is at least ``cosine``."""
-    xv, qv = matrix(x["u"]), matrix(q["u"])
+    tables, qv, home = fitted.tables(matrix(q["u"])), matrix(q["u"]), x["home"].to_numpy()
+    qs, xs = [], []
+    for h in np.unique(home).tolist():
+        at = np.flatnonzero(home == h)
+        j, i = _list_links(x.iloc[at], qv, tables, fitted, h, cosine)
+        qs.append(j)
+        xs.append(at[i])
+    return np.concatenate(qs), np.concatenate(xs)
+
+
+def _list_links(x: pd.DataFrame, qv: np.ndarray, tables: list[np.ndarray], fitted: Quantiser, home: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    xv = matrix(x["u"])
     codes, own, error = matrix(x["codes"], np.uint8), x["own"].to_numpy(), x["error"].to_numpy()
     to_centre = ((qv - fitted.centres[home]) ** 2).sum(1)
     reach = np.sqrt(max(0.0, 2 - 2 * cosine))
     bound = ((reach + error) ** 2 + 1e-5).astype(np.float32)
     qs, xs = [], []
-    tables = fitted.tables(qv)
     for a in range(0, len(x), 256):
         part = slice(a, a + 256)
         dot = tables[0][codes[part, 0]]
@@ -98,10 +125,10 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = new
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.9, lists: int | None = None, probes: int = 24, fit_rows: int = 20_000, block_rows: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = 0.9, lists: int | None = None, fit_rows: int = 20_000, block_rows: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(id, n_links, component_id, kept) for each row of ``vectors``.
 
-    n_links: other vectors with a cosine of at least ``cosine`` that were found; component_id: the smallest id
+    n_links: other vectors with a cosine of at least ``cosine``; component_id: the smallest id
     reachable by links. Null, zero and non-finite vectors, and those of another length than most, link with
     nothing. Rows that repeat an id are one vector each in the counts; a null id stays alone with a null
     component and is kept. ``lists`` (a power of two near half the square root of the number of vectors,
@@ -131,46 +158,67 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, lists: int | None =
             out = b.copy()
             if len(b):
                 u = matrix(b["u"])
-                order = fitted.order(u)[:, :probes].astype("<i4")
-                codes, own, error = fitted.code(u, order[:, 0])
-                out["near"], out["home"] = [r.tolist() for r in order], order[:, 0]
+                home = fitted.order(u)[:, 0].astype("<i4")
+                codes, own, error = fitted.code(u, home)
+                out["home"], out["far"] = home, np.sqrt(((u - fitted.centres[home]) ** 2).sum(1))
                 out["codes"], out["own"], out["error"] = [r.tobytes() for r in codes], own, error
             else:
-                out = out.assign(near=[], home=[], codes=[], own=[], error=[])
+                out = out.assign(home=[], far=[], codes=[], own=[], error=[])
             yield out
 
-    index = stored(groups.mapInPandas(tidied(place), "u binary, id long, n long, near array<int>, home int, codes binary, own double, error double"), "index")
-    base_n = {r[0]: r[1] for r in index.groupBy("home").count().collect()}  # one count a list
+    index = stored(groups.mapInPandas(tidied(place), "u binary, id long, n long, home int, far double, codes binary, own double, error double"), "index")
+    # one count and two radii a list come to the driver; neighbouring lists fill a bin up to a block
+    files = index.groupBy("home").agg(F.count("*").alias("n"), F.min("far").alias("low"), F.max("far").alias("high")).orderBy("home").collect()
+    held, low, high = (np.array([r[c] for r in files], dtype=t) for c, t in (("home", int), ("low", float), ("high", float)))
+    bin_of: dict[int, int] = {}
+    base_n: dict[int, int] = {}
+    for r in files:
+        last = len(base_n) - 1
+        at = last if last >= 0 and base_n[last] + r["n"] <= block_rows else last + 1
+        bin_of[r["home"]], base_n[at] = at, base_n.get(at, 0) + r["n"]
+
+    def look(batches):
+        """Bins to look through: a pair in two bins is found from the later one, for both."""
+        bins = np.array([bin_of[h] for h in held.tolist()], dtype=int)
+        starts = np.flatnonzero(np.diff(bins, prepend=-1))
+        for b in batches:
+            out = b.copy()
+            own, near = np.array([bin_of[h] for h in b["home"].tolist()], dtype=np.int32), []
+            u = matrix(b["u"])
+            for a in range(0, len(b), 512):
+                part = slice(a, a + 512)
+                some = np.logical_or.reduceat(within(u[part], b["home"].to_numpy()[part], fitted, held, low, high, cosine), starts, axis=1)
+                near += [np.flatnonzero(row[: i + 1]).tolist() for row, i in zip(some, own[part].tolist())]
+            yield out.assign(bin=own, near=near)
+
+    index = stored(index.mapInPandas(tidied(look), "u binary, id long, n long, home int, far double, codes binary, own double, error double, bin int, near array<int>"), "looks")
     query_n = {r[0]: r[1] for r in index.select(F.explode("near").alias("l")).groupBy("l").count().collect()}
     table = lambda n: F.create_map(*[F.lit(x) for i, c in (n or {0: 1}).items() for x in (int(i), -(-c // block_rows))])
     b_blocks, q_blocks = table(base_n), table(query_n)
     left = (
-        index.select("u", "id", "n", "near", "codes", "own", "error", F.col("home").alias("list"))
-        .withColumn("block", F.pmod(F.xxhash64("id"), b_blocks[F.col("list")]).cast("int"))
-        .withColumn("q_block", F.explode(F.sequence(F.lit(0), q_blocks[F.col("list")] - 1)))
+        index.select("u", "id", "n", "home", "codes", "own", "error", "bin")
+        .withColumn("block", F.pmod(F.xxhash64("id"), b_blocks[F.col("bin")]).cast("int"))
+        .withColumn("q_block", F.explode(F.sequence(F.lit(0), q_blocks[F.col("bin")] - 1)))
     )
     right = (
-        index.select("u", "id", "n", "home", F.explode("near").alias("list"))
-        .filter(b_blocks[F.col("list")].isNotNull())
-        .withColumn("q_block", F.pmod(F.xxhash64("id", F.lit(1)), q_blocks[F.col("list")]).cast("int"))
-        .withColumn("block", F.explode(F.sequence(F.lit(0), b_blocks[F.col("list")] - 1)))
+        index.select("u", "id", "n", F.col("bin").alias("own_bin"), F.explode("near").alias("bin"))
+        .withColumn("q_block", F.pmod(F.xxhash64("id", F.lit(1)), q_blocks[F.col("bin")]).cast("int"))
+        .withColumn("block", F.explode(F.sequence(F.lit(0), b_blocks[F.col("bin")] - 1)))
     )
 
-    def compare(key, x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+    def compare(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         """Links of a block as counts and trees: (id, other, n) with other a node of the same component."""
         empty = pd.DataFrame({"id": [], "other": [], "n": []})
         if not len(x) or not len(q):
             return empty
-        j, i = links(x, q, fitted, int(key[0]), cosine)
+        j, i = links(x, q, fitted, cosine)
         xi, qi = x["id"].to_numpy()[i], q["id"].to_numpy()[j]
         apart = xi != qi
         i, j, xi, qi = i[apart], j[apart], xi[apart], qi[apart]
         if not i.size:
             return empty
-        # each vector counts what it finds; it also counts for a partner that does not visit its list
-        visits = np.zeros((len(x), len(fitted.centres)), dtype=bool)
-        visits[np.repeat(np.arange(len(x)), x["near"].map(len)), np.concatenate(x["near"].to_list())] = True
-        looks = visits[i, q["home"].to_numpy()[j]]
+        # each vector counts what it finds; it also counts for a partner in an earlier bin, which does not look here
+        looks = (q["own_bin"] == x["bin"].iloc[0]).to_numpy()[j]
         ids = np.concatenate([qi, xi[~looks]])
         n = np.concatenate([x["n"].to_numpy()[i], q["n"].to_numpy()[j[~looks]]])
         who, at = np.unique(ids, return_inverse=True)
@@ -180,7 +228,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, lists: int | None =
         free_memory()
         return pd.concat([counts, trees[trees["id"] != trees["other"]]], ignore_index=True)
 
-    keys = ["list", "block", "q_block"]
+    keys = ["bin", "block", "q_block"]
     found = stored(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "id long, other long, n long"), "links")
     linked = found.groupBy("id").agg(F.sum("n").alias("found"))
     labels = components(found.filter("id <> other"), "id", "other").select(F.col("node").alias("id"), "component")

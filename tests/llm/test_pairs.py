@@ -46,6 +46,19 @@ def test_near_vectors_match_brute_force(spark):
     assert near_vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_vectors_are_whole_in_many_lists(spark):
+    # a third of the rows lie in one cluster of mean cosine 0.9, dealt over far more lists than hold most of a vector's pairs
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 64))
+    x[:1000] = 3 * rng.normal(size=64) + rng.normal(size=(1000, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.9).sum(1) - 1
+    found = near_vectors.near_duplicates(df, lists=256, block_rows=512).toPandas().set_index("vec_id").n_links
+    assert want.sum() > 100_000
+    assert (found.loc[range(len(x))].to_numpy() == want).all(), (found.sum(), want.sum())
+
+
 def test_nearest_recall_and_edges(spark):
     x, df = vectors(spark, 1, 1500)
     found = nearest.search(df, df.filter("vec_id % 100 = 0")).toPandas()
