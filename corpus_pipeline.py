@@ -38,11 +38,25 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of copies and near copies."""
+    """Keeps one document of each class of copies and near copies: rows are told apart by id and text, not by id alone.
+
+    Of a class the row of the smallest id stays, a null id last; blank texts are copies of nothing.
+    """
     from palimpsest.llm.near_texts import near_duplicates as classes
 
-    dropped = classes(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(dropped.hint("shuffle_merge"), "doc_id", "left_anti").select(*COLUMNS)
+    # text whose order is that of the ids, also below zero
+    whole = docs.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long")
+    number = F.lpad(F.hex(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(2**63)))), 16, "0") if whole else F.col("doc_id").cast("string")
+    digest = F.base64(F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    key = F.concat(F.when(F.col("doc_id").isNull(), "1").otherwise(F.concat(F.lit("0"), number)), F.lit(" "), digest)
+    rows = docs.select(*COLUMNS, key.alias("row_key"))
+    dropped = classes(rows, id_col="row_key").filter(~F.col("kept")).select("row_key").distinct()
+    kept = rows.join(dropped.hint("shuffle_merge"), "row_key", "left_anti")
+    again = rows.filter(F.col("text").rlike(r"(?U)[^\s\x1c-\x1f]")).groupBy("row_key").count().filter("count > 1").select("row_key")
+    again = stored(again, "again")
+    once = kept.join(again.hint("shuffle_merge"), "row_key", "left_anti").select(*COLUMNS)
+    one = kept.join(again.hint("shuffle_merge"), "row_key", "left_semi").groupBy("row_key").agg(F.min(F.struct(*COLUMNS)).alias("row"))
+    return once.unionByName(one.select("row.*"))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

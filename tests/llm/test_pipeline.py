@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
@@ -19,3 +21,14 @@ def test_stages_keep_what_they_should(spark, sf_dir):
         docs, before = out, out.count()
     pieces = corpus_pipeline.packing(spark, docs, sf_dir)
     assert pieces.select("doc_id").distinct().count() == before
+
+
+def test_near_duplicates_keep_one_row_of_each_class(spark):
+    rng = random.Random(3)
+    a, b, c, d, e = (" ".join(f"w{rng.randrange(5000)}" for _ in range(60)) for _ in range(5))
+    rows = [(7, a), (7, a), (None, b), (None, b), (None, c), (3, c), (5, d), (9, d + " more"), (9, e), (11, None), (11, None), (12, " "), (12, " "), (-4, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.near_duplicates(spark, docs, None)
+    assert out.columns == docs.columns
+    want = [(-4, a), (None, b), (3, c), (5, d), (9, e), (11, None), (11, None), (12, " "), (12, " ")]
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted(want, key=repr)
