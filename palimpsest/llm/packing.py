@@ -23,20 +23,17 @@ from pyspark.sql import functions as F
 
 from .common import text_or_empty
 from .token_counts import byte_chars
+from .words import DIGIT, SPACE, WordNumbers, code_points, kinds
 
 #: Anything but these goes through the library: no apostrophes (contractions), no characters with
 #: composition, casing or white-space rules of their own.
 _OTHER = re.compile("[^\t\n\r\x20-\x26\x28-\x7e¡-§©«¬®°±¶·»¿-ÿŒœ–—“-„…€]")
-_SPACE, _LETTER, _DIGIT, _MARK = 0, 1, 2, 3
-#: Slots of the memo, by the upper bits of a word's hash, and neighbours tried before the slow lookup.
-_SLOT_BITS, _PROBES = 21, 4
-_SLOT_MASK = (1 << _SLOT_BITS) - 1
 
 
 class WordEncoder:
     """ids of many texts for a BPE of lower-case words with an end-of-word suffix.
 
-    Words are found and hashed over a whole batch of texts with numpy; each distinct word is encoded once
+    Words are found and numbered over a whole batch of texts with numpy; each distinct word is encoded once
     and remembered (``memo`` words at most, then afresh).
     """
 
@@ -54,7 +51,6 @@ class WordEncoder:
         self.plain = model["type"] == "BPE" and bool(suffix) and "Lowercase" in json.dumps(spec.get("normalizer"))
         added = [t["content"] for t in spec.get("added_tokens", [])]
         self.special = re.compile("|".join(map(re.escape, added)), re.I) if added else None
-        self.memo = memo
         if self.plain:
             # the end of a word is the byte 255, which UTF-8 never holds; ranks in the order of merging
             chars = byte_chars()
@@ -71,51 +67,16 @@ class WordEncoder:
                     to_id[r] = i
             self.to_id = to_id
             self.piece = tiktoken.Encoding("words", pat_str=".+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-            table = np.full(0x2100, _MARK, dtype=np.uint8)
-            for c in range(0x2100):
-                ch = chr(c)
-                table[c] = _SPACE if ch.isspace() else _LETTER if ch.isalpha() else _DIGIT if ch.isdigit() else _MARK
-            self.table = table
-        self._forget()
+        self.numbering = WordNumbers(self._learn, self._forget, memo)
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
         self.flat, self.lengths, self.starts = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
-        self.slot_hash, self.slot_word = np.zeros(1 << _SLOT_BITS, np.uint64), np.full(1 << _SLOT_BITS, -1, np.int32)
 
-    def _learn(self, joined: str, distinct: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """Numbers of words by hash; those not yet known are encoded and put into the slots."""
-        index = np.empty(distinct.size, dtype=np.int64)
-        known, piece = self.known, self.piece
-        fresh, sizes, n = [], [], self.lengths.size
-        for k, (x, a, z) in enumerate(zip(distinct.tolist(), first.tolist(), last.tolist())):
-            j = known.get(x)
-            if j is None:
-                ids = piece(joined[a:z].encode() + b"\xff")
-                known[x] = j = n + len(sizes)
-                sizes.append(len(ids))
-                fresh += ids
-            index[k] = j
-        if sizes:
-            self.flat = np.concatenate([self.flat, self.to_id[np.array(fresh)]])
-            self.lengths = np.concatenate([self.lengths, np.array(sizes, dtype=np.int64)])
-            self.starts = np.cumsum(self.lengths) - self.lengths
-            h, j = distinct, index
-            for probe in range(_PROBES):
-                at = ((h >> np.uint64(64 - _SLOT_BITS)).astype(np.int64) + probe) & _SLOT_MASK
-                free = self.slot_word[at] < 0
-                self.slot_hash[at[free]], self.slot_word[at[free]] = h[free], j[free]
-                lost = self.slot_hash[at] != h
-                h, j = h[lost], j[lost]
-        return index
-
-    def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if getattr(self, "power", np.empty(0)).size < n:
-            base = np.uint64(0x9E3779B97F4A7C15 | 1)
-            inverse = np.uint64(pow(int(base), -1, 1 << 64))
-            m = 1 << int(n - 1).bit_length()
-            self.power, self.inverse = (np.concatenate([np.ones(1, np.uint64), np.full(m - 1, x, np.uint64)]).cumprod(dtype=np.uint64) for x in (base, inverse))
-        return self.power, self.inverse
+    def _learn(self, words: list[str]) -> None:
+        ids = [self.piece(w.encode() + b"\xff") for w in words]
+        self.flat = np.concatenate([self.flat, self.to_id[np.array([i for p in ids for i in p])]])
+        self.lengths = np.concatenate([self.lengths, np.array([len(p) for p in ids], dtype=np.int64)])
+        self.starts = np.cumsum(self.lengths) - self.lengths
 
     def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
         """One uint32 array a text, closed by ``end``."""
@@ -139,28 +100,13 @@ class WordEncoder:
 
     def _block(self, texts: list[str], block: list[int], out: list, end: int) -> None:
         joined = "\n".join([texts[i] for i in block]).lower() + "\n"
-        cp = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
+        cp = code_points(joined)
         ends = np.cumsum([len(texts[i]) + 1 for i in block])
-        kind = self.table[cp]
-        before = np.concatenate([[_SPACE], kind[:-1]])
-        first = np.flatnonzero((kind != _SPACE) & ((kind != before) | (kind == _DIGIT)))
-        last = np.flatnonzero((kind != _SPACE) & ((kind != np.concatenate([kind[1:], [_SPACE]])) | (kind == _DIGIT))) + 1
-        power, inverse = self._powers(cp.size + 1)
-        mixed = (cp.astype(np.uint64) + np.uint64(0x51ED27)) * np.uint64(0xD6E8FEB86659FD93)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((mixed ^ (mixed >> np.uint64(29))) * power[: cp.size], dtype=np.uint64)])
-        h = (sums[last] - sums[first]) * inverse[first]
-        if len(self.known) > self.memo:
-            self._forget()
-        words = np.full(h.size, -1, dtype=np.int32)
-        slot = (h >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
-        for probe in range(_PROBES):
-            todo = np.flatnonzero(words < 0) if probe else slice(None)
-            at = (slot[todo] + probe) & _SLOT_MASK
-            words[todo] = np.where(self.slot_hash[at] == h[todo], self.slot_word[at], -1)
-        todo = np.flatnonzero(words < 0)
-        if todo.size:
-            distinct, at, which = np.unique(h[todo], return_index=True, return_inverse=True)
-            words[todo] = self._learn(joined, distinct, first[todo[at]], last[todo[at]])[which]
+        kind = kinds()[cp]
+        before, after = np.concatenate([[SPACE], kind[:-1]]), np.concatenate([kind[1:], [SPACE]])
+        first = np.flatnonzero((kind != SPACE) & ((kind != before) | (kind == DIGIT)))
+        last = np.flatnonzero((kind != SPACE) & ((kind != after) | (kind == DIGIT))) + 1
+        words = self.numbering.numbers(joined, cp, first, last)
         n_ids = self.lengths[words]
         done = np.concatenate([[0], np.cumsum(n_ids)])
         ids = self.flat[np.repeat(self.starts[words] - done[:-1], n_ids) + np.arange(done[-1])] if words.size else np.empty(0, np.uint32)

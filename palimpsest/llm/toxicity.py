@@ -243,7 +243,7 @@ def fit(rows: list[tuple[str, int]], steps: int = 40) -> ToxicityModel:
         return model
     vocabulary: list[str] = []
     tokens = Tokens(vocabulary.extend, vocabulary.clear)
-    tokens.numbering.memo = 1 << 62
+    tokens.numbering.memo = tokens.numbering.memo_chars = 1 << 62
     parts, base_text, base_sentence = [], 0, 0
     for a, z in blocks([t for t, _ in rows]):
         words, _, _, text_of, sentence = tokens.of([t for t, _ in rows[a:z]])

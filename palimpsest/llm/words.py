@@ -48,25 +48,28 @@ def span_hashes(cp: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarr
 
 
 class WordNumbers:
-    """Numbers 0, 1, ... for distinct words by their 64-bit hash.
+    """Numbers 0, 1, ... for distinct words.
 
-    ``learn`` is called once with the words not met before, in the order of their numbers; ``forget`` before
-    the numbers start afresh, after ``memo`` words. Two words share a number with a chance below
-    memo**2 / 2**64 a task.
+    A word is looked up by a 64-bit hash and then compared with the word of that number, character by character:
+    words of one hash that differ get numbers of their own. ``learn`` is called with the words not met before, in
+    the order of their numbers; ``forget`` before the numbers start afresh, after ``memo`` words or ``memo_chars``
+    characters of them.
     """
 
-    def __init__(self, learn: Callable[[list[str]], None], forget: Callable[[], None], memo: int = 1_000_000):
-        self.learn, self.on_forget, self.memo = learn, forget, memo
+    def __init__(self, learn: Callable[[list[str]], None], forget: Callable[[], None], memo: int = 1_000_000, memo_chars: int = 1 << 24):
+        self.learn, self.on_forget, self.memo, self.memo_chars = learn, forget, memo, memo_chars
         self._forget()
 
     def _forget(self) -> None:
         self.on_forget()
         self.known: dict[int, int] = {}
+        self.others: dict[str, int] = {}  # words whose hash another word had first
         self.slot_hash, self.slot_word = np.zeros(1 << _SLOT_BITS, np.uint64), np.full(1 << _SLOT_BITS, -1, np.int32)
+        self.chars, self.start, self.size = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def numbers(self, text: str, cp: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """The number of text[first:last] for each span; ``cp`` are the code points of ``text``."""
-        if len(self.known) > self.memo:
+        """The number of text[first:last] for each span, in text order; ``cp`` are the code points of ``text``."""
+        if len(self.known) + len(self.others) > self.memo or self.chars.size > self.memo_chars:
             self._forget()
         h = span_hashes(cp, first, last)
         words = np.full(h.size, -1, dtype=np.int32)
@@ -79,19 +82,51 @@ class WordNumbers:
         if todo.size:
             distinct, at, which = np.unique(h[todo], return_index=True, return_inverse=True)
             words[todo] = self._number(text, distinct, first[todo[at]], last[todo[at]])[which]
+        for k in self._differing(cp, first, last, words).tolist():
+            word = text[first[k] : last[k]]
+            j = self.others.get(word)
+            if j is None:
+                self.others[word] = j = self.size.size
+                self._add([word])
+            words[k] = j
         return words
 
+    def _differing(self, cp: np.ndarray, first: np.ndarray, last: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Spans that are not the word of their number."""
+        same = self.size[words] == last - first
+        some = np.flatnonzero(same & (last > first))
+        done = np.cumsum((last - first)[some])
+        a = 0
+        while a < some.size:  # about a million characters at a time
+            z = max(a + 1, int(np.searchsorted(done, (done[a - 1] if a else 0) + (1 << 20), side="right")))
+            at = some[a:z]
+            n = last[at] - first[at]
+            begin = np.cumsum(n) - n
+            step = np.arange(int(n.sum())) - np.repeat(begin, n)
+            equal = cp[np.repeat(first[at], n) + step] == self.chars[np.repeat(self.start[words[at]], n) + step]
+            if not equal.all():
+                same[at[~np.logical_and.reduceat(equal, begin)]] = False
+            a = z
+        return np.flatnonzero(~same)
+
+    def _add(self, fresh: list[str]) -> None:
+        self.learn(fresh)
+        sizes = np.array([len(w) for w in fresh], dtype=np.int64)
+        self.start = np.concatenate([self.start, self.chars.size + np.cumsum(sizes) - sizes])
+        self.size = np.concatenate([self.size, sizes])
+        self.chars = np.concatenate([self.chars, code_points("".join(fresh))])
+
     def _number(self, text: str, distinct: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         index = np.empty(distinct.size, dtype=np.int64)
-        known, fresh = self.known, []
+        known, fresh, n = self.known, [], self.size.size
         for k, (x, a, z) in enumerate(zip(distinct.tolist(), first.tolist(), last.tolist())):
             j = known.get(x)
             if j is None:
-                known[x] = j = len(known)
+                known[x] = j = n + len(fresh)
                 fresh.append(text[a:z])
             index[k] = j
         if fresh:
-            self.learn(fresh)
+            self._add(fresh)
             h, j = distinct, index
             for probe in range(_PROBES):
                 at = ((h >> np.uint64(64 - _SLOT_BITS)).astype(np.int64) + probe) & _SLOT_MASK

@@ -12,6 +12,14 @@ from palimpsest.llm.pieces import Encoder, decode_ids, decode_texts, encode_text
 from palimpsest.llm.token_counts import count_tokens
 
 TEXTS = [None, "", "The house.", "It's a DON'T  test", "<|endoftext|> a", "naïve café 12345 ½ ²³ a_b", "日本語 á x", "word " * 5000, "The house.", " \n\t "]
+
+
+def twins(n):
+    """The Thue-Morse word of n letters and its complement: polynomial hashes modulo a power of two take them for one."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
 SCHEMA = "doc_id long, text string, n_tokens string, start string"
 
 
@@ -119,3 +127,30 @@ def test_unigram_search_is_the_best_path():
         t = "".join(rng.choice(["a", "b"], n))
         got = [names[i] for i in viterbi(toy, t)]
         assert "".join(got) == t and abs(sum(toy.score[p] for p in got) - best(t)[0]) < 1e-9
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_words_of_one_hash_are_told_apart(n):
+    import sentencepiece
+
+    from palimpsest.llm.words import WordNumbers, code_points, span_hashes
+
+    x, y = twins(n)
+    cp = code_points(x + " " + y)
+    h = span_hashes(cp, np.array([0, n + 1]), np.array([n, 2 * n + 1]))
+    assert h[0] == h[1]
+    learned = []
+    numbering = WordNumbers(learned.extend, learned.clear)
+    for text in (f"{x} {y} {x}", f"{y} {y} {x}", f"{y} z {x}"):
+        cp = code_points(text)
+        first = np.array([0, *(i + 1 for i, c in enumerate(text) if c == " ")])
+        last = np.array([*(i for i, c in enumerate(text) if c == " "), len(text)])
+        assert [learned[k] for k in numbering.numbers(text, cp, first, last)] == text.split(" ")
+    path = public_tokenizers.path("word_bpe_49k.json")
+    lib = Tokenizer.from_file(path)
+    for t, ids in zip((x, y), WordEncoder(path).encode([x, y], 1)):
+        assert ids.tolist() == [*lib.encode(t, add_special_tokens=False).ids, 1]
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    for t, ids in zip((x, y), Encoder(path).encode([x, y])):
+        assert ids.tolist() == sp.encode(t)
