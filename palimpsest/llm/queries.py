@@ -19,9 +19,10 @@ def _vocabulary(name: str) -> str:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .token_counts import count_tokens
+    from .token_counts import cache_folder, count_tokens
 
-    return count_tokens(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+    counts = count_tokens(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), cache_path=cache_folder(spark))
+    return counts.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
 def op2_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,12 +38,24 @@ def test_counts_are_those_of_the_library(spark, tmp_path):
     assert all(r.over_limit == (r.n_tokens > 512) for r in found)
     cache = spark.read.parquet(cache_path)
     assert cache.count() == len({t or "" for t in TEXTS})  # copies are encoded once
+    assert sorted((r.n_bytes, r.n_tokens) for r in count_tokens(docs, path, cache_path=cache_path).collect()) == want
+    assert spark.read.parquet(cache_path).count() == len({t or "" for t in TEXTS})  # a second run encodes nothing
     more = spark.createDataFrame(rows(TEXTS + ["one more"]), SCHEMA)
+    assert count_tokens(more, path, cache_path=cache_path).count() == len(TEXTS) + 1
+    assert spark.read.parquet(cache_path).count() == len({t or "" for t in TEXTS}) + 1  # and one new text one
     again = count_tokens(more, path, cache=cache).collect()
     assert sorted((r.n_bytes, r.n_tokens) for r in again) == sorted(want + [(8, len(lib.encode("one more").ids))])
     assert count_tokens(docs.limit(0), path).count() == 0
 
 
+def test_counts_of_long_white_space(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(path)
+    texts = [" " * 1_000_000, "\n" * 1_000_000, "a" + " \t" * 600_000 + "b", "x" * 1_000_000]
+    found = {r.doc_id: r.n_tokens for r in count_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).collect()}
+    assert found == {i: len(lib.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
 def test_word_ids_are_those_of_the_library():
     path = public_tokenizers.path("word_bpe_49k.json")
     lib, texts = Tokenizer.from_file(path), [t or "" for t in TEXTS]
