@@ -1,8 +1,12 @@
 """Main text of HTML pages by two passes of rules over blocks.
 
 A page falls into blocks at block-level tags. The first pass decides blocks by link density, length and the
-density of stop words, and by the elements around them (menus, forms, adverts and the like). The second lets
+density of stop words, once those of menus, forms, adverts, comments and the like are set apart. The second lets
 the blocks left open, mostly short ones, take the label of the nearest decided neighbours of their region.
+
+What an element is called is evidence that has to hold against the text: a form that holds most of a page's
+running text is the page, a marked article that holds little of it is a teaser, and names that would leave no
+text at all do not count.
 """
 
 from __future__ import annotations
@@ -28,16 +32,27 @@ STOP_WORDS = frozenset(
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NOT_TEXT = frozenset("script style noscript template textarea select svg math iframe object canvas audio video head title".split())
-AROUND = frozenset("nav footer aside form menu button dialog".split())
-AROUND_WORDS = frozenset(
-    """ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav
-    navigation navbar breadcrumb breadcrumbs footer header masthead comment comments reply replies discussion disqus
-    respond cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe
-    signup login share sharing social related recommended recommendations widget pagination pager toolbar tags
-    copyright legal disclaimer skip hidden teaser""".split()
+AROUND = frozenset("nav footer aside menu button dialog".split())
+#: What is around the text whatever else a class name says before it.
+AROUND_LAST = frozenset(
+    """ads advert adverts advertisement advertising sponsored sidebar menu nav navigation navbar breadcrumb breadcrumbs
+    footer masthead comment comments disqus newsletter pagination popup modal toolbar tags""".split()
+)
+#: What is around the text if a class name says nothing else but a place or a shape.
+AROUND_WORDS = AROUND_LAST | frozenset(
+    """ad adsbygoogle sponsor promo promotion banner header reply replies discussion respond cookie cookies consent
+    gdpr notice notices notification alert overlay subscribe signup login share sharing social related recommended
+    recommendations widget pager copyright legal disclaimer skip hidden teaser""".split()
 )
+PLACES = frozenset(
+    """site page web top bottom left right main primary secondary global mobile desktop sticky fixed inline box block
+    container wrapper wrap inner outer holder section area zone slot unit bar list item items links link row col column
+    grid panel button buttons icon icons label title text body content message form field group article articles post
+    posts entry story stories user users reader readers small large""".split()
+)
+CONTENT_WORDS = frozenset("article post entry story page content".split())
 AROUND_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog".split())
-MAIN_WORDS = frozenset("article content post entry main story body text".split())
+MAIN_WORDS = frozenset("article content post entry main story".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -55,41 +70,61 @@ _WORD = re.compile(r"\w+")
 class Block:
     text: str
     link_chars: int
-    around: bool  # in a menu, form, advert and the like
-    main: bool  # in an article or main element
+    around: bool  # in a menu, a footer and the like, or hidden
+    named: bool  # in an element whose class or id says that it is around the text
+    form: int  # number of the form it is in, 0 for none
+    main: int  # 2 in an article or main element, 1 in an element called so, else 0
     heading: bool
     label: str = ""
 
 
-def _surroundings(name: str, attrs: str, in_main: bool) -> tuple[bool, bool]:
-    """Whether an element holds what is around the text; whether it holds the main text."""
+def _named_around(value: str, in_main: bool) -> bool:
+    """Whether a class or id attribute calls an element an advert, a menu, comments and the like."""
+    for token in value.split():
+        words = [w.lower() for w in _WORDS.findall(token)]
+        for k, w in enumerate(words):
+            if w not in AROUND_WORDS:
+                continue
+            others = set(words[:k] + words[k + 1 :])
+            if w == "header" and (in_main or others & CONTENT_WORDS):
+                continue
+            if w in AROUND_LAST and k == len(words) - 1 or all(o in PLACES or o in AROUND_WORDS or len(o) <= 2 for o in others):
+                return True
+    return False
+
+
+def _surroundings(name: str, attrs: str, in_main: bool) -> tuple[bool, bool, int]:
+    """Whether an element is around the text, whether its names say so, and whether it holds the main text."""
     if name in AROUND or (name == "header" and not in_main):
-        return True, False
-    main = name in ("article", "main")
+        return True, False, 0
+    main = 2 if name in ("article", "main") else 0
+    named = False
     if not attrs or "=" not in attrs and "hidden" not in attrs:
-        return False, main
+        return False, False, main
     for key, value in _ATTR.findall(attrs):
         key, value = key.lower(), value.strip("\"'")
         if key in ("class", "id"):
-            words = {w.lower() for w in _WORDS.findall(value)}
-            if name not in ("html", "body", "article", "main", "h1") and words & AROUND_WORDS and not (in_main and words & AROUND_WORDS <= {"header", "body", "text"}):
-                return True, False
-            if name in ("div", "section") and words & MAIN_WORDS:
-                main = True
+            if name not in ("html", "body", "main", "h1"):
+                named |= _named_around(value, in_main)
+            if name in ("div", "section") and any(w.lower() in MAIN_WORDS for w in _WORDS.findall(value)):
+                main = max(main, 1)
         elif key == "role":
             if value.lower() in AROUND_ROLES:
-                return True, False
-            main |= value.lower() in ("main", "article")
+                return True, named, 0
+            if value.lower() in ("main", "article"):
+                main = 2
         elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and "display:none" in value.replace(" ", "").lower():
-            return True, False
-    return False, main
+            return True, named, 0
+    return False, named, 0 if named else main
 
 
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page in order, white space made single spaces; blocks without text are left out."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, around, main
-    around = main = 0
+    stack: list[tuple] = []  # name, around, named, form, main
+    held = [0, 0, 0]  # open elements that are around the text, by name, and forms
+    mains: list[int] = []
+    forms = 0
     parts: list[str] = []
     links: list[str] = []
     in_link = in_head = False
@@ -99,11 +134,17 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal heading
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append(Block(text, len(" ".join(html.unescape("".join(links)).split())), around > 0, main > 0, heading))
+            out.append(Block(text, len(" ".join(html.unescape("".join(links)).split())), held[0] > 0, held[1] > 0, forms if held[2] else 0, max(mains, default=0), heading))
         parts.clear()
         links.clear()
         heading = False
 
+    def close(gone: tuple) -> None:
+        for i in range(3):
+            held[i] -= gone[1 + i]
+        if gone[4]:
+            mains.pop()
+
     at = 0
     for m in _TOKEN.finditer(page):
         if m.start() > at and not in_head:
@@ -137,22 +178,24 @@ def blocks_of(page: str) -> list[Block]:
             if name == "p" or name == "li" and stack and stack[-1][0] == "li":
                 while stack and stack[-1][0] in ("p", "b", "i", "em", "strong", "span", "a", "u") and any(x[0] == "p" for x in stack[-8:]) or stack and stack[-1][0] == name == "li":
                     gone = stack.pop()
-                    around -= gone[1]
-                    main -= gone[2]
+                    close(gone)
                     if gone[0] == name:
                         break
             if m["attrs"].endswith("/") and name not in BLOCKS:
                 continue
-            a, b = _surroundings(name, m["attrs"], main > 0)
-            stack.append((name, a, b))
-            around += a
-            main += b
+            element = (name, *_surroundings(name, m["attrs"], bool(mains)))
+            element = (*element[:3], name == "form", element[3])
+            forms += name == "form" and not held[2]
+            stack.append(element)
+            for i in range(3):
+                held[i] += element[1 + i]
+            if element[4]:
+                mains.append(element[4])
         else:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    for gone in stack[k:]:
-                        around -= gone[1]
-                        main -= gone[2]
+                    for gone in reversed(stack[k:]):
+                        close(gone)
                     del stack[k:]
                     break
     if at < len(page) and not in_head:
@@ -161,7 +204,21 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
-def decide(blocks: list[Block], long: int = 60, short: int = 25, dense: float = 0.12, linked: float = 0.5) -> list[bool]:
+def _region(blocks: list[Block], apart: list[bool], linked: float) -> int:
+    """From which mark on (2: article and main elements, 1: elements called so) a block is in the article; 0: no mark tells.
+
+    Marks count where what they leave out is at most four times (for names: a third of) what they hold.
+    """
+    mass = [0, 0, 0]
+    for b, out in zip(blocks, apart):
+        if not out and b.link_chars <= linked * len(b.text):
+            mass[b.main] += len(b.text)
+    if mass[2] and mass[0] + mass[1] <= 4 * mass[2]:
+        return 2
+    return 1 if mass[1] and 3 * mass[0] <= mass[1] + mass[2] else 0
+
+
+def decide(blocks: list[Block], long: int = 60, short: int = 25, dense: float = 0.12, linked: float = 0.5, names: bool = True) -> list[bool]:
     """Which blocks are main text.
 
     First pass: in surrounding elements or mostly links: no; at least ``long`` characters and a share of
@@ -169,12 +226,25 @@ def decide(blocks: list[Block], long: int = 60, short: int = 25, dense: float =
     blocks on either side within its region (inside the article, or outside); where they differ the nearer
     one's, on a tie that of the text below for a heading and inside an article that of main text.
     """
-    has_main = any(b.main and not b.around for b in blocks)
+    full = []
     for b in blocks:
-        if b.around or b.link_chars > linked * len(b.text):
+        words = _WORD.findall(b.text.lower()) if len(b.text) >= short else []
+        full.append(bool(words) and sum(w in STOP_WORDS for w in words) >= dense * len(words) and b.link_chars <= linked * len(b.text))
+    apart = [b.around or names and b.named for b in blocks]
+    # a form is around the text unless it holds most of it
+    by_form: dict[int, int] = {}
+    for b, ok, out in zip(blocks, full, apart):
+        if ok and not out:
+            by_form[b.form] = by_form.get(b.form, 0) + len(b.text)
+    half = sum(by_form.values()) / 2
+    apart = [out or b.form > 0 and by_form.get(b.form, 0) <= half for b, out in zip(blocks, apart)]
+    region = _region(blocks, apart, linked)
+    inside = [b.main >= region > 0 for b in blocks]
+    for b, ok, out, mine in zip(blocks, full, apart, inside):
+        if out or b.link_chars > linked * len(b.text):
             b.label = "no"
-        elif len(b.text) >= short and (words := _WORD.findall(b.text.lower())) and sum(w in STOP_WORDS for w in words) >= dense * len(words) and (len(b.text) >= long or b.main):
-            b.label = "yes"
+        else:
+            b.label = "yes" if ok and (len(b.text) >= long or mine) else ""
     n = len(blocks)
     left: list[tuple[int, str] | None] = [None] * n
     right: list[tuple[int, str] | None] = [None] * n
@@ -184,10 +254,10 @@ def decide(blocks: list[Block], long: int = 60, short: int = 25, dense: float =
             b = blocks[k]
             if b.label:
                 # an advert or a menu inside the article says nothing about the text beside it
-                if not (b.main and b.label == "no"):
-                    last[b.main] = (k, b.label)
+                if not (inside[k] and b.label == "no"):
+                    last[inside[k]] = (k, b.label)
             else:
-                near[k] = last.get(b.main)
+                near[k] = last.get(inside[k])
     out = []
     for k, b in enumerate(blocks):
         if b.label:
@@ -195,14 +265,16 @@ def decide(blocks: list[Block], long: int = 60, short: int = 25, dense: float =
             continue
         x, y = left[k], right[k]
         if x is None and y is None:
-            out.append(b.main or not has_main)
+            out.append(inside[k] or not region)
         elif x is None or y is None or x[1] == y[1]:
             out.append((x or y)[1] == "yes")
         else:
             dx, dy = k - x[0], y[0] - k
-            out.append((x if dx < dy else y)[1] == "yes" if dx != dy else y[1] == "yes" if b.heading else b.main)
-    if has_main:  # text outside the article is not the article's
-        out = [keep and b.main for keep, b in zip(out, blocks)]
+            out.append((x if dx < dy else y)[1] == "yes" if dx != dy else y[1] == "yes" if b.heading else inside[k])
+    if region:  # text outside the article is not the article's
+        out = [keep and mine for keep, mine in zip(out, inside)]
+    if names and not any(out) and any(b.named for b in blocks):
+        return decide(blocks, long, short, dense, linked, names=False)
     return out
 
 
@@ -214,8 +286,9 @@ def main_text(page: str) -> str:
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
     """``pages`` with the main text of each whole page and n_chars, its code points.
 
-    Null and empty pages, and pages without main text, give an empty text. Repeated rows and null ids are
-    treated like any other; other columns pass untouched, those of the added names are replaced.
+    Null and empty pages, and pages without main text, give an empty text. Pages are read whole, however long,
+    each on its own: repeated rows and null ids are treated like any other, an empty table gives an empty one.
+    Other columns pass untouched, those of the added names are replaced.
     """
 
     def make():
