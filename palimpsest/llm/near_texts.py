@@ -1,13 +1,14 @@
 """Near-duplicate texts by Order MinHash, verified by banded alignment.
 
-A text is the sequence of its five-word shingles. Each of several sketches takes, under its own hash, the few
-smallest occurrence-labelled shingles and keeps them in text order, so that texts agree in a sketch if they share
-these shingles in this order. Texts that agree are candidates; two are linked if an alignment within the band
-that the threshold allows matches enough shingles: matched / (all of both - matched) >= similarity.
+A text is the sequence of its words, sampled by its five-word shingles. Each of several sketches takes, under its
+own hash, the few smallest occurrence-labelled shingles and keeps them in text order, so that texts agree in a
+sketch if they share these shingles in this order, which texts of few edits do. Texts that agree are candidates;
+two are linked if an alignment of their words within the band that the threshold allows matches enough of them:
+matched / (all of both - matched) >= similarity.
 
 Copies (equal up to case and white space) are one text throughout. Of a bucket of texts that agree, all are aligned
 with two representatives first. Those that remain in different components are then compared with the rest of
-their bucket in blocks, where shared shingles are counted by a matrix product and only pairs that could reach
+their bucket in blocks, where shared words are counted by a matrix product and only pairs that could reach
 the threshold are aligned. No bucket is cut short and no pairs are listed.
 """
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import free_memory, stored, tidied
 from .components import components
-from .words import code_points, span_hashes
+from .words import WordNumbers, blocks, code_points, runs
 
 _SPACES = re.compile(r"\s+")
 
@@ -32,18 +33,46 @@ def normalised(text: str) -> str:
     return _SPACES.sub(" ", text.lower()).strip()
 
 
-def shingles(text: str, words: int) -> np.ndarray:
-    """Hashes of the shingles of a normalised text in order; one of all words if there are fewer."""
-    if not text:
-        return np.empty(0, np.uint64)
-    cp = code_points(text)
-    gaps = np.flatnonzero(cp == 32)
-    first, last = np.concatenate([[0], gaps + 1]), np.append(gaps, cp.size)
-    n = max(1, first.size - words + 1)
-    h = span_hashes(cp, first[:n], last[first.size - n :])
-    h ^= h >> np.uint64(31)
+class WordHashes:
+    """64-bit hashes of the words of normalised texts; each distinct word is hashed once a task."""
+
+    def __init__(self):
+        self.numbering = WordNumbers(self._learn, self._forget)
+
+    def _forget(self) -> None:
+        self.values = np.empty(0, np.uint64)
+
+    def _learn(self, words: list[str]) -> None:
+        raw = b"".join(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest() for w in words)
+        self.values = np.concatenate([self.values, np.frombuffer(raw, np.uint64)])
+
+    def of(self, texts: list[str]) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
+        for a, z in blocks(texts):
+            joined = "\n".join(texts[a:z]) + "\n"
+            cp = code_points(joined)
+            first, last = runs((cp != 32) & (cp != 10))
+            number = self.numbering.numbers(joined, cp, first, last)
+            h = self.values[number]
+            ends = np.cumsum([len(t) + 1 for t in texts[a:z]])
+            out += np.split(h, np.searchsorted(first, ends[:-1]))
+        return out
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = h ^ h >> np.uint64(31)
     h *= np.uint64(0x9E3779B97F4A7C15)
-    return h ^ h >> np.uint64(29)
+    h ^= h >> np.uint64(29)
+    return h
+
+
+def shingles(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the shingles of a sequence of words in order; one of all words if there are fewer."""
+    n = max(0, words.size - size) + 1
+    h = words[:n]
+    for k in range(1, min(size, words.size)):
+        h = _mix(h) + words[k : k + n]
+    return _mix(h)
 
 
 def labelled(h: np.ndarray) -> np.ndarray:
@@ -62,60 +91,88 @@ def labelled(h: np.ndarray) -> np.ndarray:
 def sketch(h: np.ndarray, sketches: int, kept: int) -> np.ndarray:
     """One 64-bit key a sketch: its ``kept`` smallest labelled shingles, hashed in text order."""
     x = labelled(h)
-    out = np.empty(sketches, np.uint64)
     k = min(kept, x.size)
-    for s in range(sketches):
-        v = x * np.uint64(2 * s + 0x5851F42D4C957F2D) + np.uint64(s * 0x14057B7EF767814F & 0xFFFFFFFFFFFFFFFF)
+    out = np.empty(sketches, np.uint64)
+    step = max(1, (1 << 18) // x.size)
+    for a in range(0, sketches, step):
+        s = np.arange(a, min(a + step, sketches), dtype=np.uint64)[:, None]
+        v = x[None] * (2 * s + np.uint64(0x5851F42D4C957F2D)) + s * np.uint64(0x14057B7EF767814F)
         v ^= v >> np.uint64(32)
         v *= np.uint64(0xD6E8FEB86659FD93)
-        at = np.sort(np.argpartition(v, k - 1)[:k])
-        key = s + 1
-        for w in x[at].tolist():
-            key = (key * 0x9E3779B97F4A7C15 + w) & 0xFFFFFFFFFFFFFFFF
-            key ^= key >> 29
-        out[s] = key
+        at = np.sort(np.argpartition(v, k - 1, axis=1)[:, :k], axis=1)
+        key = _mix(s[:, 0] + np.uint64(1))
+        for i in range(k):
+            key = _mix(key + x[at[:, i]])
+        out[a : a + step] = key
     return out
 
 
 def needed(a: int, b: int, similarity: float) -> int:
-    """Fewest matched shingles that reach the threshold."""
+    """Fewest matches between sequences of these lengths that reach the threshold."""
     return int(np.ceil(similarity / (1 + similarity) * (a + b) - 1e-9))
 
 
-def similar(a: list[int], b: list[int], similarity: float) -> bool:
-    """Whether the best alignment of two sequences within the band reaches the threshold.
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many elements two sequences share, in whatever order."""
+    return np.intersect1d(labelled(a), labelled(b), assume_unique=True).size if a.size and b.size else 0
 
-    Cells more than a + b - 2 * needed off the diagonal lie on no alignment good enough. One row of the
-    alignment is a whole number whose bits are the columns.
+
+def _matched(a: list[int], b: list[int], ahead: int, behind: int) -> int:
+    """Most matches of an alignment that pairs a[i] with b[j] only where -behind <= i - j <= ahead, or a little beyond.
+
+    A row of the alignment is a whole number whose bits are positions of ``a``, zero where a match ends. Only
+    those within the band are held, for as many columns at a time as the band is wide; bits that have left it
+    are final, and those it has not reached are still ones.
+    """
+    wide = max(256, ahead + behind + 1)
+    start, row, done = 0, 0, 0
+    stop = 0
+    for c in range(0, len(b), wide):
+        s, e = min(len(a), max(start, c - behind)), max(stop, min(len(a), c + wide + ahead))
+        gone = s - start
+        done += gone - (row & ((1 << gone) - 1)).bit_count()
+        row = row >> gone | ((1 << (e - stop)) - 1) << (stop - s) if stop >= s else (1 << (e - s)) - 1
+        done -= max(0, s - stop)
+        start, stop = s, e
+        at: dict[int, int] = {}
+        for i, x in enumerate(a[s:e]):
+            at[x] = at.get(x, 0) | 1 << i
+        full = (1 << (e - s)) - 1
+        for x in b[c : c + wide]:
+            m = at.get(x)
+            if m:
+                u = row & m
+                row = ((row + u) | (row - u)) & full
+    return done + (stop - start) - row.bit_count()
+
+
+def similar(a: np.ndarray, b: np.ndarray, similarity: float, narrow: int = 256) -> bool:
+    """Whether the best alignment of two sequences reaches the threshold.
+
+    Cells further off the diagonal than the threshold lets elements go unmatched lie on no alignment good
+    enough; a narrow band is tried first, as few edits stay within it.
     """
-    if len(a) > len(b):
+    if a.size > b.size:
         a, b = b, a
-    need = needed(len(a), len(b), similarity)
-    if need > len(a) or not a:
+    need = needed(a.size, b.size, similarity)
+    if need > a.size or not a.size:
         return False
-    head = 0  # equal ends are part of a best alignment
-    while head < len(a) and a[head] == b[head]:
-        head += 1
-    tail = 0
-    while tail < len(a) - head and a[-1 - tail] == b[-1 - tail]:
-        tail += 1
+    # equal ends are part of a best alignment
+    differ = np.flatnonzero(a != b[: a.size])
+    head = int(differ[0]) if differ.size else a.size
+    differ = np.flatnonzero(a[head:][::-1] != b[head:][::-1][: a.size - head])
+    tail = int(differ[0]) if differ.size else a.size - head
     if head + tail >= need:
         return True
-    spare = len(a) + len(b) - 2 * need
-    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
-    at: dict[int, int] = {}
-    for i, x in enumerate(a):
-        at[x] = at.get(x, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    row = full
-    window = (1 << (2 * spare + 1)) - 1
-    for j, x in enumerate(b):
-        m = at.get(x)
-        if m:
-            m &= window << j >> spare
-            u = row & m
-            row = ((row + u) | (row - u)) & full
-    return head + tail + len(a) - row.bit_count() >= need
+    need -= head + tail
+    a, b = a[head : a.size - tail], b[head : b.size - tail]
+    if _common(a, b) < need:
+        return False
+    ahead, behind = a.size - need, b.size - need
+    x, y = a.tolist(), b.tolist()
+    if ahead + behind > 2 * narrow + b.size - a.size and _matched(x, y, min(ahead, narrow), min(behind, narrow + b.size - a.size)) >= need:
+        return True
+    return _matched(x, y, ahead, behind) >= need
 
 
 def _block_links(left: pd.DataFrame, right: pd.DataFrame, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -146,43 +203,42 @@ def _block_links(left: pd.DataFrame, right: pd.DataFrame, similarity: float) ->
         return x
 
     out_l, out_r = [], []
-    ll, rl = [None] * len(ls), [None] * len(rs)
     for i, j in zip(*(x.tolist() for x in np.nonzero(common >= need))):
         a, b = find(l_label[i]), find(r_label[j])
-        if a == b:
-            continue
-        ll[i] = ll[i] or ls[i].tolist()
-        rl[j] = rl[j] or rs[j].tolist()
-        if similar(ll[i], rl[j], similarity):
+        if a != b and similar(ls[i], rs[j], similarity):
             root[a] = b
             out_l.append(i)
             out_r.append(j)
     return np.array(out_l, dtype=int), np.array(out_r, dtype=int)
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, sketches: int = 24, kept: int = 4, block_rows: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = 0.85, words: int = 5, sketches: int = 32, kept: int = 3, block_rows: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, class_id, kept) for each row of ``docs``.
 
     class_id: the smallest id reachable by copies and links; kept: true for one row of each class, that with
     this id. Null and empty texts, and texts of white space, are duplicates of nothing. Texts of fewer than
-    ``words`` words are one shingle. Rows with a null id are kept, class_id null; rows that repeat an id and
-    are not null are told apart by their text, and those alike are all kept or all dropped.
+    ``words`` words are one shingle; long ones are sketched and aligned whole. Rows with a null id are kept,
+    class_id null; rows that repeat an id and are not null are told apart by their text, and those alike in both
+    are all kept or all dropped. Other columns are ignored, whatever their names; an empty table gives an empty
+    result.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.col("id").isNotNull())
+    rows = rows.withColumn("own", F.xxhash64("text"))
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def sketched(batches):
+        hashes = WordHashes()
         for b in batches:
-            digest, keys = [], []
-            for t in b["text"]:
-                t = normalised(t) if isinstance(t, str) else ""
-                digest.append(hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest()[:16] if t else None)
-                keys.append(sketch(shingles(t, words), sketches, kept).view(np.int64).tolist() if t else None)
-            yield pd.DataFrame({"id": b["id"], "node": digest, "keys": keys})
-
-    each = stored(rows.mapInPandas(tidied(sketched), f"id {id_type}, node binary, keys array<long>"), "sketches")
+            texts = [normalised(t) if isinstance(t, str) else "" for t in b["text"]]
+            digest = [hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest()[:16] if t else None for t in texts]
+            distinct = {d: t for d, t in zip(digest, texts) if d}
+            keys = {d: sketch(shingles(w, words), sketches, kept).view(np.int64).tolist() for d, w in zip(distinct, hashes.of(list(distinct.values())))}
+            yield pd.DataFrame({"id": b["id"], "own": b["own"], "node": digest, "keys": [keys.get(d) for d in digest]})
+
+    each = stored(rows.select("id", "own", "text").mapInPandas(tidied(sketched), f"id {id_type}, own long, node binary, keys array<long>"), "sketches")
     some = each.filter("node is not null")
-    texts = stored(some.groupBy("node").agg(F.min("id").alias("id"), F.first("keys").alias("keys")), "texts")
+    texts = some.groupBy("node").agg(F.min(F.struct("id", "own")).alias("at"), F.first("keys").alias("keys"))
+    texts = stored(texts.select("node", "at.id", "at.own", "keys"), "texts")
     n_texts = texts.count()
     n_keys = n_texts * sketches
     keyed = texts.select("node", F.explode("keys").alias("key"))
@@ -194,27 +250,24 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, sk
     pairs = members.select("node", F.explode(F.array("one", "two")).alias("with")).filter(F.col("node") != F.col("with"))
     pairs = pairs.select(F.least("node", "with").alias("a"), F.greatest("node", "with").alias("b")).distinct()
     pairs = stored(pairs, "pairs", 2 * n_keys)
-    wanted = members.select("node").distinct().join(texts.select("node", "id"), "node")
+    wanted = members.select("node").distinct().join(texts.select("node", "id", "own"), "node")
+    # one row of each text, found by its id and text; an inner join, as rows alike in both may be many
+    source = rows.join(wanted.hint("shuffle_merge"), ["id", "own"]).select("node", "text")
 
     def sequenced(batches):
+        hashes = WordHashes()
         for b in batches:
-            yield pd.DataFrame({"node": b["node"], "seq": [shingles(normalised(t), words).tobytes() for t in b["text"]]})
-
-    # an id may repeat with other texts: the digest decides
-    source = rows.join(wanted.hint("shuffle_merge"), "id")
-
-    def matching(batches):
-        for b in batches:
-            same = [isinstance(t, str) and hashlib.sha256(normalised(t).encode("utf-8", "surrogatepass")).digest()[:16] == bytes(n) for t, n in zip(b["text"], b["node"])]
-            yield from sequenced([b[same]])
+            texts = {bytes(n): normalised(t) for n, t in zip(b["node"], b["text"])}
+            texts = {n: t for n, t in texts.items() if hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest()[:16] == n}
+            yield pd.DataFrame({"node": list(texts), "seq": [w.tobytes() for w in hashes.of(list(texts.values()))]})
 
-    sequences = stored(source.mapInPandas(tidied(matching), "node binary, seq binary").dropDuplicates(["node"]), "sequences")
+    sequences = stored(source.mapInPandas(tidied(sequenced), "node binary, seq binary").dropDuplicates(["node"]), "sequences")
     seq = lambda c, s: sequences.select(F.col("node").alias(c), F.col("seq").alias(s))
     both = pairs.join(seq("a", "x").hint("shuffle_merge"), "a").join(seq("b", "y").hint("shuffle_merge"), "b")
 
     def verified(batches):
         for b in batches:
-            ok = [similar(np.frombuffer(x, np.uint64).tolist(), np.frombuffer(y, np.uint64).tolist(), similarity) for x, y in zip(b["x"], b["y"])]
+            ok = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similarity) for x, y in zip(b["x"], b["y"])]
             yield b[ok][["a", "b"]]
 
     links = stored(both.select("a", "b", "x", "y").mapInPandas(tidied(verified), "a binary, b binary"), "verified")
