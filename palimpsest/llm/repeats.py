@@ -8,7 +8,12 @@ are refined by the ranks of the suffixes a doubled distance on) and takes common
 text position to text position (Kasai: one position on, a prefix is at most one shorter). Strings that are
 single in their shard of a divided minimiser are merged across shards by binary search in sorted runs.
 
-Nothing is sampled or cut short: the minimiser only decides where a string is looked at.
+Nothing is sampled or cut short: the minimiser only decides where a string is looked at. Texts that are alike are
+one text with its number; if there are several, all of their bytes are repeated, and they only tell about others.
+
+Texts are told apart by 128 bits of their SHA-256. Whether two windows, or two strings of different shards, are equal
+is decided by 64-bit hashes of up to 337 bytes: a false match has a chance of about pairs / 2**64, and the known
+families of strings that such hashes cannot tell apart are longer than that.
 """
 
 from __future__ import annotations
@@ -182,46 +187,51 @@ def _runs(flags: np.ndarray) -> list[list[int]]:
     return np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1], axis=1).tolist()
 
 
-def _packed_windows(docs: DataFrame, width: int, gram: int) -> DataFrame:
+def _texts(docs: DataFrame, width: int) -> DataFrame:
+    """(k1, k2, m, n_bytes, raw): each different text of (k1, k2, text) that holds a string, its number, compressed."""
+    one = docs.filter(F.octet_length("text") >= width).groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count("*").alias("m"))
+
     def run(batches):
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3).compress
         for b in batches:
-            texts = [t.encode("utf-8", "surrogatepass") for t in b["text"]]
-            k1, k2 = b["k1"].to_numpy(), b["k2"].to_numpy()
-            a = 0
-            while a < len(texts):
-                z, size = a, 0
-                while z < len(texts) and (z == a or size + len(texts[z]) <= _BLOCK):
-                    size += len(texts[z])
-                    z += 1
-                text, start, n, low, content = windows(texts[a:z], width, gram)
-                yield pd.DataFrame({"k1": k1[a:z][text], "k2": k2[a:z][text], "start": start.astype(np.int32), "n": n.astype(np.int16), "low": low.view(np.int64), "content": content.view(np.int64)})
-                a = z
+            raw = [t.encode("utf-8", "surrogatepass") for t in b["text"]]
+            yield pd.DataFrame({"k1": b["k1"], "k2": b["k2"], "m": b["m"], "n_bytes": [len(r) for r in raw], "raw": [pack(r) for r in raw]})
 
-    return docs.select("k1", "k2", "text").filter(F.octet_length("text") >= width).mapInPandas(tidied(run), "k1 long, k2 long, start int, n short, low long, content long")
+    return stored(one.mapInPandas(tidied(run), "k1 long, k2 long, m long, n_bytes long, raw binary"), "texts")
 
 
-def _compressed(docs: DataFrame) -> DataFrame:
-    """(k1, k2, raw): texts as compressed bytes, for the shuffle."""
+def _packed_windows(texts: DataFrame, width: int, gram: int) -> DataFrame:
     def run(batches):
         import zstandard
 
-        pack = zstandard.ZstdCompressor(level=3).compress
+        unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            yield pd.DataFrame({"k1": b["k1"], "k2": b["k2"], "raw": [pack(t.encode("utf-8", "surrogatepass")) for t in b["text"]]})
+            k1, k2, m, sizes = (b[c].to_numpy() for c in ("k1", "k2", "m", "n_bytes"))
+            a = 0
+            while a < len(b):
+                z, size = a, 0
+                while z < len(b) and (z == a or size + sizes[z] <= _BLOCK):
+                    size += sizes[z]
+                    z += 1
+                text, start, n, low, content = windows([unpack(r) for r in b["raw"].iloc[a:z]], width, gram)
+                yield pd.DataFrame({"k1": k1[a:z][text], "k2": k2[a:z][text], "m": m[a:z][text], "start": start.astype(np.int32), "n": n.astype(np.int16), "low": low.view(np.int64), "content": content.view(np.int64)})
+                a = z
 
-    return docs.select("k1", "k2", "text").mapInPandas(tidied(run), "k1 long, k2 long, raw binary")
+    return texts.select("k1", "k2", "m", "n_bytes", "raw").mapInPandas(tidied(run), "k1 long, k2 long, m long, start int, n short, low long, content long")
 
 
-def repeated_spans(docs: DataFrame, width: int = 200, gram: int = 64, shard_bytes: int = 1 << 20) -> DataFrame:
-    """(k1, k2, spans) for the texts of (k1, k2, text) that hold a repeated string.
+def repeated_spans(texts: DataFrame, width: int = 200, gram: int = 64, shard_bytes: int = 1 << 20) -> DataFrame:
+    """(k1, k2, spans) for the single texts of ``_texts`` that hold a repeated string.
 
     spans: byte intervals (from, to) covered by strings of ``width`` bytes that start anywhere else too.
     """
-    spark = docs.sparkSession
-    every = _packed_windows(docs, width, gram)
+    spark = texts.sparkSession
+    every = _packed_windows(texts, width, gram)
     again = stored(every.select("low").groupBy("low").agg(F.count("*").alias("times")).filter("times > 1").select("low"), "minimisers")
     found = stored(every.join(again.hint("shuffle_merge"), "low"), "windows")
-    contents = found.groupBy("low", "content", "n").agg(F.count("*").alias("times"), F.min(F.struct("k1", "k2", "start")).alias("at"))
+    contents = found.groupBy("low", "content", "n").agg(F.sum("m").alias("times"), F.min(F.struct("k1", "k2", "start")).alias("at"))
     contents = stored(contents.select("low", "content", "n", "times", "at.*"), "contents")
 
     # a minimiser with very many different windows is divided
@@ -251,7 +261,7 @@ def repeated_spans(docs: DataFrame, width: int = 200, gram: int = 64, shard_byte
                         rows, size = [], 0
             yield pd.DataFrame(rows, columns=columns)
 
-    shipped = _compressed(docs).join(by_text.hint("shuffle_merge"), ["k1", "k2"]).select("raw", "some")
+    shipped = texts.select("k1", "k2", "raw").join(by_text.hint("shuffle_merge"), ["k1", "k2"]).select("raw", "some")
     shipped = shipped.mapInPandas(tidied(fetched), "low long, content long, n short, times long, parts int, part int, bytes binary")
     sharded = shipped.withColumn("shard", F.when(F.col("parts") > 1, F.xxhash64("low", "part")).otherwise(F.pmod(F.xxhash64("low"), F.lit(shards))))
 
@@ -323,7 +333,7 @@ def repeated_spans(docs: DataFrame, width: int = 200, gram: int = 64, shard_byte
     crossed = ranges.groupBy("low", "range").applyInPandas(merge, "low long, content long, n short, runs array<array<int>>")
     runs = stored(runs.unionByName(crossed), "runs")
 
-    where = found.join(runs.hint("shuffle_merge"), ["low", "content", "n"])
+    where = found.filter("m = 1").join(runs.hint("shuffle_merge"), ["low", "content", "n"])
     spans = F.transform("runs", lambda r: F.struct((F.col("start") + r[0]).alias("from"), (F.col("start") + r[1] + width).alias("to")))
     return where.select("k1", "k2", spans.alias("spans")).groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
@@ -344,15 +354,16 @@ def kept_bytes(text: bytes, spans) -> tuple[bytes, int, int]:
     return b"".join(parts), sum(z - a for a, z in merged), len(merged)
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows are told apart by id and text; rows alike in both have the same spans."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.withColumn("text", text).withColumn("k1", F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(id_col).isNull())).withColumn("k2", F.xxhash64("text"))
+def _keyed(docs: DataFrame, text_col: str, names: tuple[str, str] = ("k1", "k2")) -> DataFrame:
+    """``docs`` with two numbers that identify the text: 128 bits of its SHA-256."""
+    digest = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
+    return docs.withColumns({k: F.conv(F.substring(digest, at, 16), 16, -10).cast("long") for k, at in zip(names, (1, 17))})
 
 
 def _cut(docs: DataFrame, width: int, gram: int) -> DataFrame:
-    """(k1, k2, n_removed, n_spans, kept) for the texts of (k1, k2, text) that lose bytes."""
-    spans = stored(repeated_spans(docs, width, gram), "spans")
+    """(k1, k2, n_removed, n_spans, kept) for the different texts of (k1, k2, text) that lose bytes."""
+    texts = _texts(docs, width)
+    spans = stored(repeated_spans(texts, width, gram), "spans")
 
     def cut(batches):
         import zstandard
@@ -362,41 +373,47 @@ def _cut(docs: DataFrame, width: int, gram: int) -> DataFrame:
             rows = [kept_bytes(unpack(raw), s) for raw, s in zip(b["raw"], b["spans"])]
             yield pd.DataFrame({"k1": b["k1"], "k2": b["k2"], "n_removed": [r[1] for r in rows], "n_spans": [r[2] for r in rows], "kept": [r[0] for r in rows]})
 
-    unique = _compressed(docs).join(spans.hint("shuffle_merge"), ["k1", "k2"])
-    return unique.select("k1", "k2", "raw", "spans").mapInPandas(tidied(cut), "k1 long, k2 long, n_removed long, n_spans long, kept binary")
+    single = texts.select("k1", "k2", "raw").join(spans.hint("shuffle_merge"), ["k1", "k2"])
+    single = single.select("k1", "k2", "raw", "spans").mapInPandas(tidied(cut), "k1 long, k2 long, n_removed long, n_spans long, kept binary")
+    # all of a text that is there again is repeated
+    copies = texts.filter("m > 1").select("k1", "k2", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(b"").alias("kept"))
+    return single.unionByName(copies)
 
 
 def remove_repeats(docs: DataFrame, width: int = 200, gram: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every byte gone that a repeated string of ``width`` bytes covers.
 
-    Texts are judged as given, all copies lose the string. A character that is cut in two is left out whole.
-    Null texts stay null; rows, also repeated ones and those with null ids, are all kept.
+    Texts are judged whole and as given, all copies lose the string. A character that is cut in two is left out
+    whole. Null texts stay null; rows, also repeated ones and those with null ids, are all kept. Other columns pass
+    untouched, whatever their names but _k1, _k2 and _new; an empty table stays empty.
     """
-    keyed = _keyed(docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t")), "_i", "_t").select("k1", "k2", "text")
-    changed = _cut(keyed, width, gram).select("k1", "k2", F.col("kept").alias("_kept")).dropDuplicates(["k1", "k2"])
-    changed = stored(changed, "changed")
+    keyed = _keyed(docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")), "text")
+    changed = stored(_cut(keyed, width, gram).select("k1", "k2", "kept"), "changed")
 
     def readable(batches):
         for b in batches:
-            yield pd.DataFrame({"k1": b["k1"], "k2": b["k2"], "_new": [bytes(x).decode("utf-8", "ignore") for x in b["_kept"]]})
+            yield pd.DataFrame({"_k1": b["k1"], "_k2": b["k2"], "_new": [bytes(x).decode("utf-8", "ignore") for x in b["kept"]]})
 
-    new = changed.mapInPandas(tidied(readable), "k1 long, k2 long, _new string")
-    names = docs.columns
-    own = docs.withColumns({"_k1": F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(id_col).isNull()), "_k2": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
-    joined = own.join(new.withColumnsRenamed({"k1": "_k1", "k2": "_k2"}).hint("shuffle_merge"), ["_k1", "_k2"], "left")
-    return joined.select(*[F.coalesce("_new", F.col(c)).alias(c) if c == text_col else F.col(c) for c in names])
+    new = changed.mapInPandas(tidied(readable), "_k1 long, _k2 long, _new string")
+    own = _keyed(docs, text_col, ("_k1", "_k2"))
+    joined = own.join(new.hint("shuffle_merge"), ["_k1", "_k2"], "left")
+    return joined.select(*[F.coalesce("_new", F.col(c)).alias(c) if c == text_col else F.col(c) for c in docs.columns])
 
 
 def repeats_report(docs: DataFrame, width: int = 200, gram: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256) for each row; null texts count as empty."""
-    keyed = _keyed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t")), "id", "_t").select("id", "k1", "k2", "text")
+    """(id, n_bytes, n_removed, n_spans, kept_sha256) for each row; null texts count as empty.
+
+    Texts are judged whole; repeated rows, and rows with a null id, are occurrences like any other and have a row
+    each. Other columns are ignored, whatever their names; an empty table gives an empty result.
+    """
+    keyed = _keyed(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")), "text")
     changed = _cut(keyed.select("k1", "k2", "text"), width, gram)
 
     def digest(batches):
         for b in batches:
             yield pd.DataFrame({"k1": b["k1"], "k2": b["k2"], "n_removed": b["n_removed"], "n_spans": b["n_spans"], "sha": [hashlib.sha256(x).hexdigest() for x in b["kept"]]})
 
-    cut = stored(changed.mapInPandas(tidied(digest), "k1 long, k2 long, n_removed long, n_spans long, sha string").dropDuplicates(["k1", "k2"]), "cut")
+    cut = stored(changed.mapInPandas(tidied(digest), "k1 long, k2 long, n_removed long, n_spans long, sha string"), "cut")
     whole = keyed.select("id", "k1", "k2", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
     zero = F.lit(0).cast("long")
     return whole.join(cut.hint("shuffle_merge"), ["k1", "k2"], "left").select(F.col("id").alias(id_col), "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("sha", "whole").alias("kept_sha256"))

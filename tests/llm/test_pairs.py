@@ -246,6 +246,19 @@ def test_repeats_of_nothing(spark):
     assert repeats.repeats_report(docs.limit(0)).count() == 0
 
 
+def test_repeats_of_many_rows_of_one_id_and_text(spark):
+    rng = random.Random(9)
+    draw = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    text, tail = draw(300), draw(80)
+    rows = [(7, text)] * 10_000 + [(None, text)] * 3 + [(8, text[50:270] + tail), (9, draw(400)), (9, draw(150))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = collections.Counter(tuple(r) for r in repeats.repeats_report(docs).collect())
+    kept = [hashlib.sha256(t.encode()).hexdigest() for t in ("", tail, rows[-2][1], rows[-1][1])]
+    assert found == {(7, 300, 300, 1, kept[0]): 10_000, (None, 300, 300, 1, kept[0]): 3, (8, 300, 220, 1, kept[1]): 1, (9, 400, 0, 0, kept[2]): 1, (9, 150, 0, 0, kept[3]): 1}
+    left = collections.Counter(tuple(r) for r in repeats.remove_repeats(docs).collect())
+    assert left == {(7, ""): 10_000, (None, ""): 3, (8, tail): 1, (9, rows[-2][1]): 1, (9, rows[-1][1]): 1}
+
+
 def test_suffix_array_and_prefixes():
     rng = random.Random(2)
     for trial in range(40):
