@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import free_memory, stored, tidied
 from .components import components
-from .vectors import matrix, packed, sample, usable
+from .vectors import matrix, packed, parted, sample
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
@@ -130,12 +130,14 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, lists: int | None =
 
     n_links: other vectors with a cosine of at least ``cosine``; component_id: the smallest id
     reachable by links. Null, zero and non-finite vectors, and those of another length than most, link with
-    nothing. Rows that repeat an id are one vector each in the counts; a null id stays alone with a null
-    component and is kept. ``lists`` (a power of two near half the square root of the number of vectors,
+    nothing. Rows alike in id and vector are one vector, with a row each in the result; an id that stands with
+    different vectors is so many vectors of one component, each with its own links. A null id stays alone with a
+    null component and is kept. Other columns are ignored, whatever their names; an empty table gives an empty
+    result. ``lists`` (a power of two near half the square root of the number of vectors,
     unless given) and codebooks are fitted on at most ``fit_rows`` vectors; every vector is indexed.
     """
     spark = vectors.sparkSession
-    rows = packed(usable(vectors, id_col, vector_col))
+    rows, rest = parted(vectors, id_col, vector_col)
 
     def scale(batches):
         for b in batches:
@@ -146,8 +148,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, lists: int | None =
             out["u"] = [r.tobytes() for r in x / np.sqrt((x**2).sum(1, keepdims=True))] if len(b) else []
             yield out
 
-    scaled = rows.mapInPandas(tidied(scale), "id long, u binary")
-    groups = stored(scaled.groupBy("u").agg(F.min("id").alias("id"), F.count("*").alias("n")), "distinct")
+    scaled = packed(rows).mapInPandas(tidied(scale), "id long, u binary")
+    # ``tag`` tells vectors apart whose smallest ids are the same
+    groups = stored(scaled.distinct().groupBy("u").agg(F.min("id").alias("id"), F.count("*").alias("n")).withColumn("tag", F.xxhash64("u")), "distinct")
     total = groups.count()
     lists = lists or 1 << max(0, min(10, round(np.log2(max(1.0, total**0.5 / 2)))))
     drawn = sample(groups.select(F.col("u").alias("v")), fit_rows)
@@ -166,7 +169,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, lists: int | None =
                 out = out.assign(home=[], far=[], codes=[], own=[], error=[])
             yield out
 
-    index = stored(groups.mapInPandas(tidied(place), "u binary, id long, n long, home int, far double, codes binary, own double, error double"), "index")
+    index = stored(groups.mapInPandas(tidied(place), "u binary, id long, n long, tag long, home int, far double, codes binary, own double, error double"), "index")
     # one count and two radii a list come to the driver; neighbouring lists fill a bin up to a block
     files = index.groupBy("home").agg(F.count("*").alias("n"), F.min("far").alias("low"), F.max("far").alias("high")).orderBy("home").collect()
     held, low, high = (np.array([r[c] for r in files], dtype=t) for c, t in (("home", int), ("low", float), ("high", float)))
@@ -191,53 +194,52 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, lists: int | None =
                 near += [np.flatnonzero(row[: i + 1]).tolist() for row, i in zip(some, own[part].tolist())]
             yield out.assign(bin=own, near=near)
 
-    index = stored(index.mapInPandas(tidied(look), "u binary, id long, n long, home int, far double, codes binary, own double, error double, bin int, near array<int>"), "looks")
+    index = stored(index.mapInPandas(tidied(look), "u binary, id long, n long, tag long, home int, far double, codes binary, own double, error double, bin int, near array<int>"), "looks")
     query_n = {r[0]: r[1] for r in index.select(F.explode("near").alias("l")).groupBy("l").count().collect()}
     table = lambda n: F.create_map(*[F.lit(x) for i, c in (n or {0: 1}).items() for x in (int(i), -(-c // block_rows))])
     b_blocks, q_blocks = table(base_n), table(query_n)
     left = (
-        index.select("u", "id", "n", "home", "codes", "own", "error", "bin")
+        index.select("u", "id", "n", "tag", "home", "codes", "own", "error", "bin")
         .withColumn("block", F.pmod(F.xxhash64("id"), b_blocks[F.col("bin")]).cast("int"))
         .withColumn("q_block", F.explode(F.sequence(F.lit(0), q_blocks[F.col("bin")] - 1)))
     )
     right = (
-        index.select("u", "id", "n", F.col("bin").alias("own_bin"), F.explode("near").alias("bin"))
+        index.select("u", "id", "n", "tag", F.col("bin").alias("own_bin"), F.explode("near").alias("bin"))
         .withColumn("q_block", F.pmod(F.xxhash64("id", F.lit(1)), q_blocks[F.col("bin")]).cast("int"))
         .withColumn("block", F.explode(F.sequence(F.lit(0), b_blocks[F.col("bin")] - 1)))
     )
 
     def compare(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        """Links of a block as counts and trees: (id, other, n) with other a node of the same component."""
-        empty = pd.DataFrame({"id": [], "other": [], "n": []})
+        """Links of a block as counts and trees: (id, tag, other, n) with other a node of the same component."""
+        empty = pd.DataFrame({"id": [], "tag": [], "other": [], "n": []})
         if not len(x) or not len(q):
             return empty
         j, i = links(x, q, fitted, cosine)
         xi, qi = x["id"].to_numpy()[i], q["id"].to_numpy()[j]
-        apart = xi != qi
-        i, j, xi, qi = i[apart], j[apart], xi[apart], qi[apart]
+        xt, qt = x["tag"].to_numpy()[i], q["tag"].to_numpy()[j]
+        apart = (xi != qi) | (xt != qt)
+        i, j, xi, qi, xt, qt = (v[apart] for v in (i, j, xi, qi, xt, qt))
         if not i.size:
             return empty
         # each vector counts what it finds; it also counts for a partner in an earlier bin, which does not look here
-        looks = (q["own_bin"] == x["bin"].iloc[0]).to_numpy()[j]
-        ids = np.concatenate([qi, xi[~looks]])
-        n = np.concatenate([x["n"].to_numpy()[i], q["n"].to_numpy()[j[~looks]]])
-        who, at = np.unique(ids, return_inverse=True)
-        counts = pd.DataFrame({"id": who, "other": who, "n": np.bincount(at, weights=n).astype(np.int64)})
+        back = ~(q["own_bin"] == x["bin"].iloc[0]).to_numpy()[j]
+        n = np.concatenate([x["n"].to_numpy()[i], q["n"].to_numpy()[j[back]]])
+        counts = pd.DataFrame({"id": np.concatenate([qi, xi[back]]), "tag": np.concatenate([qt, xt[back]]), "n": n}).groupby(["id", "tag"], as_index=False).sum()
         node, root = _forest(xi, qi)
-        trees = pd.DataFrame({"id": node, "other": root, "n": 0})
+        trees = pd.DataFrame({"id": node, "tag": 0, "other": root, "n": 0})
         free_memory()
-        return pd.concat([counts, trees[trees["id"] != trees["other"]]], ignore_index=True)
+        return pd.concat([counts.assign(other=counts["id"])[["id", "tag", "other", "n"]], trees[trees["id"] != trees["other"]]], ignore_index=True)
 
     keys = ["bin", "block", "q_block"]
-    found = stored(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "id long, other long, n long"), "links")
-    linked = found.groupBy("id").agg(F.sum("n").alias("found"))
-    labels = components(found.filter("id <> other"), "id", "other").select(F.col("node").alias("id"), "component")
-    per_group = groups.join(linked, "id", "left").join(labels, "id", "left")
-    per_group = stored(per_group.select("u", (F.col("n") - 1 + F.coalesce("found", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id")), "groups")
+    found = stored(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "id long, tag long, other long, n long"), "links")
+    linked = found.groupBy("id", "tag").agg(F.sum("n").alias("found"))
+    # an id of several vectors makes one component of theirs
+    named = scaled.distinct().join(groups.select("u", F.col("id").alias("first")).hint("shuffle_merge"), "u").select("id", "first")
+    several = named.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")
+    shared = named.join(several.hint("shuffle_merge"), "id").filter("id <> first").select("id", F.col("first").alias("other"))
+    labels = components(found.filter("id <> other").select("id", "other").unionByName(shared), "id", "other").select(F.col("node").alias("id"), "component")
+    per_group = groups.join(linked, ["id", "tag"], "left").join(labels, "id", "left")
+    per_group = stored(per_group.select("u", (F.col("n") - 1 + F.coalesce("found", F.lit(0))).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id")), "groups")
     members = scaled.join(per_group.hint("shuffle_merge"), "u").select("id", "n_links", "component_id")
-    # rows that repeat an id: the id has the links of its vectors together and their smallest component
-    members = members.groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
-    own = F.col(id_col).cast("long")
-    out = vectors.select(own.alias("_id")).join(members.withColumnRenamed("id", "_id"), "_id", "left")
-    component = F.coalesce("component_id", "_id")
-    return out.select(F.col("_id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("_id") == component, F.lit(True)).alias("kept"))
+    alone = rest.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    return members.unionByName(alone).select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """Distinct (id, v): rows whose id and components are not null, finite and not all zero.
+def parted(df: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, v) whose id and components are not null, finite and not all zero; (id) of the rows that are not so.
 
     Vectors of another length than most have are left out: no distance to the others is defined.
     """
@@ -19,9 +19,16 @@ def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
         raise TypeError(f"{vector_col} is not an array")
     v = F.col(vector_col).cast("array<double>")
     fine = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & F.exists(v, lambda x: x != 0)
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).filter(F.col("id").isNotNull() & fine)
-    sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return rows.filter(F.size("v") == (sizes[0]["n"] if sizes else 0))
+    number = F.col(id_col).cast("long")
+    good = F.coalesce(number.isNotNull() & fine, F.lit(False))
+    sizes = df.filter(good).groupBy(F.size(vector_col).alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
+    good &= F.coalesce(F.size(vector_col) == (sizes[0]["n"] if sizes else 0), F.lit(False))
+    return df.filter(good).select(number.alias("id"), F.col(vector_col).alias("v")), df.filter(~good).select(number.alias("id"))
+
+
+def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """The rows (id, v) that take part, see ``parted``."""
+    return parted(df, id_col, vector_col)[0]
 
 
 def packed(df: DataFrame) -> DataFrame:

@@ -47,6 +47,15 @@ def test_near_vectors_match_brute_force(spark):
     assert near_vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_vectors_of_repeated_rows_and_ids(spark):
+    a, b, c = [1.0, 0.0, 0.0], [1.0, 0.1, 0.0], [0.0, 0.0, 1.0]
+    rows = [(5, a), (5, a), (5, a), (6, b), (2, c), (6, c), (8, a), (None, a), (9, None), (9, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 n", "2 tag")
+    found = collections.Counter(tuple(r) for r in near_vectors.near_duplicates(df).collect())
+    # 6 stands with b, near the vectors of 5 and 8, and with c, that of 2: one component
+    assert found == {(5, 2, 2, False): 3, (6, 2, 2, False): 1, (8, 2, 2, False): 1, (2, 1, 2, True): 1, (6, 1, 2, False): 1, (None, 0, None, True): 1, (9, 0, 9, True): 2}
+
+
 def test_near_vectors_are_whole_in_many_lists(spark):
     # a third of the rows lie in one cluster of mean cosine 0.9, dealt over far more lists than hold most of a vector's pairs
     rng = np.random.default_rng(8)
