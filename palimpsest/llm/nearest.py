@@ -1,8 +1,10 @@
-"""Nearest neighbours with a permutation index, exact.
+"""Nearest neighbours with a permutation index, completed to an exact result.
 
-Every vector is posted in the inverted file of its nearest pivot, in blocks of bounded size. A query measures the
-files of its own order of pivots first, which gives it a reach: the distance of the k-th found. Then it measures
-every other file that the triangle inequality and the planes between pivots do not put beyond this reach.
+Every vector is represented by its nearest pivots in order and posted in the inverted file of the first, in blocks
+of bounded size. A query looks into the files of its own nearest pivots, ranks what is posted there by the footrule
+distance of the orders, and measures the best: the k-th distance found is its reach. Then it measures every file
+that the triangle inequality and the planes between pivots do not put beyond this reach, so that nothing is lost
+where orders mislead. A file is copied only to the blocks of queries that visit it.
 
 Equal vectors are indexed once, with their smallest ids: no more of them than a result can hold.
 """
@@ -49,100 +51,134 @@ def _beyond(q: np.ndarray, to: np.ndarray, pivots: np.ndarray, low: np.ndarray,
     return bound - 1e-9 * scale[:, None]
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = 256, lists: int = 32, first: int = 4, block_rows: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def footrule(x: np.ndarray, q: np.ndarray, pivots: int) -> np.ndarray:
+    """Footrule distances of the orders in the rows of q and of x; a pivot that an order lacks stands behind its last."""
+    m = x.shape[1]
+    place = np.full((len(x), pivots), m, dtype=np.int16)
+    np.put_along_axis(place, x.astype(np.int64), np.arange(m, dtype=np.int16)[None], axis=1)
+    out = np.empty((len(q), len(x)), dtype=np.int32)
+    for j, order in enumerate(q.astype(np.int64)):
+        mine = np.full(pivots, m, dtype=np.int16)
+        mine[order] = np.arange(m)
+        out[j] = np.abs(place - mine).sum(1, dtype=np.int32)
+    return out
+
+
+def search(
+    vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int | None = None, drawn_rows: int = 4096, prefix: int = 8, first: int = 4, reranked: int = 64, block_rows: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding"
+) -> DataFrame:
     """(query_id, rank, id, score): the k nearest vectors of each query, by Euclidean distance.
 
     ``queries`` has the columns of ``vectors``; a query never finds rows of its own id. Null, zero and
-    non-finite vectors take no part, neither do null ids; repeated rows count once. Ties go to the smaller id.
-    With fewer candidates all are returned; without queries or vectors the result is empty.
-
-    ``lists`` of ``pivots`` drawn vectors, spread out, have inverted files; the ``first`` nearest files of a
-    query set its reach. These decide the work alone: nothing within reach is left out.
+    non-finite vectors take no part, neither do null ids; repeated rows count once, and an id that stands with
+    different vectors counts with its nearest. Ties go to the smaller id. With fewer candidates all are returned;
+    without queries or vectors the result is empty. Other columns are ignored, whatever their names.
+
+    ``lists`` pivots (a power of two near half the square root of the number of vectors, unless given) are chosen
+    spread out from ``drawn_rows`` drawn vectors; orders hold ``prefix`` of them. ``first`` files are ranked by
+    footrule, and the best ``reranked`` of each block measured for the reach. These decide the work alone:
+    nothing within reach is left out.
     """
-    base = packed(usable(vectors, id_col, vector_col).distinct())
-    base = stored(base, "vectors")
-    asked = packed(usable(queries, id_col, vector_col).distinct()).select("id", "v")
+    base = stored(packed(usable(vectors, id_col, vector_col).distinct()), "vectors")
     # equal vectors once: a query needs k of their ids, and one more in case its own is among them
     ranked = base.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).filter(F.col("n") <= k + 1)
-    distinct = ranked.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    drawn = _spread(sample(base.select("v").distinct(), pivots), lists)
+    distinct = stored(ranked.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")), "distinct")
+    lists = lists or 1 << int(np.clip(round(np.log2(max(1, distinct.count()) ** 0.5 / 2)), 3, 10))
+    drawn = _spread(sample(distinct.select("v"), max(drawn_rows, lists)), lists)
+    prefix = min(prefix, len(drawn))
+    asked = packed(usable(queries, id_col, vector_col, drawn.shape[1]).distinct()).select("id", "v")
+
+    def orders(x: np.ndarray) -> np.ndarray:
+        return np.argsort(_to(x, drawn), axis=1, kind="stable")[:, :prefix].astype("<i2")
 
     def place(batches):
         for b in batches:
-            out = b.copy()
             x = matrix(b["v"])
-            home = ((drawn**2).sum(1)[None] - 2 * x @ drawn.T).argmin(1) if len(b) else np.empty(0, dtype=np.int64)
-            out["list"] = home.astype(np.int32)
-            out["far"] = np.sqrt(((x - drawn[home]) ** 2).sum(1)) if len(b) else np.empty(0)
-            yield out
+            order = orders(x) if len(b) else np.empty((0, prefix), np.int16)
+            home = order[:, 0].astype(np.int32) if len(b) else np.empty(0, np.int32)
+            yield b.assign(order=[r.tobytes() for r in order], list=home, far=np.sqrt(((x - drawn[home]) ** 2).sum(1)) if len(b) else [])
 
     def begin(batches):
         for b in batches:
-            out = b.copy()
-            some = len(b) and len(drawn)
-            out["visits"] = np.argsort(_to(matrix(b["v"]), drawn), axis=1, kind="stable")[:, :first].tolist() if some else [[]] * len(b)
-            yield out
+            order = orders(matrix(b["v"])) if len(b) and len(drawn) else np.empty((len(b), 0), np.int16)
+            yield b.assign(order=[r.tobytes() for r in order], visits=order[:, :first].tolist())
 
-    index = stored(distinct.mapInPandas(place, "v binary, ids array<long>, list int, far double"), "index")
-    asked = stored(asked.mapInPandas(begin, "id long, v binary, visits array<int>"), "queries")
+    index = stored(distinct.mapInPandas(place, "v binary, ids array<long>, order binary, list int, far double"), "index")
+    asked = stored(asked.mapInPandas(begin, "id long, v binary, order binary, visits array<int>"), "queries")
 
     # blocks of bounded size: at most ``lists`` counts and radii come to the driver
     files = {r["list"]: r for r in index.groupBy("list").agg(F.count("*").alias("n"), F.min("far").alias("low"), F.max("far").alias("high")).collect()}
-    n_queries = asked.count()
-    q_blocks = -(-n_queries // block_rows) or 1
-    n_blocks = F.create_map(*[F.lit(x) for i, r in files.items() for x in (i, -(-r["n"] // block_rows))]) if files else F.create_map(F.lit(0), F.lit(1))
-    left = index.withColumn("block", F.pmod(F.xxhash64("v"), n_blocks[F.col("list")]).cast("int")).withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
 
-    def measure(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple] = []
-        if len(x) and len(q):
-            xv, qv, ids = matrix(x["v"]), matrix(q["v"]), x["ids"].tolist()
-            x2, q2, own = (xv**2).sum(1), (qv**2).sum(1), q["id"].tolist()
-            for a in range(0, len(q), 256):
-                square = x2[None] + q2[a : a + 256, None] - 2 * qv[a : a + 256] @ xv.T
-                for j, near in enumerate(square, a):
+    def measured(x: pd.DataFrame, q: pd.DataFrame, some=None) -> list[tuple]:
+        """The k nearest of a block for each query; of ``some`` (one array of positions a query) where given."""
+        xv, qv, ids, own, found = matrix(x["v"]), matrix(q["v"]), x["ids"].tolist(), q["id"].tolist(), []
+        x2, q2 = (xv**2).sum(1), (qv**2).sum(1)
+        for a in range(0, len(q), 256):
+            square = x2[None] + q2[a : a + 256, None] - 2 * qv[a : a + 256] @ xv.T if some is None else None
+            for j in range(a, min(a + 256, len(q))):
+                if some is None:
+                    near = square[j - a]
                     # k + 1 vectors, what ties with the last of them, and what rounding could hide
                     limit = np.partition(near, k)[k] + 1e-9 * (x2.max() + q2[j]) if near.size > k + 1 else np.inf
                     best = np.flatnonzero(near <= limit)
-                    d = np.sqrt(((xv[best] - qv[j]) ** 2).sum(1))
-                    pairs = sorted((s, int(v)) for i, s in zip(best.tolist(), d.tolist()) for v in ids[i] if v != own[j])
-                    found += [(own[j], v, s) for s, v in pairs[:k]]
+                else:
+                    best = some[j]
+                d = np.sqrt(((xv[best] - qv[j]) ** 2).sum(1))
+                pairs = sorted((s, int(v)) for i, s in zip(best.tolist(), d.tolist()) for v in ids[i] if v != own[j])
+                found += [(own[j], v, s) for s, v in pairs[:k]]
+        return found
+
+    def by_order(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        found: list[tuple] = []
+        if len(x) and len(q):
+            far = footrule(matrix(x["order"], "<i2"), matrix(q["order"], "<i2"), len(drawn))
+            n = min(reranked, len(x))
+            found = measured(x, q, np.argpartition(far, n - 1, axis=1)[:, :n])
         return pd.DataFrame(found, columns=["query_id", "id", "score"])
 
-    def visited(rows: DataFrame) -> DataFrame:
+    def by_distance(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(measured(x, q) if len(x) and len(q) else [], columns=["query_id", "id", "score"])
+
+    def visited(rows: DataFrame, look) -> DataFrame:
+        """What ``look`` finds where queries meet the blocks of the files that they visit."""
+        asking = rows.withColumn("list", F.explode("visits")).drop("visits")
+        visitors = {r[0]: r[1] for r in asking.groupBy("list").count().collect()}  # at most one count a file
+        table = lambda n: F.create_map(*[F.lit(x) for i, c in (n or {0: 1}).items() for x in (i, -(-c // block_rows))])
+        x_blocks, q_blocks = table({i: r["n"] for i, r in files.items()}), table(visitors)
+        left = index.filter(q_blocks[F.col("list")].isNotNull()).withColumn("block", F.pmod(F.xxhash64("v"), x_blocks[F.col("list")]).cast("int")).withColumn("q_block", F.explode(F.sequence(F.lit(0), q_blocks[F.col("list")] - 1)))
         right = (
-            rows.withColumn("q_block", F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int"))
-            .withColumn("list", F.explode("visits"))
-            .filter(n_blocks[F.col("list")].isNotNull())
-            .withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks[F.col("list")] - 1)))
-            .drop("visits")
+            asking.filter(x_blocks[F.col("list")].isNotNull())
+            .withColumn("q_block", F.pmod(F.xxhash64("id", "v"), q_blocks[F.col("list")]).cast("int"))
+            .withColumn("block", F.explode(F.sequence(F.lit(0), x_blocks[F.col("list")] - 1)))
         )
         keys = ["list", "block", "q_block"]
-        hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(measure, "query_id long, id long, score double")
+        hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(look, "query_id long, id long, score double")
         # an id whose rows hold different vectors counts with its nearest
         return hits.groupBy("query_id", "id").agg(F.min("score").alias("score"))
 
     def top(hits: DataFrame) -> DataFrame:
         return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))).filter(F.col("rank") <= k)
 
-    begun = stored(top(visited(asked)).drop("rank"), "begun")
+    begun = stored(top(visited(asked, by_order)).drop("rank"), "begun")
     reach = begun.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("n"), F.max("score").alias("reach")).filter(F.col("n") == k).drop("n")
     held = sorted(files)
 
     def go_on(batches):
         low, high = (np.array([files[i][c] if i in files else np.nan for i in range(len(drawn))]) for c in ("low", "high"))
         for b in batches:
-            out = b[["id", "v"]].copy()
+            out = b[["id", "v", "order"]].copy()
             if len(b) and held:
-                v = matrix(b["v"])
-                bound = _beyond(v, _to(v, drawn), drawn, np.nan_to_num(low), np.nan_to_num(high))
-                near = bound <= b["reach"].fillna(np.inf).to_numpy(dtype=float)[:, None]
-                out["visits"] = [[i for i in held if row[i] and i not in set(seen)] for row, seen in zip(near.tolist(), (list(s) for s in b["visits"]))]
+                v, limit, visits = matrix(b["v"]), b["reach"].fillna(np.inf).to_numpy(dtype=float), []
+                for a in range(0, len(b), 512):
+                    part = v[a : a + 512]
+                    bound = _beyond(part, _to(part, drawn), drawn, np.nan_to_num(low), np.nan_to_num(high))
+                    visits += [[i for i in held if row[i]] for row in (bound <= limit[a : a + 512, None]).tolist()]
+                out["visits"] = visits
             else:
                 out["visits"] = [[]] * len(b)
             yield out
 
-    more = asked.join(reach.hint("shuffle_merge"), "id", "left").select("id", "v", "visits", "reach")
-    more = stored(more.mapInPandas(go_on, "id long, v binary, visits array<int>"), "queries")
-    hits = begun.unionByName(visited(more)).groupBy("query_id", "id").agg(F.min("score").alias("score"))
+    more = asked.join(reach.hint("shuffle_merge"), "id", "left").select("id", "v", "order", "reach")
+    more = stored(more.mapInPandas(go_on, "id long, v binary, order binary, visits array<int>"), "queries")
+    hits = begun.unionByName(visited(more, by_distance)).groupBy("query_id", "id").agg(F.min("score").alias("score"))
     return top(hits).select("query_id", "rank", F.col("id").alias(id_col), "score")

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def parted(df: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, DataFrame]:
+def parted(df: DataFrame, id_col: str, vector_col: str, size: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows (id, v) whose id and components are not null, finite and not all zero; (id) of the rows that are not so.
 
-    Vectors of another length than most have are left out: no distance to the others is defined.
+    Vectors of another length than ``size``, or than most have, are left out: no distance to the others is defined.
     """
     kind = df.schema[vector_col].dataType
     if not isinstance(kind, T.ArrayType):
@@ -21,14 +21,16 @@ def parted(df: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, Data
     fine = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & F.exists(v, lambda x: x != 0)
     number = F.col(id_col).cast("long")
     good = F.coalesce(number.isNotNull() & fine, F.lit(False))
-    sizes = df.filter(good).groupBy(F.size(vector_col).alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    good &= F.coalesce(F.size(vector_col) == (sizes[0]["n"] if sizes else 0), F.lit(False))
+    if size is None:
+        sizes = df.filter(good).groupBy(F.size(vector_col).alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
+        size = sizes[0]["n"] if sizes else 0
+    good &= F.coalesce(F.size(vector_col) == size, F.lit(False))
     return df.filter(good).select(number.alias("id"), F.col(vector_col).alias("v")), df.filter(~good).select(number.alias("id"))
 
 
-def usable(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+def usable(df: DataFrame, id_col: str, vector_col: str, size: int | None = None) -> DataFrame:
     """The rows (id, v) that take part, see ``parted``."""
-    return parted(df, id_col, vector_col)[0]
+    return parted(df, id_col, vector_col, size)[0]
 
 
 def packed(df: DataFrame) -> DataFrame:

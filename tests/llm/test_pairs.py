@@ -89,6 +89,21 @@ def test_nearest_recall_and_edges(spark):
     assert nearest.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_footrule_of_prefixes():
+    rng = np.random.default_rng(2)
+    x, q = (np.stack([rng.permutation(12)[:5] for _ in range(n)]) for n in (20, 7))
+    want = [[sum(abs((list(a).index(p) if p in a else 5) - (list(b).index(p) if p in b else 5)) for p in range(12)) for b in x] for a in q]
+    assert nearest.footrule(x, q, 12).tolist() == want
+
+
+def test_nearest_of_repeated_rows_and_odd_queries(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(1, 30)] + [(3, [3.0, 1.0]), (3, [100.0, 1.0])]
+    base = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 v", "2 list", "3 score")
+    asked = spark.createDataFrame([(1, [1.0, 1.0]), (50, [4.0]), (60, [7.0]), (70, None)], "vec_id long, embedding array<double>")
+    found = [tuple(r) for r in nearest.search(base, asked, k=3).orderBy("rank").collect()]
+    assert found == [(1, 1, 2, 1.0), (1, 2, 3, 2.0), (1, 3, 4, 3.0)]
+
+
 def test_nearest_is_whole_beside_a_hot_cluster(spark):
     # a third of the rows lie in one cluster of mean cosine 0.9
     rng = np.random.default_rng(6)
