@@ -1,7 +1,11 @@
 """A training corpus from documents, in five stages: language, toxicity, near-duplicates, repeats, packing.
 
 Each stage is a function (spark, docs, sf_dir) -> DataFrame over all that the one before it kept; all but the
-last return the columns of ``documents``.
+last return the columns of ``documents``. Other columns are left out, whatever their names.
+
+Null and empty texts have no language and go in the first stage. Long texts are judged whole in every stage. Rows
+that repeat an id, or have none, are documents of their own; where id and text are both the same, one row stays. An
+empty table gives an empty corpus; without labels nothing is called toxic.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from palimpsest.llm.common import stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
-#: SQL has no n-gram classifiers, random fields, alignments or suffix arrays: tests compare with brute force.
+#: SQL has no n-gram classifiers, random fields, alignments or suffix arrays: tests compare with plain Python.
 ORACLE_SQL = None
 
 
@@ -30,7 +34,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose score reaches one half."""
+    """Drops documents whose score reaches one half; ties at one half go. Learned from ``labels`` of ids not held out."""
     from palimpsest.llm.toxicity import learn_toxicity, tag_toxicity
 
     model = learn_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -60,14 +64,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes every passage of 200 bytes or more that stands elsewhere too; n_chars follows the text."""
+    """Removes every passage of 200 bytes or more that stands elsewhere too, from each place; n_chars follows the text.
+
+    No row goes, also where nothing of its text is left.
+    """
     from palimpsest.llm.repeats import remove_repeats
 
     return remove_repeats(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 2048 tokens."""
+    """Pieces of sequences of 2048 tokens; a text of which nothing is left is its end id alone."""
     import public_tokenizers
 
     from palimpsest.llm.packing import pack
