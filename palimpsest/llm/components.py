@@ -16,8 +16,8 @@ def _one_way(a: str, b: str, links: DataFrame) -> DataFrame:
     return links.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).filter("a < b").distinct()
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component): the smallest node reachable from each node that has a link.
+def components(links: DataFrame, a: str = "a", b: str = "b", rows: int | None = None) -> DataFrame:
+    """(node, component): the smallest node reachable from each node that has a link; ``rows``: a bound of the links.
 
     First every node stands for its smallest neighbour, and links between the same two of these become one: a
     large group of copies around a few texts shrinks to the links of these few. Then labels take the minimum
@@ -26,7 +26,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     shuffle, and joins are inner ones that adaptive execution may split.
     """
     spark = links.sparkSession
-    given = stored(_one_way(a, b, links), "links")
+    given = stored(_one_way(a, b, links), "links", rows)
     n = given.count()
     parents = stored(_both_ways(given).groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("parent")), "parents", 2 * n)
     of = lambda c: parents.select(F.col("node").alias(c), F.col("parent").alias(f"p{c}")).hint("shuffle_merge")

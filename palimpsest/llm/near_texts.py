@@ -238,7 +238,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.85, words: int = 5, s
     each = stored(rows.select("id", "own", "text").mapInPandas(tidied(sketched), f"id {id_type}, own long, node binary, keys array<long>"), "sketches")
     some = each.filter("node is not null")
     texts = some.groupBy("node").agg(F.min(F.struct("id", "own")).alias("at"), F.first("keys").alias("keys"))
-    texts = stored(texts.select("node", "at.id", "at.own", "keys"), "texts")
+    texts = stored(texts.select("node", "at.id", "at.own", "keys"), "texts", each.count(), 50_000)
     n_texts = texts.count()
     n_keys = n_texts * sketches
     keyed = texts.select("node", F.explode("keys").alias("key"))
@@ -261,7 +261,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.85, words: int = 5, s
             texts = {n: t for n, t in texts.items() if hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest()[:16] == n}
             yield pd.DataFrame({"node": list(texts), "seq": [w.tobytes() for w in hashes.of(list(texts.values()))]})
 
-    sequences = stored(source.mapInPandas(tidied(sequenced), "node binary, seq binary").dropDuplicates(["node"]), "sequences")
+    sequences = stored(source.mapInPandas(tidied(sequenced), "node binary, seq binary").dropDuplicates(["node"]), "sequences", n_texts, 20_000)
     seq = lambda c, s: sequences.select(F.col("node").alias(c), F.col("seq").alias(s))
     both = pairs.join(seq("a", "x").hint("shuffle_merge"), "a").join(seq("b", "y").hint("shuffle_merge"), "b")
 
@@ -270,8 +270,8 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.85, words: int = 5, s
             ok = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), similarity) for x, y in zip(b["x"], b["y"])]
             yield b[ok][["a", "b"]]
 
-    links = stored(both.select("a", "b", "x", "y").mapInPandas(tidied(verified), "a binary, b binary"), "verified")
-    labels = components(links)
+    links = stored(both.select("a", "b", "x", "y").mapInPandas(tidied(verified), "a binary, b binary"), "verified", 2 * n_keys)
+    labels = components(links, rows=2 * n_keys)
 
     # what no representative decided: members of a bucket, other than its representatives, in several components
     rest = members.filter((F.col("node") != F.col("one")) & (F.col("node") != F.col("two"))).select("key", "node")
@@ -279,7 +279,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.85, words: int = 5, s
     sizes = rest.groupBy("key", "label").agg(F.count("*").alias("n"))
     open_keys = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).filter("labels > 1")
     open_keys = stored(open_keys.select("key", "n", F.col("top.label").alias("main"), (F.col("n") - F.col("top.n")).alias("apart")), "open", n_keys)
-    opened = stored(rest.join(open_keys.hint("shuffle_merge"), "key"), "opened")
+    opened = stored(rest.join(open_keys.hint("shuffle_merge"), "key"), "opened", n_keys)
     opened = opened.join(seq("node", "seq").hint("shuffle_merge"), "node")
     blocks_of = lambda c: F.ceil(F.col(c) / block_rows).cast("int")
     upto = lambda c: F.explode(F.sequence(F.lit(0), blocks_of(c) - 1))
@@ -295,8 +295,8 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.85, words: int = 5, s
         return pd.DataFrame({"a": x["node"].to_numpy()[i], "b": y["node"].to_numpy()[j]})
 
     by = ["key", "l_block", "r_block"]
-    more = stored(left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(compare, "a binary, b binary"), "more")
-    labels = components(links.unionByName(more).filter("a <> b"))
+    more = stored(left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(compare, "a binary, b binary"), "more", n_keys)
+    labels = components(links.unionByName(more).filter("a <> b"), rows=2 * n_keys)
 
     named = texts.select("node", F.col("id").alias("first")).join(labels.hint("shuffle_merge"), "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     named = stored(named, "named", n_texts)
