@@ -242,11 +242,11 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.85, words: int = 5, s
     n_texts = texts.count()
     n_keys = n_texts * sketches
     keyed = texts.select("node", F.explode("keys").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("one"), F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node")).alias("two")).filter("n > 1")
+    buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("one"), F.max(F.struct(F.xxhash64("node").alias("h"), "node")).alias("two")).filter("n > 1")
     buckets = stored(buckets.select("key", "n", F.col("one.node").alias("one"), F.col("two.node").alias("two")), "buckets", n_keys)
     members = stored(keyed.join(buckets.hint("shuffle_merge"), "key"), "members", n_keys)
 
-    # every text against the representatives of its buckets
+    # every text against the representatives of its buckets: extremes of one order, so that buckets share them
     pairs = members.select("node", F.explode(F.array("one", "two")).alias("with")).filter(F.col("node") != F.col("with"))
     pairs = pairs.select(F.least("node", "with").alias("a"), F.greatest("node", "with").alias("b")).distinct()
     pairs = stored(pairs, "pairs", 2 * n_keys)
