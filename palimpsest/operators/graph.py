@@ -9,6 +9,7 @@ from palimpsest.catalog import Entry
 from palimpsest.functions.similarity import jaro_winkler
 from palimpsest.operators.joins import revisions
 from palimpsest.operators.temporal import ancestry
+from palimpsest.sources.shared import cut
 from palimpsest.sources.tables import events, table
 
 # Link type by the flag of the line it comes from.
@@ -30,13 +31,15 @@ def undirected(edges: DataFrame) -> DataFrame:
 def reach(edges: DataFrame, seeds: DataFrame, depth: int = 5) -> DataFrame:
     """(node, hops): nodes within ``depth`` undirected hops of any seed (node), by the fewest hops.
 
-    One join a hop; a node keeps the hop it was met at, so cycles add nothing.
+    One join of the nodes met last a hop; a node keeps the hop it was met at, so cycles add nothing. Each hop is
+    written, so that none is computed again by those after it.
     """
-    both = undirected(edges)
-    known = seeds.select("node").distinct().withColumn("hops", F.lit(0))
+    both = cut(undirected(edges))
+    last = known = cut(seeds.select("node").distinct().withColumn("hops", F.lit(0)))
     for hop in range(1, depth + 1):
-        step = known.filter(F.col("hops") == hop - 1).join(both, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), F.lit(hop).alias("hops"))
-        known = known.unionByName(step).groupBy("node").agg(F.min("hops").alias("hops"))
+        step = last.join(both, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+        last = cut(step.join(known.select("node"), "node", "left_anti").withColumn("hops", F.lit(hop)))
+        known = known.unionByName(last)
     return known
 
 
@@ -104,12 +107,12 @@ def g09(spark, sf_dir):
 
 
 def g10(spark, sf_dir):
-    return reach(links(spark, sf_dir).filter("type = 'CALLS'"), _seeds(spark, sf_dir), 3)
+    return reach(links(spark, sf_dir).filter("type = 'CALLS'"), _seeds(spark, sf_dir), 5)
 
 
 def g11(spark, sf_dir):
     e = links(spark, sf_dir).filter("type = 'CITES'")
-    return previous_hops(e, reach(e, _seeds(spark, sf_dir), 2))
+    return previous_hops(e, reach(e, _seeds(spark, sf_dir), 5))
 
 
 def g12(spark, sf_dir):
@@ -119,7 +122,7 @@ def g12(spark, sf_dir):
 
 def g13(spark, sf_dir):
     """Blast radius: distinct nodes within two IMPORTS links against their direction."""
-    e = links(spark, sf_dir).filter("type = 'IMPORTS' and weight > 45").select("src", "dst").distinct()
+    e = links(spark, sf_dir).filter("type = 'IMPORTS'").select("src", "dst").distinct()
     one = e.select(F.col("dst").alias("of"), F.col("src").alias("hit"))
     two = one.join(e, F.col("hit") == F.col("dst")).select("of", F.col("src").alias("hit"))
     return one.unionByName(two).filter("of <> hit").distinct().groupBy("of").agg(F.count("*").alias("n"))
@@ -130,15 +133,17 @@ def g14(spark, sf_dir):
 
 
 def g15(spark, sf_dir):
-    """Trails of up to three CITES links from each seed, with their nodes."""
-    e = links(spark, sf_dir).filter("type = 'CITES' and weight > 40").select("src", "dst").distinct()
+    """Trails of up to four CITES links from each seed, by their length and end: how many, and the first of them."""
+    e = links(spark, sf_dir).filter("type = 'CITES'").select("src", "dst").distinct()
     trail = _seeds(spark, sf_dir).select(F.array("node").alias("path"))
     found = None
-    for _ in range(3):
+    for _ in range(4):
         last = F.element_at("path", -1)
         trail = trail.withColumn("end", last).join(e, F.col("end") == F.col("src")).filter(~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path"))
         found = trail if found is None else found.unionByName(trail)
-    return found.select((F.size("path") - 1).cast("long").alias("hops"), F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+    path = F.array_join(F.transform("path", lambda x: x.cast("string")), ">")
+    ends = found.groupBy((F.size("path") - 1).cast("long").alias("hops"), F.element_at("path", 1).alias("seed"), F.element_at("path", -1).alias("end"))
+    return ends.agg(F.count("*").alias("trails"), F.min(path).alias("path"))
 
 
 def chain_counts(r: DataFrame, cap: int) -> DataFrame:
@@ -165,7 +170,11 @@ def g18(spark, sf_dir, cap: int = 32):
     return revisions(spark, sf_dir).select("source_id", F.md5(line).alias("chain"))
 
 
-def propagate_labels(edges: DataFrame, rounds: int = 3) -> DataFrame:
+#: Rounds of votes of all community queries: more no longer settle, as rows of equal weight swap labels for ever.
+ROUNDS = 3
+
+
+def propagate_labels(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(node, label): each round every node takes the label of the largest weight among its neighbours, ties the smallest.
 
     Sums are partial before they shuffle; a round is one join and two groupings, whatever a node's degree.
@@ -180,13 +189,13 @@ def propagate_labels(edges: DataFrame, rounds: int = 3) -> DataFrame:
 
 
 def g19(spark, sf_dir):
-    return propagate_labels(links(spark, sf_dir).filter("weight > 40"), 2)
+    return propagate_labels(links(spark, sf_dir))
 
 
 def a34(spark, sf_dir):
     """Communities with their size and the links that leave them."""
-    e = links(spark, sf_dir).filter("weight > 40")
-    labels = propagate_labels(e, 1)
+    e = links(spark, sf_dir)
+    labels = propagate_labels(e)
     size = labels.groupBy("label").agg(F.count("*").alias("size"))
     ends = e.join(labels.select(F.col("node").alias("src"), F.col("label").alias("a")), "src").join(labels.select(F.col("node").alias("dst"), F.col("label").alias("b")), "dst")
     out = ends.filter("a <> b").groupBy(F.col("a").alias("label")).agg(F.count("*").alias("leaving"))
@@ -237,7 +246,7 @@ def g32(spark, sf_dir):
 
 
 def g33(spark, sf_dir):
-    labels = propagate_labels(links(spark, sf_dir).filter("weight > 40"), 1)
+    labels = propagate_labels(links(spark, sf_dir))
     return table(spark, sf_dir, "part").join(labels, F.col("p_partkey") == F.col("node"), "left").select("p_partkey", F.coalesce("label", F.lit(-1)).alias("community"))
 
 
@@ -250,13 +259,14 @@ def g34(spark, sf_dir, cap: int = 50):
 _L = "with recursive li as (select l_partkey src, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag) dst, case l_returnflag when 'R' then 'CALLS' when 'A' then 'CITES' else 'IMPORTS' end as type, cast(l_quantity as bigint) weight from lineitem), e as (select * from li where dst is not null and src<>dst), sd as (select p_partkey node from part where p_size=1 and p_brand='Brand#2'), "
 _UND = "u as (select src, dst from e where {w} union select dst, src from e where {w}), b(node, hops) as (select node, 0 from sd union select dst, hops+1 from b join u on src=node where hops<{d}), m as (select node, min(hops) hops from b group by 1) "
 _R = "with r as (select o_custkey id, row_number() over w revision, o_orderkey source_id, o_orderstatus status, o_orderpriority kind, round(o_totalprice,2) amount, lag(o_orderkey) over w prior, lag(o_orderstatus) over w was, lag(o_orderpriority) over w wask, lag(round(o_totalprice,2)) over w wasa from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey)) "
-_LP = "w as (select least(src,dst) a, greatest(src,dst) b, sum(weight) weight from e where weight>40 group by 1,2), n as (select a node, b near, weight from w union all select b, a, weight from w), l0 as (select distinct node, node as label from n)"
+_LP = "w as (select least(src,dst) a, greatest(src,dst) b, sum(weight) weight from e group by 1,2), n as (select a node, b near, weight from w union all select b, a, weight from w), l0 as (select distinct node, node as label from n)"
 
 
 def _round(k: int) -> str:
     return f", v{k} as (select n.node, label, sum(weight) weight from n join l{k - 1} l on l.node=n.near group by 1,2), l{k} as (select node, arg_min(label,(-weight,label)) as label from v{k} group by 1)"
 
 
+_ROUNDS = "".join(_round(k) for k in range(1, ROUNDS + 1))
 ENTRIES = {
     "G01_patches": Entry(g01, "select 'HAS_EVENT' as type, count(*) n, count(distinct user_id) sources, count(distinct event_id) targets from events union all select 'OF_KIND', count(*), count(distinct event_id), count(distinct event_type) from events"),
     "G02_edge_kinds": Entry(g02, _L + "z as (select 1) select type, count(*) n, cast(sum(weight) as bigint) weight from e group by 1"),
@@ -264,23 +274,23 @@ ENTRIES = {
     "G07_coalesced": Entry(g07, "select 'Session' as label, user_id as key, event_type prop, arg_max(json_extract_string(props,'$.k'), event_id) as value from events group by 2,3"),
     "G08_upserts": Entry(g08, "select 'match' as policy, case when p_size>20 then 'old' else 'new' end origin, count(*) n from part where p_size>20 or p_size<30 group by 2 union all select 'replace', case when p_size<30 then 'new' else 'old' end, count(*) from part where p_size>20 or p_size<30 group by 2"),
     "G09_deleted": Entry(g09, _L + "z as (select 1) select type, count(*) n from e where not (type='CITES' and weight<10) group by 1"),
-    "G10_reach": Entry(g10, _L + _UND.format(w="type='CALLS'", d=3) + "select node, hops from m"),
-    "G11_shortest": Entry(g11, _L + _UND.format(w="type='CITES'", d=2) + ", q as (select m.node, m.hops, min(p.node) before from m left join (select u.dst, m.node, m.hops from u join m on u.src=m.node) p on p.dst=m.node and p.hops=m.hops-1 group by 1,2) select * from q"),
+    "G10_reach": Entry(g10, _L + _UND.format(w="type='CALLS'", d=5) + "select node, hops from m"),
+    "G11_shortest": Entry(g11, _L + _UND.format(w="type='CITES'", d=5) + ", q as (select m.node, m.hops, min(p.node) before from m left join (select u.dst, m.node, m.hops from u join m on u.src=m.node) p on p.dst=m.node and p.hops=m.hops-1 group by 1,2) select * from q"),
     "G12_k_hop": Entry(g12, _L + _UND.format(w="true", d=2) + "select hops, count(*) n from m group by 1"),
-    "G13_blast_radius": Entry(g13, _L + "i as (select distinct src, dst from e where type='IMPORTS' and weight>45), h as (select dst as \"of\", src hit from i union select b.dst, a.src from i a join i b on a.dst=b.src) select \"of\", count(*) n from h where \"of\"<>hit group by 1"),
+    "G13_blast_radius": Entry(g13, _L + "i as (select distinct src, dst from e where type='IMPORTS'), h as (select dst as \"of\", src hit from i union select b.dst, a.src from i a join i b on a.dst=b.src) select \"of\", count(*) n from h where \"of\"<>hit group by 1"),
     "G14_callers": Entry(g14, _L + "z as (select 1) select dst, count(distinct src) callers, cast(sum(weight) as bigint) weight from e where type='CALLS' group by 1"),
-    "G15_trails": Entry(g15, _L + "i as (select distinct src, dst from e where type='CITES' and weight>40), t(p, h) as (select [node], 0 from sd union all select list_append(p, dst), h+1 from t join i on i.src=p[-1] where h<3 and not list_contains(p,dst)) select cast(h as bigint) hops, array_to_string(p,'>') path from t where h>0"),
+    "G15_trails": Entry(g15, _L + "i as (select distinct src, dst from e where type='CITES'), t(p, h) as (select [node], 0 from sd union all select list_append(p, dst), h+1 from t join i on i.src=p[-1] where h<4 and not list_contains(p,dst)) select cast(h as bigint) hops, p[1] seed, p[-1] as \"end\", count(*) trails, min(array_to_string(p,'>')) path from t where h>0 group by 1,2,3"),
     "G16_chain": Entry(g16, _R + "select id, revision, least(revision-1,16) as before, least(count(*) over (partition by id)-revision,16) as after from r"),
     "G17_supersedes": Entry(g17, _R + "select b.revision-a.revision as depth, count(*) n from r a join r b on a.id=b.id and b.revision-a.revision between 1 and 8 group by 1"),
     "G18_decisions": Entry(g18, _R + "select source_id, md5(array_to_string(list_reverse(list(source_id) over (partition by id order by revision rows between 31 preceding and current row)),'>')) as chain from r"),
-    "G19_communities": Entry(g19, _L + _LP + _round(1) + _round(2) + " select node, label from l2"),
-    "A34_community_stats": Entry(a34, _L + _LP + _round(1) + ", s as (select label, count(*) size from l1 group by 1), o as (select a.label, count(*) leaving from e join l1 a on a.node=src join l1 b on b.node=dst where weight>40 and a.label<>b.label group by 1) select s.label, size, coalesce(leaving,0) leaving from s left join o using(label)"),
+    "G19_communities": Entry(g19, _L + _LP + _ROUNDS + " select node, label from l3"),
+    "A34_community_stats": Entry(a34, _L + _LP + _ROUNDS + ", s as (select label, count(*) size from l3 group by 1), o as (select a.label, count(*) leaving from e join l3 a on a.node=src join l3 b on b.node=dst where a.label<>b.label group by 1) select s.label, size, coalesce(leaving,0) leaving from s left join o using(label)"),
     "C30_jaro_winkler": Entry(c30, "with n as (select distinct p_name from part), p as (select p_name, lag(p_name) over (order by p_name) other from n) select p_name, other, round(jaro_winkler_similarity(p_name, other),6) score from p where other is not null"),
     "G22_contradictions": Entry(g22, _R + "select 'status' detector, count(*) n from r where was<>status union all select 'kind', count(*) from r where wask<>kind union all select 'amount', count(*) from r where amount<wasa/2"),
     "G23_temporal_links": Entry(g23, _R + "select source_id src, prior dst, case when status=was then 'EVOLVES_FROM' when status='F' then 'OBSOLETES' else 'CONFLICTS_WITH' end as type from r where prior is not null"),
     "G24_cross_project": Entry(g24, "select source, case lang when 'en' then 'English' when 'de' then 'German' else 'French' end project, count(*) n from documents where lang in ('en','de','fr') group by 1,2"),
     "G31_reindex": Entry(g31, "select doc_id, md5(text) hash from documents where md5(text) not in (select md5(text) from documents join labels using(doc_id))"),
     "G32_no_pending": Entry(g32, _L + "z as (select 1) select type, count(*) n from e where weight>=3 group by 1"),
-    "G33_writeback": Entry(g33, _L + _LP + _round(1) + " select p_partkey, coalesce(label,-1) community from part left join l1 on node=p_partkey"),
+    "G33_writeback": Entry(g33, _L + _LP + _ROUNDS + " select p_partkey, coalesce(label,-1) community from part left join l3 on node=p_partkey"),
     "G34_capped": Entry(g34, _L + "g as (select type, src, dst, cast(sum(weight) as bigint) weight from e group by 1,2,3) select *, row_number() over (partition by type order by weight desc, src, dst) pos from g qualify pos<=50"),
 }

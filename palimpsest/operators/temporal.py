@@ -96,7 +96,7 @@ def stamped(df: DataFrame, recorded: Column, created: Column) -> DataFrame:
 
 def t05(spark, sf_dir):
     c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderdate").cast("date").alias("first")), "c_custkey", "left")
-    s = stamped(c.withColumn("valid_from", F.when(F.col("c_acctbal") > 0, F.col("first"))), F.col("first"), F.lit("1970-01-01").cast("date"))
+    s = stamped(c.withColumn("valid_from", F.when(F.col("c_acctbal") > 0, F.lit("1992-01-01").cast("date"))), F.col("first"), F.lit("1970-01-01").cast("date"))
     return s.select("c_custkey", F.date_format("recorded_at", "yyyy-MM-dd").alias("recorded_at"), F.date_format("valid_from", "yyyy-MM-dd").alias("valid_from"))
 
 
@@ -159,7 +159,7 @@ ENTRIES = {
     "T02_actions": Entry(t02, _F + "select state, case when state in ('superseded','expired') then 0.5 when state in ('not_yet_valid','abandoned') then null when state='temporal' then 1.1 else 1.0 end::double factor, count(*) n from s group by 1,2"),
     "T03_rescored": Entry(t03, _F + "select id, round(score*case when state='temporal' then 1.1 else 1.0 end,6) score from s where state in ('temporal','valid','abandoned') order by 2 desc, 1 limit 100"),
     "T04_ancestry": Entry(t04, "with recursive a(node, ancestor, depth) as (select p_partkey, p_partkey//4, 1 from part where p_partkey>0 union all select node, ancestor//4, depth+1 from a where ancestor>0) select node, ancestor, depth from a where node<>ancestor"),
-    "T05_stamped": Entry(t05, "with o as (select o_custkey, min(cast(o_orderdate as date)) f from orders group by 1) select c_custkey, strftime(coalesce(f, date '1970-01-01'),'%Y-%m-%d') recorded_at, strftime(coalesce(f, date '1970-01-01'),'%Y-%m-%d') valid_from from customer left join o on o_custkey=c_custkey"),
+    "T05_stamped": Entry(t05, "with o as (select o_custkey, min(cast(o_orderdate as date)) f from orders group by 1) select c_custkey, strftime(coalesce(f, date '1970-01-01'),'%Y-%m-%d') recorded_at, strftime(case when c_acctbal>0 then date '1992-01-01' else coalesce(f, date '1970-01-01') end,'%Y-%m-%d') valid_from from customer left join o on o_custkey=c_custkey"),
     "T06_timeline": Entry(t06, "select event_id, event_type kind, epoch_us(ts)//1000 ms from events where event_type in ('purchase','signup') and epoch_us(ts)//1000 between 1704844800000 and 1706054400000 and epoch_us(ts)//1000<=1705968000000 order by 3 desc, 1 desc limit 200"),
     "T07_history": Entry(t07, _R + "select id, revision, status, round(amount-lag(amount) over (partition by id order by revision),2) as change from r"),
     "T08_branches": Entry(t08, _R + "select id, case arg_max(status,revision) when 'F' then 'merged' when 'P' then 'abandoned' else 'open' end state, count(*) as changes from r group by 1"),

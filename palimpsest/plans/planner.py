@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.catalog import Entry
-from palimpsest.functions.text import INTENTS, intent, outcome_factor, words
+from palimpsest.functions.text import intent, intent_sql, outcome_factor, words
 from palimpsest.operators.retrieval import bm25, literal_and, ranked, rrf
 from palimpsest.sources.tables import events, table
 
@@ -173,7 +173,7 @@ def f32(spark, sf_dir, budget: int = 32768):
     return c.withColumn("used", F.sum("bytes").over(w)).filter(F.col("used") <= budget // 8).select("conv_id", "turn", "used")
 
 
-_T = "with t as (select conv_id*1000+turn q, text from conversations where role='user'), i as (select q, case " + " ".join(f"when regexp_matches(lower(text),'{p}') then '{n}'" for n, p in INTENTS) + " else 'pre_change_context' end intent from t), p(intent, lane, collection, share, k) as (values " + ", ".join(f"('{i}','{a}','{b}',{s},{k})" for i, lanes in PLANS.items() for a, b, s, k in lanes) + ") "
+_T = "with t as (select conv_id*1000+turn q, text from conversations where role='user'), i as (select q, " + intent_sql("text") + " intent from t), p(intent, lane, collection, share, k) as (values " + ", ".join(f"('{i}','{a}','{b}',{s},{k})" for i, lanes in PLANS.items() for a, b, s, k in lanes) + ") "
 ENTRIES = {
     "R07_lane_requests": Entry(r07, _T + "select intent, lane, collection, count(*) requests, cast(sum(share*40) as bigint) tokens, max(k) k from i join p using(intent) group by 1,2,3"),
     "R15_multipliers": Entry(r15, "select doc_id, round((case when toxic=1 then 0.5 when quality=1 then 1.2 else 1.0 end)*(case when lower(source)='src3' then 1.0 else 0.25 end)*(case when doc_id%10=7 then 2.0 else 1.0 end),6)::double factor from documents join labels using(doc_id)"),

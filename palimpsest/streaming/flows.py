@@ -1,26 +1,25 @@
 """Structured Streaming over the event log: series, session ends, idempotent delivery, budgets, upserts.
 
-The flows read the log as a file stream and run until all that is there is read; state is bounded by event-time
-watermarks, and the output is a table in the shared folder.
+The flows read the log as a file stream and run until all that is there is read; the output is a table in the shared
+folder. Aggregates run in complete mode, their state being one row a group; delivery once keeps no state but the
+delivered rows themselves.
 """
 
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.catalog import Entry
+from palimpsest.sources.shared import remove, shared_folder
 from palimpsest.sources.tables import events, table
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder named by the session; a local one only where none is set, as in tests."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{(configured or tempfile.mkdtemp(prefix='flow-')).rstrip('/')}/flow-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/flow-{uuid.uuid4().hex}"
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str, files_per_trigger: int = 8) -> DataFrame:
@@ -35,19 +34,11 @@ def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 8) -
     return raw.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("session_id"), F.col("event_type").alias("kind"), "value")
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001  the session may have ended already
-        pass
-
-
 def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
     """All results of a stream over what is there now; rows still within the watermark are not yet out in append mode."""
     spark = stream.sparkSession
     base = work_dir(spark)
-    atexit.register(_remove, spark, base)
+    atexit.register(remove, spark, base)
     out = f"{base}/out"
     if mode == "append":
         query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()
@@ -67,27 +58,43 @@ def m06(spark, sf_dir):
     return run_to_end(series(event_stream(spark, sf_dir), "1 hour"), "complete")
 
 
-def session_ends(stream: DataFrame, idle: str = "30 minutes", late: str = "1 hour") -> DataFrame:
-    """Sessions that an idle gap has ended."""
-    s = stream.withWatermark("ts", late).groupBy("session_id", F.session_window("ts", idle).alias("w")).agg(F.count("*").alias("n"))
+def session_ends(stream: DataFrame, idle: str = "30 minutes", late: str | None = None) -> DataFrame:
+    """Sessions that an idle gap ends; with ``late`` only those that a watermark has passed, for append mode."""
+    rows = stream.withWatermark("ts", late) if late else stream
+    s = rows.groupBy("session_id", F.session_window("ts", idle).alias("w")).agg(F.count("*").alias("n"))
     return s.select("session_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
 def m04(spark, sf_dir):
-    """Ended sessions; the same grouping in batch, as the stream holds back what the watermark has not passed."""
-    ev = events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    s = ev.groupBy("session_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n"))
-    return s.select("session_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+    return run_to_end(session_ends(event_stream(spark, sf_dir)), "complete")
+
+
+def delivered_once(stream: DataFrame, keys: list[str], base: str | None = None) -> DataFrame:
+    """One row of each key, however late and in whatever micro-batch its repeats come.
+
+    A batch is what it holds of keys that no earlier batch has delivered, written to a folder of its own; a batch that
+    is run again after a failure replaces it. With the same ``base`` a later call goes on where the last one ended.
+    """
+    spark = stream.sparkSession
+    if base is None:
+        base = work_dir(spark)
+        atexit.register(remove, spark, base)
+    names = ", ".join(f"`{c}` {t}" for c, t in stream.dtypes)
 
+    def deliver(batch: DataFrame, n: int) -> None:
+        fresh = batch.dropDuplicates(keys)
+        if n:
+            earlier = batch.sparkSession.read.schema(f"{names}, batch long").parquet(f"{base}/out").filter(F.col("batch") < n)
+            fresh = fresh.join(earlier.select(*keys), keys, "left_anti").select(*batch.columns)
+        fresh.write.mode("overwrite").parquet(f"{base}/out/batch={n}")
 
-def delivered_once(stream: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
-    """The first row of each key within the watermark."""
-    return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
+    stream.writeStream.foreachBatch(deliver).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(f"{names}, batch long").parquet(f"{base}/out").drop("batch")
 
 
 def m07(spark, sf_dir):
     twice = event_stream(spark, sf_dir)
-    return run_to_end(delivered_once(twice.unionByName(event_stream(spark, sf_dir)), ["event_id"])).select("event_id", "kind")
+    return delivered_once(twice.unionByName(event_stream(spark, sf_dir)), ["event_id"]).select("event_id", "kind")
 
 
 def split_bad(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
