@@ -88,6 +88,7 @@ def delivered_once(stream: DataFrame, keys: list[str], base: str | None = None)
             fresh = fresh.join(earlier.select(*keys), keys, "left_anti").select(*batch.columns)
         fresh.write.mode("overwrite").parquet(f"{base}/out/batch={n}")
 
+    spark.createDataFrame([], stream.schema).write.mode("append").parquet(f"{base}/out/batch=-1")  # also if nothing comes
     stream.writeStream.foreachBatch(deliver).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(f"{names}, batch long").parquet(f"{base}/out").drop("batch")
 
