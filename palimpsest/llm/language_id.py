@@ -172,7 +172,13 @@ def learn_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def predict_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 800) -> DataFrame:
-    """(id, held_out, lang_pred, score, ambiguous) for each row, learned from the rows not held out."""
+    """(id, held_out, lang_pred, score, ambiguous) for each row, learned from the rows not held out.
+
+    Null texts and texts without a letter are ``und`` with score 0. Texts are scored whole, however long, each on its
+    own: repeated rows and null ids like any other. Of languages tied for the first place the first in order is taken,
+    and the row is ambiguous. Other columns are ignored, whatever their names; an empty table gives an empty result,
+    and without labelled rows every text is ``und``.
+    """
     model = learn_languages(docs, id_col, text_col, lang_col, per_language)
     rows = docs.select(F.col(id_col).alias(id_col), text_or_empty(text_col).alias("_text"), held_out(id_col).alias("held_out"))
     found = identify(rows, model, "_text")

@@ -189,8 +189,8 @@ class Windows:
 def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a piece: (id, start, length, ids_crc32, doc_tokens, sequence_id, offset).
 
-    Null texts count as empty: the end id alone. Rows that repeat an id are packed each on its own; other
-    columns are ignored. An empty table gives no pieces. Sequences hold ``size`` ids, or a power of two.
+    Null texts count as empty: the end id alone. Long texts are cut into whole windows and a rest. Rows that repeat
+    an id, or have none, are packed each on its own; other columns are ignored, whatever their names. An empty table gives no pieces. Sequences hold ``size`` ids, or a power of two.
     Memory: one batch of texts, the memo and the partly filled windows.
     """
     kind = docs.schema[id_col].dataType.simpleString()

@@ -181,6 +181,12 @@ def viterbi(v: Vocabulary, text: str) -> list[int]:
 
 @cache
 def vocabulary(path: str) -> Vocabulary:
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    for text in ("a  b ", " a", "\ufb01 \u2460", "e\u0301 A"):
+        if sp.decode(sp.encode(text)) != text:
+            raise ValueError(f"{path} normalises texts, which this search does not")
     return Vocabulary(path)
 
 
@@ -280,7 +286,9 @@ def decode_texts(df: DataFrame, model_path: str, ids_col: str = "ids", text_col:
 def round_trip(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, n_ids, ids_crc32, exact): the ids of each whole text and whether they decode to it.
 
-    ids_crc32 is that of the ids as little-endian unsigned 32-bit numbers. Null texts count as empty.
+    ids_crc32 is that of the ids as little-endian unsigned 32-bit numbers. Null texts count as empty. Texts are
+    encoded whole, however long; repeated rows and null ids have a row each. Other columns are ignored, whatever
+    their names; an empty table gives an empty result. Models that normalise texts are refused.
     """
     rows = df.select(F.col(id_col).alias(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
 

@@ -370,7 +370,12 @@ def tag_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text")
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic: int = 600, clean: int = 1200) -> DataFrame:
-    """(id, held_out, score, predicted, toxic_spans) for each row, learned from the rows not held out."""
+    """(id, held_out, score, predicted, toxic_spans) for each row, learned from the rows not held out.
+
+    Null texts count as empty; texts are scored whole, however long, repeated rows and null ids like any other. An id
+    labelled both ways counts as toxic. A score of one half is toxic. Other columns are ignored, whatever their names;
+    an empty table gives an empty result, and without labels nothing is called toxic.
+    """
     model = learn_toxicity(docs, labels, id_col, text_col, label_col, toxic, clean)
     rows = docs.select(F.col(id_col).alias(id_col), text_or_empty(text_col).alias("_text"), held_out(id_col).alias("held_out"))
     found = tag_toxicity(rows, model, "_text")
