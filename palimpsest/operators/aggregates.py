@@ -103,14 +103,22 @@ def iso_week(ts: str):
     return F.format_string("%04d-W%02d", F.extract(F.lit("YEAROFWEEK"), F.col(ts)).cast("int"), F.weekofyear(ts))
 
 
-def digest_buckets(ev: DataFrame, age_days: int = 7, least: int = 5) -> DataFrame:
-    """(session, ISO week, kind) groups of events older than ``age_days`` with at least ``least`` of them."""
-    old = ev.filter(F.col("ts") < F.expr(f"timestamp_ntz'{NOW}' - interval {age_days} days"))
-    return old.groupBy("session_id", iso_week("ts").alias("week"), "kind").agg(F.count("*").alias("n"), F.concat_ws(",", F.transform(F.sort_array(F.collect_list("event_id")), lambda x: x.cast("string"))).alias("event_ids")).filter(F.col("n") >= least)
+def digest_buckets(ev: DataFrame, by: list[str], age_days: int = 7, least: int = 5) -> DataFrame:
+    """Members of each (``by``, ISO week) bucket of events older than ``age_days``, with its size; buckets of fewer than
+    ``least`` are left out. One row an event, so that no bucket has to fit one row."""
+    old = ev.filter(F.col("ts") < F.expr(f"timestamp_ntz'{NOW}' - interval {age_days} days")).withColumn("week", iso_week("ts"))
+    sizes = old.groupBy("week", *by).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    return old.join(sizes, ["week", *by]).select(*by, "week", "n", "event_id")
 
 
 def a16_digests(spark, sf_dir):
-    return digest_buckets(events(spark, sf_dir))
+    return digest_buckets(events(spark, sf_dir), ["session_id", "kind"])
+
+
+def a17_tool_digests(spark, sf_dir):
+    """By tool, of what succeeded."""
+    calls = events(spark, sf_dir).filter("outcome = 'success'").select("ts", "event_id", F.col("kind").alias("tool"), F.expr("k div 10").alias("repo"))
+    return digest_buckets(calls, ["repo", "tool"])
 
 
 def a18_daily(spark, sf_dir):
@@ -164,9 +172,9 @@ def a30_blobs(spark, sf_dir):
 
 
 def a33_copies(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    ids = F.concat_ws(",", F.transform(F.sort_array(F.collect_list("doc_id")), lambda x: x.cast("string")))
-    return d.groupBy(F.sha2("text", 256).alias("hash")).agg(F.count("*").alias("n"), ids.alias("doc_ids")).filter("n > 1")
+    """Documents whose text another one has too, with the number of its holders."""
+    d = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.sha2("text", 256).alias("hash"))
+    return d.join(d.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1"), "hash").select("hash", "n", "doc_id")
 
 
 def a36_estimate(spark, sf_dir):
@@ -217,7 +225,8 @@ ENTRIES = {
     "A12_touched": Entry(a12_touched, "select l_partkey, count(*) filter (l_returnflag='R') as reads, count(*) filter (l_returnflag='A') as writes, count(*) filter (l_returnflag='N') as others, strftime(max(l_shipdate),'%Y-%m-%d') as last from lineitem group by 1"),
     "A13_axes": Entry(a13_axes, f"with e as (select *, {_DAYS} as day from events) select coalesce(event_type,'unknown') kind, coalesce(day,'unknown') as day, count(*) n, count(distinct user_id) sessions, grouping_id(event_type, day) as level from e group by cube(event_type, day)"),
     "A14_majority": Entry(a14_majority, "with c as (select user_id, event_type, count(*) n from events group by 1,2) select user_id session_id, arg_min(event_type, (-n, event_type)) kind, max(n) votes from c group by 1"),
-    "A16_digest_buckets": Entry(a16_digests, "select user_id session_id, strftime(ts,'%G-W%V') as week, event_type kind, count(*) n, string_agg(cast(event_id as varchar), ',' order by event_id) event_ids from events where ts < timestamp '2024-01-25 00:00:00' group by 1,2,3 having count(*)>=5"),
+    "A16_digest_buckets": Entry(a16_digests, "select user_id session_id, event_type kind, strftime(ts,'%G-W%V') as week, count(*) over (partition by user_id, event_type, strftime(ts,'%G-W%V')) n, event_id from events where ts < timestamp '2024-01-25 00:00:00' qualify n>=5"),
+    "A17_tool_digests": Entry(a17_tool_digests, "select cast(json_extract_string(props,'$.k') as bigint)//10 repo, event_type tool, strftime(ts,'%G-W%V') as week, count(*) over (partition by cast(json_extract_string(props,'$.k') as bigint)//10, event_type, strftime(ts,'%G-W%V')) n, event_id from events where event_type<>'error' and ts < timestamp '2024-01-25 00:00:00' qualify n>=5"),
     "A18_daily": Entry(a18_daily, f"select {_DAYS} as day, event_type kind, count(*) n, round(sum(value),2) as value from events group by 1,2"),
     "A19_monthly": Entry(a19_monthly, "select strftime(o_orderdate,'%Y-%m') as month, coalesce(o_orderpriority,'') tool, count(*) n from orders group by 1,2"),
     "A20_spend": Entry(a20_spend, "select strftime(o_orderdate,'%Y-%m') as month, cast(sum(cast(round(o_totalprice*100) as bigint)) as bigint) cents from orders group by 1"),
@@ -228,7 +237,7 @@ ENTRIES = {
     "A25_conflicts": Entry(a25_conflicts, "select source, lang, min(doc_id) earliest from labels join documents using(doc_id) group by 1,2 having bool_or(quality=1) and bool_or(toxic=1)"),
     "A29_ages": Entry(a29_ages, "select case when (1706745600000-(epoch_us(ts)//1000))//86400000<=7 then 'week' when (1706745600000-(epoch_us(ts)//1000))//86400000<=21 then 'three_weeks' else 'older' end band, count(*) n, round(sum(value),2) as size from events group by 1"),
     "A30_blobs": Entry(a30_blobs, "with d as (select sha256(text) h, any_value(octet_length(encode(text))) b, count(*) r from documents group by 1) select count(*) blobs, cast(sum(b) as bigint) bytes, cast(sum(r) as bigint) refs from d"),
-    "A33_copies": Entry(a33_copies, "select sha256(text) hash, count(*) n, string_agg(cast(doc_id as varchar), ',' order by doc_id) doc_ids from documents group by 1 having count(*)>1"),
+    "A33_copies": Entry(a33_copies, "select sha256(text) hash, count(*) over (partition by sha256(text)) n, doc_id from documents where text is not null qualify n>1"),
     "A36_estimate": Entry(a36_estimate, "select source, count(*) files, cast(sum(ceil(length(text)/4)) as bigint) tokens from documents group by 1"),
     "A37_cents": Entry(a37_cents, "select doc_id, cast((cast(ceil(length(text)/4) as bigint)*150+999999)//1000000 as bigint) cents from documents"),
     "A39_denials": Entry(a39_denials, "select (epoch_us(ts)//1000)//300000 slot, count(*) filter (event_type='error') as denied, count(*) evaluated from events group by 1"),

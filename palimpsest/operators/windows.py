@@ -48,24 +48,30 @@ def w06(spark, sf_dir, after: tuple[int, int] = (1706000000000, 0), n: int = 25)
 
 
 def alert_states(levels: DataFrame, key: str, order: str, level: str, warn_after: int = 2, recover_after: int = 5) -> DataFrame:
-    """(key, states): critical at once, warning after ``warn_after`` polls, well again after ``recover_after``."""
-    polls = F.transform(F.array_sort(F.collect_list(F.struct(order, level))), lambda x: x[level])
-    start = F.struct(F.lit("ok").alias("state"), F.lit(0).alias("bad"), F.lit(0).alias("good"), F.array().cast("array<string>").alias("all"))
-
-    def step(acc, x):
-        bad = F.when(x == "ok", 0).otherwise(acc["bad"] + 1)
-        good = F.when(x == "ok", acc["good"] + 1).otherwise(0)
-        state = F.when(x == "critical", "critical").when((x == "warn") & (bad >= warn_after) & (acc["state"] != "critical"), "warn").when(good >= recover_after, "ok").otherwise(acc["state"])
-        return F.struct(state.alias("state"), bad.alias("bad"), good.alias("good"), F.concat(acc["all"], F.array(state)).alias("all"))
-
-    return levels.groupBy(key).agg(polls.alias("polls")).select(key, F.aggregate("polls", start, step)["all"].alias("states"))
+    """``levels`` with the state after each poll: critical at once, warning after ``warn_after`` polls in a row that are
+    not well (never in place of critical), well again after ``recover_after`` well polls in a row.
+
+    Critical polls and recoveries settle the state alone; between two of them only a warning can change it.
+    """
+    w = Window.partitionBy(key).orderBy(order)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    well = F.col(level) == "ok"
+    runs = levels.withColumn("_well", well).withColumn("_turn", F.coalesce((F.col("_well") != F.lag("_well").over(w)).cast("int"), F.lit(0)))
+    runs = runs.withColumn("_run", F.sum("_turn").over(so_far))
+    runs = runs.withColumn("_length", F.row_number().over(Window.partitionBy(key, "_run").orderBy(order)))
+    settled = F.when(F.col(level) == "critical", "critical").when(F.col("_well") & (F.col("_length") >= recover_after), "ok")
+    runs = runs.withColumn("_settled", settled).withColumn("_base", F.last("_settled", ignorenulls=True).over(so_far))
+    runs = runs.withColumn("_part", F.count("_settled").over(so_far))
+    fires = (F.col(level) == "warn") & (F.col("_length") >= warn_after)
+    fired = F.max(fires).over(Window.partitionBy(key, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    state = F.when(F.col("_base") == "critical", "critical").when(fired, "warn").otherwise("ok")
+    return runs.withColumn("state", state).drop("_well", "_turn", "_run", "_length", "_settled", "_base", "_part")
 
 
 def w07(spark, sf_dir):
     ev = events(spark, sf_dir)
     level = F.when(F.col("kind") == "error", "critical").when(F.col("value") > 60, "warn").otherwise("ok")
-    states = alert_states(ev.select("session_id", "event_id", level.alias("level")), "session_id", "event_id", "level")
-    return states.select("session_id", F.concat_ws(",", "states").alias("states"))
+    return alert_states(ev.select("session_id", "event_id", level.alias("level")), "session_id", "event_id", "level")
 
 
 def budgeted(df: DataFrame, size: str, order: list, budget: int, key: str) -> DataFrame:
@@ -86,14 +92,22 @@ def w08(spark, sf_dir, failures: int = 2, window_ms: int = 86_400_000):
     return e.withColumn("n", F.row_number().over(w)).filter(F.col("n") == failures).select("session_id", "slot", F.col("ms").alias("opened_ms"))
 
 
+def seed_gate(terms: DataFrame, df: DataFrame, n: DataFrame, key: str, gate: float = 0.8, most: int = 5) -> DataFrame:
+    """Of each key's terms, the ``most`` rarest with at least ``gate`` of its largest inverse document frequency."""
+    idf = F.log(1 + F.col("n") / (1 + F.coalesce("df", F.lit(0))))
+    scored = terms.join(df, "term", "left").join(F.broadcast(n)).select(key, "term", idf.alias("idf"))  # one row
+    w = Window.partitionBy(key)
+    kept = scored.withColumn("top", F.max("idf").over(w)).filter(F.col("idf") >= gate * F.col("top"))
+    return kept.withColumn("rank", F.row_number().over(w.orderBy(F.desc("idf"), "term"))).filter(F.col("rank") <= most).select(key, "rank", "term", "idf")
+
+
 def k06(spark, sf_dir):
-    """Seed terms: those near the largest inverse document frequency, five at most."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), 0))).alias("term"))
-    df = d.filter("length(term) >= 3").groupBy("term").agg(F.count("*").alias("df")).filter("df >= 20")
-    n = table(spark, sf_dir, "documents").agg(F.count("*").alias("n"))
-    idf = df.join(F.broadcast(n)).select("term", F.log(1 + F.col("n") / (1 + F.col("df"))).alias("idf"))  # one row
-    top = idf.agg(F.max("idf").alias("top"))
-    return idf.join(F.broadcast(top)).filter("idf >= 0.8 * top").orderBy(F.desc("idf"), "term").limit(5).select("term", F.round("idf", 6).alias("idf"))
+    """Seed terms of every passage by how rare they are among all documents."""
+    terms = lambda c: F.explode(F.array_distinct(F.filter(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9_]+"), 0), lambda t: F.length(t) >= 3)))
+    d = table(spark, sf_dir, "documents")
+    df = d.select(terms(F.col("text")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    asked = table(spark, sf_dir, "benchmark").select("item_id", terms(F.col("text")).alias("term"))
+    return seed_gate(asked, df, d.agg(F.count("*").alias("n")), "item_id").withColumn("idf", F.round("idf", 6))
 
 
 ENTRIES = {
@@ -102,8 +116,8 @@ ENTRIES = {
     "W03_first_anchor": Entry(w03, "select source, lang, doc_id, n_chars from documents qualify row_number() over (partition by source, lang order by n_chars desc, doc_id)=1"),
     "W05_idle_sessions": Entry(w05, "with a as (select user_id, event_id, (epoch_us(ts)//1000) ms, case when (epoch_us(ts)//1000)-lag((epoch_us(ts)//1000)) over w<=1800000 then 0 else 1 end nw from events window w as (partition by user_id order by (epoch_us(ts)//1000), event_id)), b as (select *, sum(nw) over (partition by user_id order by ms, event_id rows unbounded preceding) visit from a) select user_id session_id, cast(visit as bigint) visit, count(*) n, min(ms) first_ms, max(ms) last_ms from b group by 1,2"),
     "W06_keyset_page": Entry(w06, "select event_id, (epoch_us(ts)//1000) ms from events where (epoch_us(ts)//1000)<1706000000000 or ((epoch_us(ts)//1000)=1706000000000 and event_id>0) order by 2 desc, 1 limit 26"),
-    "W07_alert_states": Entry(w07),
+    "W07_alert_states": Entry(w07, "with recursive e as (select user_id session_id, event_id, case when event_type='error' then 'critical' when value>60 then 'warn' else 'ok' end as level, row_number() over (partition by user_id order by event_id) i from events), s as (select session_id, event_id, level, i, case when level='critical' then 'critical' else 'ok' end state, case when level='ok' then 0 else 1 end bad, case when level='ok' then 1 else 0 end good from e where i=1 union all select e.session_id, e.event_id, e.level, e.i, case when e.level='critical' then 'critical' when e.level='warn' and s.bad+1>=2 and s.state<>'critical' then 'warn' when e.level='ok' and s.good+1>=5 then 'ok' else s.state end, case when e.level='ok' then 0 else s.bad+1 end, case when e.level='ok' then s.good+1 else 0 end from s join e on e.session_id=s.session_id and e.i=s.i+1) select session_id, event_id, level, state from s"),
     "W08_breaker": Entry(w08, "with e as (select user_id session_id, event_id, (epoch_us(ts)//1000) ms, (epoch_us(ts)//1000)//86400000 slot from events where event_type='error') select session_id, slot, ms opened_ms from e qualify row_number() over (partition by session_id, slot order by ms, event_id)=2"),
     "W09_budget": Entry(w09, "with d as (select source, doc_id, octet_length(encode(text)) bytes from documents), c as (select *, sum(bytes) over (partition by source order by doc_id rows unbounded preceding) used from d) select source, doc_id, bytes, cast(used as bigint) used from c where used<=40000"),
-    "K06_seed_gate": Entry(k06, "with t as (select distinct doc_id, unnest(regexp_extract_all(lower(text),'[a-z0-9_]+')) term from documents), d as (select term, count(*) df from t where length(term)>=3 group by 1 having count(*)>=20), i as (select term, ln(1+(select count(*) from documents)/(1+df)) idf from d) select term, round(idf,6) idf from i where idf>=0.8*(select max(idf) from i) order by i.idf desc, term limit 5"),
+    "K06_seed_gate": Entry(k06, "with t as (select distinct doc_id, unnest(regexp_extract_all(lower(text),'[a-z0-9_]+')) term from documents), d as (select term, count(*) df from t group by 1), q as (select distinct item_id, unnest(regexp_extract_all(lower(text),'[a-z0-9_]+')) term from benchmark), i as (select item_id, q.term, ln(1+(select count(*) from documents)/(1+coalesce(df,0))) idf from q left join d on q.term=d.term where length(q.term)>=3), g as (select * from i qualify idf>=0.8*max(idf) over (partition by item_id)) select item_id, cast(row_number() over (partition by item_id order by g.idf desc, term) as integer) as rank, term, round(g.idf,6) idf from g qualify row_number() over (partition by item_id order by g.idf desc, term)<=5"),
 }

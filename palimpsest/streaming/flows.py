@@ -12,6 +12,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palimpsest.catalog import Entry
 from palimpsest.sources.shared import remove, shared_folder
@@ -130,24 +131,39 @@ def m15(spark, sf_dir):
 
 
 def token_bucket(rows: DataFrame, key: str, ms: str, burst: float, per_second: float) -> DataFrame:
-    """(key, ms list, verdicts): each caller's requests in time order against a bucket that refills.
+    """(key, ms, ok): each request in time order against its caller's bucket, which refills while nobody asks.
 
-    A fold over one caller's ordered requests; callers are independent of each other.
+    A pause in which the bucket fills up makes what follows independent of what was before, so histories are split there
+    and their parts spread over the tasks. Within a part the state is what is left and when; a part of any length streams
+    through its task in sorted batches.
     """
-    start = F.struct(F.lit(float(burst)).alias("left"), F.lit(None).cast("long").alias("at"), F.array().cast("array<boolean>").alias("ok"))
-
-    def step(acc, x):
-        left = F.least(F.lit(float(burst)), acc["left"] + F.coalesce(x - acc["at"], F.lit(0)) / 1000 * per_second)
-        ok = left >= 1
-        return F.struct((left - F.when(ok, 1.0).otherwise(0.0)).alias("left"), x.alias("at"), F.concat(acc["ok"], F.array(ok)).alias("ok"))
-
-    return rows.groupBy(key).agg(F.array_sort(F.collect_list(ms)).alias("times")).select(key, F.size("times").alias("requests"), F.aggregate("times", start, step)["ok"].alias("ok"))
+    full_ms = burst / per_second * 1000
+    w = Window.partitionBy(key).orderBy(ms)
+    rested = F.coalesce((F.col(ms) - F.lag(ms).over(w) >= full_ms).cast("int"), F.lit(0))
+    parts = rows.select(key, ms).withColumn("_rested", rested)
+    parts = parts.withColumn("_part", F.sum("_rested").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_rested")
+
+    def admit(batches):
+        part, left, at = None, burst, 0
+        for batch in batches:
+            ok = []
+            for k, t, p in zip(batch[key], batch[ms], batch["_part"]):
+                if (k, p) != part:
+                    part, left, at = (k, p), burst, t
+                left = min(burst, left + (t - at) / 1000 * per_second)
+                at = t
+                ok.append(left >= 1)
+                left -= ok[-1]
+            yield batch[[key, ms]].assign(ok=ok)
+
+    schema = T.StructType([rows.schema[key], rows.schema[ms], T.StructField("ok", T.BooleanType())])
+    return parts.repartition(key, "_part").sortWithinPartitions(key, "_part", ms).mapInPandas(admit, schema)
 
 
 def m14(spark, sf_dir):
-    hourly = events(spark, sf_dir).select("session_id", F.expr("ms div 86400000 * 100 + session_id % 100").alias("caller"), "ms")
-    b = token_bucket(hourly, "caller", "ms", 2, 1 / 14400)
-    return b.select("caller", F.col("requests").cast("long").alias("requests"), F.size(F.filter("ok", lambda x: ~x)).cast("long").alias("refused"))
+    daily = events(spark, sf_dir).select(F.expr("ms div 86400000 * 100 + session_id % 100").alias("caller"), "ms")
+    b = token_bucket(daily, "caller", "ms", 2.0, 1 / 14400)
+    return b.groupBy("caller").agg(F.count("*").alias("requests"), F.count_if(~F.col("ok")).alias("refused"))
 
 
 def m05(spark, sf_dir):
@@ -183,7 +199,7 @@ ENTRIES = {
     "M07_once": Entry(m07, "select distinct event_id, event_type kind from events"),
     "M08_upserts": Entry(m08, "select user_id session_id, event_type kind, arg_max(value,event_id) as value from events group by 1,2"),
     "M13_replay": Entry(m13, "select source, lang, count(*) n, cast(sum(n_chars) as bigint) chars from documents group by 1,2"),
-    "M14_rate_limit": Entry(m14),
+    "M14_rate_limit": Entry(m14, "with recursive e as (select (epoch_us(ts)//1000)//86400000*100+user_id%100 caller, epoch_us(ts)//1000 ms, row_number() over (partition by (epoch_us(ts)//1000)//86400000*100+user_id%100 order by ts, event_id) i from events), s as (select caller, ms, i, true as ok, cast(1 as double) as rest from e where i=1 union all select e.caller, e.ms, e.i, least(2::double, rest+cast(e.ms-s.ms as double)/1000*(1::double/14400))>=1, least(2::double, rest+cast(e.ms-s.ms as double)/1000*(1::double/14400)) - case when least(2::double, rest+cast(e.ms-s.ms as double)/1000*(1::double/14400))>=1 then 1 else 0 end from s join e on e.caller=s.caller and e.i=s.i+1) select caller, count(*) requests, count(*) filter (not ok) refused from s group by 1"),
     "M15_budget_gate": Entry(m15, "with e as (select sum(cast(round(value*100) as bigint)) over (partition by user_id order by epoch_us(ts)//1000, event_id rows unbounded preceding) s from events) select case when s>=100000 then 'halt' when s>=90000 then 'degrade' when s>=70000 then 'warn' else 'normal' end state, count(*) n from e group by 1"),
     "A38_spend_counters": Entry(a38, "select strftime(ts,'%Y-%m-%d') as day, user_id session_id, cast(sum(cast(round(value*100) as bigint)) as bigint) cents from events group by 1,2"),
     "S05_tail": Entry(s05, "select event_id, event_type kind from events where event_id>floor((select max(event_id) from events)*0.9)"),
