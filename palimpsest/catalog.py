@@ -17,13 +17,13 @@ class Entry:
 
 
 def entries() -> dict[str, Entry]:
-    from palimpsest.functions import records, text
+    from palimpsest.functions import chunks, records, text
     from palimpsest.operators import aggregates, graph, joins, predicates, retention, retrieval, scans, sets, temporal, windows
     from palimpsest.plans import planner
     from palimpsest.streaming import flows
 
     found: dict[str, Entry] = {}
-    for module in (aggregates, predicates, joins, windows, sets, text, retrieval, temporal, retention, graph, planner, flows, records, scans):
+    for module in (aggregates, predicates, joins, windows, sets, text, chunks, retrieval, temporal, retention, graph, planner, flows, records, scans):
         found |= module.ENTRIES
     return found
 

@@ -52,13 +52,6 @@ def partition_start(c: Column) -> Column:
     return F.try_to_timestamp(F.concat(part("year"), F.lit("-"), part("month"), F.lit("-"), part("day"), F.lit(" "), part("hour")), F.lit("yyyy-MM-dd HH"))
 
 
-def c02(spark, sf_dir):
-    """Counts of hashed four-letter grams of each passage, the largest and their number."""
-    g = F.transform(F.sequence(F.lit(1), F.length("text") - 3), lambda i: F.substring(F.lower("text"), i, F.lit(4)))
-    x = table(spark, sf_dir, "benchmark").filter("length(text) >= 4").select("item_id", F.explode(g).alias("g")).groupBy("item_id", "g").agg(F.count("*").alias("n"))
-    return x.groupBy("item_id").agg(F.max("n").alias("most"), F.count("*").alias("grams"), F.sum(F.col("n") * F.col("n")).alias("norm"))
-
-
 def c03(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     return e.select("vec_id", F.round(dot(F.col("embedding"), F.col("embedding")), 5).alias("norm"))
@@ -168,7 +161,6 @@ def c42(spark, sf_dir):
 
 _K = "cast(json_extract_string(props,'$.k') as int)"
 ENTRIES = {
-    "C02_grams": Entry(c02, "with g as (select item_id, unnest(list_transform(range(1,length(text)-2), lambda i: substr(lower(text),i,4))) g from benchmark where length(text)>=4), c as (select item_id, g, count(*) n from g group by 1,2) select item_id, max(n) most, count(*) grams, cast(sum(n*n) as bigint) norm from c group by 1"),
     "C03_norms": Entry(c03, "with e as (select vec_id, unnest(embedding)::double x from embeddings) select vec_id, round(sum(x*x),5) norm from e group by 1"),
     "C08_topics": Entry(c08, " union all ".join(f"select '{n}' topic, count(*) n from documents where regexp_matches(lower(text),'{p}') having count(*)>0" for n, p in TOPICS.items())),
     "C09_classes": Entry(c09, "select case event_type when 'error' then 'critical' when 'purchase' then 'notable' when 'signup' then 'notable' else 'info' end severity, case event_type when 'signup' then 'high' when 'purchase' then 'medium' else 'low' end pii, count(*) n from events group by 1,2"),

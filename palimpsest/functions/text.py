@@ -160,12 +160,6 @@ def path_prefixes(c: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.when(i < F.size(parts), "/").otherwise("")))
 
 
-def windows(c: Column, size: int = 512, stride: int = 384) -> Column:
-    """Overlapping windows of characters; the last one ends with the text."""
-    n = F.greatest(F.lit(1), F.ceil((F.length(c) - size) / stride) + 1).cast("int")
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(c, i * stride + 1, F.lit(size)))
-
-
 def entropy(df: DataFrame, key: str, col: str) -> DataFrame:
     """Bits of the character distribution of each row's text."""
     chars = df.select(key, F.explode(F.split(col, "")).alias("c")).filter("c <> ''").groupBy(key, "c").agg(F.count("*").alias("n"))
@@ -226,16 +220,6 @@ def c20(spark, sf_dir):
     return d.groupBy(F.col("u").rlike("^[0-9A-HJKMNP-TV-Z]{26}$").alias("valid")).agg(F.count("*").alias("n"))
 
 
-def c21(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\\.[a-z]+"), 0))).alias("found"))
-
-
-def c22(spark, sf_dir):
-    heads = F.filter(F.slice(F.split("text", "\n"), 1, 8), lambda x: F.lower(x).rlike("license"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(heads).cast("long").alias("lines")).filter("lines > 0")
-
-
 def c24(spark, sf_dir):
     from palimpsest.operators.aggregates import iso_week
 
@@ -261,16 +245,6 @@ def g26(spark, sf_dir):
     return p.select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1))).alias("link"))
 
 
-def h01(spark, sf_dir):
-    w = F.posexplode(windows(F.col("text")))
-    return table(spark, sf_dir, "documents").select("doc_id", w.alias("n", "window")).select("doc_id", F.col("n").cast("long").alias("n"), F.md5("window").alias("hash"))
-
-
-def h02(spark, sf_dir):
-    parts = F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)) > 0)
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(parts).cast("long").alias("sections"), F.array_max(F.transform(parts, F.length)).cast("long").alias("longest"))
-
-
 def _duck(pattern: str) -> str:
     return pattern.replace("'", "''")
 
@@ -293,13 +267,9 @@ ENTRIES = {
     "C16_prefixes": Entry(c16, "with p as (select page_id, string_split(regexp_extract(url,'^https?://([^?#]*)',1),'/') a from pages), i as (select page_id, a, unnest(range(1,len(a)+1)) i from p) select page_id, array_to_string(a[1:i],'/') || case when i<len(a) then '/' else '' end prefix from i"),
     "C17_doc_id": Entry(c17, "select doc_id, sha256(source || chr(31) || lang || chr(31) || md5(text)) id from documents"),
     "C20_ulid": Entry(c20, "select regexp_matches(upper(substr(md5(text),1,26)),'^[0-9A-HJKMNP-TV-Z]{26}$') as valid, count(*) n from documents group by 1"),
-    "C21_mentions": Entry(c21, "select distinct doc_id, unnest(regexp_extract_all(text,'[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\\.[a-z]+')) found from documents"),
-    "C22_headers": Entry(c22, "with d as (select doc_id, len(list_filter(string_split(text,chr(10))[1:8], lambda x: contains(lower(x),'license'))) lines from documents) select * from d where lines>0"),
     "C24_iso_week": Entry(c24, "select strftime(o_orderdate,'%G-W%V') as week, count(*) n from orders group by 1"),
     "C29_body": Entry(c29, "select doc_id, md5(case when octet_length(encode(text))>4096 then substr(text,1,100) || '...' else text end) body from documents"),
     "C33_outcome": Entry(c33, "select event_type kind, round(sum((case when event_type='error' then 0.5 else 1.2 end)*greatest(0,least(1,value/100))),4) score from events group by 1"),
     "C34_percentiles": Entry(c34, "select event_type kind, round(quantile_cont(value,0.5),4) p50, round(quantile_cont(value,0.9),4) p90, round(quantile_cont(value,0.99),4) p99 from events group by 1"),
     "G26_links": Entry(g26, "select distinct page_id, unnest(regexp_extract_all(html,'href=\"([^\"]*)\"',1)) link from pages"),
-    "H01_windows": Entry(h01, "with d as (select doc_id, text, unnest(range(0, cast(greatest(1, ceil((length(text)-512)/384)+1) as bigint))) n from documents) select doc_id, n, md5(substr(text, cast(n*384+1 as bigint), 512)) hash from d"),
-    "H02_sections": Entry(h02, "with d as (select doc_id, list_filter(string_split(text,chr(10)), lambda x: length(trim(x))>0) p from documents) select doc_id, cast(len(p) as bigint) sections, list_max(list_transform(p, lambda x: length(x))) longest from d"),
 }
