@@ -153,9 +153,9 @@ def k10(spark, sf_dir, n: int = 30):
 
 
 def r22(spark, sf_dir):
-    """Sessions like those asked for: neighbours of each asked vector above the floor."""
+    """Sessions like those asked for: neighbours of each asked vector above a floor, here 0.4, as the table's vectors lie apart."""
     near = r03(spark, sf_dir).select("q", "doc_id", "score")
-    return floor_top(near, "q", "score", "doc_id", 3).select("q", "doc_id", "rank", "score")
+    return floor_top(near, "q", "score", "doc_id", 3, floor=0.4).select("q", "doc_id", "rank", "score")
 
 
 def w04(spark, sf_dir, n: int = 8):
@@ -269,7 +269,7 @@ ENTRIES = {
     "A35_bundles": Entry(a35, "select conv_id, count(*) sections, count(*) filter (role='user') users, count(*) filter (role='assistant') assistants from conversations group by 1"),
     "K05_floor_top": Entry(k05, "select user_id session_id, event_id, row_number() over (partition by user_id order by value/100 desc, event_id) as rank from events where value/100>=0.6 qualify rank<=10"),
     "K10_recent": Entry(k10, _CONS + "select id, grain, cast(day as varchar) as day from c order by c.day desc, id limit 30"),
-    "R22_similar": Entry(r22, "with s as (select a.vec_id q, b.vec_id doc_id, list_sum(list_transform(list_zip(a.embedding,b.embedding), lambda x: x[1]::double*x[2]::double)) score from embeddings a join embeddings b on a.vec_id%50=0 and a.vec_id<>b.vec_id), t as (select q, doc_id, round(score,5) score from s qualify row_number() over (partition by q order by round(s.score,9) desc, doc_id)<=5) select q, doc_id, row_number() over (partition by q order by score desc, doc_id) as rank, score from t where score>=0.6 qualify rank<=3"),
+    "R22_similar": Entry(r22, "with s as (select a.vec_id q, b.vec_id doc_id, list_sum(list_transform(list_zip(a.embedding,b.embedding), lambda x: x[1]::double*x[2]::double)) score from embeddings a join embeddings b on a.vec_id%50=0 and a.vec_id<>b.vec_id), t as (select q, doc_id, round(score,5) score from s qualify row_number() over (partition by q order by round(s.score,9) desc, doc_id)<=5) select q, doc_id, row_number() over (partition by q order by score desc, doc_id) as rank, score from t where score>=0.4 qualify rank<=3"),
     "W04_rerank": Entry(w04, "select source, doc_id, row_number() over (partition by source order by n_chars desc, doc_id) as rank from documents where lang='en' and n_chars<2000 qualify rank<=8"),
     "W11_labels": Entry(w11, "with l as (select user_id session_id, max(epoch_us(ts)//1000) ms from events group by 1), a as (select session_id, ((select max(ms) from l)-ms)//1000 s from l) select session_id, case when s<60 then 'just now' when s<3600 then (s//60) || 'm ago' when s<86400 then (s//3600) || 'h ago' else (s//86400) || 'd ago' end seen from a"),
     "J09_evidence": Entry(j09, "select d.doc_id, count(l.doc_id) judged, cast(coalesce(sum(l.toxic),0) as bigint) against from documents d left join labels l on l.doc_id=d.doc_id and l.quality=1 and source is not null where text is not null group by 1"),
