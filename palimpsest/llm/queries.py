@@ -80,9 +80,18 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversations import damaged, repair_report
+
+    turns = _table(spark, sf_dir, "conversations")
+    return repair_report(damaged(turns), ids=turns)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_near_vectors, op3_language_id, op4_html_text, op5_packing, op6_toxicity, op7_near_texts, op8_repeats, op9_pieces, op10_nearest)}
+    return {f.__name__: f for f in (op1_token_counts, op2_near_vectors, op3_language_id, op4_html_text, op5_packing, op6_toxicity, op7_near_texts, op8_repeats, op9_pieces, op10_nearest, op12_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .conversations import REPAIR_SQL
+
+    return {"op12_conversation_repair": REPAIR_SQL}
