@@ -87,11 +87,18 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_report(damaged(turns), ids=turns)
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import audit
+
+    return audit(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_near_vectors, op3_language_id, op4_html_text, op5_packing, op6_toxicity, op7_near_texts, op8_repeats, op9_pieces, op10_nearest, op12_conversation_repair)}
+    return {f.__name__: f for f in (op1_token_counts, op2_near_vectors, op3_language_id, op4_html_text, op5_packing, op6_toxicity, op7_near_texts, op8_repeats, op9_pieces, op10_nearest, op12_conversation_repair, op13_source_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
     from .conversations import REPAIR_SQL
+    from .divergence import AUDIT_SQL
 
-    return {"op12_conversation_repair": REPAIR_SQL}
+    return {"op12_conversation_repair": REPAIR_SQL, "op13_source_divergence": AUDIT_SQL}
