@@ -80,6 +80,12 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score_quality
+
+    return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .conversations import damaged, repair_report
 
@@ -94,7 +100,7 @@ def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_near_vectors, op3_language_id, op4_html_text, op5_packing, op6_toxicity, op7_near_texts, op8_repeats, op9_pieces, op10_nearest, op12_conversation_repair, op13_source_divergence)}
+    return {f.__name__: f for f in (op1_token_counts, op2_near_vectors, op3_language_id, op4_html_text, op5_packing, op6_toxicity, op7_near_texts, op8_repeats, op9_pieces, op10_nearest, op11_quality, op12_conversation_repair, op13_source_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
