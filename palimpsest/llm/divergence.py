@@ -19,14 +19,14 @@ from pyspark.sql import functions as F
 
 from .common import stored, tidied
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-_LOWER = {c: c + 32 for c in range(65, 91)}
+#: Over UTF-8: all bytes of characters beyond ASCII count, and lower() of bytes changes A-Z alone.
+TERM = rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 UNIT = 1_000_000_000
 #: Parts that rows of one group are dealt to where groups are joined, so that a hot one lies in many tasks.
 _SALTS = 16
 
 
-def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", held: int = 400_000) -> DataFrame:
+def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", held: int = 600_000) -> DataFrame:
     """(lang, source, term, n, docs): occurrences and documents, counted batch by batch; rows of one key still add up.
 
     A task holds about ``held`` counts before it hands them on. Nulls are empty texts.
@@ -38,24 +38,24 @@ def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
 
     def run(batches):
         find = re.compile(TERM).findall
-        held_now: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        held_now: dict[tuple[bytes, bytes], tuple[Counter, Counter]] = {}
         size = 0
 
         def out():
             for (lang, source), (n, in_docs) in held_now.items():
-                terms = list(n)
+                terms, times = list(n), list(n.values())
                 for a in range(0, len(terms), 50_000):
                     some = terms[a : a + 50_000]
-                    k = len(some)
-                    columns = [pa.array([lang] * k), pa.array([source] * k), pa.array(some, pa.string()), pa.array([n[t] for t in some], pa.int64()), pa.array([in_docs[t] for t in some], pa.int64())]
-                    yield pa.RecordBatch.from_arrays(columns, names=names)
+                    group = [pa.repeat(pa.scalar(x.decode()), len(some)) for x in (lang, source)]
+                    counts = [pa.array(times[a : a + 50_000], pa.int64()), pa.array(list(map(in_docs.__getitem__, some)), pa.int64())]
+                    yield pa.RecordBatch.from_arrays([*group, pa.array(some, pa.binary()).cast(pa.string()), *counts], names=names)
             held_now.clear()
 
         for b in batches:
-            for lang, source, whole in zip(*(b.column(c).to_pylist() for c in ("lang", "source", "text"))):
+            for lang, source, whole in zip(*(b.column(c).cast(pa.binary()).to_pylist() for c in ("lang", "source", "text"))):
                 n, in_docs = held_now.get((lang, source)) or held_now.setdefault((lang, source), (Counter(), Counter()))
                 before = len(n)
-                terms = find(whole.translate(_LOWER))
+                terms = find(whole.lower())
                 n.update(terms)
                 in_docs.update(set(terms))
                 size += len(n) - before
