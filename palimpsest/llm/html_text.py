@@ -6,7 +6,7 @@ the blocks left open, mostly short ones, take the label of the nearest decided n
 
 What an element is called is evidence that has to hold against the text: a form that holds most of a page's
 running text is the page, a marked article that holds little of it is a teaser, and names that would leave no
-text at all do not count.
+text at all do not count. So do stop words: where the lists of no language fit a page, length and link density decide.
 """
 
 from __future__ import annotations
@@ -42,26 +42,29 @@ AROUND_LAST = frozenset(
 AROUND_WORDS = AROUND_LAST | frozenset(
     """ad adsbygoogle sponsor promo promotion banner header reply replies discussion respond cookie cookies consent
     gdpr notice notices notification alert overlay subscribe signup login share sharing social related recommended
-    recommendations widget pager copyright legal disclaimer skip hidden teaser""".split()
+    recommendations widget pager copyright legal disclaimer skip hidden teaser onetrust cookiebot responses""".split()
 )
 PLACES = frozenset(
     """site page web top bottom left right main primary secondary global mobile desktop sticky fixed inline box block
     container wrapper wrap inner outer holder section area zone slot unit bar list item items links link row col column
     grid panel button buttons icon icons label title text body content message form field group article articles post
-    posts entry story stories user users reader readers small large""".split()
+    posts entry story stories user users reader readers small large sdk law info policy thread""".split()
 )
 CONTENT_WORDS = frozenset("article post entry story page content".split())
 AROUND_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog".split())
 MAIN_WORDS = frozenset("article content post entry main story".split())
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|select|svg|math|iframe|object|canvas|audio|video|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--.*?(?:-->|(?P<open>\Z))"
+    r"|<(?P<raw>script|style|noscript|template|textarea|select|svg|math|iframe|object|canvas|audio|video|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|(?P<endless>\Z))"
     r"|<(?P<close>/?)(?P<name>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<[a-z/!?][^>]*>",
     re.I | re.S,
 )
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTR = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_TAG = re.compile("<[a-z/!?]", re.I)
+#: Characters that stand for about three letters each.
+_WIDE = re.compile("[\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _WORD = re.compile(r"\w+")
 
@@ -103,6 +106,8 @@ def _surroundings(name: str, attrs: str, in_main: bool) -> tuple[bool, bool, int
         return False, False, main
     for key, value in _ATTR.findall(attrs):
         key, value = key.lower(), value.strip("\"'")
+        if key == "style":
+            value = "".join(value.lower().split())
         if key in ("class", "id"):
             if name not in ("html", "body", "main", "h1"):
                 named |= _named_around(value, in_main)
@@ -113,7 +118,7 @@ def _surroundings(name: str, attrs: str, in_main: bool) -> tuple[bool, bool, int
                 return True, named, 0
             if value.lower() in ("main", "article"):
                 main = 2
-        elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and "display:none" in value.replace(" ", "").lower():
+        elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and ("display:none" in value or "visibility:hidden" in value):
             return True, named, 0
     return False, named, 0 if named else main
 
@@ -121,36 +126,49 @@ def _surroundings(name: str, attrs: str, in_main: bool) -> tuple[bool, bool, int
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page in order, white space made single spaces; blocks without text are left out."""
     out: list[Block] = []
-    stack: list[tuple] = []  # name, around, named, form, main
-    held = [0, 0, 0]  # open elements that are around the text, by name, and forms
-    mains: list[int] = []
+    stack: list[tuple] = []  # name, around, named, form, link, main
+    held = [0, 0, 0, 0]  # open elements that are around the text, by name, forms and links
+    mains = [0, 0, 0]  # open elements by how surely they hold the main text
+    names: dict[str, int] = {}  # open elements by name: stray end tags are known without a look at the stack
     forms = 0
     parts: list[str] = []
     links: list[str] = []
-    in_link = in_head = False
+    in_head = False
     heading = False
 
     def flush() -> None:
         nonlocal heading
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            out.append(Block(text, len(" ".join(html.unescape("".join(links)).split())), held[0] > 0, held[1] > 0, forms if held[2] else 0, max(mains, default=0), heading))
+            out.append(Block(text, len(" ".join(html.unescape("".join(links)).split())), held[0] > 0, held[1] > 0, forms if held[2] else 0, 2 if mains[2] else 1 if mains[1] else 0, heading))
         parts.clear()
         links.clear()
         heading = False
 
     def close(gone: tuple) -> None:
-        for i in range(3):
+        for i in range(4):
             held[i] -= gone[1 + i]
-        if gone[4]:
-            mains.pop()
+        mains[gone[5]] -= 1
+        names[gone[0]] -= 1
+
+    def end(name: str) -> None:
+        if names.get(name):
+            while True:
+                gone = stack.pop()
+                close(gone)
+                if gone[0] == name:
+                    return
 
     at = 0
-    for m in _TOKEN.finditer(page):
+    # a tag without an end is none: nothing is looked for beyond the last >
+    last = page.rfind(">") + 1
+    open_end = False
+    for m in _TOKEN.finditer(page, 0, last):
+        open_end = m["open"] is not None or m["endless"] is not None
         if m.start() > at and not in_head:
             piece = page[at : m.start()]
             parts.append(piece)
-            if in_link:
+            if held[3]:
                 links.append(piece)
         at = m.end()
         name = m["name"]
@@ -164,8 +182,8 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if name == "body":
             in_head = False
-        if name == "a":
-            in_link = not m["close"]
+        if name == "a" and not m["close"]:
+            end("a")  # links do not nest
         elif name == "br":
             parts.append(" ")
         if name in BLOCKS:
@@ -183,23 +201,22 @@ def blocks_of(page: str) -> list[Block]:
                         break
             if m["attrs"].endswith("/") and name not in BLOCKS:
                 continue
-            element = (name, *_surroundings(name, m["attrs"], bool(mains)))
-            element = (*element[:3], name == "form", element[3])
+            around, named, main = _surroundings(name, m["attrs"], mains[1] + mains[2] > 0)
+            link = name == "a" and any(key.lower() == "href" for key, _ in _ATTR.findall(m["attrs"]))
+            element = (name, around, named, name == "form", link, main)
             forms += name == "form" and not held[2]
             stack.append(element)
-            for i in range(3):
+            for i in range(4):
                 held[i] += element[1 + i]
-            if element[4]:
-                mains.append(element[4])
+            mains[main] += 1
+            names[name] = names.get(name, 0) + 1
         else:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    for gone in reversed(stack[k:]):
-                        close(gone)
-                    del stack[k:]
-                    break
-    if at < len(page) and not in_head:
-        parts.append(page[at:])
+            end(name)
+    if not in_head and not open_end:
+        rest = page[at:last] + _TAG.split(page[last:], maxsplit=1)[0]
+        parts.append(rest)
+        if held[3]:
+            links.append(rest)
     flush()
     return out
 
@@ -222,15 +239,21 @@ def decide(blocks: list[Block], long: int = 60, short: int = 25, dense: float =
     """Which blocks are main text.
 
     First pass: in surrounding elements or mostly links: no; at least ``long`` characters and a share of
-    ``dense`` stop words: yes; else open. Second pass: an open block takes the label of the nearest decided
+    ``dense`` stop words: yes; else open. Where less than a quarter of the long text is dense, the page is in none
+    of the languages listed, and the stop words of a block are not asked for. Second pass: an open block takes the label of the nearest decided
     blocks on either side within its region (inside the article, or outside); where they differ the nearer
     one's, on a tie that of the text below for a heading and inside an article that of main text.
     """
-    full = []
+    full, sizes = [], []
     for b in blocks:
-        words = _WORD.findall(b.text.lower()) if len(b.text) >= short else []
+        sizes.append(len(b.text) + 2 * len(_WIDE.findall(b.text)))
+        words = _WORD.findall(b.text.lower()) if sizes[-1] >= short else []
         full.append(bool(words) and sum(w in STOP_WORDS for w in words) >= dense * len(words) and b.link_chars <= linked * len(b.text))
     apart = [b.around or names and b.named for b in blocks]
+    lengthy = [size >= long and not out and b.link_chars <= linked * len(b.text) for b, size, out in zip(blocks, sizes, apart)]
+    mass = sum(size for size, yes in zip(sizes, lengthy) if yes)
+    if 4 * sum(size for size, yes, ok in zip(sizes, lengthy, full) if yes and ok) < mass:
+        full = [size >= short and b.link_chars <= linked * len(b.text) for b, size in zip(blocks, sizes)]
     # a form is around the text unless it holds most of it
     by_form: dict[int, int] = {}
     for b, ok, out in zip(blocks, full, apart):
@@ -240,11 +263,11 @@ def decide(blocks: list[Block], long: int = 60, short: int = 25, dense: float =
     apart = [out or b.form > 0 and by_form.get(b.form, 0) <= half for b, out in zip(blocks, apart)]
     region = _region(blocks, apart, linked)
     inside = [b.main >= region > 0 for b in blocks]
-    for b, ok, out, mine in zip(blocks, full, apart, inside):
+    for b, ok, out, mine, size in zip(blocks, full, apart, inside, sizes):
         if out or b.link_chars > linked * len(b.text):
             b.label = "no"
         else:
-            b.label = "yes" if ok and (len(b.text) >= long or mine) else ""
+            b.label = "yes" if ok and (size >= long or mine) else ""
     n = len(blocks)
     left: list[tuple[int, str] | None] = [None] * n
     right: list[tuple[int, str] | None] = [None] * n

@@ -1,8 +1,12 @@
 """Page shapes with the text a reader would call the article."""
 
+import html.parser
+import time
+
 import pytest
 
 pytest.importorskip("palimpsest.llm.html_text")
+from palimpsest.llm import html_text
 from palimpsest.llm.html_text import main_text
 
 A = "The river rose in the night, and the people of the town went up to the old church on the hill."
@@ -56,3 +60,88 @@ def test_shape(name):
     page, want = SHAPES[name]
     for html in (page, f"<!DOCTYPE html><html><head><title>T</title></head><body>{page}</body></html>"):
         assert main_text(html) == want
+
+
+EN = "The people of the town met last week to talk about the new rules and what they are for in this region."
+OTHERS = [
+    "W ubiegłym tygodniu mieszkańcy miasteczka spotkali się, aby omówić nowe przepisy dotyczące ochrony lasów i rzek w całym regionie.",
+    "На прошлой неделе жители города встретились, чтобы обсудить новые правила охраны лесов и рек во всём регионе этой страны.",
+    "上周,该镇居民开会讨论了保护整个地区森林和河流的新规定,会议持续了三个小时。",
+    "اجتمع سكان البلدة الأسبوع الماضي لمناقشة القواعد الجديدة لحماية الغابات والأنهار في المنطقة بأكملها",
+    "Geçen hafta kasaba sakinleri, bölgedeki ormanların ve nehirlerin korunmasına ilişkin yeni kuralları görüşmek üzere toplandı.",
+]
+
+
+@pytest.mark.parametrize("text", [EN, *OTHERS])
+def test_any_language_without_marks(text):
+    menu = "<nav><a href='/'>Home</a> <a href='/a'>About</a></nav>"
+    assert main_text(f"{menu}<div><p>{text}</p><p>{text}</p></div><footer>© 2020</footer>") == f"{text}\n{text}"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div class="story" data-title="The hidden cost of rent"><p>%s</p></div>',
+        '<section title="hidden treasures"><p>%s</p></section>',
+        '<body data-page="Hidden valley"><p>%s</p></body>',
+        '<article data-hidden="false"><p>%s</p></article>',
+        '<article data-role="banner"><p>%s</p></article>',
+        '<p title="hidden gem">%s</p>',
+        '<a name="top"><p>%s</p>',
+        '<p>%s</p><a href="x',
+        "<p>%s</p></i></b></div>",
+    ],
+)
+def test_attributes_by_name_and_anchors(page):
+    assert main_text(page.replace("%s", EN)) == EN
+
+
+@pytest.mark.parametrize("around", ['id="onetrust-banner-sdk"', 'id="cookie-law-info-bar"', 'id="comments-thread"', 'class="reader-responses"', 'style="visibility: hidden"'])
+def test_notices_and_comments_by_name(around):
+    assert main_text(f"<div><p>{EN}</p></div><div {around}><p>Other {EN}</p></div>") == EN
+
+
+@pytest.mark.parametrize("page", ["<b>" * 150_000 + "</i>" * 150_000, "<a " * 350_000, "<article>" * 50_000 + "<p>x" * 50_000, "<a href='" * 100_000, "<p>" * 300_000, "<!--" * 250_000, "<script>" * 100_000, "&amp" * 250_000])
+def test_malformed_pages_take_linear_time(page):
+    began = time.perf_counter()
+    main_text(page)
+    assert time.perf_counter() - began < 10  # quadratic: minutes to hours
+
+
+class Plain(html.parser.HTMLParser):
+    """The blocks of a page by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.blocks, self.text, self.off = [], [], 0
+
+    def turn(self):
+        text = " ".join("".join(self.text).split())
+        if text:
+            self.blocks.append(text)
+        self.text = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in html_text.BLOCKS:
+            self.turn()
+        self.off += tag in html_text.NOT_TEXT
+        if tag == "br":
+            self.text.append(" ")
+
+    def handle_endtag(self, tag):
+        if tag in html_text.BLOCKS:
+            self.turn()
+        self.off = max(0, self.off - (tag in html_text.NOT_TEXT))
+
+    def handle_data(self, data):
+        if not self.off:
+            self.text.append(data)
+
+
+def test_blocks_of_all_pages_against_the_standard_parser(spark):
+    for row in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        plain = Plain()
+        plain.feed(row.html or "")
+        plain.close()
+        plain.turn()
+        assert [b.text for b in html_text.blocks_of(row.html or "")] == plain.blocks, row.page_id
