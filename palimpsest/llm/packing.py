@@ -16,10 +16,11 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import text_or_empty
 from .token_counts import byte_chars
@@ -181,9 +182,10 @@ class Windows:
             self.emit(window)
         self.open, self.count[:] = {}, 0
 
-    def taken(self) -> pd.DataFrame:
+    def taken(self) -> list[tuple]:
+        """What is closed by now: (id, start, length, crc32, tokens of the document, sequence, offset)."""
         rows, self.rows = self.rows, []
-        return pd.DataFrame(rows, columns=["_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+        return rows
 
 
 def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,18 +195,23 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1
     an id, or have none, are packed each on its own; other columns are ignored, whatever their names. An empty table gives no pieces. Sequences hold ``size`` ids, or a power of two.
     Memory: one batch of texts, the memo and the partly filled windows.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind = docs.schema[id_col].dataType
+    names = ["_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    types = [to_arrow_type(kind), *[pa.int64()] * 6]  # ids stay as they are, also beside nulls
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows) if rows else [[]] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(list(v), type=t) for v, t in zip(columns, types)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(tokenizer_path)
         windows = Windows(size, TaskContext.get().partitionId() << 36)
         for b in batches:
-            texts = b["_text"].tolist()
-            for doc, ids in zip(b["_id"].astype(object).where(b["_id"].notna(), None), encoder.encode(texts, end_id)):
+            for doc, ids in zip(b.column("_id").to_pylist(), encoder.encode(b.column("_text").to_pylist(), end_id)):
                 windows.add(doc, ids)
-            yield windows.taken()
+            yield batch(windows.taken())
         windows.close()
-        yield windows.taken()
+        yield batch(windows.taken())
 
-    pieces = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text")).mapInPandas(run, f"_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    pieces = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text")).mapInArrow(run, f"_id {kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return pieces.withColumnRenamed("_id", id_col)

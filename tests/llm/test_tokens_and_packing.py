@@ -166,3 +166,11 @@ def test_words_of_one_hash_are_told_apart(n):
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     for t, ids in zip((x, y), Encoder(path).encode([x, y])):
         assert ids.tolist() == sp.encode(t)
+
+
+def test_large_ids_beside_nulls(spark):
+    docs = spark.createDataFrame([(2**53 + 1, "some words"), (None, "other words"), (2**53 + 3, None)], "doc_id long, text string").coalesce(1)
+    got = pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    assert {r.doc_id for r in got.collect()} == {2**53 + 1, None, 2**53 + 3}
+    named = docs.selectExpr("concat('d', doc_id) doc_id", "text")
+    assert {r.doc_id for r in pack(named, public_tokenizers.path("word_bpe_49k.json")).collect()} == {f"d{2**53 + 1}", None, f"d{2**53 + 3}"}
