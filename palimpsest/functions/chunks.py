@@ -5,10 +5,11 @@ from __future__ import annotations
 import hashlib
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from palimpsest.catalog import Entry
 from palimpsest.sources.tables import table
@@ -35,20 +36,39 @@ def byte_spans(data: bytes, size: int, stride: int):
         start = snap(start + stride)
 
 
+def rows_of_texts(df: DataFrame, key: str, col: str, fields: list[tuple[str, str]], make) -> DataFrame:
+    """(key, *fields): ``make(text)`` gives the rows of each text, null being empty. Keys pass through Arrow as they are,
+    so that a large id beside a null stays what it is."""
+    schema = T.StructType([df.schema[key], *(T.StructField(n, T.StructType.fromDDL(f"x {t}")[0].dataType) for n, t in fields)])
+    kinds = [to_arrow_type(f.dataType) for f in schema]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows) if rows else [[]] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(list(v), type=t) for v, t in zip(columns, kinds)], names=schema.names)
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for k, text in zip(b.column(key).to_pylist(), b.column(col).to_pylist()):
+                for row in make(text or ""):
+                    rows.append((k, *row))
+                    if len(rows) == 4096:
+                        yield batch(rows)
+                        rows = []
+            yield batch(rows)
+
+    return df.select(key, col).mapInArrow(run, schema)
+
+
 def byte_windows(df: DataFrame, key: str, col: str, size: int = 2048, stride: int = 512) -> DataFrame:
     """(key, n, first_byte, end_byte, window) of each text; null and empty texts have no windows."""
 
-    def run(batches):
-        for batch in batches:
-            for k, text in zip(batch[key], batch[col]):
-                data = (text or "").encode()
-                spans = list(byte_spans(data, size, stride))
-                for at in range(0, len(spans), 4096):
-                    part = spans[at : at + 4096]
-                    yield pd.DataFrame({key: k, "n": range(at, at + len(part)), "first_byte": [a for a, _ in part], "end_byte": [b for _, b in part], "window": [data[a:b].decode() for a, b in part]})
+    def windows(text: str):
+        data = text.encode()
+        for n, (a, b) in enumerate(byte_spans(data, size, stride)):
+            yield n, a, b, data[a:b].decode()
 
-    schema = T.StructType([df.schema[key]] + [T.StructField(n, T.LongType()) for n in ("n", "first_byte", "end_byte")] + [T.StructField("window", T.StringType())])
-    return df.select(key, col).mapInPandas(run, schema)
+    return rows_of_texts(df, key, col, [("n", "long"), ("first_byte", "long"), ("end_byte", "long"), ("window", "string")], windows)
 
 
 _HEADING = re.compile(r"(#{1,3})[ \t]+(\S.*)")
@@ -113,16 +133,8 @@ def sections(text: str, least: int = 256, long_fence: int = 40):
 
 def markdown_chunks(df: DataFrame, key: str, col: str) -> DataFrame:
     """(key, n, kind, path, body) of each text, in order; null and blank texts have none."""
-
-    def run(batches):
-        for batch in batches:
-            for k, text in zip(batch[key], batch[col]):
-                rows = list(sections(text or ""))
-                if rows:
-                    yield pd.DataFrame({key: k, "n": range(len(rows)), "kind": [r[0] for r in rows], "path": [r[1] for r in rows], "body": [r[2] for r in rows]})
-
-    schema = T.StructType([df.schema[key], T.StructField("n", T.LongType())] + [T.StructField(n, T.StringType()) for n in ("kind", "path", "body")])
-    return df.select(key, col).mapInPandas(run, schema)
+    numbered = lambda text: ((n, *row) for n, row in enumerate(sections(text)))
+    return rows_of_texts(df, key, col, [("n", "long"), ("kind", "string"), ("path", "string"), ("body", "string")], numbered)
 
 
 def octets(c: Column) -> Column:

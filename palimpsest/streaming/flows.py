@@ -70,8 +70,10 @@ def m04(spark, sf_dir):
     return run_to_end(session_ends(event_stream(spark, sf_dir)), "complete")
 
 
-def delivered_once(stream: DataFrame, keys: list[str], base: str | None = None) -> DataFrame:
-    """One row of each key, however late and in whatever micro-batch its repeats come.
+def delivered_once(stream: DataFrame, keys: list[str], base: str | None = None, buckets: int = 64) -> DataFrame:
+    """One row of each key, however late and in whatever micro-batch its repeats come; nulls are equal to each other.
+
+    What was delivered lies in ``buckets`` by a hash of the key, and a batch reads those that its own keys fall into.
 
     A batch is what it holds of keys that no earlier batch has delivered, written to a folder of its own; a batch that
     is run again after a failure replaces it. With the same ``base`` a later call goes on where the last one ended.
@@ -81,17 +83,21 @@ def delivered_once(stream: DataFrame, keys: list[str], base: str | None = None)
         base = work_dir(spark)
         atexit.register(remove, spark, base)
     names = ", ".join(f"`{c}` {t}" for c, t in stream.dtypes)
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
     def deliver(batch: DataFrame, n: int) -> None:
-        fresh = batch.dropDuplicates(keys)
+        fresh = batch.dropDuplicates(keys).withColumn("_bucket", bucket)
         if n:
-            earlier = batch.sparkSession.read.schema(f"{names}, batch long").parquet(f"{base}/out").filter(F.col("batch") < n)
-            fresh = fresh.join(earlier.select(*keys), keys, "left_anti").select(*batch.columns)
-        fresh.write.mode("overwrite").parquet(f"{base}/out/batch={n}")
-
-    spark.createDataFrame([], stream.schema).write.mode("append").parquet(f"{base}/out/batch=-1")  # also if nothing comes
+            touched = [r[0] for r in fresh.select("_bucket").distinct().collect()]  # at most ``buckets`` numbers
+            earlier = batch.sparkSession.read.schema(f"{names}, batch long, _bucket int").parquet(f"{base}/out")
+            earlier = earlier.filter((F.col("batch") < n) & F.col("_bucket").isin(touched)).select(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)])
+            same = [F.col(k).eqNullSafe(F.col(f"_{i}")) for i, k in enumerate(keys)]  # nulls are equal, as in dropDuplicates
+            fresh = fresh.join(earlier, same, "left_anti")
+        fresh.write.partitionBy("_bucket").mode("overwrite").parquet(f"{base}/out/batch={n}")
+
+    spark.createDataFrame([], stream.schema).withColumn("_bucket", F.lit(0)).write.partitionBy("_bucket").mode("append").parquet(f"{base}/out/batch=-1")  # also if nothing comes
     stream.writeStream.foreachBatch(deliver).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(f"{names}, batch long").parquet(f"{base}/out").drop("batch")
+    return spark.read.schema(f"{names}, batch long, _bucket int").parquet(f"{base}/out").drop("batch", "_bucket")
 
 
 def m07(spark, sf_dir):

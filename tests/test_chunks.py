@@ -112,3 +112,9 @@ def test_token_bucket(spark):
             want.append((c, t, left >= 1))
             left -= left >= 1
     assert got == sorted(want)
+
+
+def test_large_ids_beside_nulls(spark):
+    df = spark.createDataFrame([(2**53 + 1, "# T\nbody"), (None, "text"), (2**53 + 3, None)], "id long, text string").coalesce(1)
+    assert {r.id for r in chunks.byte_windows(df, "id", "text").collect()} == {2**53 + 1, None}
+    assert {r.id for r in chunks.markdown_chunks(df, "id", "text").collect()} == {2**53 + 1, None}

@@ -179,3 +179,12 @@ def test_delivery_over_many_files_newest_first(spark, tmp_path):
 def test_token_bucket_refills(spark):
     rows = spark.createDataFrame([("a", t) for t in (0, 1, 2, 1500, 1501)], "c string, ms long")
     assert [r["ok"] for r in token_bucket(rows, "c", "ms", 2, 1.0).orderBy("ms").collect()] == [True, True, False, True, False]
+
+
+def test_delivery_of_null_keys(spark, tmp_path):
+    schema = "event_id long, kind string"
+    for n in range(3):
+        spark.createDataFrame([(None, "a"), (n, "b"), (2**53 + 1, None)], schema).coalesce(1).write.parquet(f"{tmp_path}/in/f{n}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/f*")
+    got = [tuple(r) for r in delivered_once(stream, ["event_id", "kind"]).collect()]
+    assert len(got) == 5 and set(got) == {(None, "a"), (0, "b"), (1, "b"), (2, "b"), (2**53 + 1, None)}
