@@ -18,12 +18,12 @@ class Entry:
 
 def entries() -> dict[str, Entry]:
     from palimpsest.functions import chunks, records, text
-    from palimpsest.operators import aggregates, graph, joins, predicates, retention, retrieval, scans, served, sets, temporal, windows
+    from palimpsest.operators import aggregates, entities, graph, joins, predicates, retention, retrieval, scans, served, sets, temporal, windows
     from palimpsest.plans import planner
     from palimpsest.streaming import flows
 
     found: dict[str, Entry] = {}
-    for module in (aggregates, predicates, joins, windows, sets, text, chunks, retrieval, temporal, retention, graph, planner, flows, records, scans, served):
+    for module in (aggregates, predicates, joins, windows, sets, text, chunks, retrieval, temporal, retention, graph, entities, planner, flows, records, scans, served):
         found |= module.ENTRIES
     return found
 
