@@ -1,10 +1,10 @@
-"""Nearest neighbours with a permutation index, completed to an exact result.
+"""Nearest neighbours with a permutation index.
 
-Every vector is represented by its nearest pivots in order and posted in the inverted file of the first, in blocks
-of bounded size. A query looks into the files of its own nearest pivots, ranks what is posted there by the footrule
-distance of the orders, and measures the best: the k-th distance found is its reach. Then it measures every file
-that the triangle inequality and the planes between pivots do not put beyond this reach, so that nothing is lost
-where orders mislead. A file is copied only to the blocks of queries that visit it.
+Every vector is represented by the order of all pivots by their distance, and posted in the inverted file of the
+nearest one; files lie in blocks of bounded size. A query ranks what is posted by the footrule distance of the orders,
+a sum of small integers, and measures the nearest share of all: the footrule distance that this share of a sample of
+the table stays within is the query's limit everywhere, so that a block near the query is measured more than one far
+from it. The result is what is nearest of the measured.
 
 Equal vectors are indexed once, with their smallest ids: no more of them than a result can hold.
 """
@@ -32,153 +32,91 @@ def _spread(drawn: np.ndarray, n: int) -> np.ndarray:
     return drawn[taken]
 
 
-def _to(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """Distances of each row of x to each pivot, without the cancellation of a matrix product."""
-    return np.stack([np.sqrt(((x - p) ** 2).sum(1)) for p in pivots], axis=1)
-
-
-def _beyond(q: np.ndarray, to: np.ndarray, pivots: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """A bound below the distance of each query to whatever each file holds: vectors nearest to the file's pivot,
-    between ``low`` and ``high`` from it. Rounding is taken off."""
-    scale = np.sqrt((q**2).sum(1)) + np.sqrt((pivots**2).sum(1).max()) + high.max()
-    bound = np.maximum(to - high, low - to)
-    gap = _to(pivots, pivots)
-    for c in range(len(pivots)):
-        others = np.flatnonzero(gap[c] > 0)
-        if others.size:
-            plane = (to[:, [c]] ** 2 - to[:, others] ** 2 - 1e-9 * scale[:, None] ** 2) / (2 * gap[c, others])
-            bound[:, c] = np.maximum(bound[:, c], plane.max(1))
-    return bound - 1e-9 * scale[:, None]
-
-
-def footrule(x: np.ndarray, q: np.ndarray, pivots: int) -> np.ndarray:
-    """Footrule distances of the orders in the rows of q and of x; a pivot that an order lacks stands behind its last."""
-    m = x.shape[1]
-    place = np.full((len(x), pivots), m, dtype=np.int16)
-    np.put_along_axis(place, x.astype(np.int64), np.arange(m, dtype=np.int16)[None], axis=1)
-    out = np.empty((len(q), len(x)), dtype=np.int32)
-    for j, order in enumerate(q.astype(np.int64)):
-        mine = np.full(pivots, m, dtype=np.int16)
-        mine[order] = np.arange(m)
-        out[j] = np.abs(place - mine).sum(1, dtype=np.int32)
+def places(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """The place of each pivot in the order of distances from each row of x; equal distances by the pivot's number."""
+    to = np.stack([((x - p) ** 2).sum(1) for p in pivots], axis=1)
+    order = np.argsort(to, axis=1, kind="stable")
+    out = np.empty(order.shape, dtype=np.int16)
+    np.put_along_axis(out, order, np.arange(len(pivots), dtype=np.int16)[None], axis=1)
     return out
 
 
+def footrule(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Footrule distances of the orders in the rows of q and of x, given as places of the pivots."""
+    return np.stack([np.abs(x - row).sum(1, dtype=np.int32) for row in q]) if len(q) else np.empty((0, len(x)), np.int32)
+
+
 def search(
-    vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int | None = None, drawn_rows: int = 4096, prefix: int = 8, first: int = 4, reranked: int = 64, block_rows: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding"
+    vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = 128, drawn_rows: int = 4096, share: float = 0.12, least: int = 256, block_rows: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
-    """(query_id, rank, id, score): the k nearest vectors of each query, by Euclidean distance.
+    """(query_id, rank, id, score): the k nearest vectors found for each query, by Euclidean distance.
 
     ``queries`` has the columns of ``vectors``; a query never finds rows of its own id. Null, zero and
     non-finite vectors take no part, neither do null ids; repeated rows count once, and an id that stands with
     different vectors counts with its nearest. Ties go to the smaller id. With fewer candidates all are returned;
     without queries or vectors the result is empty. Other columns are ignored, whatever their names.
 
-    ``lists`` pivots (a power of two near half the square root of the number of vectors, unless given) are chosen
-    spread out from ``drawn_rows`` drawn vectors; orders hold ``prefix`` of them. ``first`` files are ranked by
-    footrule, and the best ``reranked`` of each block measured for the reach. These decide the work alone:
-    nothing within reach is left out.
+    ``pivots`` are chosen spread out from ``drawn_rows`` drawn vectors. All rows are ranked by footrule and about
+    ``share`` of them measured for a query, all in tables of up to ``least`` vectors; 1.0 measures everything.
     """
     base = stored(packed(usable(vectors, id_col, vector_col).distinct()), "vectors")
     # equal vectors once: a query needs k of their ids, and one more in case its own is among them
     ranked = base.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).filter(F.col("n") <= k + 1)
     distinct = stored(ranked.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")), "distinct")
-    lists = lists or 1 << int(np.clip(round(np.log2(max(1, distinct.count()) ** 0.5 / 2)), 3, 10))
-    drawn = _spread(sample(distinct.select("v"), max(drawn_rows, lists)), lists)
-    prefix = min(prefix, len(drawn))
-    asked = packed(usable(queries, id_col, vector_col, drawn.shape[1]).distinct()).select("id", "v")
-
-    def orders(x: np.ndarray) -> np.ndarray:
-        return np.argsort(_to(x, drawn), axis=1, kind="stable")[:, :prefix].astype("<i2")
-
-    def place(batches):
+    rows = distinct.count()
+    sampled = sample(distinct.select("v"), max(drawn_rows, least, k + 2))
+    drawn = _spread(sampled, pivots)
+    seen = places(sampled, drawn) if len(drawn) else np.empty((0, 0), np.int16)
+    within = len(sampled) if share >= 1 else min(len(sampled), max(int(share * len(sampled)), least * len(sampled) // max(rows, 1), k + 2))
+    blocks = max(1, -(-rows // block_rows))
+    asked = packed(usable(queries, id_col, vector_col, sampled.shape[1]).distinct()).select("id", "v")
+
+    def post(batches):
         for b in batches:
             x = matrix(b["v"])
-            order = orders(x) if len(b) else np.empty((0, prefix), np.int16)
-            home = order[:, 0].astype(np.int32) if len(b) else np.empty(0, np.int32)
-            yield b.assign(order=[r.tobytes() for r in order], list=home, far=np.sqrt(((x - drawn[home]) ** 2).sum(1)) if len(b) else [])
+            at = places(x, drawn) if len(b) else np.empty((0, 0), np.int16)
+            # files of neighbouring numbers share a block; one too large for a block is dealt to several by a hash below
+            yield b.assign(order=[r.tobytes() for r in at], file=at.argmin(1).astype(np.int32) if len(b) else np.empty(0, np.int32))
 
     def begin(batches):
         for b in batches:
-            order = orders(matrix(b["v"])) if len(b) and len(drawn) else np.empty((len(b), 0), np.int16)
-            yield b.assign(order=[r.tobytes() for r in order], visits=order[:, :first].tolist())
-
-    index = stored(distinct.mapInPandas(place, "v binary, ids array<long>, order binary, list int, far double"), "index")
-    asked = stored(asked.mapInPandas(begin, "id long, v binary, order binary, visits array<int>"), "queries")
-
-    # blocks of bounded size: at most ``lists`` counts and radii come to the driver
-    files = {r["list"]: r for r in index.groupBy("list").agg(F.count("*").alias("n"), F.min("far").alias("low"), F.max("far").alias("high")).collect()}
-
-    def measured(x: pd.DataFrame, q: pd.DataFrame, some=None) -> list[tuple]:
-        """The k nearest of a block for each query; of ``some`` (one array of positions a query) where given."""
-        xv, qv, ids, own, found = matrix(x["v"]), matrix(q["v"]), x["ids"].tolist(), q["id"].tolist(), []
-        x2, q2 = (xv**2).sum(1), (qv**2).sum(1)
-        for a in range(0, len(q), 256):
-            square = x2[None] + q2[a : a + 256, None] - 2 * qv[a : a + 256] @ xv.T if some is None else None
-            for j in range(a, min(a + 256, len(q))):
-                if some is None:
-                    near = square[j - a]
-                    # k + 1 vectors, what ties with the last of them, and what rounding could hide
-                    limit = np.partition(near, k)[k] + 1e-9 * (x2.max() + q2[j]) if near.size > k + 1 else np.inf
-                    best = np.flatnonzero(near <= limit)
-                else:
-                    best = some[j]
-                d = np.sqrt(((xv[best] - qv[j]) ** 2).sum(1))
-                pairs = sorted((s, int(v)) for i, s in zip(best.tolist(), d.tolist()) for v in ids[i] if v != own[j])
-                found += [(own[j], v, s) for s, v in pairs[:k]]
-        return found
-
-    def by_order(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+            at = places(matrix(b["v"]), drawn) if len(b) and len(drawn) else np.empty((len(b), 0), np.int16)
+            limits = [int(np.partition(d, within - 1)[within - 1]) for d in footrule(seen, at)] if len(drawn) else [0] * len(b)
+            yield b.assign(order=[r.tobytes() for r in at], limit=limits)
+
+    index = stored(distinct.mapInPandas(post, "v binary, ids array<long>, order binary, file int"), "index")
+    asked = stored(asked.mapInPandas(begin, "id long, v binary, order binary, limit int"), "queries")
+
+    # at most one count a file comes to the driver
+    counts = {r[0]: r[1] for r in index.groupBy("file").count().collect()}
+    first, table = 0, []
+    for i in sorted(counts):
+        table += [F.lit(i), F.struct(F.lit(first // block_rows).alias("at"), F.lit(-(-counts[i] // block_rows)).alias("n"))]
+        first += counts[i]
+    block = F.create_map(*table)[F.col("file")] if table else F.struct(F.lit(0).alias("at"), F.lit(1).alias("n"))
+    posted = index.withColumn("b", block).withColumn("block", (F.col("b.at") + F.pmod(F.xxhash64("v"), F.col("b.n"))).cast("int")).drop("b", "file")
+    parts = max(1, -(-asked.count() // block_rows))
+    left = posted.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    right = asked.withColumn("part", F.pmod(F.xxhash64("id", "v"), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks))))
+
+    def measured(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        """The k nearest of a block for each query, of those within the query's limit."""
         found: list[tuple] = []
         if len(x) and len(q):
-            far = footrule(matrix(x["order"], "<i2"), matrix(q["order"], "<i2"), len(drawn))
-            n = min(reranked, len(x))
-            found = measured(x, q, np.argpartition(far, n - 1, axis=1)[:, :n])
+            xv, qv, ids = matrix(x["v"]), matrix(q["v"]), x["ids"].tolist()
+            xo, qo = matrix(x["order"], "<i2"), matrix(q["order"], "<i2")
+            for j, (own, limit) in enumerate(zip(q["id"].tolist(), q["limit"].tolist())):
+                near = np.flatnonzero(footrule(xo, qo[j : j + 1])[0] <= limit)
+                d = np.sqrt(((xv[near] - qv[j]) ** 2).sum(1))
+                if d.size > k + 1:
+                    best = np.flatnonzero(d <= np.partition(d, k)[k])
+                    near, d = near[best], d[best]
+                pairs = sorted((s, int(v)) for i, s in zip(near.tolist(), d.tolist()) for v in ids[i] if v != own)
+                found += [(own, v, s) for s, v in pairs[:k]]
         return pd.DataFrame(found, columns=["query_id", "id", "score"])
 
-    def by_distance(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(measured(x, q) if len(x) and len(q) else [], columns=["query_id", "id", "score"])
-
-    def visited(rows: DataFrame, look) -> DataFrame:
-        """What ``look`` finds where queries meet the blocks of the files that they visit."""
-        asking = rows.withColumn("list", F.explode("visits")).drop("visits")
-        visitors = {r[0]: r[1] for r in asking.groupBy("list").count().collect()}  # at most one count a file
-        table = lambda n: F.create_map(*[F.lit(x) for i, c in (n or {0: 1}).items() for x in (i, -(-c // block_rows))])
-        x_blocks, q_blocks = table({i: r["n"] for i, r in files.items()}), table(visitors)
-        left = index.filter(q_blocks[F.col("list")].isNotNull()).withColumn("block", F.pmod(F.xxhash64("v"), x_blocks[F.col("list")]).cast("int")).withColumn("q_block", F.explode(F.sequence(F.lit(0), q_blocks[F.col("list")] - 1)))
-        right = (
-            asking.filter(x_blocks[F.col("list")].isNotNull())
-            .withColumn("q_block", F.pmod(F.xxhash64("id", "v"), q_blocks[F.col("list")]).cast("int"))
-            .withColumn("block", F.explode(F.sequence(F.lit(0), x_blocks[F.col("list")] - 1)))
-        )
-        keys = ["list", "block", "q_block"]
-        hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(look, "query_id long, id long, score double")
-        # an id whose rows hold different vectors counts with its nearest
-        return hits.groupBy("query_id", "id").agg(F.min("score").alias("score"))
-
-    def top(hits: DataFrame) -> DataFrame:
-        return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))).filter(F.col("rank") <= k)
-
-    begun = stored(top(visited(asked, by_order)).drop("rank"), "begun")
-    reach = begun.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("n"), F.max("score").alias("reach")).filter(F.col("n") == k).drop("n")
-    held = sorted(files)
-
-    def go_on(batches):
-        low, high = (np.array([files[i][c] if i in files else np.nan for i in range(len(drawn))]) for c in ("low", "high"))
-        for b in batches:
-            out = b[["id", "v", "order"]].copy()
-            if len(b) and held:
-                v, limit, visits = matrix(b["v"]), b["reach"].fillna(np.inf).to_numpy(dtype=float), []
-                for a in range(0, len(b), 512):
-                    part = v[a : a + 512]
-                    bound = _beyond(part, _to(part, drawn), drawn, np.nan_to_num(low), np.nan_to_num(high))
-                    visits += [[i for i in held if row[i]] for row in (bound <= limit[a : a + 512, None]).tolist()]
-                out["visits"] = visits
-            else:
-                out["visits"] = [[]] * len(b)
-            yield out
-
-    more = asked.join(reach.hint("shuffle_merge"), "id", "left").select("id", "v", "order", "reach")
-    more = stored(more.mapInPandas(go_on, "id long, v binary, order binary, visits array<int>"), "queries")
-    hits = begun.unionByName(visited(more, by_distance)).groupBy("query_id", "id").agg(F.min("score").alias("score"))
-    return top(hits).select("query_id", "rank", F.col("id").alias(id_col), "score")
+    hits = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(measured, "query_id long, id long, score double")
+    # an id whose rows hold different vectors counts with its nearest
+    hits = hits.groupBy("query_id", "id").agg(F.min("score").alias("score"))
+    best = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))).filter(F.col("rank") <= k)
+    return best.select("query_id", "rank", F.col("id").alias(id_col), "score")

@@ -89,11 +89,12 @@ def test_nearest_recall_and_edges(spark):
     assert nearest.search(df.limit(0), df.limit(0)).count() == 0
 
 
-def test_footrule_of_prefixes():
+def test_footrule_of_orders():
     rng = np.random.default_rng(2)
-    x, q = (np.stack([rng.permutation(12)[:5] for _ in range(n)]) for n in (20, 7))
-    want = [[sum(abs((list(a).index(p) if p in a else 5) - (list(b).index(p) if p in b else 5)) for p in range(12)) for b in x] for a in q]
-    assert nearest.footrule(x, q, 12).tolist() == want
+    x, q = (np.stack([rng.permutation(12) for _ in range(n)]).astype(np.int16) for n in (20, 7))
+    want = [[sum(abs(int(a[p]) - int(b[p])) for p in range(12)) for b in x] for a in q]
+    assert nearest.footrule(x, q).tolist() == want
+    assert nearest.places(np.array([[0.0], [4.0]]), np.array([[5.0], [1.0], [-1.0]])).tolist() == [[2, 0, 1], [0, 1, 2]]
 
 
 def test_nearest_of_repeated_rows_and_odd_queries(spark):
@@ -104,17 +105,32 @@ def test_nearest_of_repeated_rows_and_odd_queries(spark):
     assert found == [(1, 1, 2, 1.0), (1, 2, 3, 2.0), (1, 3, 4, 3.0)]
 
 
-def test_nearest_is_whole_beside_a_hot_cluster(spark):
+def test_nearest_beside_a_hot_cluster(spark):
     # a third of the rows lie in one cluster of mean cosine 0.9
     rng = np.random.default_rng(6)
-    x = rng.normal(size=(6000, 64))
-    x[:2000] = 3 * rng.normal(size=64) + rng.normal(size=(2000, 64))
+    x = rng.normal(size=(9000, 64))
+    x[:3000] = 3 * rng.normal(size=64) + rng.normal(size=(3000, 64))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    found = nearest.search(df, df.filter("vec_id % 100 = 0")).toPandas()
+    asked = df.filter("vec_id % 100 = 0")
+    want = {}
     for q in range(0, len(x), 100):
         d = np.sqrt(((x - x[q]) ** 2).sum(1))
         d[q] = np.inf
-        assert list(found[found.query_id == q].sort_values("rank").vec_id) == list(np.lexsort((np.arange(len(x)), d))[:10])
+        want[q] = list(np.lexsort((np.arange(len(x)), d))[:10])
+    found = nearest.search(df, asked).toPandas()
+    hit = {q: len(set(w) & set(found[found.query_id == q].vec_id)) / 10 for q, w in want.items()}
+    assert found.groupby("query_id").size().eq(10).all()
+    assert np.mean([h for q, h in hit.items() if q < 3000]) >= 0.95 and np.mean([h for q, h in hit.items() if q >= 3000]) >= 0.95
+    whole = nearest.search(df, asked.filter("vec_id % 1000 = 0"), share=1.0).toPandas()
+    assert all(list(whole[whole.query_id == q].sort_values("rank").vec_id) == want[q] for q in range(0, len(x), 1000))
+
+
+def test_nearest_recall_on_the_tables(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    asked = df.filter("vec_id % 100 = 0")
+    some, all_ = (nearest.search(df, asked, share=s).toPandas() for s in (0.12, 1.0))
+    pairs = lambda d: set(zip(d.query_id, d.vec_id))
+    assert len(all_) and len(pairs(some) & pairs(all_)) >= 0.95 * len(all_)
 
 
 def near_brute(texts, similarity=0.85):
