@@ -52,8 +52,23 @@ def _stretch(sums: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarra
     return h ^ h >> np.uint64(29)
 
 
-def windows(texts: list[bytes], width: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(text number, start, number of strings, minimiser, content hash) of the windows of some texts."""
+def windows(texts: list[bytes], width: int, gram: int, stretch: int = 4 * _BLOCK) -> tuple[np.ndarray, ...]:
+    """(text number, start, number of strings, minimiser, content hash) of the windows of some texts.
+
+    Memory goes by ``stretch``, about a hundred bytes for each of its bytes: a longer text is looked at in stretches
+    that overlap by one string, so that every string lies in exactly one of them.
+    """
+    if all(len(t) <= stretch for t in texts):
+        return _windows(texts, width, gram)
+    found = []
+    for number, text in enumerate(texts):
+        for at in range(0, max(1, len(text) - width + 1), stretch):
+            some = _windows([text[at : at + stretch + width - 1]], width, gram)
+            found.append((some[0] + number, some[1] + at, *some[2:]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _windows(texts: list[bytes], width: int, gram: int) -> tuple[np.ndarray, ...]:
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
     n, span = raw.size, width - gram + 1

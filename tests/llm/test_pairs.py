@@ -311,3 +311,28 @@ def test_suffix_array_and_prefixes():
             while n < min(50, len(x), len(y)) and x[n] == y[n]:
                 n += 1
             assert k == n
+
+
+def test_windows_of_long_texts_in_stretches():
+    rng = np.random.default_rng(3)
+    part = bytes(rng.integers(97, 101, 3000).astype(np.uint8))
+    texts = [b"short", part + b"x" * 500 + part, b"", part[:250]]
+    for width, gram, stretch in ((200, 64, 1000), (50, 16, 333), (200, 64, 200)):
+        seen = []
+        for size in (1 << 20, stretch):
+            text, start, n, low, _ = repeats.windows(texts, width, gram, size)
+            strings = [(t, s + i) for t, s, k in zip(text.tolist(), start.tolist(), n.tolist()) for i in range(k)]
+            assert len(strings) == len(set(strings)) == sum(max(0, len(t) - width + 1) for t in texts)
+            seen.append({(t, s + i): m for t, s, k, m in zip(text.tolist(), start.tolist(), n.tolist(), low.tolist()) for i in range(k)})
+        assert seen[0] == seen[1]  # each string has the same minimiser, wherever a stretch begins
+
+
+def test_windows_of_a_text_of_20_mb_in_bounded_memory():
+    import tracemalloc
+
+    text = np.random.default_rng(1).integers(97, 123, 20_000_000).astype(np.uint8).tobytes()
+    tracemalloc.start()
+    total = int(repeats.windows([text], 200, 64)[2].sum())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert total == len(text) - 199 and peak < 500_000_000
