@@ -212,7 +212,7 @@ def _block_links(left: pd.DataFrame, right: pd.DataFrame, similarity: float) ->
     return np.array(out_l, dtype=int), np.array(out_r, dtype=int)
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.85, words: int = 5, sketches: int = 32, kept: int = 3, block_rows: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = 0.85, words: int = 5, sketches: int = 24, kept: int = 2, block_rows: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, class_id, kept) for each row of ``docs``.
 
     class_id: the smallest id reachable by copies and links; kept: true for one row of each class, that with

@@ -336,3 +336,32 @@ def test_windows_of_a_text_of_20_mb_in_bounded_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert total == len(text) - 199 and peak < 500_000_000
+
+
+@pytest.mark.parametrize("n, replaced", [(25, 2), (100, 8), (100, 7), (300, 24), (100, 5)])
+def test_recall_of_sketches_by_similarity(n, replaced):
+    # similarity (n - replaced) / (n + replaced): 0.852 to 0.905
+    rng = np.random.default_rng(n + replaced)
+    met = 0
+    for _ in range(400):
+        a = rng.integers(0, 1 << 62, n).astype(np.uint64)
+        b = a.copy()
+        b[rng.permutation(n)[:replaced]] = rng.integers(0, 1 << 62, replaced).astype(np.uint64)
+        met += (near_texts.sketch(near_texts.shingles(a, 5), 24, 2) == near_texts.sketch(near_texts.shingles(b, 5), 24, 2)).any()
+    assert met / 400 >= (0.96 if n < 100 else 0.98)
+
+
+def test_planted_near_copies_are_found(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    rows, pairs = [], []
+    for k in range(150):
+        base = rng.choices(words, k=100)
+        near = base[:]
+        for at in rng.sample(range(100), 8):
+            near[at] = f"new{k}x{at}"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(near))]
+        pairs.append((2 * k, 2 * k + 1))
+    classes = {r.doc_id: r.class_id for r in near_texts.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(classes[a] == classes[b] for a, b in pairs) >= 0.98 * len(pairs)
+    assert len(set(classes.values())) >= 150
