@@ -20,10 +20,10 @@ def entries() -> dict[str, Entry]:
     from palimpsest.functions import chunks, records, text
     from palimpsest.operators import aggregates, communities, entities, graph, joins, predicates, retention, retrieval, scans, served, sets, temporal, windows
     from palimpsest.plans import planner
-    from palimpsest.streaming import flows
+    from palimpsest.streaming import flows, tail
 
     found: dict[str, Entry] = {}
-    for module in (aggregates, predicates, joins, windows, sets, text, chunks, retrieval, temporal, retention, graph, entities, communities, planner, flows, records, scans, served):
+    for module in (aggregates, predicates, joins, windows, sets, text, chunks, retrieval, temporal, retention, graph, entities, communities, planner, flows, tail, records, scans, served):
         found |= module.ENTRIES
     return found
 
