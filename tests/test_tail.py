@@ -66,3 +66,60 @@ def test_batches_are_bounded(tmp_path):
     put(f"{tmp_path}/log/a", "w" * 70, "w")
     with pytest.raises(ValueError, match="over 50 bytes"):
         tail.latestOffset()
+
+
+def batch_answer(rows, idle_ms, watermark):
+    """Sessions (session, n, last ms) that have ended before the watermark."""
+    found = []
+    for s in {r[2] for r in rows}:
+        times = sorted(r[1] for r in rows if r[2] == s)
+        parts = [[times[0]]]
+        for a, b in zip(times, times[1:]):
+            if b - a > idle_ms:
+                parts.append([])
+            parts[-1].append(b)
+        found += [(s, len(p), p[-1]) for p in parts if p[-1] + idle_ms < watermark]
+    return sorted(found)
+
+
+def test_triggers_over_shuffled_files_with_state_evicted(spark, tmp_path):
+    from palimpsest.streaming.flows import run_to_end
+    from palimpsest.streaming.triggers import session_triggers
+
+    import random
+
+    rng = random.Random(2)
+    # (event, ms, session, kind): sessions rest for hours, files are shuffled by less than the watermark's delay
+    rows, at = [], 0
+    for i in range(400):
+        at += rng.choice([1, 5, 20, 200]) * 60_000 if i % 20 else 9 * 3_600_000
+        rows.append((i, at, rng.randint(0, 3), rng.choice(["click", "purchase"])))
+    files = [rows[i : i + 20] for i in range(0, 400, 20)]
+    for k in range(0, len(files) - 1, 2):
+        files[k], files[k + 1] = files[k + 1], files[k]
+    for k, part in enumerate(files):
+        df = spark.createDataFrame(part, "event_id long, ms long, session_id long, kind string").selectExpr("event_id", "timestamp_millis(ms) ts", "session_id", "kind")
+        df.coalesce(1).write.parquet(f"{tmp_path}/in/f{k:03}")
+    spread = max(max(r[1] for r in files[k + 1] + files[k]) - min(r[1] for r in files[k + 1] + files[k]) for k in range(0, len(files) - 1, 2))
+    stream = spark.readStream.schema("event_id long, ts timestamp, session_id long, kind string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/f*")
+    got = run_to_end(session_triggers(stream, f"{spread // 1000 + 1} seconds"), "append").collect()
+    assert sorted(r.n for r in got if r.trigger == "decision_landed") == [r[0] for r in rows if r[3] == "purchase"]
+    for s in range(4):
+        assert sum(r.trigger == "topic_due" and r.session_id == s for r in got) == sum(r[2] == s for r in rows) // 8
+    ended = sorted((r.session_id, r.n, r.at_ms) for r in got if r.trigger == "session_end")
+    assert ended == batch_answer(rows, 1_800_000, at - (spread // 1000 + 1) * 1000)
+    assert ended
+
+
+def test_merged_nodes_over_batches(spark, tmp_path):
+    from palimpsest.streaming.triggers import merged_nodes
+
+    rows = [(k % 7 if k % 7 else None, f"p{k % 3}", k, float(k)) for k in range(200)]
+    for f in range(10):
+        spark.createDataFrame(rows[f::10], "node long, prop string, seq long, value double").coalesce(1).write.parquet(f"{tmp_path}/in/f{f}")
+    stream = spark.readStream.schema("node long, prop string, seq long, value double").option("maxFilesPerTrigger", 2).parquet(f"{tmp_path}/in/f*")
+    want = {}
+    for r in rows:
+        want[r[0], r[1]] = r
+    got = merged_nodes(stream, ["node", "prop"], "seq", buckets=5).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == set(want.values())
