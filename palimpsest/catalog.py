@@ -18,12 +18,12 @@ class Entry:
 
 def entries() -> dict[str, Entry]:
     from palimpsest.functions import chunks, records, text
-    from palimpsest.operators import aggregates, communities, entities, fulltext, graph, joins, predicates, retention, retrieval, scans, served, sets, temporal, windows
+    from palimpsest.operators import aggregates, communities, containment, entities, fulltext, graph, joins, predicates, retention, retrieval, scans, served, sets, temporal, windows
     from palimpsest.plans import planner
     from palimpsest.streaming import flows, tail, triggers
 
     found: dict[str, Entry] = {}
-    for module in (aggregates, predicates, joins, windows, sets, text, chunks, fulltext, retrieval, temporal, retention, graph, entities, communities, planner, flows, tail, triggers, records, scans, served):
+    for module in (aggregates, predicates, joins, windows, sets, text, chunks, fulltext, retrieval, temporal, retention, graph, entities, communities, containment, planner, flows, tail, triggers, records, scans, served):
         found |= module.ENTRIES
     return found
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.catalog import Entry
 from palimpsest.functions.text import intent, intent_sql, outcome_factor, words
+from palimpsest.operators.fulltext import containing, documents_index
 from palimpsest.operators.retrieval import bm25, literal_and, ranked, rrf
 from palimpsest.sources.tables import events, table
 
@@ -95,7 +96,8 @@ def r25(spark, sf_dir):
     """How a passage meets a document: whole text, its source, or part of the text; the first counts."""
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
     d = table(spark, sf_dir, "documents")
-    hit = d.join(F.broadcast(b), F.contains("text", "passage"))
+    found = containing(documents_index(spark, sf_dir), d.select(F.col("doc_id").alias("id"), "text"), b.select(F.col("item_id").alias("q"), "passage"))
+    hit = found.select(F.col("q").alias("item_id"), F.col("id").alias("doc_id")).join(d, "doc_id").join(b, "item_id")
     how = F.when(F.col("text") == F.col("passage"), 3).when(F.col("source") == F.col("passage"), 2).otherwise(1)
     return hit.select("item_id", "doc_id", how.alias("how"))
 
