@@ -10,14 +10,44 @@ from palimpsest.functions.text import clamp_score, dot, words
 from palimpsest.sources.tables import NOW, events, table
 
 # Topics by the words that raise them, and phrases of questions about architecture.
-TOPICS = {"license": "license|copyright", "contact": "@|phone", "secret": "token|password", "web": "http", "number": "[0-9]{4}"}
-ARCHITECTURE = ["architecture", "overview", "how does", "structure", "components", "design of"]
+TOPICS = [
+    (r"\bgit\s+push\b", ["git", "git_push"]),
+    (r"\bgit\s+commit\b", ["git", "git_commit"]),
+    (r"\brefactor(ing|ed)?\b", ["refactor"]),
+    (r"\bcargo\s+test\b", ["test", "ci"]),
+    (r"\bpytest\b|\bjest\b", ["test"]),
+    (r"\bdocker\b|\bcompose\b", ["deploy", "build"]),
+    (r"\bbench(mark)?\b", ["perf", "test"]),
+]
+ARCHITECTURE = [
+    "architecture", "subsystem", "system overview", "overview of the system", "how is the system structured", "how is the codebase structured", "how is the project structured",
+    "structure of the codebase", "structure of the project", "major components", "main components", "how do the modules relate", "how do the components relate", "module map", "component map",
+    "high-level design", "high level design", "birds-eye view", "bird's-eye view",
+]
+PATH_TOPICS = {
+    "code": "rs ts tsx js jsx py go java c cc cpp h hpp rb kt swift scala cs php sh bash zsh fish ps1 sql proto tml".split(),
+    "docs": "md mdx rst adoc asciidoc txt tex org".split(),
+    "config": "toml yaml yml json ini cfg conf".split(),
+}
 CONFIDENCE = {"extracted": 1.0, "inferred": 0.7, "ambiguous": 0.4}
 
 
 def topics(c: Column) -> Column:
-    """All topics whose pattern occurs."""
-    return F.array_compact(F.array(*[F.when(F.lower(c).rlike(p), F.lit(n)) for n, p in TOPICS.items()]))
+    """The tags of all patterns that occur, whatever the case, each once."""
+    return F.array_distinct(F.flatten(F.array(*[F.when(c.rlike(f"(?i){p}"), F.array(*map(F.lit, tags))).otherwise(F.array().cast("array<string>")) for p, tags in TOPICS])))
+
+
+def extension(path: Column) -> Column:
+    """What follows the last dot of a path's last part, in lower case; null without one, or if nothing is before the dot."""
+    return F.nullif(F.lower(F.regexp_extract(path, r"[^/]\.([^./]+)$", 1)), F.lit(""))
+
+
+def path_topic(path: Column) -> Column:
+    ext = extension(path)
+    out = F.when(F.lit(False), F.lit(None).cast("string"))
+    for topic, known in PATH_TOPICS.items():
+        out = out.when(ext.isin(known), topic)
+    return out
 
 
 def confidence(score: Column, label: Column) -> Column:
@@ -57,8 +87,14 @@ def c03(spark, sf_dir):
     return e.select("vec_id", F.round(dot(F.col("embedding"), F.col("embedding")), 5).alias("norm"))
 
 
+_COMMANDS = ["git push origin", "Git  Commit -m x", "refactored it", "cargo test --all", "run PyTest now", "docker compose up", "benchmark", "dockerfile and digit pushing", "refactors benches"]
+_EXTENSIONS = ["rs", "MD", "toml", "py", "txt", "weird", "sql", "Yaml", "tsx"]
+
+
 def c08(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.explode(topics(F.col("text"))).alias("topic")).groupBy("topic").agg(F.count("*").alias("n"))
+    """Topics of what is said and done: a command before each document."""
+    said = F.concat(F.element_at(F.array(*map(F.lit, _COMMANDS)), (F.pmod("doc_id", F.lit(9)) + 1).cast("int")), F.lit(" "), F.coalesce("text", F.lit("")))
+    return table(spark, sf_dir, "documents").select(F.explode(topics(said)).alias("topic")).groupBy("topic").agg(F.count("*").alias("n"))
 
 
 def c09(spark, sf_dir):
@@ -72,9 +108,15 @@ def c10(spark, sf_dir):
     return events(spark, sf_dir).select("event_id", F.concat_ws(" ", F.lit("session"), F.col("session_id").cast("string"), F.col("kind"), F.concat(F.lit("#"), F.col("k").cast("string"))).alias("summary"))
 
 
+def architecture(query: Column) -> Column:
+    return F.exists(F.array(*[F.lit(m) for m in ARCHITECTURE]), lambda m: F.contains(F.lower(query), m))
+
+
 def c15(spark, sf_dir):
-    hit = F.exists(F.array(*[F.lit(m) for m in ARCHITECTURE]), lambda m: F.contains(F.lower("text"), m))
-    return table(spark, sf_dir, "conversations").groupBy(hit.alias("architecture")).agg(F.count("*").alias("n"))
+    """Questions about the whole: some turns end in one of the phrases."""
+    phrase = F.get(F.array(*[F.lit(m.upper()) for m in ARCHITECTURE]), F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.lit(40)).cast("int"))
+    c = table(spark, sf_dir, "conversations").withColumn("query", F.concat("text", F.lit(" "), F.coalesce(phrase, F.lit(""))))
+    return c.groupBy("role", architecture(F.col("query")).alias("architecture")).agg(F.count("*").alias("n"))
 
 
 def c18(spark, sf_dir):
@@ -124,8 +166,9 @@ def c35(spark, sf_dir):
 
 
 def c36(spark, sf_dir):
-    path = F.regexp_extract("url", r"^https?://[^/]+/([^?#]*)", 1)
-    return table(spark, sf_dir, "pages").groupBy(F.regexp_extract(path, "^([a-z]+)", 1).alias("topic")).agg(F.count("*").alias("n"))
+    """Topics of paths by their endings; those that say nothing have none."""
+    name = F.concat(F.lit("src.d/m"), "doc_id", F.coalesce(F.concat(F.lit("."), F.get(F.array(*map(F.lit, _EXTENSIONS)), F.pmod("doc_id", F.lit(11)).cast("int"))), F.lit("")))
+    return table(spark, sf_dir, "documents").groupBy(path_topic(name).alias("topic")).agg(F.count("*").alias("n"))
 
 
 def c37(spark, sf_dir):
@@ -160,12 +203,17 @@ def c42(spark, sf_dir):
 
 
 _K = "cast(json_extract_string(props,'$.k') as int)"
+_SAID = f"{_COMMANDS}[doc_id%9+1] || ' ' || coalesce(text,'')"
+_C08 = f"with s as (select {_SAID} t from documents), h as (select list_distinct(flatten([" + ", ".join(f"case when regexp_matches(t,'(?i){p}') then {tags} else [] end" for p, tags in TOPICS) + "])) tags from s), u as (select unnest(tags) topic from h) select topic, count(*) n from u group by 1"
+_MARKERS = ", ".join("'" + m.replace("'", "''") + "'" for m in ARCHITECTURE)
+_C15 = f"with c as (select role, lower(text || ' ' || coalesce([{_MARKERS}][(conv_id*7+turn)%40+1],'')) q from conversations) select role, len(list_filter([{_MARKERS}], lambda m: contains(q,m)))>0 as architecture, count(*) n from c group by 1,2"
+_C36 = f"with e as (select lower(coalesce({_EXTENSIONS}[doc_id%11+1],'')) x from documents) select case " + " ".join(f"when list_contains({known},x) then '{topic}'" for topic, known in PATH_TOPICS.items()) + " end topic, count(*) n from e group by 1"
 ENTRIES = {
     "C03_norms": Entry(c03, "with e as (select vec_id, unnest(embedding)::double x from embeddings) select vec_id, round(sum(x*x),5) norm from e group by 1"),
-    "C08_topics": Entry(c08, " union all ".join(f"select '{n}' topic, count(*) n from documents where regexp_matches(lower(text),'{p}') having count(*)>0" for n, p in TOPICS.items())),
+    "C08_topics": Entry(c08, _C08),
     "C09_classes": Entry(c09, "select case event_type when 'error' then 'critical' when 'purchase' then 'notable' when 'signup' then 'notable' else 'info' end severity, case event_type when 'signup' then 'high' when 'purchase' then 'medium' else 'low' end pii, count(*) n from events group by 1,2"),
     "C10_summaries": Entry(c10, f"select event_id, concat_ws(' ','session',user_id,event_type,'#' || {_K}) summary from events"),
-    "C15_architecture": Entry(c15, "select " + " or ".join(f"contains(lower(text),'{m}')" for m in ARCHITECTURE) + " as architecture, count(*) n from conversations group by 1"),
+    "C15_architecture": Entry(c15, _C15),
     "C18_chunk_keys": Entry(c18, "select page_id, substr(sha256(url || '|' || md5(html)),1,16) chunk_key from pages"),
     "C23_partition_start": Entry(c23, "select strftime(ts,'year=%Y/month=%m/day=%d/hour=%H') path, count(*) n, case when max(date_trunc('hour',ts))+interval 1 hour<=timestamp '2024-01-22' then 1 else 0 end expired from events group by 1"),
     "C25_offsets": Entry(c25, "select event_id, epoch_ms(date_trunc('second',ts))-7200000 ms from events"),
@@ -175,7 +223,7 @@ ENTRIES = {
     "C31_lifecycle": Entry(c31, "select case when o_orderstatus='F' then 'merged' when o_orderpriority='5-LOW' then 'abandoned' else 'open' end lifecycle, o_totalprice<=100000 epoch, count(*) n from orders group by 1,2"),
     "C32_confidence": Entry(c32, "select l_returnflag, round(sum(case when l_discount>0 then l_discount when l_returnflag='R' then 1.0 when l_returnflag='A' then 0.7 else 0.4 end),4) weight from lineitem group by 1"),
     "C35_clamped": Entry(c35, "select event_type kind, round(sum(greatest(0,least(1,value/50))),4) score, count(*) filter (value/50>=1) as \"full\" from events group by 1"),
-    "C36_path_topics": Entry(c36, "select regexp_extract(regexp_extract(url,'^https?://[^/]+/([^?#]*)',1),'^([a-z]+)',1) topic, count(*) n from pages group by 1"),
+    "C36_path_topics": Entry(c36, _C36),
     "C37_slugs": Entry(c37, "select p_partkey, regexp_replace(regexp_replace(lower(p_brand || ' ' || p_name),'[^a-z0-9]+','-','g'),'^-|-$','','g') slug from part"),
     "C38_titles": Entry(c38, "select event_id, upper(event_type[1]) || event_type[2:] || ' ' || json_extract_string(props,'$.k') title from events"),
     "C39_versions": Entry(c39, "select doc_id, len(regexp_extract_all(text,'[0-9]+\\.[0-9]+')) mentions from documents where len(regexp_extract_all(text,'[0-9]+\\.[0-9]+'))>0"),

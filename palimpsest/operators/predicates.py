@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.catalog import Entry
+from palimpsest.functions.records import extension
 from palimpsest.sources.tables import events, table
 
 
@@ -93,11 +94,37 @@ def f21(spark, sf_dir):
     return events(spark, sf_dir).filter(~F.col("kind").isin("view", "click")).select("event_id", "kind")
 
 
+# Families by kind, and endings that tell where an artifact belongs.
+FAMILIES = {
+    "tool_call": "code", "decision": "decisions", "turn": "turns", "agent_call": "turns", "law": "governance", "law_violation": "governance", "analysis": "analyses",
+    "knowledge": "knowledge", "learning": "learnings", "consolidation": "consolidations", "topic_card": "topic_cards", "memory": "misc",
+}
+CODE_ENDINGS = "rs ts tsx js jsx mjs cjs vue py go rb java kt scala c cc cpp h hpp cs swift php lua sh bash zsh ps1 fish sql proto".split()
+DOC_ENDINGS = "md mdx markdown rst adoc asciidoc txt rtf tex org".split()
+
+
+def family(kind: Column, topics: Column, path: Column) -> Column:
+    """Where an event belongs: by its kind; artifacts by their path's ending, else by their topics, else nowhere special."""
+    ext = extension(path)
+    artifact = F.when(ext.isin(CODE_ENDINGS), "code").when(ext.isin(DOC_ENDINGS), "docs").when(F.array_contains(topics, "code"), "code").when(F.array_contains(topics, "doc") | F.array_contains(topics, "documentation"), "docs")
+    out = F.when(kind == "artifact", F.coalesce(artifact, F.lit("misc")))
+    for name, where in FAMILIES.items():
+        out = out.when(kind == name, where)
+    return out
+
+
+_KINDS = ["artifact", "artifact", *FAMILIES]
+_PATHS = ["a/b.RS", "readme.md", "x.bin", "Makefile", ".md", "notes.d/file"]
+_TOPICS = [["code", "doc"], ["doc"], ["documentation", "x"], []]
+
+
 def f22(spark, sf_dir):
-    p = table(spark, sf_dir, "pages")
-    ext = F.regexp_extract("url", r"/(en|de|fr|es)/", 1)
-    family = F.when(ext == "en", "docs").when(ext.isin("de", "fr"), "knowledge").when(F.col("url").contains("?"), "misc").otherwise("turns")
-    return p.groupBy(family.alias("family")).agg(F.count("*").alias("n"))
+    """Events as records of all kinds, with paths and topics: how many go to each family."""
+    at = lambda xs, n: F.element_at(F.array(*xs), (F.pmod(n, F.lit(len(xs))) + 1).cast("int"))
+    e = F.col("event_id")
+    topics = at([F.array(*map(F.lit, t)).cast("array<string>") for t in _TOPICS], F.floor(e / 84))
+    found = family(at([F.lit(k) for k in _KINDS], e), topics, at([F.lit(p) for p in _PATHS], F.floor(e / 14)))
+    return table(spark, sf_dir, "events").groupBy(found.alias("family")).agg(F.count("*").alias("n"))
 
 
 def f25(spark, sf_dir, n: int = 50):
@@ -131,6 +158,10 @@ def f30(spark, sf_dir):
 
 _FACTS = "with f as (select doc_id, lang, source, quality+2*toxic as level, case when toxic=1 then ['legal',lang] when quality=1 then [lang] end comps from documents left join labels using(doc_id)) "
 _IN = "list_has_all(['en','fr'], coalesce(comps, []))"
+_F22 = f"""with e as (select {_KINDS}[event_id%{len(_KINDS)}+1] kind, {_PATHS}[event_id//14%{len(_PATHS)}+1] path, {_TOPICS}[event_id//84%{len(_TOPICS)}+1] topics from events),
+x as (select *, lower(regexp_extract(path,'[^/]\\.([^./]+)$',1)) ext from e)
+select case {' '.join(f"when kind='{k}' then '{v}'" for k, v in FAMILIES.items())} when list_contains({CODE_ENDINGS},ext) then 'code' when list_contains({DOC_ENDINGS},ext) then 'docs'
+when list_contains(topics,'code') then 'code' when list_contains(topics,'doc') or list_contains(topics,'documentation') then 'docs' else 'misc' end family, count(*) n from x group by 1"""
 ENTRIES = {
     "F04_scope": Entry(f04, "select doc_id, source, lang from documents where lower(source)='src3' and lang in ('en','de')"),
     "F06_tool_calls": Entry(f06, "select event_id, user_id session_id, (epoch_us(ts)//1000) ms from events where event_type='error' and (epoch_us(ts)//1000) between 1704844800000 and 1705449600000"),
@@ -139,7 +170,7 @@ ENTRIES = {
     "F18_access_reasons": Entry(f18, _FACTS + f"select case when coalesce(level,0)>2 then 'level' when not {_IN} then 'compartment' else 'granted' end reason, count(*) n from f group by 1"),
     "F20_outcomes": Entry(f20, "select event_type kind, count(*) n from events where event_type in ('click','purchase') group by 1"),
     "F21_low_signal": Entry(f21, "select event_id, event_type kind from events where event_type not in ('view','click')"),
-    "F22_family": Entry(f22, "with p as (select url, regexp_extract(url,'/(en|de|fr|es)/',1) e from pages) select case when e='en' then 'docs' when e in ('de','fr') then 'knowledge' when contains(url,'?') then 'misc' else 'turns' end family, count(*) n from p group by 1"),
+    "F22_family": Entry(f22, _F22),
     "F25_browse": Entry(f25, "select event_id, user_id session_id, event_type kind, (epoch_us(ts)//1000) ms from events where event_type in ('error','signup') order by (epoch_us(ts)//1000) desc, event_id desc limit 50"),
     "F27_laws": Entry(f27, "with e as (select event_id, event_type kind, json_extract_string(props,'$.k') k from events) select event_id, 'L1' law_id, 'block' verdict from e where kind='error' union all select event_id,'L2','warn' from e where kind='purchase' and contains(k,'9') union all select event_id,'L3','note' from e where k like '1%'"),
     "F29_whitelist": Entry(f29, "select o_orderpriority, count(*) n from orders where o_orderpriority in ('1-URGENT','2-HIGH') or o_totalprice<50000 group by 1"),
