@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from palimpsest.catalog import Entry
 from palimpsest.functions.text import intent, intent_sql, outcome_factor, words
-from palimpsest.operators.fulltext import containing, documents_index
-from palimpsest.operators.retrieval import bm25, literal_and, ranked, rrf
+from palimpsest.operators.fulltext import containing, documents_index, ranked_top, search_all
+from palimpsest.operators.retrieval import _ALL, _AND, _Q, bm25, decay, literal_and, ranked, rrf
 from palimpsest.sources.tables import events, table
 
 # Lanes of each intent with the collections they ask, the share of the budget and the limit.
@@ -92,6 +92,28 @@ def r21(spark, sf_dir, n: int = 20):
     return ev.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= n).select("session_id", "pos", "event_id")
 
 
+def served(lanes: DataFrame, about: DataFrame, rate: float, active_repo: str, foreign: float, active_session: str, n: int = 10) -> DataFrame:
+    """(q, rank, doc_id, score): lanes fused as they are served, from ``about`` (doc_id, text, age_days, repo, session, outcome).
+
+    Hits without text are dropped before they take part; what is left is fused by reciprocal ranks and multiplied by its
+    recency, its repository, its session and its outcome. Ranks are those of the lanes as they came.
+    """
+    known = about.filter(F.trim("text") != "").select("doc_id", "age_days", "repo", "session", "outcome")
+    factor = decay(F.col("age_days"), rate) * hit_factor(F.col("outcome"), F.col("repo"), active_repo, foreign, F.col("session"), active_session)
+    return ranked(rrf(lanes.join(known, "doc_id"), factor=factor).filter("score > 0"), n=n)
+
+
+def r01_served(spark, sf_dir):
+    index = documents_index(spark, sf_dir)
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"), F.array_join(words("text"), " ").alias("query"))
+    a = ranked_top(index, q, 20).select("q", F.lit("words").alias("lane"), "rank", "doc_id", (F.col("score") / 50).alias("native"))
+    b = ranked(search_all(index, q)).select("q", F.lit("exact").alias("lane"), "rank", "doc_id", (F.col("score") / 2).alias("native"))
+    marks = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    outcome = F.when(F.col("toxic") == 1, "error").when(F.col("toxic") == 0, "success").otherwise("unknown")
+    about = table(spark, sf_dir, "documents").join(marks, "doc_id", "left").select("doc_id", "text", (F.col("doc_id") % 90).alias("age_days"), F.col("lang").alias("repo"), F.col("source").alias("session"), outcome.alias("outcome"))
+    return served(a.unionByName(b), about, 0.02, "en", 0.25, "src0").select("q", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
 def r25(spark, sf_dir):
     """How a passage meets a document: whole text, its source, or part of the text; the first counts."""
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
@@ -176,7 +198,13 @@ def f32(spark, sf_dir, budget: int = 32768):
 
 
 _T = "with t as (select conv_id*1000+turn q, text from conversations where role='user'), i as (select q, " + intent_sql("text") + " intent from t), p(intent, lane, collection, share, k) as (values " + ", ".join(f"('{i}','{a}','{b}',{s},{k})" for i, lanes in PLANS.items() for a, b, s, k in lanes) + ") "
+_SERVED = (
+    _Q + _ALL + _AND + ", l as (select q, doc_id, rank, score/50 nat from br where rank<=20 union all select q, doc_id, row_number() over (partition by q order by score desc, doc_id) rank, score/2 from ls qualify rank<=20), "
+    "x as (select doc_id, max(toxic) toxic from labels group by 1), ab as (select doc_id, exp(-0.02*(doc_id%90)) * case toxic when 1 then 0.5 when 0 then 1.2 else 1.0 end * case when lower(lang)='en' then 1.0 else 0.25 end * case when source='src0' then 2.0 else 1.0 end f from documents left join x using(doc_id) where trim(text)<>''), "
+    "f as (select q, doc_id, sum(0.7/(60+rank)+0.3*greatest(0,least(1,nat)))*max(f) score from l join ab using(doc_id) group by 1,2) select q, row_number() over (partition by q order by round(score,9) desc, doc_id) rank, doc_id, round(score,6) score from f where score>0 qualify rank<=10"
+)
 ENTRIES = {
+    "R01_served_fusion": Entry(r01_served, _SERVED),
     "R07_lane_requests": Entry(r07, _T + "select intent, lane, collection, count(*) requests, cast(sum(share*40) as bigint) tokens, max(k) k from i join p using(intent) group by 1,2,3"),
     "R15_multipliers": Entry(r15, "select doc_id, round((case when toxic=1 then 0.5 when quality=1 then 1.2 else 1.0 end)*(case when lower(source)='src3' then 1.0 else 0.25 end)*(case when doc_id%10=7 then 2.0 else 1.0 end),6)::double factor from documents join labels using(doc_id)"),
     "R19_partition": Entry(r19, "select case when source='src0' then 'consolidation' when source like 'src1%' then 'card' else 'snippet' end part, count(*) n, cast(sum(n_chars) as bigint) chars from documents group by 1"),
