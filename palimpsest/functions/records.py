@@ -91,10 +91,13 @@ _COMMANDS = ["git push origin", "Git  Commit -m x", "refactored it", "cargo test
 _EXTENSIONS = ["rs", "MD", "toml", "py", "txt", "weird", "sql", "Yaml", "tsx"]
 
 
+def said() -> Column:
+    """What is said and done: a command before each document."""
+    return F.concat(F.element_at(F.array(*map(F.lit, _COMMANDS)), (F.pmod("doc_id", F.lit(9)) + 1).cast("int")), F.lit(" "), F.coalesce("text", F.lit("")))
+
+
 def c08(spark, sf_dir):
-    """Topics of what is said and done: a command before each document."""
-    said = F.concat(F.element_at(F.array(*map(F.lit, _COMMANDS)), (F.pmod("doc_id", F.lit(9)) + 1).cast("int")), F.lit(" "), F.coalesce("text", F.lit("")))
-    return table(spark, sf_dir, "documents").select(F.explode(topics(said)).alias("topic")).groupBy("topic").agg(F.count("*").alias("n"))
+    return table(spark, sf_dir, "documents").select(F.explode(topics(said())).alias("topic")).groupBy("topic").agg(F.count("*").alias("n"))
 
 
 def c09(spark, sf_dir):
@@ -203,8 +206,9 @@ def c42(spark, sf_dir):
 
 
 _K = "cast(json_extract_string(props,'$.k') as int)"
-_SAID = f"{_COMMANDS}[doc_id%9+1] || ' ' || coalesce(text,'')"
-_C08 = f"with s as (select {_SAID} t from documents), h as (select list_distinct(flatten([" + ", ".join(f"case when regexp_matches(t,'(?i){p}') then {tags} else [] end" for p, tags in TOPICS) + "])) tags from s), u as (select unnest(tags) topic from h) select topic, count(*) n from u group by 1"
+SAID_SQL = f"{_COMMANDS}[doc_id%9+1] || ' ' || coalesce(text,'')"
+TOPICS_SQL = "list_distinct(flatten([" + ", ".join(f"case when regexp_matches(t,'(?i){p}') then {tags} else [] end" for p, tags in TOPICS) + "]))"
+_C08 = f"with s as (select {SAID_SQL} t from documents), u as (select unnest({TOPICS_SQL}) topic from s) select topic, count(*) n from u group by 1"
 _MARKERS = ", ".join("'" + m.replace("'", "''") + "'" for m in ARCHITECTURE)
 _C15 = f"with c as (select role, lower(text || ' ' || coalesce([{_MARKERS}][(conv_id*7+turn)%40+1],'')) q from conversations) select role, len(list_filter([{_MARKERS}], lambda m: contains(q,m)))>0 as architecture, count(*) n from c group by 1,2"
 _C36 = f"with e as (select lower(coalesce({_EXTENSIONS}[doc_id%11+1],'')) x from documents) select case " + " ".join(f"when list_contains({known},x) then '{topic}'" for topic, known in PATH_TOPICS.items()) + " end topic, count(*) n from e group by 1"

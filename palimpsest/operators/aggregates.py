@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.catalog import Entry
+from palimpsest.functions.records import SAID_SQL, TOPICS_SQL, said, topics
 from palimpsest.sources.tables import NOW, events, table
 
 
@@ -66,10 +67,15 @@ def a09_conversations(spark, sf_dir):
     return c.groupBy("conv_id").agg(F.countDistinct("turn").alias("turns"), F.sum((F.col("role") == "system").cast("long")).alias("system_turns"), F.min_by("role", "turn").alias("first_role"))
 
 
-def a10_facets(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    parts = [d.groupBy(F.col(c).alias("value")).agg(F.count("*").alias("n")).select(F.lit(c).alias("facet"), "value", "n") for c in ("lang", "source")]
-    return parts[0].unionByName(parts[1])
+def a10_facets(spark, sf_dir, most: int = 40):
+    """Facets of what is said in two languages: the ``most`` frequent topics, severities, risks and sources."""
+    marks = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    d = table(spark, sf_dir, "documents").filter("lang in ('en', 'de')").join(marks, "doc_id", "left")
+    d = d.select(topics(said()).alias("topics"), F.when(F.col("toxic") == 1, "critical").otherwise("info").alias("severity"), F.when(F.contains("text", F.lit("@")), "high").otherwise("low").alias("pii"), "source")
+    each = d.select(F.explode(F.flatten(F.array(F.transform("topics", lambda t: F.struct(F.lit("topic").alias("facet"), t.alias("value"))), F.array(*[F.struct(F.lit(c).alias("facet"), F.col(c).alias("value")) for c in ("severity", "pii", "source")])))).alias("f"))
+    counts = each.groupBy("f.facet", "f.value").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("facet").orderBy(F.desc("n"), "value"))
+    return counts.withColumn("place", place).filter((F.col("facet") != "topic") | (F.col("place") <= most)).drop("place")
 
 
 def a11_catalogue(spark, sf_dir):
@@ -210,6 +216,7 @@ def a43_archive(spark, sf_dir):
 
 
 _DAYS = "strftime(ts,'%Y-%m-%d')"
+_A10 = f"with x as (select doc_id, max(toxic) toxic from labels group by 1), d as (select doc_id, text, source, {SAID_SQL} t, toxic from documents left join x using(doc_id) where lang in ('en','de')), u as (select 'topic' facet, unnest({TOPICS_SQL}) as value from d union all select 'severity', case when toxic=1 then 'critical' else 'info' end from d union all select 'pii', case when contains(text,'@') then 'high' else 'low' end from d union all select 'source', source from d) select facet, value, count(*) n from u group by 1,2 qualify facet<>'topic' or row_number() over (partition by facet order by count(*) desc, value)<=40"
 ENTRIES = {
     "A01_overview": Entry(a01_overview, "select coalesce(event_type,'total') kind, count(*) n from events group by rollup(event_type)"),
     "A02_minute_series": Entry(a02_minutes, _EV + ", c as (select least((ms-1704067200000)//60000,1439) m, count(*) n from ev group by 1) select r.range as minute, cast(coalesce(n,0) as bigint) as events from range(1440) r left join c on c.m=r.range"),
@@ -220,7 +227,7 @@ ENTRIES = {
     "A07_heatmap": Entry(a07_heatmap, "select cast(isodow(ts)-1 as bigint) weekday, cast(hour(ts) as bigint) as hour, count(*) n from events group by 1,2"),
     "A08_sessions": Entry(a08_sessions, _EV + "select session_id, count(*) n, min(ms) first_ms, max(ms) last_ms, max(ms)-min(ms) duration_ms, count(distinct kind) kinds, arg_min(kind, (ms,event_id)) first_kind from ev group by 1"),
     "A09_conversations": Entry(a09_conversations, "select conv_id, count(distinct turn) turns, cast(sum(case when role='system' then 1 else 0 end) as bigint) system_turns, arg_min(role,turn) first_role from conversations group by 1"),
-    "A10_facets": Entry(a10_facets, "select 'lang' facet, lang as value, count(*) n from documents group by lang union all select 'source', source, count(*) from documents group by source"),
+    "A10_facets": Entry(a10_facets, _A10),
     "A11_catalogue": Entry(a11_catalogue, "select p_brand, arg_min(p_name,p_partkey) title, count(*) n from part group by 1"),
     "A12_touched": Entry(a12_touched, "select l_partkey, count(*) filter (l_returnflag='R') as reads, count(*) filter (l_returnflag='A') as writes, count(*) filter (l_returnflag='N') as others, strftime(max(l_shipdate),'%Y-%m-%d') as last from lineitem group by 1"),
     "A13_axes": Entry(a13_axes, f"with e as (select *, {_DAYS} as day from events) select coalesce(event_type,'unknown') kind, coalesce(day,'unknown') as day, count(*) n, count(distinct user_id) sessions, grouping_id(event_type, day) as level from e group by cube(event_type, day)"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,9 +93,30 @@ def f07(spark, sf_dir):
     return o.select("o_orderkey", "o_orderpriority")
 
 
+# The index that holds each kind.
+ROUTES = {"click": "turns", "view": "turns", "error": "violations", "purchase": "decisions", "signup": "memories"}
+
+
+def events_by_kind(ev: DataFrame, kind: str, session: int | None = None, since_ms: int | None = None, until_ms: int | None = None) -> DataFrame:
+    """(index, event_id, ..): events of one kind, with the index they are in; conditions that are not asked for drop nothing."""
+    if kind not in ROUTES:
+        raise ValueError(f"unknown kind {kind}")
+    asked = [F.col("kind") == kind]
+    asked += [] if session is None else [F.col("session_id") == session]
+    asked += [] if since_ms is None else [F.col("ms") >= since_ms]
+    asked += [] if until_ms is None else [F.col("ms") < until_ms]
+    for c in asked:
+        ev = ev.filter(c)
+    return ev.withColumn("index", F.lit(ROUTES[kind]))
+
+
 def f09(spark, sf_dir):
-    index = F.create_map(*[F.lit(x) for x in ("click", "turns", "view", "turns", "error", "violations", "purchase", "decisions", "signup", "memories")])
-    return events(spark, sf_dir).groupBy(index[F.col("kind")].alias("index")).agg(F.count("*").alias("n"))
+    """What four requests find: one of each condition, and one of all."""
+    ev = events(spark, sf_dir)
+    day = 86_400_000
+    asked = [("error", {}), ("click", {"session": 3}), ("purchase", {"since_ms": 1_704_067_200_000 + 9 * day}), ("view", {"session": 5, "since_ms": 1_704_067_200_000 + 2 * day, "until_ms": 1_704_067_200_000 + 20 * day})]
+    found = [events_by_kind(ev, kind, **more).select(F.lit(n).alias("request"), "index", "event_id") for n, (kind, more) in enumerate(asked)]
+    return reduce(DataFrame.unionByName, found)
 
 
 def f10(spark, sf_dir):
@@ -160,11 +183,17 @@ def j10(spark, sf_dir):
 
 
 def j14(spark, sf_dir):
-    """Ordered pairs of revisions where the later one supersedes the one right before it."""
+    """Ordered pairs of decisions of one record, the later of which says that it supersedes the earlier.
+
+    Final orders name the decision they supersede, up to three revisions back; some name one that came after them, and
+    that is no supersession.
+    """
     r = revisions(spark, sf_dir)
-    a = r.select("id", "revision", F.col("source_id").alias("later"), F.col("status").alias("s"))
-    b = r.select("id", (F.col("revision") + 1).alias("revision"), F.col("source_id").alias("earlier"), F.col("status").alias("t"))
-    return a.join(b, ["id", "revision"]).filter("s = 'F' and t <> 'F'").select("later", "earlier")
+    named = F.when(F.col("source_id") % 7 == 0, F.col("revision") + 1).otherwise(F.col("revision") - 1 - F.col("source_id") % 3)
+    ids = r.select("id", F.col("revision").alias("named"), F.col("source_id").alias("supersedes"))
+    said = r.filter("status = 'F'").withColumn("named", named).join(ids, ["id", "named"]).select(F.col("source_id").alias("later"), F.col("revision").alias("at"), "supersedes")
+    earlier = r.select(F.col("source_id").alias("supersedes"), F.col("revision").alias("before"))
+    return said.join(earlier, "supersedes").filter("at > before").select("later", F.col("supersedes").alias("earlier"))
 
 
 def j22(spark, sf_dir):
@@ -244,7 +273,7 @@ ENTRIES = {
     "F03_active": Entry(f03, "select o_orderstatus status, count(*) n from orders where o_orderstatus<>'F' group by 1"),
     "F05_scope_hits": Entry(f05, f"with e as (select event_type, epoch_us(ts)//1000 ms, case when {_K}%10>0 then event_type end t from events) select event_type kind, count(*) n from e where ms>=1705000000000 and (t is null or t in ('error','signup')) group by 1"),
     "F07_decisions": Entry(f07, "select o_orderkey, o_orderpriority from orders where o_orderstatus='F' and o_orderpriority in ('1-URGENT','3-MEDIUM') and o_orderdate>='1996-01-01' and o_orderdate<'1998-01-01'"),
-    "F09_routes": Entry(f09, "select case event_type when 'click' then 'turns' when 'view' then 'turns' when 'error' then 'violations' when 'purchase' then 'decisions' when 'signup' then 'memories' end as index, count(*) n from events group by 1"),
+    "F09_routes": Entry(f09, "with e as (select event_id, event_type k, user_id s, epoch_us(ts)//1000-1704067200000 d from events) select 0 as request, 'violations' as index, event_id from e where k='error' union all select 1, 'turns', event_id from e where k='click' and s=3 union all select 2, 'decisions', event_id from e where k='purchase' and d>=9*86400000 union all select 3, 'turns', event_id from e where k='view' and s=5 and d>=2*86400000 and d<20*86400000"),
     "F10_cards": Entry(f10, "select p_partkey, p_name from part where starts_with(p_name,'red')"),
     "F13_since": Entry(f13, "select event_id, epoch_us(ts)//1000 ms from events where epoch_us(ts)//1000>=1706600000000"),
     "F17_any_grant": Entry(f17, "select lang, count(*) n from documents where lang in ('en','src3','src7') or source in ('en','src3','src7') group by 1"),
@@ -256,7 +285,7 @@ ENTRIES = {
     "J06_unsuppressed": Entry(j06, "select o_orderstatus status, count(*) n from orders where o_custkey not in (select c_custkey from customer where c_mktsegment='BUILDING') group by 1"),
     "J08_merged_lanes": Entry(j08, "with u as (select doc_id, 0 lane, n_chars::double score from documents union all select doc_id, 1, quality*100.0::double from labels) select doc_id, sum(score)::double score, min(lane) lane, count(*) lanes from u group by 1"),
     "J10_candidates": Entry(j10, "select doc_id, quality, toxic from labels where doc_id in (select doc_id from documents order by n_chars desc, doc_id limit 100)"),
-    "J14_superseding": Entry(j14, _R + "select a.source_id later, b.source_id earlier from r a join r b on a.id=b.id and a.revision=b.revision+1 where a.status='F' and b.status<>'F'"),
+    "J14_superseding": Entry(j14, _R + "select a.source_id later, b.source_id earlier from r a join r b on a.id=b.id and a.revision>b.revision and b.revision=case when a.source_id%7=0 then a.revision+1 else a.revision-1-a.source_id%3 end where a.status='F'"),
     "J22_propagated": Entry(j22, _F + "select id, subject, round(score*case when state='temporal' then 1.1 else 1.0 end,6) score from s where state in ('temporal','valid') and subject in (select c_custkey from customer where c_mktsegment='MACHINERY') order by 3 desc, 1 limit 100"),
     "J25_identities": Entry(j25, "select doc_id, doc_id in (select doc_id from labels) labelled, doc_id in (select vec_id from embeddings) embedded from documents"),
     "A15_members": Entry(a15, "with c as (select o_custkey, o_orderstatus, count(*) n, min(o_orderdate) a, max(o_orderdate) z from orders group by 1,2) select o_custkey, strftime(min(a),'%Y-%m-%d') as first, strftime(max(z),'%Y-%m-%d') as last, string_agg(o_orderstatus || ':' || n, ',' order by o_orderstatus || ':' || n) outcomes from c group by 1"),
