@@ -12,7 +12,8 @@ from palimpsest.operators.graph import links
 from palimpsest.operators.joins import revisions
 from palimpsest.operators.predicates import conjunction
 from palimpsest.operators.temporal import facts, temporal_multiplier, temporal_state
-from palimpsest.sources.tables import events, table
+from palimpsest.sources.shared import remove, shared_folder
+from palimpsest.sources.tables import transcript_lines, events, table
 
 
 def by_key(df: DataFrame, key: str, value) -> DataFrame:
@@ -255,11 +256,43 @@ def k08(spark, sf_dir, asked: int = 5000):
     return events(spark, sf_dir).orderBy("ms", "event_id").limit(min(max(asked, 1), 200)).select("event_id")
 
 
+def _transcripts(spark, sf_dir) -> str:
+    """A folder of transcripts: a line a turn, some of them broken, some without a type, and files of other names."""
+    import atexit
+    import uuid
+
+    base = f"{shared_folder(spark)}/transcripts-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, base)
+    n = F.col("conv_id") * 100 + F.col("turn")
+    line = F.to_json(F.struct(F.when(n % 13 != 0, F.col("role")).alias("type"), F.col("conv_id").cast("string").alias("session_id"), F.col("text").alias("message")))
+    rows = table(spark, sf_dir, "conversations").select(F.when(n % 11 == 0, F.substring(line, 1, 15)).otherwise(line).alias("value"), (F.col("conv_id") % 4).alias("project"))
+    rows.write.partitionBy("project").option("compression", "none").text(f"{base}/projects")
+    rows.select("value").write.option("compression", "gzip").text(f"{base}/projects/old")
+    return base
+
+
+def s16(spark, sf_dir):
+    """How many lines of each project's transcripts are read, corrupt or unknown."""
+    lines = transcript_lines(spark, f"{_transcripts(spark, sf_dir)}/projects", "*.txt")
+    return lines.groupBy(F.regexp_extract("file", "project=([0-9]+)", 1).cast("int").alias("project"), "state").agg(F.count("*").alias("n"))
+
+
+def s17(spark, sf_dir):
+    """Files of a transcript folder by what their names say, beside all of them: sessions read by either."""
+    path = f"{_transcripts(spark, sf_dir)}/projects"
+    some = [(name, transcript_lines(spark, path, include)) for name, include in (("plain", "*.txt"), ("packed", "*.gz"), ("all", "part-*"))]
+    each = [df.filter("state = 'read'").select(F.lit(name).alias("include"), "session_id") for name, df in some]
+    return reduce(DataFrame.unionByName, each).groupBy("include").agg(F.count("*").alias("lines"), F.countDistinct("session_id").alias("sessions"))
+
+
 _R = "with r as (select o_custkey id, row_number() over w revision, o_orderkey source_id, o_orderstatus status from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey)) "
 _F = "with f as (select o_orderkey id, o_custkey subject, cast(o_orderdate as date) valid_from, case when o_orderstatus='F' then cast(o_orderdate as date)+120 end valid_to, lead(cast(o_orderdate as date)) over (partition by o_custkey order by o_orderdate, o_orderkey) superseded_at, case when o_orderpriority='5-LOW' then 'abandoned' else 'active' end lifecycle, round(o_totalprice/1000,3) score from orders), s as (select *, case when superseded_at<=date '1998-06-01' then 'superseded' when valid_to<=date '1998-06-01' then 'expired' when valid_from>date '1998-06-01' then 'not_yet_valid' when lifecycle='abandoned' then 'abandoned' when valid_to<=date '1998-07-01' then 'temporal' else 'valid' end state from f) "
 _L = "with li as (select l_partkey src, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag) dst, case l_returnflag when 'R' then 'CALLS' when 'A' then 'CITES' else 'IMPORTS' end as type from lineitem), e as (select * from li where dst is not null and src<>dst) "
 _K = "cast(json_extract_string(props,'$.k') as int)"
+_TURNS = "with n as (select conv_id, conv_id*100+turn n from conversations), t as (select conv_id, case when n%11=0 then 'corrupt' when n%13=0 then 'unknown' else 'read' end state from n) "
 ENTRIES = {
+    "S16_transcripts": Entry(s16, _TURNS + "select cast(conv_id%4 as int) project, state, count(*) n from t group by 1,2"),
+    "S17_included": Entry(s17, _TURNS + "select include, count(*)*any_value(k) as lines, count(distinct conv_id) sessions from t, (values ('plain',1),('packed',1),('all',2)) i(include,k) where state='read' group by include"),
     "S01_scan": Entry(s01, "select event_id, value from events where value>50 and event_type='purchase'"),
     "S02_session": Entry(s02, "select event_id, event_type kind, epoch_us(ts)//1000 ms from events where user_id=7"),
     "S03_sessions": Entry(s03, "select distinct user_id session_id from events"),

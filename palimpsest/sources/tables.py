@@ -45,13 +45,23 @@ def scan_events(spark: SparkSession, path: str, predicate: Column | None = None)
     return df if predicate is None else df.filter(predicate)
 
 
-def read_transcripts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, counts): JSON lines of a transcript directory; lines that do not parse are counted, not lost."""
-    schema = "type string, session_id string, timestamp string, message string, _corrupt string"
-    df = spark.read.option("columnNameOfCorruptRecord", "_corrupt").option("recursiveFileLookup", True).schema(schema).json(path)
-    state = F.when(F.col("_corrupt").isNotNull(), "corrupt").when(F.col("type").isNull(), "unknown").otherwise("read")
-    marked = df.withColumn("state", state)
-    return marked.filter("state = 'read'").drop("_corrupt", "state"), marked.groupBy("state").count()
+TRANSCRIPT = "type string, session_id string, timestamp string, message string, _corrupt string"
+
+
+def transcript_lines(spark: SparkSession, path: str, include: str = "*") -> DataFrame:
+    """(type, .., file, state) of the JSON lines of all files below a folder whose names match ``include``.
+
+    state: ``corrupt`` for lines that do not parse, ``unknown`` for those without a type, else ``read``; none is lost.
+    """
+    reader = spark.read.option("columnNameOfCorruptRecord", "_corrupt").option("recursiveFileLookup", True).option("pathGlobFilter", include)
+    df = reader.schema(TRANSCRIPT).json(path).withColumn("file", F.col("_metadata.file_path"))
+    return df.withColumn("state", F.when(F.col("_corrupt").isNotNull(), "corrupt").when(F.col("type").isNull(), "unknown").otherwise("read"))
+
+
+def read_transcripts(spark: SparkSession, path: str, include: str = "*") -> tuple[DataFrame, DataFrame]:
+    """(rows, counts): the lines that can be read, and how many of each state there are."""
+    marked = transcript_lines(spark, path, include)
+    return marked.filter("state = 'read'").drop("_corrupt", "state", "file"), marked.groupBy("state").count()
 
 
 def import_new(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
