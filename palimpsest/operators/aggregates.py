@@ -109,16 +109,21 @@ def iso_week(ts: str):
     return F.format_string("%04d-W%02d", F.extract(F.lit("YEAROFWEEK"), F.col(ts)).cast("int"), F.weekofyear(ts))
 
 
-def digest_buckets(ev: DataFrame, by: list[str], age_days: int = 7, least: int = 5) -> DataFrame:
+def digest_buckets(ev: DataFrame, by: list[str], now: str = NOW, age_days: int = 7, least: int = 5, done: DataFrame | None = None) -> DataFrame:
     """Members of each (``by``, ISO week) bucket of events older than ``age_days``, with its size; buckets of fewer than
-    ``least`` are left out. One row an event, so that no bucket has to fit one row."""
-    old = ev.filter(F.col("ts") < F.expr(f"timestamp_ntz'{NOW}' - interval {age_days} days")).withColumn("week", iso_week("ts"))
+    ``least`` are left out, and so are the events (event_id) of ``done``. One row an event, so that no bucket has to fit
+    one row."""
+    old = ev.filter(F.col("ts") < F.expr(f"timestamp_ntz'{now}' - interval {age_days} days")).withColumn("week", iso_week("ts"))
+    if done is not None:
+        old = old.join(done.select("event_id").distinct(), "event_id", "left_anti")
     sizes = old.groupBy("week", *by).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
     return old.join(sizes, ["week", *by]).select(*by, "week", "n", "event_id")
 
 
 def a16_digests(spark, sf_dir):
-    return digest_buckets(events(spark, sf_dir), ["session_id", "kind"])
+    """Events of more than thirty days by session, week and kind, without those that were summarised before."""
+    done = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("event_id"))
+    return digest_buckets(events(spark, sf_dir), ["session_id", "kind"], "2024-02-25 00:00:00", 30, 5, done)
 
 
 def a17_tool_digests(spark, sf_dir):
@@ -232,7 +237,7 @@ ENTRIES = {
     "A12_touched": Entry(a12_touched, "select l_partkey, count(*) filter (l_returnflag='R') as reads, count(*) filter (l_returnflag='A') as writes, count(*) filter (l_returnflag='N') as others, strftime(max(l_shipdate),'%Y-%m-%d') as last from lineitem group by 1"),
     "A13_axes": Entry(a13_axes, f"with e as (select *, {_DAYS} as day from events) select coalesce(event_type,'unknown') kind, coalesce(day,'unknown') as day, count(*) n, count(distinct user_id) sessions, grouping_id(event_type, day) as level from e group by cube(event_type, day)"),
     "A14_majority": Entry(a14_majority, "with c as (select user_id, event_type, count(*) n from events group by 1,2) select user_id session_id, arg_min(event_type, (-n, event_type)) kind, max(n) votes from c group by 1"),
-    "A16_digest_buckets": Entry(a16_digests, "select user_id session_id, event_type kind, strftime(ts,'%G-W%V') as week, count(*) over (partition by user_id, event_type, strftime(ts,'%G-W%V')) n, event_id from events where ts < timestamp '2024-01-25 00:00:00' qualify n>=5"),
+    "A16_digest_buckets": Entry(a16_digests, "select user_id session_id, event_type kind, strftime(ts,'%G-W%V') as week, count(*) over (partition by user_id, event_type, strftime(ts,'%G-W%V')) n, event_id from events where ts < timestamp '2024-01-26 00:00:00' and event_id not in (select conv_id from conversations where conv_id is not null) qualify n>=5"),
     "A17_tool_digests": Entry(a17_tool_digests, "select cast(json_extract_string(props,'$.k') as bigint)//10 repo, event_type tool, strftime(ts,'%G-W%V') as week, count(*) over (partition by cast(json_extract_string(props,'$.k') as bigint)//10, event_type, strftime(ts,'%G-W%V')) n, event_id from events where event_type<>'error' and ts < timestamp '2024-01-25 00:00:00' qualify n>=5"),
     "A18_daily": Entry(a18_daily, f"select {_DAYS} as day, event_type kind, count(*) n, round(sum(value),2) as value from events group by 1,2"),
     "A19_monthly": Entry(a19_monthly, "select strftime(o_orderdate,'%Y-%m') as month, coalesce(o_orderpriority,'') tool, count(*) n from orders group by 1,2"),

@@ -19,10 +19,10 @@ def partition_action(age: Column, day_after: int, month_after: int, drop_after:
 
 
 def d01(spark, sf_dir):
-    """Hourly partitions with what is due for each: later hours first become days, then months."""
-    p = events(spark, sf_dir).groupBy(F.date_format("ts", "yyyy/MM/dd/HH").alias("partition")).agg(F.count("*").alias("n"), F.min("ts").alias("first"))
-    start = F.date_trunc("hour", F.col("first").cast("timestamp_ntz"))
-    return p.withColumn("start", start).select("partition", "n", partition_action(age_days("start"), 7, 14, 28).alias("action"))
+    """Hourly partitions of the orders with what is due for each: older hours first become days, then months."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("timestamp_ntz").alias("ts"))
+    p = o.groupBy(F.date_format("ts", "yyyy/MM/dd/HH").alias("partition")).agg(F.count("*").alias("n"), F.date_trunc("hour", F.min("ts")).alias("start"))
+    return p.select("partition", "n", partition_action(age_days("start", AS_OF), 90, 365, 1095).alias("action"))
 
 
 def compact(df: DataFrame, path: str, by: list[str]) -> tuple[int, int]:
@@ -147,7 +147,7 @@ _AGE = "datediff('day', {c}, {now})"
 _OD = "datediff('day', cast(o_orderdate as date), date '1998-06-01')"
 _EA = "((epoch_us(timestamp '2024-02-01')-epoch_us(ts))//86400000000)"
 ENTRIES = {
-    "D01_partitions": Entry(d01, "with p as (select strftime(ts,'%Y/%m/%d/%H') as partition, count(*) n, (epoch_us(timestamp '2024-02-01')-epoch_us(date_trunc('hour',min(ts))))//86400000000 a from events group by 1) select partition, n, case when a>=28 then 'drop' when a>=14 then 'compact_to_month' when a>=7 then 'compact_to_day' else 'keep' end as action from p"),
+    "D01_partitions": Entry(d01, "with p as (select strftime(o_orderdate,'%Y/%m/%d/%H') as partition, count(*) n, date_trunc('hour',min(o_orderdate)::timestamp) s from orders group by 1) select partition, n, case when s<=timestamp '1998-06-01'-interval 1095 days then 'drop' when s<=timestamp '1998-06-01'-interval 365 days then 'compact_to_month' when s<=timestamp '1998-06-01'-interval 90 days then 'compact_to_day' else 'keep' end as action from p"),
     "D03_whitelisted_drop": Entry(d03, f"select case when {_OD}<=1095 then 'recent' when o_orderpriority='1-URGENT' or o_totalprice>400000 then 'held' else 'dropped' end fate, count(*) n from orders group by 1"),
     "D04_vector_tiers": Entry(d04, f"select event_type kind, case when event_type not in ('click','view','error') then 'fp32' when {_EA}>=25 then 'binary' when {_EA}>=12 then 'pq' else 'fp32' end tier, count(*) n from events group by 1,2"),
     "D05_demotion": Entry(d05, f"select o_orderstatus, case when {_OD}<7 then 'hot' when {_OD}<90 then 'warm' when {_OD}<365 then 'cold' else 'expired' end tier, count(*) n from orders group by 1,2"),
