@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from palimpsest.catalog import Entry
 from palimpsest.functions.text import intent, intent_sql, outcome_factor, words
-from palimpsest.operators.fulltext import containing, documents_index, ranked_top, search_all
-from palimpsest.operators.retrieval import _ALL, _AND, _Q, bm25, decay, literal_and, ranked, rrf
+from palimpsest.operators.fulltext import Index, containing, documents_index, ranked_top, search_all
+from palimpsest.operators.retrieval import _ALL, _AND, _Q, decay, ranked, rrf
 from palimpsest.sources.tables import events, table
 
 # Lanes of each intent with the collections they ask, the share of the budget and the limit.
@@ -43,14 +43,14 @@ def hit_factor(outcome: Column, repo: Column, active_repo: str | None = None, fo
     return out
 
 
-def hybrid(docs: DataFrame, queries: DataFrame, n: int = 10, alpha: float = 0.7) -> DataFrame:
+def hybrid(index: Index, queries: DataFrame, n: int = 10, alpha: float = 0.7) -> DataFrame:
     """(q, rank, doc_id, score): the keyword and exact lanes that each query's plan asks for, fused and cut.
 
-    Lanes are ranked on their own; a lane that the plan lacks adds nothing.
+    Lanes are ranked on their own over a stored index; a lane that the plan lacks adds nothing.
     """
     asked = lane_requests(queries).filter("lane = 'keyword'").select("q", "k")
-    words_lane = ranked(bm25(docs, queries), n=100).join(asked, "q").filter("rank <= k").select("q", F.lit("keyword").alias("lane"), "rank", "doc_id", (F.col("score") / 100).alias("native"))
-    exact = ranked(literal_and(docs, queries), n=20).select("q", F.lit("exact").alias("lane"), "rank", "doc_id", (F.col("score") / 2).alias("native"))
+    words_lane = ranked_top(index, queries, 100).join(asked, "q").filter("rank <= k").select("q", F.lit("keyword").alias("lane"), "rank", "doc_id", (F.col("score") / 100).alias("native"))
+    exact = ranked(search_all(index, queries), n=20).select("q", F.lit("exact").alias("lane"), "rank", "doc_id", (F.col("score") / 2).alias("native"))
     return ranked(rrf(words_lane.unionByName(exact), alpha=alpha), n=n).select("q", "rank", "doc_id", "score")
 
 
@@ -126,10 +126,9 @@ def r25(spark, sf_dir):
 
 def r26(spark, sf_dir):
     """Mean reciprocal rank and recall of known passages under the hybrid plan, against the acceptance floors."""
-    docs = table(spark, sf_dir, "documents")
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q"), F.array_join(words("text"), " ").alias("query"))
     truth = r25(spark, sf_dir).select(F.col("item_id").alias("q"), "doc_id")
-    hits = hybrid(docs, q)
+    hits = hybrid(documents_index(spark, sf_dir), q)
     per = truth.join(hits, ["q", "doc_id"], "left").groupBy("q").agg(F.coalesce(1 / F.min("rank"), F.lit(0.0)).alias("rr"), (F.count("rank") / F.count("*")).alias("recall"))
     both = per.agg(F.count("*").alias("queries"), F.round(F.avg("rr"), 4).alias("mrr"), F.round(F.avg("recall"), 4).alias("recall"))
     return both.withColumn("passed", (F.col("mrr") >= 0.45) & (F.col("recall") >= 0.45))
