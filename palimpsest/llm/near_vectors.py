@@ -9,6 +9,8 @@ passes is decided by the exact cosine. Small lists share a block, so that a vect
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,6 +20,18 @@ from .common import free_memory, stored, tidied
 from .components import components
 from .vectors import matrix, packed, parted, sample
 
+#: Rows of a block that are compared at once, and bounds of a block's rows.
+PIECE, LEAST_BLOCK, LARGEST_BLOCK = 2048, 2048, 1 << 16
+
+
+def block_size(total: int) -> int:
+    """Rows of a block: about twelve blocks, that is 78 pairs of them.
+
+    A row is sent once for each block it meets, so with a fixed number of blocks what is sent grows with the table, not
+    with its square; above 12 * LARGEST_BLOCK rows blocks grow no more, as a task holds two of them.
+    """
+    return max(LEAST_BLOCK, min(LARGEST_BLOCK, -(-total // 12)))
+
 
 def kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
     """Centres of a bounded sample, empty ones replaced by drawn points."""
@@ -76,16 +90,29 @@ def within(u: np.ndarray, home: np.ndarray, fitted: Quantiser, held: np.ndarray,
     return np.maximum(bound, plane) <= np.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-6
 
 
-def links(x: pd.DataFrame, q: pd.DataFrame, fitted: Quantiser, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (in q, in x) of the pairs of one block whose cosine is at least ``cosine``."""
-    tables, qv, home = fitted.tables(matrix(q["u"])), matrix(q["u"]), x["home"].to_numpy()
-    qs, xs = [], []
-    for h in np.unique(home).tolist():
-        at = np.flatnonzero(home == h)
-        j, i = _list_links(x.iloc[at], qv, tables, fitted, h, cosine)
-        qs.append(j)
-        xs.append(at[i])
-    return np.concatenate(qs), np.concatenate(xs)
+def links(x: pd.DataFrame, q: pd.DataFrame, fitted: Quantiser, cosine: float, piece: int = PIECE, hold: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (in q, in x) of the pairs of one block whose cosine is at least ``cosine``.
+
+    They come some at a time, about ``hold`` or those of ``piece`` rows against ``piece`` rows: so much is held of a block
+    of any size, even if all of it is linked.
+    """
+    home = x["home"].to_numpy()
+    order = np.argsort(home, kind="stable")
+    lists = [(int(home[at[0]]), at[a : a + piece]) for at in np.split(order, np.flatnonzero(np.diff(home[order])) + 1) for a in range(0, at.size, piece)]
+    qs, xs, n = [], [], 0
+    for a in range(0, len(q), piece):
+        qv = matrix(q["u"].iloc[a : a + piece])
+        tables = fitted.tables(qv)
+        for h, at in lists:
+            j, i = _list_links(x.iloc[at], qv, tables, fitted, h, cosine)
+            qs.append(j + a)
+            xs.append(at[i])
+            n += i.size
+            if n >= hold:
+                yield np.concatenate(qs), np.concatenate(xs)
+                qs, xs, n = [], [], 0
+    if n:
+        yield np.concatenate(qs), np.concatenate(xs)
 
 
 def _list_links(x: pd.DataFrame, qv: np.ndarray, tables: list[np.ndarray], fitted: Quantiser, home: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +152,7 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = new
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.9, lists: int | None = None, fit_rows: int = 20_000, block_rows: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = 0.9, lists: int | None = None, fit_rows: int = 20_000, block_rows: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(id, n_links, component_id, kept) for each row of ``vectors``.
 
     n_links: other vectors with a cosine of at least ``cosine``; component_id: the smallest id
@@ -134,7 +161,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, lists: int | None =
     different vectors is so many vectors of one component, each with its own links. A null id stays alone with a
     null component and is kept. Other columns are ignored, whatever their names; an empty table gives an empty
     result. ``lists`` (a power of two near half the square root of the number of vectors,
-    unless given) and codebooks are fitted on at most ``fit_rows`` vectors; every vector is indexed.
+    unless given) and codebooks are fitted on at most ``fit_rows`` vectors; every vector is indexed. Blocks of
+    ``block_rows`` (see ``block_size`` unless given) meet in one task each.
     """
     spark = vectors.sparkSession
     rows, rest = parted(vectors, id_col, vector_col)
@@ -153,6 +181,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, lists: int | None =
     groups = stored(scaled.distinct().groupBy("u").agg(F.min("id").alias("id"), F.count("*").alias("n")).withColumn("tag", F.xxhash64("u")), "distinct")
     total = groups.count()
     lists = lists or 1 << max(0, min(10, round(np.log2(max(1.0, total**0.5 / 2)))))
+    block_rows = block_rows or block_size(total)
     drawn = sample(groups.select(F.col("u").alias("v")), fit_rows)
     fitted = Quantiser(drawn, lists) if len(drawn) else None
 
@@ -214,21 +243,23 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, lists: int | None =
         empty = pd.DataFrame({"id": [], "tag": [], "other": [], "n": []})
         if not len(x) or not len(q):
             return empty
-        j, i = links(x, q, fitted, cosine)
-        xi, qi = x["id"].to_numpy()[i], q["id"].to_numpy()[j]
-        xt, qt = x["tag"].to_numpy()[i], q["tag"].to_numpy()[j]
-        apart = (xi != qi) | (xt != qt)
-        i, j, xi, qi, xt, qt = (v[apart] for v in (i, j, xi, qi, xt, qt))
-        if not i.size:
-            return empty
-        # each vector counts what it finds; it also counts for a partner in an earlier bin, which does not look here
-        back = ~(q["own_bin"] == x["bin"].iloc[0]).to_numpy()[j]
-        n = np.concatenate([x["n"].to_numpy()[i], q["n"].to_numpy()[j[back]]])
-        counts = pd.DataFrame({"id": np.concatenate([qi, xi[back]]), "tag": np.concatenate([qt, xt[back]]), "n": n}).groupby(["id", "tag"], as_index=False).sum()
-        node, root = _forest(xi, qi)
-        trees = pd.DataFrame({"id": node, "tag": 0, "other": root, "n": 0})
+        found = []
+        for j, i in links(x, q, fitted, cosine):
+            xi, qi = x["id"].to_numpy()[i], q["id"].to_numpy()[j]
+            xt, qt = x["tag"].to_numpy()[i], q["tag"].to_numpy()[j]
+            apart = (xi != qi) | (xt != qt)
+            i, j, xi, qi, xt, qt = (v[apart] for v in (i, j, xi, qi, xt, qt))
+            if not i.size:
+                continue
+            # each vector counts what it finds; it also counts for a partner in an earlier bin, which does not look here
+            back = ~(q["own_bin"] == x["bin"].iloc[0]).to_numpy()[j]
+            n = np.concatenate([x["n"].to_numpy()[i], q["n"].to_numpy()[j[back]]])
+            counts = pd.DataFrame({"id": np.concatenate([qi, xi[back]]), "tag": np.concatenate([qt, xt[back]]), "n": n}).groupby(["id", "tag"], as_index=False).sum()
+            node, root = _forest(xi, qi)
+            trees = pd.DataFrame({"id": node, "tag": 0, "other": root, "n": 0})
+            found += [counts.assign(other=counts["id"])[["id", "tag", "other", "n"]], trees[trees["id"] != trees["other"]]]
         free_memory()
-        return pd.concat([counts.assign(other=counts["id"])[["id", "tag", "other", "n"]], trees[trees["id"] != trees["other"]]], ignore_index=True)
+        return pd.concat(found, ignore_index=True) if found else empty
 
     keys = ["bin", "block", "q_block"]
     found = stored(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(compare, "id long, tag long, other long, n long"), "links")

@@ -4,6 +4,7 @@ import random
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
 
 pytest.importorskip("palimpsest.llm.near_texts")
@@ -365,3 +366,24 @@ def test_planted_near_copies_are_found(spark):
     classes = {r.doc_id: r.class_id for r in near_texts.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert sum(classes[a] == classes[b] for a, b in pairs) >= 0.98 * len(pairs)
     assert len(set(classes.values())) >= 150
+
+
+def test_near_vectors_send_each_row_to_so_many_blocks_whatever_the_table():
+    sizes = [50_000, 100_000, 400_000, 750_000]
+    assert all(-(-n // near_vectors.block_size(n)) <= 12 for n in sizes)
+    assert near_vectors.block_size(10**9) == near_vectors.LARGEST_BLOCK
+
+
+def test_near_vectors_links_come_in_pieces():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 8))
+    x[100:260] = x[0] + rng.normal(scale=1e-3, size=(160, 8))  # one large group
+    x /= np.sqrt((x**2).sum(1, keepdims=True))
+    fitted = near_vectors.Quantiser(x, 4)
+    home = fitted.order(x)[:, 0]
+    codes, own, error = fitted.code(x, home)
+    rows = pd.DataFrame({"u": [r.tobytes() for r in x], "home": home, "codes": [r.tobytes() for r in codes], "own": own, "error": error})
+    parts = list(near_vectors.links(rows, rows, fitted, 0.9, piece=32, hold=64))
+    assert len(parts) > 1 and max(j.size for j, _ in parts) < 64 + 32 * 32
+    got = {(a, b) for j, i in parts for a, b in zip(j.tolist(), i.tolist())}
+    assert got == set(zip(*(v.tolist() for v in np.nonzero(x @ x.T >= 0.9))))
