@@ -1,8 +1,8 @@
 """Joins by containment: which of many fragments a text contains, and what that resolves.
 
-A fragment is looked for through its rarest gram: the texts' grams are counted, each fragment is anchored at the gram
-that fewest texts have, and only texts with that gram are asked whether they contain the fragment. Fragments shorter than
-a gram are grams of their own length. No text meets a fragment it shares nothing with.
+A fragment begins with a gram. Where a text has the first gram of some fragment, the stretches from there that are as
+long as a fragment of that gram are compared whole, by one equi-join. Fragments shorter than a gram are grams of their own
+length. No fragment meets a text that does not contain it, however many fragments share their grams.
 """
 
 from __future__ import annotations
@@ -17,28 +17,31 @@ from palimpsest.sources.tables import table
 GRAM = 4
 
 
-def _grams(c: Column, size: int | Column) -> Column:
+def _places(c: Column, size: int, longest: int) -> Column:
+    """The grams of ``c``, each with the stretch of ``longest`` that it begins."""
     last = F.length(c) - size + 1
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(c, i, F.lit(size) if isinstance(size, int) else size)))
+    of = lambda i: F.struct(F.substring(c, i, F.lit(size)).alias("start"), F.substring(c, i, F.lit(longest)).alias("stretch"))
+    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), of))
 
 
 def contained(texts: DataFrame, fragments: DataFrame, gram: int = GRAM) -> DataFrame:
-    """(id, fragment): each fragment that a text (id, text) contains. Null and empty fragments are contained in nothing."""
+    """(id, fragment): each fragment that a text (id, text) contains. Null and empty fragments are contained in nothing.
+
+    What is sent grows with the places at which some fragment could begin, times the lengths of fragments that begin so.
+    """
     fragments = cut(fragments.select("fragment").filter("fragment <> ''").distinct())
-    sizes = sorted(r[0] for r in fragments.select(F.least(F.length("fragment"), F.lit(gram)).alias("n")).distinct().collect())  # at most ``gram`` numbers
-    if not sizes:
+    size = F.least(F.length("fragment"), F.lit(gram))
+    starts = fragments.groupBy(F.substring("fragment", F.lit(1), size).alias("start")).agg(F.collect_set(F.length("fragment")).alias("sizes"))
+    starts = cut(starts)
+    # at most ``gram`` numbers
+    known = starts.groupBy(F.length("start").alias("n")).agg(F.max(F.array_max("sizes")).alias("longest")).orderBy("n").collect()
+    if not known:
         return texts.select("id", F.col("text").alias("fragment")).limit(0)
-    text = F.col("text")
-    each = F.flatten(F.array(*[F.coalesce(_grams(text, n), F.array().cast("array<string>")) for n in sizes]))
-    held = texts.filter("text is not null").select("id", F.explode(F.array_distinct(each)).alias("gram"))
-    of = F.col("fragment")
-    anchors = fragments.select("fragment", F.explode(F.array_distinct(_grams(of, F.least(F.length(of), F.lit(gram))))).alias("gram"))
-    held = cut(held.join(anchors.select("gram").distinct(), "gram", "left_semi"))
-    known = held.groupBy("gram").agg(F.count("*").alias("n"))
-    # a fragment one of whose grams no text has is contained nowhere
-    rare = anchors.join(known, "gram", "left").groupBy("fragment").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
-    near = rare.join(held, "gram").select("id", "fragment")
-    return near.join(texts.select("id", "text"), "id").filter(F.contains("text", "fragment")).select("id", "fragment").distinct()
+    places = F.flatten(F.array(*[F.coalesce(_places(F.col("text"), *r), F.array().cast("array<struct<start:string,stretch:string>>")) for r in known]))
+    begun = texts.filter("text is not null").select("id", F.explode(places).alias("p")).select("id", "p.*")
+    whole = begun.join(starts, "start").select("id", "stretch", F.explode("sizes").alias("n"))
+    parts = whole.select("id", F.expr("substring(stretch, 1, n)").alias("fragment"))
+    return parts.join(fragments, "fragment", "left_semi").select("id", "fragment").distinct()
 
 
 def resolve_keys(keys: DataFrame, decisions: DataFrame) -> DataFrame:

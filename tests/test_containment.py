@@ -32,3 +32,13 @@ def test_passages_as_they_stand(spark):
     table = spark.createDataFrame(docs, "id long, text string").selectExpr("*", "'' title")
     found = fulltext.containing(fulltext.build(table), table, spark.createDataFrame(passages, "q long, passage string"))
     assert sorted(tuple(r) for r in found.collect()) == sorted((q, i) for q, p in passages for i, t in docs if p and t and p in t)
+
+
+def test_fragments_alike_in_their_grams_meet_only_what_contains_them(spark):
+    # every gram of a fragment stands in a tenth of the texts and more
+    ids = [f"dec-{i}" for i in range(1000, 1400)]
+    texts = spark.createDataFrame([(i, f"docs/{t}-notes.md") for i, t in enumerate(ids)], "id long, text string")
+    got = containment.contained(texts, spark.createDataFrame([(t,) for t in ids], "fragment string"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(" not in plan, plan  # compared by equality
+    assert sorted(tuple(r) for r in got.collect()) == list(enumerate(ids))
