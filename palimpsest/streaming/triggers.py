@@ -39,8 +39,9 @@ class SessionTriggers(StatefulProcessor):
     """For each session: a decision at once, a topic whenever ``due`` more events are there, the end when it was quiet.
 
     What is counted towards a topic goes when the topic fires. Of what is not over yet the spans between rests are held,
-    each with a timer; once the watermark has passed that, nothing can join the span any more: it is out and forgotten. So
-    files may come in any order within the watermark.
+    with a timer for the first; once the watermark has passed a span, nothing can join it any more: it is out and forgotten.
+    So files may come in any order within the watermark. A call reads and writes a session's state once, however many of
+    its spans are over.
     """
 
     def __init__(self, decisions: str, due: int = DUE, idle_ms: int = IDLE_MINUTES * 60_000):
@@ -53,41 +54,52 @@ class SessionTriggers(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs()
-        towards = self.towards.get()[0] if self.towards.exists() else 0
-        held = [tuple(r) for r in self.open.get()] if self.open.exists() else []
-        spans = held
+        before = self.towards.get()
+        towards = before[0] if before else 0
+        held = [tuple(r) for r in self.open.get()]
+        spans, out = held, []
         for b in rows:
             landed = b[b["kind"] == self.decisions]
-            yield self._rows(key, "decision_landed", landed["event_id"].tolist(), landed["ms"].tolist())
+            out += [("decision_landed", n, at) for n, at in zip(landed["event_id"].tolist(), landed["ms"].tolist())]
             fired, towards = divmod(towards + len(b), self.due)
-            yield self._rows(key, "topic_due", [self.due] * fired, [int(b["ms"].max())] * fired)
+            out += [("topic_due", self.due, int(b["ms"].max()))] * fired
             spans = merged_spans(spans + [(t, t, 1) for t in b["ms"].tolist() if t >= passed], self.idle_ms)
         if towards:
             self.towards.update((towards,))
-        else:
+        elif before:
             self.towards.clear()
         if spans != held:
-            due_before, due_now = ({last + self.idle_ms + 1 for _, last, _ in x} for x in (held, spans))
-            for t in due_before - due_now:
-                self.handle.deleteTimer(t)
-            for t in due_now - due_before:
-                self.handle.registerTimer(t)
+            # one timer a session, for the span that ends first: those that are over by then leave together
+            self._wait(held, spans)
             self.open.put(spans)
+        if out:
+            yield self._rows(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        limit = expiredTimerInfo.getExpiryTimeInMs()
+        limit = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
         spans = [tuple(r) for r in self.open.get()]
         over = [s for s in spans if s[1] + self.idle_ms < limit]
-        yield self._rows(key, "session_end", [s[2] for s in over], [s[1] for s in over])
         left = [s for s in spans if s[1] + self.idle_ms >= limit]
         if left:
+            self._wait([], left)
             self.open.put(left)
         else:
             self.open.clear()
-
-    def _rows(self, key, trigger: str, n: list, at: list) -> pd.DataFrame:
+        if over:
+            yield self._rows(key, [("session_end", n, last) for _, last, n in over])
+
+    def _wait(self, held: list, spans: list) -> None:
+        """Have the timer stand at the end of the first of ``spans``; it stood at that of the first of ``held``."""
+        was, due = (x[0][1] + self.idle_ms + 1 if x else None for x in (held, spans))
+        if was != due:
+            if was is not None:
+                self.handle.deleteTimer(was)
+            self.handle.registerTimer(due)
+
+    def _rows(self, key, found: list[tuple[str, int, int]]) -> pd.DataFrame:
+        trigger, n, at = zip(*found)
         # text as objects: the serializer takes no chunked strings
-        return pd.DataFrame({"session_id": [key[0]] * len(n), "trigger": pd.Series([trigger] * len(n), dtype=object), "n": n, "at_ms": at})
+        return pd.DataFrame({"session_id": [key[0]] * len(n), "trigger": pd.Series(trigger, dtype=object), "n": n, "at_ms": at})
 
     def close(self) -> None:
         pass

@@ -123,3 +123,70 @@ def test_merged_nodes_over_batches(spark, tmp_path):
         want[r[0], r[1]] = r
     got = merged_nodes(stream, ["node", "prop"], "seq", buckets=5).collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == set(want.values())
+
+
+class _State:
+    """Value and list state of one key, timers as a set, and how often each was asked."""
+
+    def __init__(self):
+        self.rows, self.timers, self.calls = {}, set(), 0
+
+    def getValueState(self, name, schema):
+        return _Held(self, name, None)
+
+    def getListState(self, name, schema):
+        return _Held(self, name, [])
+
+    def registerTimer(self, t):
+        self.calls += 1
+        self.timers.add(t)
+
+    def deleteTimer(self, t):
+        self.calls += 1
+        self.timers.remove(t)
+
+
+class _Held:
+    def __init__(self, of, name, empty):
+        self.of, self.name, self.empty = of, name, empty
+
+    def exists(self):
+        self.of.calls += 1
+        return self.name in self.of.rows
+
+    def get(self):
+        self.of.calls += 1
+        return self.of.rows.get(self.name, self.empty)
+
+    def put(self, rows):
+        self.of.calls += 1
+        self.of.rows[self.name] = list(rows)
+
+    update = put
+
+    def clear(self):
+        self.of.calls += 1
+        self.of.rows.pop(self.name, None)
+
+
+def test_a_session_of_many_spans_is_one_timer():
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    from palimpsest.streaming.triggers import SessionTriggers
+
+    state, at = _State(), lambda ms: SimpleNamespace(getCurrentWatermarkInMs=lambda: ms)
+    p = SessionTriggers("purchase", due=8, idle_ms=10)
+    p.init(state)
+    rows = pd.DataFrame({"event_id": range(100), "kind": "click", "ms": [i * 100 for i in range(100)]})
+    list(p.handleInputRows((1,), iter([rows]), at(0)))
+    assert state.timers == {11}
+    out, watermark = [], 5_000
+    while state.timers and min(state.timers) <= watermark:
+        t = min(state.timers)
+        state.timers.remove(t)
+        out += list(p.handleExpiredTimer((1,), at(watermark), SimpleNamespace(getExpiryTimeInMs=lambda t=t: t)))
+    found = pd.concat(out)
+    assert len(out) == 1 and sorted(found.at_ms) == [i * 100 for i in range(50)]  # the span at 4900 is over, that at 5000 is not
+    assert state.timers == {5_011} and state.calls < 20
