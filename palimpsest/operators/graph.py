@@ -9,7 +9,7 @@ from palimpsest.catalog import Entry
 from palimpsest.functions.similarity import jaro_winkler
 from palimpsest.operators.joins import revisions
 from palimpsest.operators.temporal import ancestry
-from palimpsest.sources.shared import cut
+from palimpsest.sources.shared import cut, spread
 from palimpsest.sources.tables import events, table
 
 # Link type by the flag of the line it comes from.
@@ -19,7 +19,9 @@ TYPES = {"R": "CALLS", "A": "CITES", "N": "IMPORTS"}
 def links(spark, sf_dir) -> DataFrame:
     """(src, dst, type, weight): a part links to the part of the next line of its order."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag")
-    li = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst"), "l_returnflag", F.col("l_quantity").cast("long").alias("weight"))
+    lines = table(spark, sf_dir, "lineitem")
+    lines = spread(lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag"), lines.count(), "l_orderkey")
+    li = lines.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst"), "l_returnflag", F.col("l_quantity").cast("long").alias("weight"))
     kind = F.when(F.col("l_returnflag") == "R", TYPES["R"]).when(F.col("l_returnflag") == "A", TYPES["A"]).otherwise(TYPES["N"])
     return li.filter("dst is not null and src <> dst").select("src", "dst", kind.alias("type"), "weight")
 
@@ -122,10 +124,15 @@ def g12(spark, sf_dir):
 
 def g13(spark, sf_dir):
     """Blast radius: distinct nodes within two IMPORTS links against their direction."""
-    e = links(spark, sf_dir).filter("type = 'IMPORTS'").select("src", "dst").distinct()
-    one = e.select(F.col("dst").alias("of"), F.col("src").alias("hit"))
-    two = one.join(e, F.col("hit") == F.col("dst")).select("of", F.col("src").alias("hit"))
-    return one.unionByName(two).filter("of <> hit").distinct().groupBy("of").agg(F.count("*").alias("n"))
+    e = cut(links(spark, sf_dir).filter("type = 'IMPORTS'").select("src", "dst").distinct())
+    # how many trails of two links there are: as many as links that come in times links that go out, added up over the nodes
+    into, out = e.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("i")), e.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("o"))
+    trails = into.join(out, "node").agg(F.sum(F.col("i") * F.col("o"))).first()[0] or 0
+    # trails leave a join of few links: it is dealt out by what it yields
+    to, on = spread(e, trails, "dst"), spread(e.select(F.col("src").alias("via"), F.col("dst").alias("of")), trails, "via")
+    two = on.join(to, F.col("via") == F.col("dst")).select("of", F.col("src").alias("hit"))
+    hits = e.select(F.col("dst").alias("of"), F.col("src").alias("hit")).unionByName(two).filter("of <> hit")
+    return spread(hits, trails, "of").distinct().groupBy("of").agg(F.count("*").alias("n"))
 
 
 def g14(spark, sf_dir):
@@ -160,7 +167,7 @@ def g17(spark, sf_dir):
     """Supersession closure of up to eight steps: which order replaces which."""
     w = Window.partitionBy("id").orderBy("revision")
     parents = revisions(spark, sf_dir).select(F.col("source_id").alias("node"), F.lag("source_id").over(w).alias("parent"))
-    return ancestry(parents, 3).groupBy("depth").agg(F.count("*").alias("n"))
+    return ancestry(cut(parents), 3).groupBy("depth").agg(F.count("*").alias("n"))
 
 
 def g18(spark, sf_dir, cap: int = 32):
@@ -177,15 +184,22 @@ ROUNDS = 3
 def propagate_labels(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(node, label): each round every node takes the label of the largest weight among its neighbours, ties the smallest.
 
-    Sums are partial before they shuffle; a round is one join and two groupings, whatever a node's degree.
+    A round is one join by neighbour, whose votes are sent once, by node; both are dealt out by the number of links.
     """
     w = edges.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.sum("weight").alias("weight"))
+    w = cut(w)
+    n = 2 * w.count()
     both = w.select(F.col("a").alias("node"), F.col("b").alias("near"), "weight").unionByName(w.select(F.col("b").alias("node"), F.col("a").alias("near"), "weight"))
-    labels = both.select("node").distinct().withColumn("label", F.col("node"))
+    by_near = spread(both, n, "near")
+    # at first every node has its own label, so that links are votes as they stand
+    votes = spread(both.select("node", F.col("near").alias("label"), "weight"), n, "node")
+    labels = None
     for _ in range(rounds):
-        votes = both.join(labels.select(F.col("node").alias("near"), "label"), "near").groupBy("node", "label").agg(F.sum("weight").alias("weight"))
-        labels = votes.groupBy("node").agg(F.min_by("label", F.struct(-F.col("weight"), "label")).alias("label"))
-    return labels
+        if labels is not None:
+            votes = spread(by_near.join(labels.select(F.col("node").alias("near"), "label"), "near").select("node", "label", "weight"), n, "node")
+        summed = votes.groupBy("node", "label").agg(F.sum("weight").alias("weight"))
+        labels = cut(summed.groupBy("node").agg(F.min_by("label", F.struct(-F.col("weight"), "label")).alias("label")))
+    return both.select("node").distinct().withColumn("label", F.col("node")) if labels is None else labels
 
 
 def g19(spark, sf_dir):

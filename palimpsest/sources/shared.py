@@ -27,6 +27,18 @@ def remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Rows of one task where ``spread`` deals them out.
+ROWS = 500_000
+
+
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` by ``keys`` in as many partitions as give about ``ROWS`` of ``rows`` to each, at least one a core.
+
+    Adaptive execution keeps a number that is given: what one task holds does not grow with the table.
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS)), *keys)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again; the table goes when the driver ends."""
     spark = df.sparkSession
