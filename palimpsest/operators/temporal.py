@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.catalog import Entry
 from palimpsest.operators.joins import revisions
+from palimpsest.sources.shared import spread
 from palimpsest.sources.tables import AS_OF, events, table
 
 
@@ -75,11 +76,14 @@ def ancestry(parents: DataFrame, doublings: int = 4) -> DataFrame:
     Each join doubles the distance covered, so the number of joins is the logarithm of the depth.
     """
     known = parents.filter("parent is not null and parent <> node").select("node", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
+    n = known.count()
     for k in range(doublings):
-        far = known.filter(F.col("depth") == 2**k).select("node", F.col("ancestor").alias("via"), F.col("depth").alias("near"))
-        on = known.select(F.col("node").alias("via"), "ancestor", "depth")
+        # with one parent a node a join yields up to 2^k ancestors of each, so it is dealt out by these
+        rows = n * 2 ** (k + 1)
+        far = spread(known.filter(F.col("depth") == 2**k).select("node", F.col("ancestor").alias("via"), F.col("depth").alias("near")), rows, "via")
+        on = spread(known.select(F.col("node").alias("via"), "ancestor", "depth"), rows, "via")
         longer = far.join(on, "via").select("node", "ancestor", (F.col("near") + F.col("depth")).alias("depth")).filter("node <> ancestor")
-        known = known.unionByName(longer).groupBy("node", "ancestor").agg(F.min("depth").alias("depth"))
+        known = spread(known.unionByName(longer), rows, "node").groupBy("node", "ancestor").agg(F.min("depth").alias("depth"))
     return known
 
 
